@@ -84,7 +84,7 @@ def _repeat_words(words: Column) -> Column:
 
     def members(s: Column, same, value) -> Column:
         """Of a sorted array, the values of the elements equal to a neighbour."""
-        rest = F.slice(s, 2, 2**31 - 1)
+        rest = F.slice(s, F.lit(2), F.size(s))
         pairs = F.zip_with(s, rest, lambda x, y: F.when(same(x, y), F.array(value(x), value(y))))
         return F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull())))
 
