@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from webloom.llm.mixing import LEVELS, MixConfig
 from webloom.llm.quality import QualityConfig
 
 
@@ -66,6 +67,52 @@ FROM st LEFT JOIN lim ON st.lang IS NOT DISTINCT FROM lim.lang AND st.source IS
 """
 
 
+def _level_sql(name: str, source: str, parents: list[str], level: str, config: MixConfig) -> str:
+    part = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    order = f"{part} ORDER BY capacity / weight, {level} NULLS FIRST"
+    return f"""
+{name}1 AS (
+  SELECT *, given - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+         sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {source}
+), {name}2 AS (SELECT *, capacity * rest <= remaining * weight AS filled FROM {name}1
+), {name}3 AS (
+  SELECT *, max(rest) FILTER (NOT filled) OVER ({part}) AS r, arg_max(remaining, rest) FILTER (NOT filled) OVER ({part}) AS l FROM {name}2
+), {name} AS (SELECT * EXCLUDE (given), CASE WHEN filled THEN capacity ELSE least(capacity, (l * weight) // r) END AS given FROM {name}3)"""
+
+
+def op4(config: MixConfig = MixConfig()) -> str:
+    def weight(level: str) -> str:
+        named = " ".join(f"WHEN '{k}' THEN {v}" for k, v in sorted(config.weights.get(level, {}).items()))
+        return f"(CASE {level} {named} ELSE {config.default_weight} END)" if named else str(config.default_weight)
+
+    ctes = [
+        f"""t AS (
+  SELECT doc_id, CASE WHEN regexp_matches(source, '[0-9]{{1,9}}$') THEN 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % {config.domains}) END AS domain,
+         lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents
+), total AS (SELECT coalesce(sum(n_tokens), 0)::BIGINT * {config.budget_permille} // 1000 AS b FROM t)"""
+    ]
+    for depth, level in enumerate(LEVELS):
+        keys, parents = list(LEVELS[: depth + 1]), list(LEVELS[:depth])
+        given = "(SELECT b FROM total)" if not parents else "p.given"
+        join = "" if not parents else f"JOIN n{depth - 1} p ON " + " AND ".join(f"g.{k} IS NOT DISTINCT FROM p.{k}" for k in parents)
+        ctes.append(
+            f"""s{depth} AS (
+  SELECT g.*, {given}::HUGEINT AS given FROM (
+    SELECT {', '.join(keys)}, sum(n_tokens)::BIGINT AS n_tokens, sum(n_tokens)::BIGINT * {config.max_epochs} AS capacity, {weight(level)}::BIGINT AS weight
+    FROM t GROUP BY {', '.join(keys)}) g {join}
+), {_level_sql(f'n{depth}', f's{depth}', parents, level, config)}"""
+        )
+    leaf = " AND ".join(f"t.{k} IS NOT DISTINCT FROM f.{k}" for k in LEVELS)
+    return f"""WITH {', '.join(ctes)},
+f AS (SELECT domain, lang, source, given::BIGINT AS budget, CASE WHEN n_tokens > 0 THEN given // n_tokens ELSE 0 END::BIGINT AS whole,
+             (given - CASE WHEN n_tokens > 0 THEN (given // n_tokens) * n_tokens ELSE 0 END)::BIGINT AS over FROM n2),
+h AS (SELECT t.*, budget, whole, over, md5('{config.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS h FROM t JOIN f ON {leaf}),
+c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) AS seen FROM h),
+k AS (SELECT *, whole + CASE WHEN seen <= over AND whole < {config.max_epochs} THEN 1 ELSE 0 END AS copies FROM c)
+SELECT doc_id, domain, lang, source, n_tokens, unnest(range(0, copies))::INT AS epoch, budget FROM k WHERE copies > 0
+"""
+
+
 OP8 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 k AS (SELECT html, max(page_id) AS keeper FROM p WHERE strlen(html) >= 1000 GROUP BY html)
@@ -99,4 +146,4 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_quality_rules": op1(), "op8_warc": OP8, "op9_decontamination": OP9}
+    return {"op1_quality_rules": op1(), "op4_mixing": op4(), "op8_warc": OP8, "op9_decontamination": OP9}

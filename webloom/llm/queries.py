@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontamination, licenses, quality, warc
+from webloom.llm import decontamination, licenses, mixing, pii, quality, sharding, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -28,6 +40,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_sharding": op2_sharding,
+        "op4_mixing": op4_mixing,
+        "op5_pii": op5_pii,
         "op8_warc": op8_warc,
         "op9_decontamination": op9_decontamination,
         "op10_license_scan": op10_license_scan,
