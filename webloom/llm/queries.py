@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontamination, licenses, mixing, pii, quality, sharding, warc
+from webloom.llm import decontamination, jaccard, licenses, mixing, pii, quality, sharding, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op4_mixing": op4_mixing,
         "op5_pii": op5_pii,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_warc": op8_warc,
         "op9_decontamination": op9_decontamination,
         "op10_license_scan": op10_license_scan,
