@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontamination, jaccard, licenses, mixing, pii, quality, sharding, warc
+from webloom.llm import decontamination, jaccard, licenses, mixing, pii, quality, sharding, suffix_dedup, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_sharding": op2_sharding,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_mixing": op4_mixing,
         "op5_pii": op5_pii,
         "op7_jaccard_join": op7_jaccard_join,
