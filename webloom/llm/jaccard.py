@@ -8,7 +8,8 @@ Two link when ``100 * |A & B| >= percent * |A | B|``. The join is exact:
    by hash into more than D segments, so two linked sets have an equal segment. The
    number of segments is that of a size class; a set whose partners may lie in the
    next class is cut for that one too. Classes with an equal segment are joined, in
-   a star around the smallest of them, to candidate groups.
+   a star around the smallest of them, to candidate groups: first within a task, so
+   that a segment leaves it once however many sets have it, then among tasks.
 3. A group's sets meet in one task, or in blocks of bounded size. There the sparse
    product of the incidence of documents by shingles adds up overlaps; pairs below
    the bound that follows from their sizes are dropped. Once documents are known to
@@ -100,24 +101,94 @@ def segment_keys(own: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], config: JaccardConfig) -> Iterator[pa.RecordBatch]:
+    """doc_id, size, and two 64-bit sums that stand for the set."""
     for batch in batches:
         for block in tx.blocks(batch.column(1)):
             sets = document_sets(block, config.gram)
-            keys = [segment_keys(s, config.percent) if len(s) else np.zeros(0, np.uint64) for s in sets]
-            signs = np.array([(tx.mix(s).sum(dtype=np.uint64), tx.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2)
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+            signs = np.array([_signature(s) for s in sets], np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(block.first, len(block)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(signs[:, 0].view(np.int64)),
                     pa.array(signs[:, 1].view(np.int64)),
-                    tx.list_array(np.concatenate(keys).view(np.int64), offsets, pa.int64()),
                 ],
-                ["doc_id", "n", "s1", "s2", "keys"],
+                ["doc_id", "n", "s1", "s2"],
             )
 
 
+def _signature(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return tx.mix(own).sum(dtype=np.uint64), tx.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+
+
+def _star(keys: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with the smallest sign of each, and (sign, smallest sign) of the others."""
+    order = np.lexsort((signs, keys))
+    keys, signs = keys[order], signs[order]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    leader = signs[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))] if len(keys) else signs
+    other = signs != leader
+    return keys[first], signs[first], signs[other], leader[other]
+
+
+#: Keys a task holds before it sends them on.
+_HELD_KEYS = 1_000_000
+
+
+def _segments(batches: Iterator[pa.RecordBatch], config: JaccardConfig) -> Iterator[pa.RecordBatch]:
+    """(key, sign) of segments, and links (null key, sign, smaller sign) between sets of one task with an equal segment."""
+
+    def rows(keys: list[np.ndarray], signs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not keys:
+            return
+        k, s, a, b = _star(np.concatenate(keys), np.concatenate(signs))
+        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        names = ["key", "a", "b"]
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(s), pa.nulls(len(k), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names)
+
+    keys, signs, held, seen = [], [], 0, set()
+    for batch in batches:
+        for block in tx.blocks(batch.column(0)):
+            for own in document_sets(block, config.gram):
+                if not len(own):
+                    continue
+                sign = np.uint64(_signature(own)[0]).view(np.int64)
+                if sign in seen:  # an equal set of this task was here
+                    continue
+                seen.add(sign)
+                k = segment_keys(own, config.percent)
+                keys.append(k)
+                signs.append(np.full(len(k), sign))
+                held += len(k)
+            if held > _HELD_KEYS:
+                yield from rows(keys, signs)
+                keys, signs, held, seen = [], [], 0, set()
+    yield from rows(keys, signs)
+
+
+def _link_equal_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows (key, a, b) sorted by key: those that came as links, and from each sign to the first with the same key."""
+    last, leader = None, None
+    for batch in batches:
+        key, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        linked = ~np.isnan(b.astype(float)) if b.dtype != np.int64 else np.ones(len(b), bool)
+        out_a, out_b = [a[linked].astype(np.int64)], [np.asarray(batch.column(2).drop_null().to_numpy(), np.int64)]
+        keys = np.asarray(batch.column(0).fill_null(0).to_numpy(), np.int64)[~linked]
+        a = a[~linked]
+        if len(keys):
+            first = np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])
+            at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
+            lead = np.where(at >= 0, a[np.maximum(at, 0)], leader if leader is not None else 0)
+            other = lead != a
+            out_a.append(np.maximum(a[other], lead[other]))
+            out_b.append(np.minimum(a[other], lead[other]))
+            last, leader = keys[-1], lead[-1]
+        pairs = np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 class Forest:
     """Union-find over 0 .. n-1, with sizes."""
 
@@ -248,27 +319,18 @@ def _work(tasks: DataFrame, config: JaccardConfig) -> DataFrame:
     return materialize(dealt.mapInArrow(lambda it: _product(it, config), "a long, b long"), "jaccard-links")
 
 
-def _classes(documents: DataFrame, config: JaccardConfig) -> tuple[DataFrame, DataFrame]:
-    """Every row's (doc_id, n, s1, s2, keys), and per class of equal sets its smallest doc_id with the segment keys."""
-    signed = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lambda it: _sign(it, config), "doc_id long, n long, s1 long, s2 long, keys array<long>")
-    signed = materialize(signed, "jaccard-signed")
-    classes = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    return signed, materialize(classes, "jaccard-classes")
-
-
 def links_and_classes(documents: DataFrame, config: JaccardConfig) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect documents as all links of the join do, and (doc_id, n, rep) of every row."""
-    signed, classes = _classes(documents, config)
-    # a class's row: the one whose doc_id is the smallest, so no join by the set's signature is needed to carry the keys
-    lone = signed.where("n > 0").withColumn("sign", F.struct("n", "s1", "s2"))
-    reps = classes.withColumnRenamed("rep", "doc_id")
-    keyed = lone.join(reps.select("doc_id", F.struct("n", "s1", "s2").alias("sign")), ["doc_id", "sign"], "left_semi").select("doc_id", "sign", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    shared = materialize(shared, "jaccard-shared")
-    star = keyed.select("doc_id", "key").join(shared, "key").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    star = materialize(star, "jaccard-stars")
+    named = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
+    signed = materialize(named.mapInArrow(lambda it: _sign(it, config), "doc_id long, n long, s1 long, s2 long"), "jaccard-signed")
+    classes = materialize(signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    # candidate groups have the first sum as their nodes: sets that share it by chance only meet in one more task
+    keyed = named.select("text").mapInArrow(lambda it: _segments(it, config), "key long, a long, b long")
+    dealt = keyed.repartition(F.coalesce("key", F.xxhash64("a"))).sortWithinPartitions("key")
+    star = materialize(dealt.mapInArrow(_link_equal_keys, "a long, b long").distinct(), "jaccard-stars")
     groups = components(star)
-    sized = materialize(groups.join(reps.groupBy("doc_id").agg(F.max("n").alias("n")), groups.node == F.col("doc_id")).select("doc_id", "n", "component"), "jaccard-groups")
+    reps = classes.select("s1", F.col("rep").alias("doc_id"), "n")
+    sized = materialize(reps.join(groups, reps.s1 == groups.node).groupBy("doc_id", "component").agg(F.max("n").alias("n")), "jaccard-groups")
     weight = sized.groupBy("component").agg(F.sum("n").alias("w"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("w") / config.block_shingles)).cast("int")
     placed = materialize(
@@ -295,7 +357,7 @@ def links_and_classes(documents: DataFrame, config: JaccardConfig) -> tuple[Data
         # guests of different blocks meet as hosts of their own parts
     membership = signed.where("n > 0").select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"])
     repeated = membership.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return links.unionByName(repeated), signed.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep")
+    return links.unionByName(repeated), signed.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep")
 
 
 def join(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
@@ -304,7 +366,7 @@ def join(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataF
     links, rows = links_and_classes(slim, config)
     found = components(links).withColumnRenamed("node", "rep")
     named = rows.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    unnamed = slim.where("doc_id IS NULL").mapInArrow(lambda it: _sign(it, config), "doc_id long, n long, s1 long, s2 long, keys array<long>")
+    unnamed = slim.where("doc_id IS NULL").mapInArrow(lambda it: _sign(it, config), "doc_id long, n long, s1 long, s2 long")
     return named.unionByName(unnamed.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 

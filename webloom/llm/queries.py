@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontamination, jaccard, licenses, mixing, pii, quality, sharding, suffix_dedup, warc
+from webloom.llm import attention_lm, decontamination, jaccard, licenses, mixing, pii, quality, sharding, suffix_dedup, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_held_out(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_mixing": op4_mixing,
         "op5_pii": op5_pii,
+        "op6_attention_lm": op6_attention_lm,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_warc": op8_warc,
         "op9_decontamination": op9_decontamination,
