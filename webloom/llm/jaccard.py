@@ -319,6 +319,25 @@ def _work(tasks: DataFrame, config: JaccardConfig) -> DataFrame:
     return materialize(dealt.mapInArrow(lambda it: _product(it, config), "a long, b long"), "jaccard-links")
 
 
+#: Words of 64 bits in the filter of candidate ids: 8 MB, whatever the number of documents.
+_FILTER_WORDS = 1 << 20
+
+
+def _may_be_in(ids: DataFrame):
+    """A test of doc_ids that passes all of ``ids`` and some others (a Bloom filter of one hash and bounded size), so that texts of other documents need not be shuffled."""
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(64 * _FILTER_WORDS - 1))
+    words = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(doc_id) & 63 AS INT))")).alias("bits")).toArrow()
+    bitmap = np.zeros(_FILTER_WORDS, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+
+    @F.arrow_udf("boolean")
+    def test(at: pa.Array) -> pa.Array:
+        place = at.to_numpy()
+        return pa.array((bitmap[place >> 6] >> (place & 63)) & 1 == 1)
+
+    return test(place)
+
+
 def links_and_classes(documents: DataFrame, config: JaccardConfig) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect documents as all links of the join do, and (doc_id, n, rep) of every row."""
     named = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
@@ -336,7 +355,7 @@ def links_and_classes(documents: DataFrame, config: JaccardConfig) -> tuple[Data
     placed = materialize(
         sized.join(weight, "component").withColumn("parts", parts).withColumn("part", F.expr("pmod(xxhash64(doc_id), parts)").cast("int")).select("doc_id", "component", "parts", "part"), "jaccard-blocks"
     )
-    members = placed.join(documents.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id")
+    members = placed.join(named.where(_may_be_in(placed)), "doc_id")
     first = _work(members.select(F.concat_ws(":", "component", "part").alias("task"), F.lit(False).alias("guest"), "doc_id", "text"), config)
     links = first
     if placed.where("parts > 1").limit(1).count():
@@ -353,7 +372,7 @@ def links_and_classes(documents: DataFrame, config: JaccardConfig) -> tuple[Data
         both = guests.select(F.concat_ws(":", "component", "to", "g").alias("task"), F.lit(True).alias("guest"), "doc_id").unionByName(
             hosts.select(F.concat_ws(":", "component", "part", "g").alias("task"), F.lit(False).alias("guest"), "doc_id")
         )
-        links = links.unionByName(_work(both.join(documents.select("doc_id", "text"), "doc_id"), config))
+        links = links.unionByName(_work(both.join(named.where(_may_be_in(large)), "doc_id"), config))
         # guests of different blocks meet as hosts of their own parts
     membership = signed.where("n > 0").select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"])
     repeated = membership.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
