@@ -2,10 +2,553 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom import schemas
+from webloom.functions import chunking, html, policy, text, urls, vectors
+from webloom.operators import crawl, rag, search, versions
+from webloom.plans import ingest
+from webloom.sources import fetches, sinks
+from webloom.streaming import politeness
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# vectors
+
+_COSINE = "round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
+
+
+@query(f"""
+SELECT e.vec_id, e.label, {_COSINE.format(a='e.embedding', b='q.embedding')} AS similarity
+FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY similarity DESC, vec_id LIMIT 20""")
+def semantic_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    wanted = rows.where("vec_id = 0").select("embedding").first()[0]
+    found = search.nearest(rows, "embedding", "vec_id", wanted, 20)
+    return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""
+SELECT query_id, vec_id, similarity, rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, {_COSINE.format(a='e.embedding', b='q.embedding')} AS similarity,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id)::INT AS rank
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 10""")
+def semantic_topk_batch(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    found = search.nearest_batch(rows, rows.where("vec_id % 20 = 0"), "embedding", "vec_id", 10)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("""
+SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'DIMENSION_MISMATCH' WHEN list_sum(list_transform(embedding, lambda x: x * x)) = 0 THEN 'ZERO_MAGNITUDE' END AS error,
+       abs(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) - 1) <= 1e-5 AS is_unit, len(embedding)::INT AS dimension FROM embeddings""")
+def embedding_normalize_check(spark, sf_dir):
+    checked = table(spark, sf_dir, "embeddings").withColumn("n", vectors.normalized(F.col("embedding"), 64))
+    return checked.select("vec_id", F.col("n.error").alias("error"), vectors.is_unit(F.col("embedding")).alias("is_unit"), F.size("embedding").alias("dimension"))
+
+
+def _embedded(spark, sf_dir) -> DataFrame:
+    """Vectors with the metadata of a store: every seventh is of another model, every fifth of another version, every eleventh of older content."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, "other").otherwise("hashing").alias("embedding_model"), F.when(F.col("vec_id") % 5 == 0, "0").otherwise("1").alias("embedding_version"),
+        F.sha2(F.col("vec_id").cast("string"), 256).alias("content_hash"), F.sha2(F.when(F.col("vec_id") % 11 == 0, F.lit("old")).otherwise(F.col("vec_id").cast("string")), 256).alias("embedded_content_hash"),
+    )
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id % 5 <> 0 AND vec_id % 11 <> 0")
+def current_embeddings(spark, sf_dir):
+    return _embedded(spark, sf_dir).where(search.current_embedding("hashing", "1")).select("vec_id")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 5 = 0 OR vec_id % 11 = 0")
+def stale_embeddings(spark, sf_dir):
+    return _embedded(spark, sf_dir).where(search.stale_embedding("hashing", "1")).select("vec_id")
+
+
+# text
+
+_NORMALIZED = "list_filter(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda l: trim(regexp_replace(l, '[\\t\\x0B\\f\\r \\x{A0}]+', ' ', 'g'))), lambda l: l <> '')"
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, strlen(text) AS n_bytes, strlen(text) <= 2097152 AS within_limit, left(text, 500) AS excerpt FROM documents")
+def content_hash(spark, sf_dir):
+    docs, t = table(spark, sf_dir, "documents"), F.col("text")
+    return docs.select("doc_id", text.content_hash(t).alias("content_hash"), F.octet_length(t).cast("long").alias("n_bytes"), text.within_byte_limit(t).alias("within_limit"), text.excerpt(t).alias("excerpt"))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    hashed = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+    return hashed.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@query(f"SELECT doc_id, array_to_string({_NORMALIZED}, chr(10)) AS content FROM documents")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("content"))
+
+
+@query("SELECT item_id, 'passage: ' || trim(text) AS passage, 'query: ' || trim(text) AS question FROM benchmark")
+def model_inputs(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark")
+    return rows.select("item_id", text.passage_text(F.concat(F.lit(" passage: "), "text")).alias("passage"), text.query_text(F.col("text")).alias("question"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def chunk_counts(spark, sf_dir):
+    return chunk_documents(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.col("end_offset") - F.col("start_offset")).alias("longest"))
+
+
+@query()
+def chunk_overlap_audit(spark, sf_dir):
+    audited = chunking.overlaps(chunk_documents(spark, sf_dir), "doc_id").where("overlap IS NOT NULL")
+    return audited.groupBy("overlap").agg(F.count("*").alias("n"))
+
+
+# pages
+
+_ARTICLE = r"regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+_ENTITIES = "regexp_replace(regexp_replace({}, '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+
+
+@query(
+    f"""
+WITH a AS (SELECT page_id, regexp_replace({_ARTICLE}, '[\\s]+', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, {_ENTITIES.format("regexp_replace(regexp_replace(t, '<br>|<p>|</p>|</h1>', chr(10), 'g'), '<[^>]*>', '', 'g')")} AS text FROM a)
+SELECT page_id, array_to_string({_NORMALIZED}, chr(10)) AS content, sha256(array_to_string({_NORMALIZED}, chr(10))) AS content_hash FROM b"""
+)
+def clean_pages(spark, sf_dir):
+    found = fetches.process_pages(fetches.judge(fetches.fetch_log_from_pages(table(spark, sf_dir, "pages"))))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "content", "content_hash")
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_ENTITIES.format('''regexp_extract(html, '(?s)<title>(.*?)</title>', 1)''')}, '\\s+', ' ', 'g')) AS title FROM pages")
+def page_titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.clean_html(F.col("html"))["title"].alias("title"))
+
+
+_ORIGIN = "regexp_extract(url, '^https?://[^/?#]+')"
+_LINKS = f"""
+SELECT page_id, {_ORIGIN} || replace(replace(replace(url_encode(href), '%2F', '/'), '%2C', ','), '%25', '%') AS target, i
+FROM (SELECT page_id, url, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS i
+      FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages))"""
+
+
+@query(f"SELECT page_id, target, (row_number() OVER (PARTITION BY page_id ORDER BY min(i)) - 1)::INT AS position FROM ({_LINKS}) GROUP BY page_id, target")
+def page_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.posexplode(html.discover_links(F.col("html"), F.col("url"), urls.url_origin(F.col("url")))).alias("position", "target"))
+
+
+@query(f"SELECT page_id, count(DISTINCT target) AS n_links FROM ({_LINKS}) GROUP BY page_id")
+def link_counts(spark, sf_dir):
+    return page_links(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n_links"))
+
+
+@query(f"SELECT page_id, {_ORIGIN} AS origin, regexp_extract(url, '^https?://([^/?#]+)', 1) || CASE WHEN url LIKE 'https%' THEN ':443' ELSE ':80' END AS limiter_key FROM pages")
+def page_origins(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.url_origin(F.col("url")).alias("origin"), crawl.limiter_key(F.col("url")).alias("limiter_key"))
+
+
+@query(f"SELECT {_ORIGIN} AS origin, count(*) AS n_pages FROM pages GROUP BY 1")
+def pages_per_origin(spark, sf_dir):
+    return page_origins(spark, sf_dir).groupBy("origin").agg(F.count("*").alias("n_pages"))
+
+
+@query("SELECT regexp_replace(url, '#.*$', '') AS normalized_url, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1")
+def url_dedupe(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url"))["url"].alias("normalized_url"))
+    return found.groupBy("normalized_url").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT kind, code, count(*) AS n FROM (
+  SELECT kind, CASE kind WHEN 0 THEN 'EMPTY_URL' WHEN 1 THEN 'INVALID_URL' WHEN 2 THEN 'UNSUPPORTED_PROTOCOL' WHEN 3 THEN 'CREDENTIALS_NOT_ALLOWED' WHEN 4 THEN 'EXTERNAL_ORIGIN'
+         WHEN 5 THEN 'DOWNLOADABLE_URL' WHEN 6 THEN 'URL_TOO_LONG' END AS code FROM (SELECT (page_id % 8)::INT AS kind FROM pages)) GROUP BY kind, code""")
+def link_rejects(spark, sf_dir):
+    """Every page's URL, made unfit in one of seven ways or left as it is."""
+    rows = table(spark, sf_dir, "pages").withColumn("kind", (F.col("page_id") % 8).cast("int"))
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    made = (
+        F.when(F.col("kind") == 0, "  ").when(F.col("kind") == 1, "http://").when(F.col("kind") == 2, F.concat(F.lit("mailto:a@"), host)).when(F.col("kind") == 3, F.concat(F.lit("http://u:p@"), host))
+        .when(F.col("kind") == 4, F.lit("http://other.example/")).when(F.col("kind") == 5, F.lit("/file.PDF?x=1")).when(F.col("kind") == 6, F.concat(F.lit("/"), F.repeat(F.lit("a"), 2048))).otherwise(F.col("url"))
+    )
+    found = rows.select("kind", urls.normalize_url(made, F.col("url"), urls.url_origin(F.col("url")))["error_code"].alias("code"))
+    return found.groupBy("kind", "code").agg(F.count("*").alias("n"))
+
+
+@query()
+def structured_tables(spark, sf_dir):
+    """Orders laid out as an HTML table for each customer segment and status, read back."""
+    cells = F.concat(F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.col("o_orderpriority"), F.lit("</td></tr>"))
+    made = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 997).alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(cells)), "").alias("rows"))
+    page = F.concat(F.lit("<body><table><caption>Orders</caption><thead><tr><th>key</th><th>priority</th></tr></thead>"), F.col("rows"), F.lit("</table></body>"))
+    found = made.select("page_id", html.extract_tables(page).alias("tables"))
+    return found.select("page_id", F.size("tables").alias("n_tables"), F.size(F.col("tables")[0]["rows"]).alias("n_rows"), text.content_hash(html.serialize_tables(F.col("tables"))).alias("serialized_hash"))
+
+
+# versions
+
+_VERSIONED = "SELECT doc_id, source || ':' || lang AS url, sha256(text) AS content_hash, doc_id AS fetched_at FROM documents"
+
+
+def _versioned(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(":", "source", "lang").alias("url"), text.content_hash(F.col("text")).alias("content_hash"), F.col("doc_id").alias("fetched_at"))
+
+
+@query(f"SELECT url, doc_id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, doc_id DESC) AS r FROM ({_VERSIONED})) WHERE r = 1")
+def latest_version(spark, sf_dir):
+    return versions.latest(_versioned(spark, sf_dir)).select("url", F.col("id").alias("doc_id"), "content_hash")
+
+
+@query(f"""
+SELECT doc_id, lag(doc_id) OVER w AS previous_version_id, (row_number() OVER w)::INT AS version, coalesce(lag(content_hash) OVER w = content_hash, false) AS unchanged
+FROM ({_VERSIONED}) WINDOW w AS (PARTITION BY url ORDER BY fetched_at, doc_id)""")
+def version_chain(spark, sf_dir):
+    found = versions.version_history(_versioned(spark, sf_dir), "url", "fetched_at", "id", "content_hash")
+    return found.select(F.col("id").alias("doc_id"), "previous_version_id", "version", "unchanged")
+
+
+@query("""
+WITH f AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u, sha256(html) AS h, CASE WHEN page_id % 10 = 3 THEN 304 ELSE 200 END AS http_status FROM pages),
+p AS (SELECT a.page_id, arg_max(b.page_id, b.page_id) AS old_id, arg_max(b.h, b.page_id) AS old_hash FROM f a JOIN f b ON a.u = b.u AND a.page_id <> b.page_id GROUP BY a.page_id)
+SELECT f.page_id, CASE WHEN http_status = 304 AND old_id IS NULL THEN 'FAILED' WHEN old_id IS NOT NULL AND (http_status = 304 OR h = old_hash) THEN 'REUSED' ELSE 'NEW' END AS decision,
+       CASE WHEN old_id IS NOT NULL AND (http_status = 304 OR h = old_hash) THEN old_id END AS reused_document_id,
+       CASE WHEN NOT (http_status = 304 OR h = old_hash) THEN old_id END AS previous_version_id,
+       http_status = 304 AND old_id IS NOT NULL AS not_modified
+FROM f LEFT JOIN p USING (page_id)""")
+def unchanged_reuse(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_replace("url", "#.*$", "").alias("normalized_url"), text.content_hash(F.col("html")).alias("content_hash"), F.when(F.col("page_id") % 10 == 3, 304).otherwise(200).alias("http_status")
+    )
+    stored = rows.select(F.col("page_id").alias("id"), F.col("page_id").alias("crawl_page_id"), "normalized_url", "content_hash", F.col("page_id").alias("fetched_at"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    return versions.resolve_fetch(rows, versions.previous_version(rows.select("page_id", "normalized_url"), stored))
+
+
+@query()
+def chunk_sync(spark, sf_dir):
+    """Chunks of all documents against stored ones of which every third document's are of another text: kept, made and replaced."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "doc_id", "text")
+    wanted = chunking.chunk_documents(docs, "document_id", "text")
+    old = chunking.chunk_documents(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Old. "), "text")).otherwise(F.col("text"))), "document_id", "text")
+    after, report = versions.synchronize_chunks(old, wanted)
+    return report.select(F.col("document_id").cast("long").alias("document_id"), "retained", "created", "replaced")
+
+
+# crawls
+
+_STATUS = "CASE event_type WHEN 'view' THEN 'COMPLETED' WHEN 'click' THEN 'SKIPPED' WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SKIPPED_ROBOTS' ELSE 'COMPLETED' END"
+
+
+def _event_pages(spark, sf_dir) -> DataFrame:
+    kinds = {"view": "COMPLETED", "click": "SKIPPED", "error": "FAILED", "purchase": "SKIPPED_ROBOTS"}
+    status = F.lit("COMPLETED")
+    for kind, name in kinds.items():
+        status = F.when(F.col("event_type") == kind, name).otherwise(status)
+    rows = table(spark, sf_dir, "events")
+    return rows.select(F.col("event_id").alias("page_id"), F.col("user_id").alias("crawl_id"), F.when(F.col("event_id") % 401 == 0, "QUEUED").otherwise(status).alias("status"), F.col("ts").alias("created_at"))
+
+
+_EVENT_PAGES = f"SELECT event_id AS page_id, user_id AS crawl_id, CASE WHEN event_id % 401 = 0 THEN 'QUEUED' ELSE {_STATUS} END AS status, ts AS created_at FROM events"
+
+
+@query(f"SELECT crawl_id, status, count(*) AS n FROM ({_EVENT_PAGES}) GROUP BY ALL")
+def status_counts(spark, sf_dir):
+    return crawl.status_counts(_event_pages(spark, sf_dir))
+
+
+@query(f"""
+SELECT *, CASE WHEN active_count = 0 THEN 'COMPLETED' ELSE 'PROCESSING' END AS status, CASE WHEN active_count = 0 THEN TIMESTAMP '2024-02-01' END AS completed_at, active_count = 0 AND failed_count > 0 AS completed_with_failures
+FROM (SELECT crawl_id, count(*) AS discovered_count, count(*) FILTER (status = 'COMPLETED') AS completed_count, count(*) FILTER (status IN ('SKIPPED', 'SKIPPED_ROBOTS')) AS skipped_count,
+             count(*) FILTER (status = 'FAILED') AS failed_count, count(*) FILTER (status = 'QUEUED') AS active_count FROM ({_EVENT_PAGES}) GROUP BY crawl_id)""")
+def crawl_state_fold(spark, sf_dir):
+    return crawl.fold_state(_event_pages(spark, sf_dir), F.lit("2024-02-01").cast("timestamp_ntz"))
+
+
+@query(f"SELECT page_id, crawl_id, status FROM ({_EVENT_PAGES}) ORDER BY created_at, page_id LIMIT 25 OFFSET 50")
+def pages_paginated(spark, sf_dir):
+    return crawl.paginate(_event_pages(spark, sf_dir), ["created_at", "page_id"], 3, 25).select("page_id", "crawl_id", "status")
+
+
+@query("SELECT count(*) AS total, ceil(count(*) / 25)::BIGINT AS total_pages FROM events")
+def pages_total(spark, sf_dir):
+    return crawl.page_count(table(spark, sf_dir, "events"), 25)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 25")
+def dead_letters_paginated(spark, sf_dir):
+    return crawl.paginate(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.asc("o_orderkey")], 2, 25)
+
+
+_STATUSES = "[429, 502, 503, 504, 404, 500, 408, 304, 200, 204]"
+_FAILURES = f"SELECT event_id, user_id, {_STATUSES}[event_id % 10 + 1] AS http_status, CASE WHEN event_id % 3 = 0 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type, event_id % 5 + 1 AS attempt FROM events"
+_CATEGORY = """CASE WHEN http_status = 304 THEN NULL WHEN http_status IN (429, 502, 503, 504) THEN 'HTTP_' || http_status WHEN http_status NOT BETWEEN 200 AND 299 THEN 'HTTP_PERMANENT'
+ WHEN content_type NOT LIKE 'text/html%' THEN 'UNSUPPORTED_CONTENT_TYPE' END"""
+
+
+def _failures(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    statuses = F.array(*[F.lit(x) for x in (429, 502, 503, 504, 404, 500, 408, 304, 200, 204)])
+    return rows.select(
+        "event_id", "user_id", F.element_at(statuses, (F.col("event_id") % 10 + 1).cast("int")).alias("http_status"), F.when(F.col("event_id") % 3 == 0, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"), (F.col("event_id") % 5 + 1).alias("attempt"),
+    ).withColumn("category", policy.classify_http(F.col("http_status"), F.col("content_type"), F.lit(10)))
+
+
+@query(f"SELECT event_id, {_CATEGORY} AS category, ({_CATEGORY} IS NULL OR {_CATEGORY} NOT IN ('HTTP_PERMANENT', 'UNSUPPORTED_CONTENT_TYPE')) AS retryable FROM ({_FAILURES})")
+def failure_classification(spark, sf_dir):
+    return _failures(spark, sf_dir).select("event_id", "category", policy.is_retryable(F.col("category")).alias("retryable"))
+
+
+@query(f"SELECT event_id, least(60000, 1000 * power(2, attempt - 1))::BIGINT AS delay_ms, CASE WHEN http_status = 429 THEN 7000 ELSE least(60000, 1000 * power(2, attempt - 1)) END::BIGINT AS with_header FROM ({_FAILURES})")
+def backoff_schedule(spark, sf_dir):
+    header = policy.retry_after_ms(F.when(F.col("http_status") == 429, "7"), F.current_timestamp())
+    return _failures(spark, sf_dir).select("event_id", policy.backoff_ms(F.col("attempt")).alias("delay_ms"), policy.backoff_ms(F.col("attempt"), header).alias("with_header"))
+
+
+@query(f"""
+SELECT crawl_page_id, failure_category, attempt_count FROM (
+  SELECT user_id AS crawl_page_id, {_CATEGORY} AS failure_category, attempt AS attempt_count, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r
+  FROM ({_FAILURES}) WHERE {_CATEGORY} IS NOT NULL AND (({_CATEGORY}) IN ('HTTP_PERMANENT', 'UNSUPPORTED_CONTENT_TYPE') OR attempt >= 3)) WHERE r = 1""")
+def dead_letters(spark, sf_dir):
+    ended = _failures(spark, sf_dir).where(F.col("category").isNotNull() & policy.is_terminal(policy.is_retryable(F.col("category")), F.col("attempt") - 1))
+    pages = ended.select(F.lit(0).alias("crawl_id"), F.col("user_id").alias("page_id"), F.lit("http://example.com/").alias("url"), F.col("category").alias("failure_category"), F.lit("failed").alias("error"), F.col("attempt").alias("attempts"), F.col("event_id").alias("failed_at"))
+    return crawl.dead_letters(pages).select("crawl_page_id", "failure_category", "attempt_count")
+
+
+_EDGES = "SELECT (l_orderkey % 211)::VARCHAR AS source, (l_partkey % 211)::VARCHAR AS target, min(l_orderkey * 8 + l_linenumber) AS position FROM lineitem GROUP BY ALL"
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    key = lambda c: (F.col(c) % 211).cast("string")
+    return rows.groupBy(key("l_orderkey").alias("source"), key("l_partkey").alias("target")).agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"))
+
+
+@query(f"""
+WITH e AS ({_EDGES}), c AS (SELECT 'a' AS crawl_id, '1' AS seed, 40 AS cap, 2 AS deep UNION ALL SELECT 'b', '7', 150, 2 UNION ALL SELECT 'c', '9', 10, 0),
+l0 AS (SELECT crawl_id, seed AS url, 0 AS depth, NULL::VARCHAR AS parent, 0::BIGINT AS position FROM c),
+k1 AS (SELECT crawl_id, target AS url, min({{'a': l0.position, 'b': e.position, 'p': l0.url}}) AS o FROM l0 JOIN c USING (crawl_id) JOIN e ON source = url WHERE deep > 0 GROUP BY crawl_id, target),
+n1 AS (SELECT k1.*, row_number() OVER (PARTITION BY crawl_id ORDER BY o.a, o.b, url) AS r FROM k1 WHERE NOT EXISTS (SELECT 1 FROM l0 WHERE l0.crawl_id = k1.crawl_id AND l0.url = k1.url)),
+l1 AS (SELECT crawl_id, url, 1 AS depth, o.p AS parent, r AS position FROM n1 JOIN c USING (crawl_id) WHERE r <= cap - 1),
+k2 AS (SELECT crawl_id, target AS url, min({{'a': l1.position, 'b': e.position, 'p': l1.url}}) AS o FROM l1 JOIN c USING (crawl_id) JOIN e ON source = url WHERE deep > 1 GROUP BY crawl_id, target),
+n2 AS (SELECT k2.*, row_number() OVER (PARTITION BY crawl_id ORDER BY o.a, o.b, url) AS r FROM k2
+       WHERE NOT EXISTS (SELECT 1 FROM (FROM l0 UNION ALL FROM l1) x WHERE x.crawl_id = k2.crawl_id AND x.url = k2.url)),
+u AS (SELECT crawl_id, count(*) AS used FROM (FROM l0 UNION ALL FROM l1) GROUP BY crawl_id),
+l2 AS (SELECT n2.crawl_id, url, 2 AS depth, o.p AS parent, used - 1 + r AS position FROM n2 JOIN c USING (crawl_id) JOIN u USING (crawl_id) WHERE r <= cap - used)
+SELECT crawl_id, url AS normalized_url, depth, parent AS parent_url, position FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2)""")
+def bfs_crawl(spark, sf_dir):
+    crawls = spark.createDataFrame([("a", "1", 40, 2), ("b", "7", 150, 2), ("c", "9", 10, 0)], "crawl_id string, seed_url string, max_pages int, max_depth int")
+    return crawl.traverse(crawls, _links(spark, sf_dir))
+
+
+@query(f"""
+WITH e AS ({_EDGES}), p AS (SELECT DISTINCT source AS url FROM e WHERE source::INT % 4 = 0),
+k AS (SELECT target AS url, min({{'a': source::BIGINT, 'b': position, 'p': source}}) AS o FROM e WHERE source::INT % 4 = 0 GROUP BY target),
+n AS (SELECT *, row_number() OVER (ORDER BY o.a, o.b, url) AS r FROM k WHERE url NOT IN (SELECT url FROM p))
+SELECT 'a' AS crawl_id, url AS normalized_url, 1 AS depth, o.p AS parent_page_id FROM n WHERE r <= 100 - (SELECT count(*) FROM p)""")
+def frontier_reserve(spark, sf_dir):
+    links = _links(spark, sf_dir).where(F.col("source").cast("int") % 4 == 0)
+    pages = links.select(F.lit("a").alias("crawl_id"), F.col("source").alias("normalized_url")).distinct()
+    candidates = links.select(F.lit("a").alias("crawl_id"), F.col("source").cast("long").alias("parent_order"), "position", F.col("source").alias("parent_page_id"), F.lit(0).alias("parent_depth"), F.col("target").alias("normalized_url"))
+    limits = spark.createDataFrame([("a", 100, 2)], "crawl_id string, max_pages int, max_depth int")
+    return crawl.reserve(candidates, pages, limits).select("crawl_id", "normalized_url", "depth", "parent_page_id")
+
+
+_ARRIVALS = "SELECT event_id AS request_id, (user_id % 40)::VARCHAR AS host_port, (event_id * 977) % 100000 AS arrival_ms FROM events"
+
+
+@query(f"""
+WITH r AS (SELECT *, 1000 * (row_number() OVER w - 1) AS b FROM ({_ARRIVALS}) WINDOW w AS (PARTITION BY host_port ORDER BY arrival_ms, request_id))
+SELECT request_id, host_port, arrival_ms, (max(arrival_ms - b) OVER (PARTITION BY host_port ORDER BY arrival_ms, request_id) + b)::BIGINT AS start_ms FROM r""")
+def limiter_schedule(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 40).cast("string").alias("host_port"), ((F.col("event_id") * 977) % 100000).alias("arrival_ms"))
+    return crawl.spacing(rows).select("request_id", "host_port", "arrival_ms", F.col("start_ms").cast("long").alias("start_ms"))
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n_requests, greatest(count(*) - 2, 0) AS n_rejected FROM events GROUP BY ALL")
+def api_rate_window(spark, sf_dir):
+    return politeness.rate_windows(table(spark, sf_dir, "events"), "ts", "user_id", 2, "6 hours").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+_IP = "(event_id * 7919 % 256)::VARCHAR || '.' || (event_id * 31 % 256) || '.' || (event_id * 17 % 256) || '.' || (event_id % 256)"
+_N = "(event_id * 7919 % 256) * 16777216 + (event_id * 31 % 256) * 65536 + (event_id * 17 % 256) * 256 + event_id % 256"
+
+
+@query(f"""
+SELECT event_id, address, (n >> 24) IN (0, 10, 127) OR (n >> 22) = 401 OR (n >> 16) IN (43518, 49320) OR (n >> 20) = 2753 OR (n >> 8) IN (12582912, 12582914, 12977764, 13303921)
+       OR (n >> 17) = 25353 OR (n >> 29) = 7 AS unsafe FROM (SELECT event_id, {_IP} AS address, ({_N})::BIGINT AS n FROM events)""")
+def ip_safety(spark, sf_dir):
+    parts = [F.col("event_id") * 7919 % 256, F.col("event_id") * 31 % 256, F.col("event_id") * 17 % 256, F.col("event_id") % 256]
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat_ws(".", *[p.cast("string") for p in parts]).alias("address"))
+    return rows.withColumn("unsafe", policy.unsafe_v4(F.col("address")))
+
+
+@query("SELECT page_id, NOT (page_id % 3 = 0 AND regexp_matches(url, '^https?://[^/]+/en/')) AS allowed, CASE WHEN page_id % 3 = 0 THEN 2500 END::BIGINT AS crawl_delay_ms FROM pages")
+def robots_decisions(spark, sf_dir):
+    body = F.when(F.col("page_id") % 3 == 0, "User-agent: *\nDisallow: /en/\nCrawl-delay: 2.5\n").otherwise("")
+    status = F.when(F.col("page_id") % 3 == 1, 404).otherwise(200)
+    found = table(spark, sf_dir, "pages").select("page_id", policy.robots(body, status, F.col("url"), "webloom").alias("r"))
+    return found.select("page_id", "r.allowed", "r.crawl_delay_ms")
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT url AS from_url, lead(url) OVER (ORDER BY page_id) AS to_url, page_id FROM (SELECT DISTINCT ON (url) page_id, url FROM pages ORDER BY url, page_id)),
+e AS (SELECT from_url, to_url FROM r WHERE page_id % 9 <> 0 AND to_url IS NOT NULL),
+w AS (SELECT url AS request_url, url AS final_url, 0 AS n_hops FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT request_url, to_url, n_hops + 1 FROM w JOIN e ON final_url = from_url WHERE n_hops < 5)
+SELECT request_url, arg_max(final_url, n_hops) AS final_url, max(n_hops)::INT AS n_hops FROM w GROUP BY request_url""")
+def redirect_targets(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    chained = first.withColumn("to_url", F.lead("url").over(Window.partitionBy(F.lit(1)).orderBy("page_id")))  # test data: one chain of all URLs
+    edges = chained.where("page_id % 9 <> 0 AND to_url IS NOT NULL").select(F.col("url").alias("from_url"), "to_url")
+    found = crawl.follow_redirects(pages.where("page_id % 2 = 0"), edges)
+    return found.select("request_url", "final_url", "n_hops").distinct()
+
+
+# search and answers
+
+
+def _chunk_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Documents and one chunk of each, the whole text, so that SQL can tell the relevance."""
+    docs = table(spark, sf_dir, "documents")
+    documents = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("https://example.com/"), "source").alias("url"), F.concat_ws(" ", "lang", "source").alias("title"))
+    chunks = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+    return chunks, documents
+
+
+
+
+def _tf(word: str) -> str:
+    """SQL for how often a word stands in a text."""
+    return f"len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x = '{word}'))"
+
+
+
+
+@query(f"""
+SELECT doc_id AS chunk_id, left(text, 500) AS excerpt, round({_tf('the')} * 0.4, 6) AS relevance FROM documents WHERE {_tf('the')} > 0
+ORDER BY relevance DESC, chunk_id LIMIT 20""")
+def keyword_single_term(spark, sf_dir):
+    chunks, documents = _chunk_tables(spark, sf_dir)
+    return search.keyword_search(chunks, documents, "The", 20).select("chunk_id", "excerpt", F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"SELECT count(*) AS n FROM documents WHERE {_tf('the')} > 0 AND {_tf('license')} > 0")
+def keyword_and_match(spark, sf_dir):
+    chunks, documents = _chunk_tables(spark, sf_dir)
+    return search.keyword_search(chunks, documents, "license THE", 2**31 - 1).agg(F.count("*").alias("n"))
+
+
+@query()
+def keyword_cover_density(spark, sf_dir):
+    chunks, documents = _chunk_tables(spark, sf_dir)
+    return search.keyword_search(chunks, documents, "the license", 20).select("chunk_id", F.round("relevance", 9).alias("relevance"))
+
+
+def _ranked_hits(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    score = 1 - (F.col("turn") % 7) / 20
+    return rows.select(
+        F.col("conv_id").alias("question_id"), F.col("turn").cast("int").alias("rank"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("int").alias("chunk_index"),
+        F.concat(F.lit("https://example.com/"), F.col("conv_id").cast("string")).alias("url"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("title"), text.excerpt(F.col("text")).alias("excerpt"), score.alias("similarity"),
+    )
+
+
+@query()
+def bounded_context(spark, sf_dir):
+    hits = _ranked_hits(spark, sf_dir)
+    grouped = hits.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in hits.columns if c != "question_id"]))).alias("h"))
+    found = grouped.withColumn("s", rag.bounded_sources(F.col("h"), 0.75, 400, 1500))
+    return found.select("question_id", F.size("s").alias("n_sources"), F.length(rag.context(F.col("s"))).alias("context_length"), text.content_hash(rag.context(F.col("s"))).alias("context_hash"))
+
+
+@query("""
+SELECT conv_id, turn, 'Supported [2], repeated [2], first [1], invalid.' AS answer, CASE WHEN turn % 2 = 0 THEN '2,1' ELSE '2,1' END AS citations FROM conversations""")
+def citation_validate(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    answer = F.concat(F.lit("Supported [2], repeated  [02], first [1] , invalid ["), (F.col("turn") + 99).cast("string"), F.lit("]. "))
+    found = rows.select("conv_id", "turn", rag.validated(answer, F.lit(2)).alias("v"))
+    return found.select("conv_id", "turn", F.col("v.answer").alias("answer"), F.array_join(F.col("v.citations").cast("array<string>"), ",").alias("citations"))
+
+
+@query()
+def ask_answers(spark, sf_dir):
+    hits = _ranked_hits(spark, sf_dir)
+    questions = hits.select("question_id").distinct().withColumn("question", F.concat(F.lit("What about "), F.col("question_id").cast("string"), F.lit("?")))
+    answers = questions.select("question_id", F.when(F.col("question_id") % 5 != 0, "So it is [1][9].").otherwise("No citation").alias("answer"), F.when(F.col("question_id") % 7 == 0, "TIMEOUT").alias("error"))
+    found = rag.ask(questions, hits, answers)
+    return found.select("question_id", "status", "answer", F.size("citations").alias("n_citations"), "result_count")
+
+
+# whole-store reports
+
+
+@query("SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT count(*) FROM labels) AS labels")
+def smoke_counts(spark, sf_dir):
+    return sinks.counts(**{n: table(spark, sf_dir, n) for n in ("pages", "documents", "embeddings", "labels")})
+
+
+@query("""
+SELECT round_, discovered, completed, round(seconds, 6) AS seconds, round(completed / seconds, 9) AS pages_per_second FROM (
+  SELECT (user_id % 3)::INT AS round_, count(*) AS discovered, count(*) FILTER (event_type <> 'error') AS completed, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS seconds FROM events GROUP BY 1)""")
+def run_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    crawls = rows.groupBy("user_id").agg(F.count("*").alias("discovered_count"), F.count_if(F.col("event_type") != "error").alias("completed_count"), F.lit(0).alias("skipped_count"), F.count_if(F.col("event_type") == "error").alias("failed_count"), F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"))
+    found = crawl.run_summary(crawls.withColumn("round", (F.col("user_id") % 3).cast("int")))
+    return found.select(F.col("round").alias("round_"), "discovered", "completed", F.round("seconds", 6).alias("seconds"), F.round("pages_per_second", 9).alias("pages_per_second"))
+
+
+@query("SELECT doc_id, 'chunk_index' AS rule FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT doc_id, 'offsets' FROM documents WHERE doc_id % 75 = 0 UNION ALL SELECT doc_id, 'embedding' FROM documents WHERE doc_id % 60 = 0")
+def integrity_violations(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    none = {c: F.lit(None).cast("string") for c in ("embedding", "embedding_version", "embedded_content_hash", "embedded_at")}
+    rows = docs.select("doc_id", F.when(F.col("doc_id") % 50 == 0, -1).otherwise(0).alias("chunk_index"), F.lit(0).alias("start_offset"), F.when(F.col("doc_id") % 75 == 0, 0).otherwise(10).alias("end_offset"), F.lit("x").alias("content"), F.when(F.col("doc_id") % 60 == 0, "m").alias("embedding_model")).withColumns(none)
+    return schemas.violations(rows, "chunks").select("doc_id", F.explode("broken_rules").alias("rule"))
+
+
+@query("SELECT l.doc_id FROM labels l ANTI JOIN (SELECT doc_id FROM documents WHERE doc_id % 9 <> 0) d ON l.doc_id = d.doc_id")
+def orphaned_labels(spark, sf_dir):
+    return schemas.orphans(table(spark, sf_dir, "labels"), "doc_id", table(spark, sf_dir, "documents").where("doc_id % 9 <> 0"), "doc_id").select("doc_id")
+
+
+@query()
+def ingest_chunks(spark, sf_dir):
+    """Pages to documents to chunks, the whole plan."""
+    documents = ingest.documents_from_fetches(fetches.fetch_log_from_pages(table(spark, sf_dir, "pages")))
+    return ingest.chunks_from_documents(documents).select("document_id", "chunk_index", "start_offset", "end_offset", "content_hash")

@@ -1,0 +1 @@
+"""Sources and sinks: fetch logs, a paged file source, table sinks, providers."""
