@@ -35,7 +35,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame over what was written."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

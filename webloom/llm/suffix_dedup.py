@@ -45,6 +45,10 @@ from webloom.llm import text as tx
 from webloom.llm.scratch import materialize
 
 
+#: Bytes of text handled at once, with some twenty numbers of 64 bits for each.
+_BLOCK = 1 << 18
+
+
 @dataclass(frozen=True)
 class SuffixConfig:
     length: int = 100
@@ -53,7 +57,7 @@ class SuffixConfig:
     #: Bytes of spans of which one suffix array is built (or those of one anchor).
     array_bytes: int = 1 << 18
     #: Anchors with more runs than this, and than a hundred-thousandth of all runs, are dealt by the hash of each start.
-    hot_runs: int = 2000
+    hot_runs: int = 10_000
 
 
 def ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -113,7 +117,7 @@ def runs(block: tx.Block, config: SuffixConfig) -> tuple[np.ndarray, np.ndarray,
 def _anchors(batches: Iterator[pa.RecordBatch], config: SuffixConfig) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs = batch.column(0).to_numpy()
-        for block in tx.blocks(batch.column(1)):
+        for block in tx.blocks(batch.column(1), _BLOCK):
             text, anchor, begin, _, _ = runs(block, config)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor.view(np.int64)), pa.array(docs[block.first + text]), pa.array((begin - block.offsets[text]).astype(np.int32))], ["anchor", "doc_id", "start"]
@@ -128,7 +132,7 @@ def _spans(batches: Iterator[pa.RecordBatch], config: SuffixConfig, hot: np.ndar
     names = [c.split()[0] for c in _SPANS.split(", ")]
     for batch in batches:
         docs, lone = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-        for block in tx.blocks(batch.column(1)):
+        for block in tx.blocks(batch.column(1), _BLOCK):
             text, anchor, begin, count, sums = runs(block, config)
             local = begin - block.offsets[text]
             alone = np.zeros(len(text), bool)
