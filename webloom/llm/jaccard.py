@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import text as tx
 from webloom.llm.graph import components
-from webloom.llm.scratch import materialize
+from webloom.llm.scratch import materialize, small
 
 
 @dataclass(frozen=True)
@@ -316,7 +316,7 @@ def _product(batches: Iterator[pa.RecordBatch], config: JaccardConfig) -> Iterat
 def _work(tasks: DataFrame, config: JaccardConfig) -> DataFrame:
     """``tasks``: (task string, guest boolean, doc_id, text)."""
     dealt = tasks.select("task", "guest", "doc_id", "text").repartition("task").sortWithinPartitions("task", F.col("guest").desc())
-    return materialize(dealt.mapInArrow(lambda it: _product(it, config), "a long, b long"), "jaccard-links")
+    return materialize(dealt.mapInArrow(lambda it: _product(it, config), "a long, b long"), "jaccard-links", free=True)
 
 
 #: Words of 64 bits in the filter of candidate ids: 8 MB, whatever the number of documents.
@@ -346,7 +346,7 @@ def links_and_classes(documents: DataFrame, config: JaccardConfig) -> tuple[Data
     # candidate groups have the first sum as their nodes: sets that share it by chance only meet in one more task
     keyed = named.select("text").mapInArrow(lambda it: _segments(it, config), "key long, a long, b long")
     dealt = keyed.repartition(F.coalesce("key", F.xxhash64("a"))).sortWithinPartitions("key")
-    star = materialize(dealt.mapInArrow(_link_equal_keys, "a long, b long").distinct(), "jaccard-stars")
+    star = materialize(dealt.mapInArrow(_link_equal_keys, "a long, b long").distinct(), "jaccard-stars", free=True)
     groups = components(star)
     reps = classes.select("s1", F.col("rep").alias("doc_id"), "n")
     sized = materialize(reps.join(groups, reps.s1 == groups.node).groupBy("doc_id", "component").agg(F.max("n").alias("n")), "jaccard-groups")
@@ -355,7 +355,7 @@ def links_and_classes(documents: DataFrame, config: JaccardConfig) -> tuple[Data
     placed = materialize(
         sized.join(weight, "component").withColumn("parts", parts).withColumn("part", F.expr("pmod(xxhash64(doc_id), parts)").cast("int")).select("doc_id", "component", "parts", "part"), "jaccard-blocks"
     )
-    members = placed.join(named.where(_may_be_in(placed)), "doc_id")
+    members = named.where(_may_be_in(placed)).join(small(placed), "doc_id")
     first = _work(members.select(F.concat_ws(":", "component", "part").alias("task"), F.lit(False).alias("guest"), "doc_id", "text"), config)
     links = first
     if placed.where("parts > 1").limit(1).count():
@@ -372,7 +372,7 @@ def links_and_classes(documents: DataFrame, config: JaccardConfig) -> tuple[Data
         both = guests.select(F.concat_ws(":", "component", "to", "g").alias("task"), F.lit(True).alias("guest"), "doc_id").unionByName(
             hosts.select(F.concat_ws(":", "component", "part", "g").alias("task"), F.lit(False).alias("guest"), "doc_id")
         )
-        links = links.unionByName(_work(both.join(named.where(_may_be_in(large)), "doc_id"), config))
+        links = links.unionByName(_work(named.where(_may_be_in(large)).join(small(materialize(both, "jaccard-second")), "doc_id"), config))
         # guests of different blocks meet as hosts of their own parts
     membership = signed.where("n > 0").select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"])
     repeated = membership.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -31,14 +32,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return a DataFrame over what was written."""
+def materialize(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Write ``df`` once and return a DataFrame over what was written.
+
+    With ``free`` the driver collects its garbage then: shuffle files of finished
+    steps are deleted when nothing refers to them, which else is noticed late.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two or three numbers that may be broadcast: some tens of MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of a few narrow columns, marked for a broadcast if it has no more than ``rows`` rows; larger ones meet by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def sweep() -> None:
     """Delete the tables written so far. Call it only when no DataFrame over them is still needed."""
     while _written:

@@ -249,19 +249,19 @@ def dedup(documents: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFr
     anchors = texts.mapInArrow(lambda it: _anchors(it, config), "anchor long, doc_id long, start int")
     counted = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("start").alias("start"))
     few = materialize(
-        counted.where(f"n = 1 OR n > {config.hot_runs}").select("n", F.when(F.col("n") > 1, F.col("anchor")).alias("anchor"), "doc_id", "start"), "suffix-anchors"
+        counted.where(f"n = 1 OR n > {config.hot_runs}").select("n", F.when(F.col("n") > 1, F.col("anchor")).alias("anchor"), "doc_id", "start"), "suffix-anchors", free=True
     )
     lone_runs = few.where("n = 1").groupBy("doc_id").agg(F.collect_list("start").alias("lone"))
     runs_seen = few.agg(F.sum("n")).first()[0] or 0
     hot_from = max(config.hot_runs, runs_seen // 100_000)  # so no more than about 100,000 anchors are hot
     hot = np.array([r[0] for r in few.where(f"n > {hot_from}").select("anchor").toLocalIterator()], np.int64).view(np.uint64)
     spans = texts.join(lone_runs, "doc_id", "left").select("doc_id", "text", "lone").mapInArrow(lambda it: _spans(it, config, hot), _SPANS)
-    spans = materialize(spans, "suffix-spans")
+    spans = materialize(spans, "suffix-spans", free=True)
     firsts = spans.groupBy("anchor", "other", "span").agg(F.min(F.struct("doc_id", "start", "n")).alias("f")).select("anchor", "other", "span", "f.*")
-    firsts = materialize(firsts, "suffix-firsts")
+    firsts = materialize(firsts, "suffix-firsts", free=True)
     dealt = firsts.where("span IS NOT NULL").select("anchor", "span", "doc_id", "start", "n").repartition("anchor").sortWithinPartitions("anchor")
     found = dealt.mapInArrow(lambda it: _first_occurrences(it, config), "doc_id long, start int, n int").unionByName(firsts.where("span IS NULL").select("doc_id", "start", "n"))
-    first = materialize(found, "suffix-found").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("first"))
+    first = materialize(found, "suffix-found", free=True).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("first"))
     looked = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("looked"))
     joined = texts.join(looked.join(first, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "looked", "first")
     result = joined.mapInArrow(lambda it: _cut(it, config), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
