@@ -123,7 +123,7 @@ def validate_answer(answer: str, n_sources: int) -> tuple[str, list[int]]:
 
 def validated(answer: Column, n_sources: Column) -> Column:
     """struct<answer, citations>, natively: markers out of range are dropped, the others normalised."""
-    parts = F.split(answer, r"(?=\[[0-9]+\])|(?<=\[[0-9]{1,18}\])")
+    parts = F.split(answer, r"(?=\[[0-9]+\])|(?<=\])")
 
     def number(p: Column) -> Column:
         return F.when(p.rlike(r"^\[[0-9]+\]$"), F.substring(p, F.lit(2), F.length(p) - 2).try_cast("long"))
