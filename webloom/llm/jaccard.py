@@ -64,10 +64,9 @@ def document_sets(block: tx.Block, gram: int) -> list[np.ndarray]:
     return found
 
 
-def most_different(n: int, m: int, percent: int) -> int:
-    """The most shingles that linked sets of n and m shingles can hold apart: |A|+|B|-2|A&B| with |A&B| at its bound."""
-    bound = -(-percent * (n + m) // (100 + percent))
-    return n + m - 2 * bound
+def most_different(total: int, percent: int) -> int:
+    """A bound of the shingles that linked sets hold apart, from the sum of their sizes: that less twice the least overlap."""
+    return (100 - percent) * total // (100 + percent)
 
 
 def _class_tops() -> list[int]:
@@ -86,14 +85,14 @@ def segment_keys(own: np.ndarray, percent: int) -> np.ndarray:
         largest = min(top, 100 * n // percent)  # of the partners in this class
         if c > first and largest < low:
             continue
-        parts = most_different(top, top, percent)
+        parts = most_different(2 * top, percent)
         parts += parts // 10 + 1
         at = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         sums = np.add.reduceat(mixed, begin)
         salt = np.uint64(c) << np.uint64(48)
         keys.append(tx.mix(sums ^ tx.mix(at[begin] + salt + np.uint64(1))))
-        apart = max(most_different(n, m, percent) for m in {largest, max(low, min(n, top))})
+        apart = most_different(n + largest, percent)
         if len(begin) <= apart:  # too few segments hold anything: the empty ones count, too
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[begin])
             keys.append(tx.mix(tx.mix(empty + salt + np.uint64(1)) ^ np.uint64(0xE3779B97)))

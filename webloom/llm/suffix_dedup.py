@@ -66,9 +66,10 @@ def ranks(data: np.ndarray, length: int) -> np.ndarray:
     padded = np.zeros(n + length + 8, np.uint64)
     padded[:n] = data
     packed = np.zeros(n + length, np.uint64)
-    for k in range(8):
+    known = min(8, length)
+    for k in range(known):
         packed = (packed << np.uint64(8)) | padded[k : k + n + length]
-    rank, known = np.unique(packed, return_inverse=True)[1].astype(np.int64), 8
+    rank = np.unique(packed, return_inverse=True)[1].astype(np.int64)
     while known < length:
         step = min(known, length - known)
         top = int(rank.max()) + 1
