@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written
 as Parquet and read again as the next stage's docs. All stages but the last return
-the columns of documents.
+the columns of documents. As a stage begins, the intermediate tables of those before
+it are deleted, so a stage's result must have been written by then.
 """
 
 from __future__ import annotations
@@ -13,33 +14,38 @@ from webloom.llm import decontamination, jaccard, mixing, quality, scratch, shar
 from webloom.session import ship
 
 
+def _begin(spark: SparkSession) -> None:
+    ship(spark)
+    scratch.sweep(keep="stage-")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    ship(spark)
+    _begin(spark)
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
-    ship(spark)
+    _begin(spark)
     return jaccard.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    ship(spark)
+    _begin(spark)
     return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken by the token budgets of their domain, language and source, some in two epochs."""
-    ship(spark)
+    _begin(spark)
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with the shard and the slot of each row."""
-    ship(spark)
+    _begin(spark)
     return sharding.shard_rows(docs)
 
 

@@ -55,15 +55,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def sweep() -> None:
-    """Delete the tables written so far. Call it only when no DataFrame over them is still needed."""
+def sweep(keep: str | None = None) -> None:
+    """Delete the tables written so far, but those whose label begins with ``keep``. Call it only when no DataFrame over them is still needed."""
+    kept = []
     while _written:
         spark, path = _written.pop()
+        if keep is not None and path.rsplit("/", 1)[-1].startswith(keep):
+            kept.append((spark, path))
+            continue
         try:
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
         except Exception:  # noqa: BLE001 - the session may have ended already
             return
+    _written.extend(reversed(kept))
 
 
 atexit.register(sweep)
