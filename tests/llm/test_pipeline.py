@@ -13,16 +13,20 @@ def test_stages(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(texts[1].split()[:20]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
-    stages = [f for _, f in corpus_pipeline.STAGES]
-    first = stages[0](spark, docs, str(tmp_path))
+
+    def run_stage(k, docs):
+        corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        return spark.read.parquet(str(tmp_path / f"stage{k}"))
+
+    first = run_stage(0, docs)
     assert first.columns == docs.columns and ids(first) == ids(quality.score(docs).where("kept"))
-    second = stages[1](spark, first, str(tmp_path))
+    second = run_stage(1, first)
     assert second.columns == docs.columns and ids(second) == ids(jaccard.join(first).where("doc_id = component_id"))
-    third = stages[2](spark, second, str(tmp_path))
+    third = run_stage(2, second)
     bad = decontamination.hits(second, spark.read.parquet(str(tmp_path / "benchmark.parquet"))).where("NOT contaminated")
     assert third.columns == docs.columns and ids(third) == ids(bad)
-    fourth = stages[3](spark, third, str(tmp_path))
+    fourth = run_stage(3, third)
     assert fourth.columns == docs.columns and ids(fourth) == ids(mixing.select(third))
-    last = stages[4](spark, fourth, str(tmp_path))
+    last = run_stage(4, fourth)
     assert ids(last) == ids(fourth) and last.groupBy("shard").agg((F.max("slot") - F.count("*") + 1).alias("gap")).where("gap <> 0").count() == 0
     assert ids(corpus_pipeline.run(spark, str(tmp_path))) == ids(last)
