@@ -462,7 +462,7 @@ def _tf(word: str) -> str:
 
 
 @query(f"""
-SELECT doc_id AS chunk_id, left(text, 500) AS excerpt, round({_tf('the')} * 0.4, 6) AS relevance FROM documents WHERE {_tf('the')} > 0
+SELECT doc_id AS chunk_id, left(text, 500) AS excerpt, round({_tf('the')} * CAST(0.4 AS DOUBLE), 6) AS relevance FROM documents WHERE {_tf('the')} > 0
 ORDER BY relevance DESC, chunk_id LIMIT 20""")
 def keyword_single_term(spark, sf_dir):
     chunks, documents = _chunk_tables(spark, sf_dir)
