@@ -45,7 +45,7 @@ class JaccardConfig:
     gram: int = 4
     percent: int = 85
     #: Shingles of all sets that meet in one task.
-    block_shingles: int = 1_000_000
+    block_shingles: int = 4_000_000
 
 
 def document_sets(block: tx.Block, gram: int) -> list[np.ndarray]:
@@ -352,9 +352,9 @@ def links_and_classes(documents: DataFrame, config: JaccardConfig) -> tuple[Data
     weight = sized.groupBy("component").agg(F.sum("n").alias("w"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("w") / config.block_shingles)).cast("int")
     placed = materialize(
-        sized.join(weight, "component").withColumn("parts", parts).withColumn("part", F.expr("pmod(xxhash64(doc_id), parts)").cast("int")).select("doc_id", "component", "parts", "part"), "jaccard-blocks"
+        sized.join(weight, "component").withColumn("parts", parts).withColumn("part", F.expr("pmod(xxhash64(doc_id), parts)").cast("int")).select("doc_id", "n", "component", "parts", "part"), "jaccard-blocks"
     )
-    members = named.where(_may_be_in(placed)).join(small(placed), "doc_id")
+    members = named.where(_may_be_in(placed)).join(small(placed.drop("n")), "doc_id")
     first = _work(members.select(F.concat_ws(":", "component", "part").alias("task"), F.lit(False).alias("guest"), "doc_id", "text"), config)
     links = first
     if placed.where("parts > 1").limit(1).count():
@@ -363,11 +363,12 @@ def links_and_classes(documents: DataFrame, config: JaccardConfig) -> tuple[Data
         so_far = materialize(so_far, "jaccard-so-far")
         counts = so_far.groupBy("component", "found").agg(F.count("*").alias("m"))
         main = counts.groupBy("component").agg(F.max(F.struct("m", "found")).alias("x")).select("component", F.col("x.found").alias("main"))
-        rest = so_far.join(main, "component").where("found <> main").select("doc_id", "component", "parts")
-        n_rest = rest.groupBy("component").agg(F.count("*").alias("n_rest"))
+        rest = so_far.join(main, "component").where("found <> main").select("doc_id", "n", "component", "parts")
+        blocks = F.greatest(F.lit(1), F.ceil(F.sum("n") / config.block_shingles)).cast("int")
+        n_rest = rest.groupBy("component").agg(blocks.alias("guest_blocks"))
         # guests in blocks of their own, each sent to every part
-        guests = rest.join(n_rest, "component").withColumn("g", F.expr("pmod(xxhash64(doc_id, 7), greatest(1, CAST(ceil(n_rest / 500) AS INT)))")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        hosts = large.join(n_rest, "component").withColumn("g", F.explode(F.expr("sequence(0, greatest(1, CAST(ceil(n_rest / 500) AS INT)) - 1)")))
+        guests = rest.join(n_rest, "component").withColumn("g", F.expr("pmod(xxhash64(doc_id, 7), guest_blocks)")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        hosts = large.join(n_rest, "component").withColumn("g", F.explode(F.expr("sequence(0, guest_blocks - 1)")))
         both = guests.select(F.concat_ws(":", "component", "to", "g").alias("task"), F.lit(True).alias("guest"), "doc_id").unionByName(
             hosts.select(F.concat_ws(":", "component", "part", "g").alias("task"), F.lit(False).alias("guest"), "doc_id")
         )
