@@ -210,7 +210,10 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", "h", 0), ("b", "h", 10), ("d", "i", 7)], "request_id string, host_port string, arrival_ms long").coalesce(1).write.parquet(source)
     stream = spark.readStream.schema("request_id string, host_port string, arrival_ms long").parquet(source)
     running = politeness.spaced_requests(stream).writeStream.format("memory").queryName("spaced").outputMode("append").trigger(availableNow=True).start()
-    assert running.awaitTermination(120)
+    try:
+        assert running.awaitTermination(120)
+    finally:
+        running.stop()
     assert {r.request_id: r.start_ms for r in spark.table("spaced").collect()} == {"a": 0, "b": 1000, "d": 7}
 
 

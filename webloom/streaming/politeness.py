@@ -15,13 +15,10 @@ RATE_LIMIT, RATE_WINDOW = 120, "60 seconds"
 def spaced_requests(requests: DataFrame, interval_ms: int = 1000) -> DataFrame:
     """When each request of a stream may start: state is one number for each host and port.
 
-    ``requests``: (request_id string, host_port string, arrival_ms long). A slot is kept until its time has passed.
+    ``requests``: (request_id string, host_port string, arrival_ms long).
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         free = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values(["arrival_ms", "request_id"])
         starts = []
@@ -30,11 +27,10 @@ def spaced_requests(requests: DataFrame, interval_ms: int = 1000) -> DataFrame:
             free = start + interval_ms
             starts.append(start)
         state.update((free,))
-        state.setTimeoutDuration(24 * 60 * 60 * 1000)
         yield rows.assign(host_port=key[0], start_ms=starts)[["request_id", "host_port", "arrival_ms", "start_ms"]]
 
     return requests.groupBy("host_port").applyInPandasWithState(
-        run, "request_id string, host_port string, arrival_ms long, start_ms long", "free_ms long", "append", "ProcessingTimeTimeout"
+        run, "request_id string, host_port string, arrival_ms long, start_ms long", "free_ms long", "append", "NoTimeout"
     )
 
 
