@@ -259,6 +259,21 @@ def test_attention_lm(spark, docs, rows):
     assert attention_lm.score_held_out(empty(spark), config).count() == 0
 
 
+def test_lm_windows_grow_with_the_texts():
+    config = attention_lm.LmConfig()
+    doc = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["some words " * 9000])], ["doc_id", "text"])
+    made = []
+    for n_texts in (200, 400, 800):
+        per_byte = attention_lm.windows_per_byte(n_texts * 99_000, n_texts, config)
+        made.append(per_byte * n_texts * (99_000 + config.window * 5))
+    assert made[1] - made[0] == pytest.approx(200 * 99_320 / config.window_bytes) and made[2] - made[1] == pytest.approx(400 * 99_320 / config.window_bytes)
+    assert made[0] > 12000 and config.rounds >= 4 and config.classes >= 256 and config.window - config.stride >= 16
+    vocabulary = attention_lm.Vocabulary.of(np.ones(attention_lm.vocabulary_size(config), np.int64), config)
+    flat = attention_lm.initial(vocabulary, config)
+    used = [next(attention_lm._train(iter([doc]), flat, vocabulary, config, x, 0)).column("w")[0].as_py() for x in (1e-4, 2e-4)]
+    assert abs(used[0] - 9.9) <= 1 and abs(used[1] - 19.9) <= 1
+
+
 def test_each_token_is_scored_once():
     config = attention_lm.LmConfig(window=8, stride=6)
     vocabulary = attention_lm.Vocabulary(np.arange(50), np.arange(50), np.zeros(50), np.zeros(50))
