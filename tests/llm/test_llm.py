@@ -412,6 +412,19 @@ def test_decontamination(spark, docs, rows, block):
     del rng
 
 
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_decontamination_repeated_ids(spark, block):
+    first, second = (" ".join(f"{c}{k}" for k in range(12)) for c in "pq")
+    texts = [f"x {first} y", "clean text", second, f"{first} {second}", "clean", None, first, first]
+    docs = table(spark, texts, [7, 7, 7, None, None, None, 8, 8])
+    benchmark = spark.createDataFrame([(1, first), (2, second)], "item_id long, text string")
+    got = decontamination.hits(docs, benchmark, decontamination.DecontaminationConfig(block_windows=block)).collect()
+    one, two, both, none = (decontamination.items_digest(x) for x in (["1"], ["2"], ["1", "2"], []))
+    expected = [(7, 14, 12, 1, one, True), (7, 2, 0, 0, none, False), (7, 12, 12, 1, two, True), (None, 24, 24, 2, both, True)]
+    expected += [(None, 1, 0, 0, none, False), (None, 0, 0, 0, none, False), (8, 12, 12, 1, one, True), (8, 12, 12, 1, one, True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+
+
 # licenses
 
 

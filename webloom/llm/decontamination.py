@@ -216,11 +216,11 @@ def _found(documents: DataFrame, benchmark: DataFrame, config: DecontaminationCo
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``documents``; rows of one doc_id are counted as one text each."""
-    numbered = documents.select(F.col("doc_id").alias("row_id"), "text")
-    found = _found(numbered, benchmark, config)
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``documents``; rows that share a doc_id are judged apart."""
+    numbered = materialize(documents.select("doc_id", "text").withColumn("row_id", F.monotonically_increasing_id()), "decontamination")
+    found = _found(numbered.select("row_id", "text"), benchmark, config).join(numbered.select("row_id", "doc_id"), "row_id")
     return found.select(
-        F.col("row_id").alias("doc_id"),
+        "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
