@@ -43,3 +43,21 @@ def test_query(spark, duck, name):
     assert sorted(names) == sorted(got.columns)
     order = [names.index(c) for c in sorted(names)]
     assert rows == sorted(repr([plain(r[i]) for i in order]) for r in result.fetchall())
+
+
+def test_redirects_of_every_page(spark, tmp_path):
+    rows = [(k, f"https://example.com/{k // 2 if k % 5 == 0 else k}", "") for k in range(1, 60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    first = {}
+    for k, url, _ in rows:
+        first.setdefault(url, k)
+    chain = sorted(first, key=first.get)
+    goes = {a: b for a, b in zip(chain, chain[1:]) if first[a] % 9}
+    expected = set()
+    for _, url, _ in rows:
+        at, n = url, 0
+        while n < 5 and at in goes:
+            at, n = goes[at], n + 1
+        expected.add((url, at, n))
+    got = [tuple(r) for r in catalog.queries()["redirect_targets_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(expected) and {r[0] for r in got} == {url for _, url, _ in rows}

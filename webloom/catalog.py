@@ -431,13 +431,24 @@ e AS (SELECT from_url, to_url FROM r WHERE page_id % 9 <> 0 AND to_url IS NOT NU
 w AS (SELECT url AS request_url, url AS final_url, 0 AS n_hops FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT request_url, to_url, n_hops + 1 FROM w JOIN e ON final_url = from_url WHERE n_hops < 5)
 SELECT request_url, arg_max(final_url, n_hops) AS final_url, max(n_hops)::INT AS n_hops FROM w GROUP BY request_url""")
 def redirect_targets(spark, sf_dir):
-    from pyspark.sql.window import Window
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return _redirected(pages.where("page_id % 2 = 0"), pages)
 
+
+@query()
+def redirect_targets_all(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return _redirected(pages, pages)
+
+
+def _redirected(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """Where requests end if each URL of ``pages`` but every ninth redirects to the next by page_id."""
+    from pyspark.sql.window import Window
+
     first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
     chained = first.withColumn("to_url", F.lead("url").over(Window.partitionBy(F.lit(1)).orderBy("page_id")))  # test data: one chain of all URLs
     edges = chained.where("page_id % 9 <> 0 AND to_url IS NOT NULL").select(F.col("url").alias("from_url"), "to_url")
-    found = crawl.follow_redirects(pages.where("page_id % 2 = 0"), edges)
+    found = crawl.follow_redirects(requests, edges)
     return found.select("request_url", "final_url", "n_hops").distinct()
 
 
