@@ -336,6 +336,19 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.keep_first(odd).count() == 2 and jaccard.keep_first(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("block", [1_000_000, 100])
+def test_jaccard_repeated_ids(spark, block):
+    texts, ids = [], []
+    for k in range(8):  # rows of one doc_id with different texts, each with a near copy of a larger doc_id
+        for c in range(3):
+            own = [f"{c}w{k}-{i}" for i in range(60)]
+            texts += [" ".join(own), " ".join([*own, "tail"])]
+            ids += [k, 100 + 10 * k + c]
+    for order in (1, -1):
+        got = jaccard.join(table(spark, texts[::order], ids[::order]), jaccard.JaccardConfig(block_shingles=block)).collect()
+        assert len(got) == 48 and all(r.component_id == (r.doc_id if r.doc_id < 100 else (r.doc_id - 100) // 10) for r in got)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)]

@@ -282,12 +282,15 @@ def product_links(sets: list[np.ndarray], percent: int, guests: int = 0) -> list
 
 
 def _product(batches: Iterator[pa.RecordBatch], config: JaccardConfig) -> Iterator[pa.RecordBatch]:
-    """Links within each run of rows of one task; rows are (task, guest, doc_id, text), sorted by task and guests first."""
+    """Links within each run of rows of one task; rows are (task, guest, class, s1, s2, text), sorted by task and guests first.
+
+    A row counts if its text has the class's signature: rows of other texts may share the doc_id that names a class.
+    """
 
     def solve(held: list[tuple[bool, int, np.ndarray]]) -> list[tuple[int, int]]:
         one = {}
         for guest, doc, own in held:
-            if len(own) and (doc not in one or guest):
+            if doc not in one or guest:
                 one[doc] = (guest, own)
         docs = sorted(one, key=lambda d: (not one[d][0], len(one[d][1]), d))
         if len(docs) < 2:
@@ -298,13 +301,15 @@ def _product(batches: Iterator[pa.RecordBatch], config: JaccardConfig) -> Iterat
     held, task, out = [], None, []
     for batch in batches:
         tasks, guest, docs = (batch.column(i).to_pylist() for i in range(3))
-        for block in tx.blocks(batch.column(3)):
+        s1, s2 = (batch.column(i).to_numpy().view(np.uint64) for i in (3, 4))
+        for block in tx.blocks(batch.column(5)):
             for k, own in enumerate(document_sets(block, config.gram)):
                 i = block.first + k
                 if tasks[i] != task:
                     out += solve(held)
                     held, task = [], tasks[i]
-                held.append((guest[i], docs[i], own))
+                if len(own) and _signature(own) == (s1[i], s2[i]):
+                    held.append((guest[i], docs[i], own))
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
                 out = []
@@ -313,8 +318,8 @@ def _product(batches: Iterator[pa.RecordBatch], config: JaccardConfig) -> Iterat
 
 
 def _work(tasks: DataFrame, config: JaccardConfig) -> DataFrame:
-    """``tasks``: (task string, guest boolean, doc_id, text)."""
-    dealt = tasks.select("task", "guest", "doc_id", "text").repartition("task").sortWithinPartitions("task", F.col("guest").desc())
+    """``tasks``: (task string, guest boolean, class, s1, s2, text)."""
+    dealt = tasks.select("task", "guest", "class", "s1", "s2", "text").repartition("task").sortWithinPartitions("task", F.col("guest").desc())
     return materialize(dealt.mapInArrow(lambda it: _product(it, config), "a long, b long"), "jaccard-links", free=True)
 
 
@@ -338,53 +343,61 @@ def _may_be_in(ids: DataFrame):
 
 
 def links_and_classes(documents: DataFrame, config: JaccardConfig) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that connect documents as all links of the join do, and (doc_id, n, rep) of every row."""
+    """Links (a, b) that connect classes as all links of the join do, the classes (class, n, s1, s2, rep), and (doc_id, n, class) of every row.
+
+    A class is known by a number; rep is its smallest doc_id, which it may share with other classes.
+    """
     named = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
     signed = materialize(named.mapInArrow(lambda it: _sign(it, config), "doc_id long, n long, s1 long, s2 long"), "jaccard-signed")
-    classes = materialize(signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    classes = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")).withColumn("class", F.monotonically_increasing_id())
+    classes = materialize(classes, "jaccard-classes")
     # candidate groups have the first sum as their nodes: sets that share it by chance only meet in one more task
     keyed = named.select("text").mapInArrow(lambda it: _segments(it, config), "key long, a long, b long")
     dealt = keyed.repartition(F.coalesce("key", F.xxhash64("a"))).sortWithinPartitions("key")
     star = materialize(dealt.mapInArrow(_link_equal_keys, "a long, b long").distinct(), "jaccard-stars", free=True)
     groups = components(star)
-    reps = classes.select("s1", F.col("rep").alias("doc_id"), "n")
-    sized = materialize(reps.join(groups, reps.s1 == groups.node).groupBy("doc_id", "component").agg(F.max("n").alias("n")), "jaccard-groups")
+    reps = classes.withColumnRenamed("rep", "doc_id")
+    sized = materialize(reps.join(groups, reps.s1 == groups.node).select("class", "doc_id", "s1", "s2", "n", "component"), "jaccard-groups")
     weight = sized.groupBy("component").agg(F.sum("n").alias("w"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("w") / config.block_shingles)).cast("int")
     placed = materialize(
-        sized.join(weight, "component").withColumn("parts", parts).withColumn("part", F.expr("pmod(xxhash64(doc_id), parts)").cast("int")).select("doc_id", "n", "component", "parts", "part"), "jaccard-blocks"
+        sized.join(weight, "component").withColumn("parts", parts).withColumn("part", F.expr("pmod(xxhash64(class), parts)").cast("int")).select("class", "doc_id", "s1", "s2", "n", "component", "parts", "part"), "jaccard-blocks"
     )
     members = named.where(_may_be_in(placed)).join(small(placed.drop("n")), "doc_id")
-    first = _work(members.select(F.concat_ws(":", "component", "part").alias("task"), F.lit(False).alias("guest"), "doc_id", "text"), config)
+    first = _work(members.select(F.concat_ws(":", "component", "part").alias("task"), F.lit(False).alias("guest"), "class", "s1", "s2", "text"), config)
     links = first
     if placed.where("parts > 1").limit(1).count():
         large = placed.where("parts > 1")
-        so_far = large.join(components(first).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "found"), "doc_id", "left").withColumn("found", F.coalesce("found", "doc_id"))
+        so_far = large.join(components(first).withColumnRenamed("node", "class").withColumnRenamed("component", "found"), "class", "left").withColumn("found", F.coalesce("found", "class"))
         so_far = materialize(so_far, "jaccard-so-far")
         counts = so_far.groupBy("component", "found").agg(F.count("*").alias("m"))
         main = counts.groupBy("component").agg(F.max(F.struct("m", "found")).alias("x")).select("component", F.col("x.found").alias("main"))
-        rest = so_far.join(main, "component").where("found <> main").select("doc_id", "n", "component", "parts")
+        rest = so_far.join(main, "component").where("found <> main").select("class", "doc_id", "s1", "s2", "n", "component", "parts")
         blocks = F.greatest(F.lit(1), F.ceil(F.sum("n") / config.block_shingles)).cast("int")
         n_rest = rest.groupBy("component").agg(blocks.alias("guest_blocks"))
         # guests in blocks of their own, each sent to every part
-        guests = rest.join(n_rest, "component").withColumn("g", F.expr("pmod(xxhash64(doc_id, 7), guest_blocks)")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        guests = rest.join(n_rest, "component").withColumn("g", F.expr("pmod(xxhash64(class, 7), guest_blocks)")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         hosts = large.join(n_rest, "component").withColumn("g", F.explode(F.expr("sequence(0, guest_blocks - 1)")))
-        both = guests.select(F.concat_ws(":", "component", "to", "g").alias("task"), F.lit(True).alias("guest"), "doc_id").unionByName(
-            hosts.select(F.concat_ws(":", "component", "part", "g").alias("task"), F.lit(False).alias("guest"), "doc_id")
+        both = guests.select(F.concat_ws(":", "component", "to", "g").alias("task"), F.lit(True).alias("guest"), "class", "doc_id", "s1", "s2").unionByName(
+            hosts.select(F.concat_ws(":", "component", "part", "g").alias("task"), F.lit(False).alias("guest"), "class", "doc_id", "s1", "s2")
         )
         links = links.unionByName(_work(named.where(_may_be_in(large)).join(small(materialize(both, "jaccard-second")), "doc_id"), config))
         # guests of different blocks meet as hosts of their own parts
-    membership = signed.where("n > 0").select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"])
-    repeated = membership.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return links.unionByName(repeated), signed.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep")
+    rows = signed.join(classes.select("n", "s1", "s2", "class"), ["n", "s1", "s2"], "left").select("doc_id", "n", "class")
+    least = rows.where("n > 0").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("doc_id", "a")
+    repeated = rows.join(least, "doc_id").where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    return links.unionByName(repeated), classes, rows
 
 
 def join(documents: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links, rows = links_and_classes(slim, config)
-    found = components(links).withColumnRenamed("node", "rep")
-    named = rows.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    links, classes, rows = links_and_classes(slim, config)
+    found = classes.select("class", "rep").join(components(links).withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    found = materialize(found, "jaccard-found")
+    named_by = found.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = found.join(named_by, "component").select("class", "component_id")
+    named = rows.join(found, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     unnamed = slim.where("doc_id IS NULL").mapInArrow(lambda it: _sign(it, config), "doc_id long, n long, s1 long, s2 long")
     return named.unionByName(unnamed.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
