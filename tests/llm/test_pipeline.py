@@ -30,3 +30,11 @@ def test_stages(spark, tmp_path):
     last = run_stage(4, fourth)
     assert ids(last) == ids(fourth) and last.groupBy("shard").agg((F.max("slot") - F.count("*") + 1).alias("gap")).where("gap <> 0").count() == 0
     assert ids(corpus_pipeline.run(spark, str(tmp_path))) == ids(last)
+
+
+def test_near_duplicates_of_five_words(spark, tmp_path):
+    words = [f"w{k}" for k in range(470)]
+    edited = [f"new{k}" if k % 47 == 20 else w for k, w in enumerate(words)]  # five-word similarity 416 of 516, four-word 427 of 507
+    rows = [(1, " ".join(words), "en", "s", 0), (2, " ".join(edited), "en", "s", 0), (3, " ".join(f"x{w}" for w in words), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]
