@@ -139,7 +139,7 @@ def plain_repeats(rows):
     return found
 
 
-@pytest.mark.parametrize("config", [suffix_dedup.SuffixConfig(), suffix_dedup.SuffixConfig(hot_runs=2, array_bytes=500)])
+@pytest.mark.parametrize("config", [suffix_dedup.SuffixConfig(), suffix_dedup.SuffixConfig(hot_runs=2, array_bytes=500, chunk_runs=300, block_bytes=5000)])
 def test_suffix_dedup(spark, docs, rows, config):
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(docs, config).collect()}
     assert got == plain_repeats(rows)
@@ -148,16 +148,43 @@ def test_suffix_dedup(spark, docs, rows, config):
 def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.dedup(empty(spark)).count() == 0
     odd = table(spark, ["y" * 150, "y" * 150, None], [None, 5, 5])
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(odd).collect() if r.doc_id is not None) == [(5, 0, 0), (5, 150, 150)]
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(odd).collect()) == [(-1, 150, 149), (5, 0, 0), (5, 150, 150)]
 
 
-def test_previous_factor():
-    rng = np.random.default_rng(2)
-    data = rng.integers(97, 99, 400).astype(np.uint8)
-    starts = np.arange(0, 400 - 7)
-    raw = data.tobytes()
-    expected = [raw.find(raw[s : s + 7]) < s for s in starts]
-    assert suffix_dedup.previous_factor(data, starts, 7).tolist() == expected
+@pytest.mark.parametrize("order", [1, -1])
+def test_suffix_dedup_repeated_ids(spark, order):
+    rng = random.Random(12)
+    own = ["".join(rng.choice("abcdefgh") for _ in range(350)) for _ in range(3)]
+    texts, ids = [own[0], own[0], own[1], own[2], own[2], own[2] + own[1]], [1, 5, 5, None, None, None]
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(table(spark, texts[::order], ids[::order])).collect())
+    # of the rows without an id either the joined text or its second half comes first, by a hash of the texts
+    lost = sorted(x for x in got if x[0] == -1)
+    assert lost in ([(-1, 350, 0), (-1, 350, 350), (-1, 700, 350)], [(-1, 350, 350), (-1, 350, 350), (-1, 700, 0)])
+    assert [x for x in got if x[0] != -1] == [(1, 350, 0), (5, 350, 350), (5, 350, 350)]
+
+
+def plain_factors(raw, starts, length):
+    found = []
+    for k, s in enumerate(starts):
+        best = 0
+        for r in starts[:k]:
+            n = 0
+            while n < length and s + n < len(raw) and r + n < len(raw) and raw[s + n] == raw[r + n]:
+                n += 1
+            best = max(best, n)
+        found.append(best)
+    return found
+
+
+@pytest.mark.parametrize("length", [3, 7, 20, 100])
+def test_longest_previous_factors(length):
+    rng = np.random.default_rng(length)
+    for letters in (1, 2, 4):
+        data = rng.integers(97, 97 + letters, 300).astype(np.uint8)
+        data[150:260] = data[20:130]
+        starts = np.arange(0, 300 - length)
+        starts = starts[rng.random(len(starts)) < 0.8]
+        assert suffix_dedup.longest_previous_factors(data, starts, length).tolist() == plain_factors(data.tobytes(), starts.tolist(), length)
 
 
 # mixing

@@ -83,21 +83,6 @@ def _signature(own: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Numbers byte by byte, all highest bytes last: sorted ones compress well so."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-
-
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def column_block(grams: np.ndarray, n_blocks: int) -> np.ndarray:
-    """The block of columns of each shingle: equal ranges of hashes."""
-    return ((grams >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
-
-
 def _rows(names: str, columns: list, kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names.split())
 
@@ -123,7 +108,7 @@ def _survey(batches: Iterator[pa.RecordBatch], config: JaccardConfig, n_blocks:
         sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         ref = np.repeat(np.arange(len(sets)), sizes)
-        key = (column_block(flat, n_blocks) << np.uint64(32)) | (flat & np.uint64(0xFFFFFFFF))
+        key = (tx.column_block(flat, n_blocks) << np.uint64(32)) | (flat & np.uint64(0xFFFFFFFF))
         order = np.argsort(key)
         key, ref = key[order], ref[order]
         same = np.concatenate([[False], key[1:] == key[:-1]]) if len(key) else np.zeros(0, bool)
@@ -141,9 +126,9 @@ def _survey(batches: Iterator[pa.RecordBatch], config: JaccardConfig, n_blocks:
             _SURVEY_NAMES,
             [
                 [name] * len(used), *[nothing] * 6, used,
-                [pack(alone[a[x] : a[x + 1]].astype(np.uint32)) for x in used],
-                [pack(alone_ref[a[x] : a[x + 1]]) for x in used],
-                [pack(shared[b[x] : b[x + 1]].astype(np.uint32)) for x in used],
+                [tx.pack(alone[a[x] : a[x + 1]].astype(np.uint32)) for x in used],
+                [tx.pack(alone_ref[a[x] : a[x + 1]]) for x in used],
+                [tx.pack(shared[b[x] : b[x + 1]].astype(np.uint32)) for x in used],
             ],
             _SURVEY_KINDS,
         )
@@ -170,32 +155,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, chunk, codes, refs, others) sorted by block: for each the refs, repeated, whose code others of the block have."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        codes = [unpack(x[1], np.uint32) for x in held]
+        codes = [tx.unpack(x[1], np.uint32) for x in held]
         own = np.concatenate(codes)
-        every = np.sort(np.concatenate([own, *[unpack(x[3], np.uint32) for x in held]]))
+        every = np.sort(np.concatenate([own, *[tx.unpack(x[3], np.uint32) for x in held]]))
         again = np.unique(every[1:][every[1:] == every[:-1]])
         # a code that several sets of one chunk have is shared as soon as another chunk has it at all, and comes twice then
         at = np.searchsorted(again, own)
         hit = again[np.minimum(at, len(again) - 1)] == own if len(again) else np.zeros(len(own), bool)
         edge = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
-        found = [unpack(x[2], np.uint16)[hit[edge[i] : edge[i + 1]]] for i, x in enumerate(held)]
-        return _rows("chunk refs", [[x[0] for x in held], [pack(np.sort(f)) for f in found]], [pa.int64(), pa.binary()])
+        found = [tx.unpack(x[2], np.uint16)[hit[edge[i] : edge[i + 1]]] for i, x in enumerate(held)]
+        return _rows("chunk refs", [[x[0] for x in held], [tx.pack(np.sort(f)) for f in found]], [pa.int64(), pa.binary()])
 
-    yield from _by_first(batches, solve)
-
-
-def _by_first(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
-    """``solve`` on the other columns of each run of rows with an equal first column."""
-    held, last = [], None
-    for batch in batches:
-        for key, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if key != last and held:
-                yield solve(held)
-                held = []
-            held.append(tuple(rest))
-            last = key
-    if held:
-        yield solve(held)
+    yield from tx.by_first(batches, solve)
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +183,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if last is not None:
                     yield rows()
                 last, total = chunk, np.zeros(65_536, np.int64)
-            total += np.bincount(unpack(refs, np.uint16), minlength=65_536)
+            total += np.bincount(tx.unpack(refs, np.uint16), minlength=65_536)
     if last is not None:
         yield rows()
 
@@ -243,13 +214,13 @@ def _members(batches: Iterator[pa.RecordBatch], config: JaccardConfig, n_blocks:
     def chunk() -> Iterator[pa.RecordBatch]:
         name = (task << 32) | n_chunks
         nothing = [None] * len(sets)
-        yield _rows(_MEMBER_NAMES, [[name] * len(sets), nothing, list(sets), [len(s) for s in sets.values()], [pack(s) for s in sets.values()], nothing], _MEMBER_KINDS)
+        yield _rows(_MEMBER_NAMES, [[name] * len(sets), nothing, list(sets), [len(s) for s in sets.values()], [tx.pack(s) for s in sets.values()], nothing], _MEMBER_KINDS)
         grams, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-        block = column_block(grams, n_blocks)
+        block = tx.column_block(grams, n_blocks)
         begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         spans = list(zip(begin, [*begin[1:], len(grams)], strict=True))
         nothing = [None] * len(spans)
-        packed = [[pack(grams[a:b]) for a, b in spans], [pack(counts[a:b].astype(np.uint32)) for a, b in spans]]
+        packed = [[tx.pack(grams[a:b]) for a, b in spans], [tx.pack(counts[a:b].astype(np.uint32)) for a, b in spans]]
         yield _rows(_MEMBER_NAMES, [[name] * len(spans), block[begin].astype(np.int64), nothing, nothing, *packed], _MEMBER_KINDS)
 
     for batch in batches:
@@ -271,15 +242,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, chunk, block, grams, counts) sorted by block: the counts of the same shingles among all chunks."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        grams = [unpack(x[2], np.uint64) for x in held]
+        grams = [tx.unpack(x[2], np.uint64) for x in held]
         _, back = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate([unpack(x[3], np.uint32) for x in held]))[back]
+        total = np.bincount(back, weights=np.concatenate([tx.unpack(x[3], np.uint32) for x in held]))[back]
         total = np.minimum(total, 2**32 - 1).astype(np.uint32)
         edge = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-        packed = [pack(total[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        packed = [tx.pack(total[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
         return _rows("chunk block counts", [[x[0] for x in held], [x[1] for x in held], packed], [pa.int64(), pa.int64(), pa.binary()])
 
-    yield from _by_first(batches, solve)
+    yield from tx.by_first(batches, solve)
 
 
 def _order(batches: Iterator[pa.RecordBatch], config: JaccardConfig) -> Iterator[pa.RecordBatch]:
@@ -287,8 +258,8 @@ def _order(batches: Iterator[pa.RecordBatch], config: JaccardConfig) -> Iterator
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         members = [x for x in held if x[0] is None]
-        counts = np.concatenate([unpack(x[4], np.uint32) for x in held if x[0] is not None])
-        sets = [unpack(x[3], np.uint64) for x in members]
+        counts = np.concatenate([tx.unpack(x[4], np.uint32) for x in held if x[0] is not None])
+        sets = [tx.unpack(x[3], np.uint64) for x in members]
         sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
         count = counts[np.unique(flat, return_inverse=True)[1]]
@@ -301,7 +272,7 @@ def _order(batches: Iterator[pa.RecordBatch], config: JaccardConfig) -> Iterator
         packed = [flat[pick[edge[i] : edge[i + 1]]].tobytes() for i in kept]
         return _rows("class n grams", [[members[i][1] for i in kept], sizes[kept], packed], [pa.int64(), pa.int64(), pa.binary()])
 
-    yield from _by_first(batches, solve)
+    yield from tx.by_first(batches, solve)
 
 
 def size_band(n: np.ndarray | int, percent: int) -> np.ndarray:
@@ -495,7 +466,7 @@ def _product(batches: Iterator[pa.RecordBatch], config: JaccardConfig) -> Iterat
             links = product_links(sets, sizes, config.percent, guest if guest.any() else None)
         return _rows("a b", [[held[i][1] for i, _ in links], [held[j][1] for _, j in links]], [pa.int64(), pa.int64()])
 
-    yield from _by_first(batches, solve)
+    yield from tx.by_first(batches, solve)
 
 
 def _work(tasks: DataFrame, ordered: DataFrame, config: JaccardConfig) -> DataFrame:
@@ -504,25 +475,6 @@ def _work(tasks: DataFrame, ordered: DataFrame, config: JaccardConfig) -> DataFr
     return materialize(_dealt(rows, "task").mapInArrow(lambda it: _product(it, config), "a long, b long"), "jaccard-links")
 
 
-#: Words of 64 bits in the filter of candidate ids: 8 MB, whatever the number of documents.
-_FILTER_WORDS = 1 << 20
-
-
-def _may_be_in(ids: DataFrame):
-    """A test of doc_ids that passes all of ``ids`` and some others (a Bloom filter of one hash and bounded size), so that texts of other documents need not be shuffled."""
-    place = F.xxhash64("doc_id").bitwiseAND(F.lit(64 * _FILTER_WORDS - 1))
-    words = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(doc_id) & 63 AS INT))")).alias("bits")).toArrow()
-    bitmap = np.zeros(_FILTER_WORDS, np.int64)
-    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-
-    @F.arrow_udf("boolean")
-    def test(at: pa.Array) -> pa.Array:
-        place = at.to_numpy()
-        return pa.array((bitmap[place >> 6] >> (place & 63)) & 1 == 1)
-
-    return test(place)
-
-
 def _signed_and_candidates(named: DataFrame, config: JaccardConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n, s1, s2) of every row; the classes (class, n, s1, s2, rep); and those of them with enough shared shingles to link."""
     n_blocks = _n_blocks(named, config)
@@ -542,7 +494,7 @@ def _signed_and_candidates(named: DataFrame, config: JaccardConfig) -> tuple[Dat
 def _ordered(named: DataFrame, candidates: DataFrame, config: JaccardConfig) -> DataFrame:
     """(class, n, grams): the sets that can have a link, with their shared shingles by rarity."""
     n_blocks = max(1, -(-(candidates.agg(F.sum("n")).first()[0] or 0) // config.chunk_shingles))
-    texts = named.where(_may_be_in(candidates)).join(small(candidates.drop("n")), "doc_id").select("class", "s1", "s2", "text")
+    texts = named.where(tx.may_be_in(candidates, "doc_id")).join(small(candidates.drop("n")), "doc_id").select("class", "s1", "s2", "text")
     members = materialize(texts.mapInArrow(lambda it: _members(it, config, n_blocks), _MEMBERS), "jaccard-members")
     asked = members.where("block IS NOT NULL").select("block", "chunk", F.col("block").alias("own"), "grams", "counts")
     counts = _dealt(asked, "block").mapInArrow(_counts, "chunk long, block long, counts binary")

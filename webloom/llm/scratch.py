@@ -7,8 +7,10 @@ reads it twice pays for its input once.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder where it is unset (local runs and tests)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder where it is unset and driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="webloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -32,17 +36,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, free: bool = False) -> DataFrame:
-    """Write ``df`` once and return a DataFrame over what was written.
-
-    With ``free`` the driver collects its garbage then: shuffle files of finished
-    steps are deleted when nothing refers to them, which else is noticed late.
-    """
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once and return a DataFrame over what was written."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    if free:
-        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,20 +53,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def sweep(keep: str | None = None) -> None:
-    """Delete the tables written so far, but those whose label begins with ``keep``. Call it only when no DataFrame over them is still needed."""
-    kept = []
-    while _written:
-        spark, path = _written.pop()
-        if keep is not None and path.rsplit("/", 1)[-1].startswith(keep):
-            kept.append((spark, path))
-            continue
-        try:
+def written() -> list[str]:
+    """The tables written and not yet deleted, in order."""
+    return [path for _, path in _written]
+
+
+def sweep(paths: Iterable[str] | None = None) -> None:
+    """Delete the given tables, or all written so far. Call it only when no DataFrame over them is still needed."""
+    chosen = None if paths is None else set(paths)
+    going = [x for x in _written if chosen is None or x[1] in chosen]
+    _written[:] = [x for x in _written if x not in going]
+    for spark, path in going:
+        with contextlib.suppress(Exception):  # the session may have ended already; the others go all the same
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001 - the session may have ended already
-            return
-    _written.extend(reversed(kept))
 
 
 atexit.register(sweep)

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; a longer text makes a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -151,3 +153,54 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+# packed numbers, rows by key, and a filter of keys
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all highest bytes last: sorted ones compress well so."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def column_block(grams: np.ndarray, n_blocks: int) -> np.ndarray:
+    """The block of columns of each shingle: equal ranges of hashes."""
+    return ((grams >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
+
+
+def by_first(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
+    """``solve`` on the other columns of each run of rows with an equal first column."""
+    held, last = [], None
+    for batch in batches:
+        for key, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if key != last and held:
+                yield solve(held)
+                held = []
+            held.append(tuple(rest))
+            last = key
+    if held:
+        yield solve(held)
+
+
+#: Words of 64 bits in the filter of keys: 8 MB, whatever their number.
+_FILTER_WORDS = 1 << 20
+
+
+def may_be_in(keys: DataFrame, key: str):
+    """A test of the column ``key`` that passes all of ``keys`` and some others (a Bloom filter of one hash and bounded size), so that texts of other rows need not be shuffled."""
+    place = F.xxhash64(key).bitwiseAND(F.lit(64 * _FILTER_WORDS - 1))
+    words = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(xxhash64({key}) & 63 AS INT))")).alias("bits")).toArrow()
+    bitmap = np.zeros(_FILTER_WORDS, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+
+    @F.arrow_udf("boolean")
+    def test(at: pa.Array) -> pa.Array:
+        place = at.to_numpy()
+        return pa.array((bitmap[place >> 6] >> (place & 63)) & 1 == 1)
+
+    return test(place)
