@@ -6,6 +6,8 @@ import io
 import math
 import random
 import re
+import subprocess
+import time
 import zlib
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from webloom.llm import attention_lm, decontamination, graph, jaccard, licenses, mixing, pii, quality, sharding, suffix_dedup, text, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, kept string, shard int"
+KEYED = pii.PiiConfig(b"k")
 VISIBLE, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -237,9 +240,48 @@ def test_pii_round_trip_and_checks(spark):
     assert [k for k, _, _ in found] == ["card", "phone", "email", "date", "ip", "ssn"] and "4111111111111112" in new
     assert pii.luhn(re.sub(r"\D", "", found[0][2])) and len(new) >= len(value) - 12
     assert pii.pseudonymise(new, b"k", forward=False)[0] == value
-    got = pii.replace(table(spark, [value, None, "", "x " + value])).orderBy("doc_id").collect()
+    got = pii.replace(table(spark, [value, None, "", "x " + value]), KEYED).orderBy("doc_id").collect()
     assert got[1].text is None and got[1].n_found == 0 and got[2].text == "" and got[0].pseudonyms == got[3].pseudonyms
-    assert pii.replace(empty(spark)).count() == 0
+    assert pii.replace(empty(spark), KEYED).count() == 0
+
+
+def plain_finds(value):
+    """Finds by trying every stretch of a text against every rule, one rule after another."""
+    taken = []
+    for kind, pattern, make in pii._PATTERNS:
+        at = 0
+        while at < len(value):
+            ends = [b for b in range(at + 1, len(value) + 1) if pattern.fullmatch(value, at, b) and pattern.match(value, at) and pattern.match(value, at).end() == b]
+            if ends:
+                if not any(at < b and a < ends[0] for a, b, *_ in taken) and (new := make(value[at : ends[0]], b"k", True)) is not None:
+                    taken.append((at, ends[0], kind, value[at : ends[0]], new))
+                at = ends[0]
+            else:
+                at += 1
+    return sorted(taken)
+
+
+def test_pii_against_every_stretch():
+    rng = random.Random(9)
+    good = ["4111 1111 1111 1111", "5500000000000004", "+1 (415) 555-0142", "(415) 555-0142", "jo@ex.org", "2024-02-29", "31.12.1999", "10.0.0.255", "123-45-6789", "GB82 WEST 1234 5698 7654 32", "d41d8cd98f00b204e9800998ecf8427e"]
+    bad = ["4111 1111 1111 1112", "2023-02-30", "300.1.1.1", "000-12-3456", "GB82 WEST 1234 5698 7654 33", "+1 23", "jo@", "12345678901234567890", "1.2.3.4.5"]
+    for _ in range(40):
+        value = rng.choice([" ", ", ", " x", "/"]).join(rng.choice(good + bad + ["word"]) for _ in range(6))
+        new, found = pii.pseudonymise(value, b"k")
+        expected = plain_finds(value) if pii._HINT.search(value) else []
+        assert found == [x[2:] for x in expected]
+        assert pii.pseudonymise(new, b"k", forward=False)[0] == value or any(k == "date" for k, _, _ in found)
+
+
+def test_pii_time_grows_with_the_finds():
+    seconds = []
+    for n in (2000, 8000):
+        value = " ".join(f"user{i}@mail.example.com" for i in range(n))
+        pii.pseudonym.cache_clear()
+        began = time.process_time()
+        assert len(pii.pseudonymise(value, b"k")[1]) == n
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 9 * seconds[0]
 
 
 def test_feistel_is_a_permutation():
@@ -486,11 +528,27 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_files_are_plain_gzip(spark, tmp_path):
+    pages = [(i, "http://e/x", p) for i, p in enumerate(["text " * 300, "text " * 300, None, "short", "é" * 9_000_000])]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w", "2021-02-03T04:05:06Z")
+    [file] = (tmp_path / "w").glob("*.warc.gz")
+    run = subprocess.run(["gzip", "-dc", file], capture_output=True, check=True)
+    assert run.stderr == b"" and run.stdout.count(b"WARC/1.1\r\n") == 6 and run.stdout.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+    assert run.stdout.count(b"WARC-Date: 2021-02-03T04:05:06Z") == 6 and ("é" * 9_000_000).encode() in run.stdout
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.read(spark, f"file://{tmp_path}/w", 1000).collect()) == [(0, 1500, 1), (1, 1500, None), (2, 0, None), (3, 5, None), (4, 18_000_000, None)]
+
+
+def test_warc_null_and_repeated_keys(spark):
+    rows = [(None, "u", "p" * 2000), (7, "u", "p" * 2000), (7, "u", "p" * 2000), (None, "u", "q"), (7, "u", None)]
+    got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(-1, 1, "response", None), (-1, 2000, "revisit", 7), (7, 0, "response", None), (7, 2000, "response", None), (7, 2000, "response", None)]
+
+
 @pytest.mark.parametrize("size", [97, 1000, 4096, 10**7])
 def test_warc_ranges_own_each_record_once(size):
     rng = random.Random(size)
     payloads = [bytes(rng.randrange(256) for _ in range(rng.randrange(2500))) + warc.MAGIC for _ in range(40)]
-    data = b"\x00".join(warc._gzip(warc.record(i, "u", p, hashlib.sha1(p).hexdigest(), len(p), None)) for i, p in enumerate(payloads)) + b"\x00"
+    data = b"".join(warc.member(warc.record(i, "u", p, hashlib.sha1(p).hexdigest(), len(p), None, "2020-01-01T00:00:00Z")) for i, p in enumerate(payloads))
     file = pa.PythonFile(io.BytesIO(data), mode="r")
     found = [warc.parse(r)["page_id"] for a in range(0, len(data), size) for r in warc.records_from(file, len(data), a, min(len(data), a + size))]
     assert found == list(range(40))
@@ -569,3 +627,48 @@ def test_words_and_hashes(rows):
                     for a, b in zip(own, got):
                         assert hashes.setdefault(a, b) == b
             assert len(set(hashes.values())) == len(hashes)
+
+
+def plain_license_labels(value):
+    """Base figures by counting, and the labels of templates that stand in the text word for word."""
+    w = ALNUM.findall(lower(value))
+    places = sorted((i, label) for label, phrase in licenses.BASE_PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
+    whole = {label for label, t in licenses.TEMPLATES for own in [ALNUM.findall(lower(t))] if any(w[i : i + len(own)] == own for i in range(len(w)))}
+    return len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})), whole
+
+
+def test_licenses_against_a_plain_scan(spark):
+    rng = random.Random(3)
+    noise = ["lorem", "license", "mit", "general", "public", "apache", "under", "the", "software", "licensed", "cc", "by", "4"]
+    texts = []
+    for k, (label, template) in enumerate(licenses.TEMPLATES * 2):
+        around = [" ".join(rng.choice(noise) for _ in range(rng.randrange(30))) for _ in range(2)]
+        texts.append(f"{around[0]} zzz {template}. zzz {around[1]}")
+    got = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
+    for i, value in enumerate(texts):
+        n, n_base, first, last, base, whole = plain_license_labels(value)
+        r, label = got[i], (licenses.TEMPLATES * 2)[i][0]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n, n_base, first, last, base)
+        assert label in r.labels.split(",") and set(r.labels.split(",")) <= whole | set(base.split(",")) and r.score == 1.0
+
+
+def test_licenses_near_misses(spark):
+    texts = [
+        "licensed under CC licensed under CC licensed under CC",  # one run of the template, three times
+        "cc by 4 cc by 4 cc by 4 zzz",
+        "Licensed under CC BY 4.0",
+        "Licensed under CC BY-NC 4.0",  # not cc-by, which is in it
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Permission to use, copy, and/or distribute this nice software for any purpose with or without fee is hereby granted",  # a word put in, one left out
+        "granted hereby is fee without or with purpose any for software this distribute and or modify copy use to permission",  # the words, not in order
+        "permission to use is granted for any purpose",
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(table(spark, texts)).collect()}
+    assert [got[i][0] for i in range(8)] == ["", "", "cc-by", "cc-by-nc", "cc-by-sa", "isc", "", ""]
+    assert got[0][1] == got[6][1] == 0 and got[3][1] == 1 and 0.75 <= got[5][1] < 1
+
+
+def test_licenses_ties():
+    config = licenses.LicenseConfig(templates=(("one", "a b c d"), ("two", "a b c d")))
+    spans = [(*s, label) for label in ("one", "two") for s in licenses.verified_spans([(5, 0), (6, 1)], 4, config)]
+    assert {s[4] for s in licenses.chosen(spans)} == {"one", "two"}

@@ -4,8 +4,11 @@ Every run of ``gram`` words of every text is hashed and joined by Spark with the
 places where the license templates have that run. A match votes for the diagonal
 (place in the text less place in the template) on which the template would lie.
 Neighbouring diagonals whose votes follow each other in the text are merged, which
-bridges words put in or left out, and a merged span is verified: it must hold
-``min_share`` of the template's runs and be no longer than ``max_stretch`` times it.
+bridges words put in or left out. A merged span is verified word by word: in it the
+template's words must come in their order, each place of the template counting once;
+they must be ``min_share`` of its words, and the span no longer than ``max_stretch``
+times it. Where verified spans of several templates overlap, those with the most words
+count, so a license does not count as the shorter one that it contains; equal ones all do.
 
 Cases: a null text is empty and has no labels. Repeated rows are scanned each by
 itself, as rows and not doc_ids are grouped. An empty table gives an empty result.
@@ -14,6 +17,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -55,6 +59,20 @@ TEMPLATES = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    (
+        "mpl",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/",
+    ),
+    (
+        "bsd",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    ),
+    (
+        "apache",
+        "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
@@ -70,7 +88,7 @@ class LicenseConfig:
     gram: int = 3
     min_share: float = 0.75
     max_stretch: float = 1.5
-    #: Diagonals at most this far apart are merged.
+    #: Diagonals at most this far apart are merged, and so many words may stand between their runs.
     max_shift: int = 3
     templates: tuple[tuple[str, str], ...] = field(default=TEMPLATES)
     #: A library of at most this many runs is broadcast; a larger one is joined by a shuffle.
@@ -146,37 +164,58 @@ def template_grams(config: LicenseConfig) -> list[tuple[int, int, int]]:
     return found
 
 
-def _verified(batches: Iterator[pa.RecordBatch], config: LicenseConfig, sizes: dict[int, int]) -> Iterator[pa.RecordBatch]:
+def verified_spans(matches: list[tuple[int, int]], n_words: int, config: LicenseConfig) -> list[tuple[int, int, int, float]]:
+    """Spans (words covered, first word, word after the last, share) of a template of ``n_words``, from places (in the text, in the template) of equal runs.
+
+    The best chain of runs to each run: both places grow, on the same or a neighbouring
+    diagonal, with no more than ``max_shift`` words between runs.
+    """
+    gram = min(config.gram, n_words)
+    matches = sorted(matches)
+    covered, begin, spans, near = [], [], [], 0
+    for i, (pos, place) in enumerate(matches):
+        while matches[near][0] < pos - gram - config.max_shift:
+            near += 1
+        best, start = gram, pos
+        for j in range(near, i):
+            p, q = matches[j]
+            if p < pos and q < place and abs((pos - place) - (p - q)) <= config.max_shift and covered[j] + min(gram, place - q, pos - p) > best:
+                best, start = covered[j] + min(gram, place - q, pos - p), begin[j]
+        covered.append(best)
+        begin.append(start)
+        if best >= config.min_share * n_words and pos + gram - start <= config.max_stretch * n_words:
+            spans.append((best, start, pos + gram, best / n_words))
+    return spans
+
+
+def chosen(spans: list[tuple[int, int, int, float, str]]) -> list[tuple[int, int, int, float, str]]:
+    """Of overlapping spans those that cover the most words."""
+    kept: list[tuple] = []
+    starts: list[int] = []
+    for span in sorted(spans, key=lambda s: (-s[0], -s[3], s[1], s[4])):
+        at = bisect.bisect_right(starts, span[1])
+        near = kept[max(0, at - 1) : at] + [k for k in kept[at : at + 1] if k[1] < span[2]]
+        over = [k for k in near if k[1] < span[2] and span[1] < k[2]]
+        if not over:
+            kept.insert(at, span)
+            starts.insert(at, span[1])
+        elif any((k[0], k[1], k[2], k[3]) == span[:4] for k in over) and span not in kept:
+            kept.insert(at, span)
+            starts.insert(at, span[1])
+    return kept
+
+
+def _verified(batches: Iterator[pa.RecordBatch], config: LicenseConfig, n_words: dict[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         added, scores = [], []
         for base, votes in zip(batch.column("base_labels").to_pylist(), batch.column("votes").to_pylist(), strict=True):
-            labels, best = set(filter(None, base.split(","))), 0.0
-            by_template: dict[int, list] = {}
+            matches: dict[int, list] = {}
             for v in votes:
-                by_template.setdefault(v["template"], []).append(v)
-            for template, own in by_template.items():
-                merged: list[dict] = []
-                for v in sorted(own, key=lambda v: (v["low"], v["diagonal"])):
-                    for m in reversed(merged):
-                        if abs(m["diagonal"] - v["diagonal"]) <= config.max_shift and v["low"] <= m["high"] + config.gram + config.max_shift:
-                            m["n"] += v["n"]
-                            m["high"], m["diagonal"] = max(m["high"], v["high"]), v["diagonal"]
-                            break
-                        if v["low"] - m["high"] > 4 * sizes[template] + 64:
-                            break
-                    else:
-                        merged.append(dict(v))
-                        continue
-                    if v["low"] - m["high"] > 4 * sizes[template] + 64:
-                        merged.append(dict(v))
-                for m in merged:
-                    share = min(1.0, m["n"] / sizes[template])
-                    stretch = (m["high"] - m["low"] + config.gram) / (sizes[template] + config.gram - 1)
-                    if share >= config.min_share and stretch <= config.max_stretch:
-                        labels.add(config.templates[template][0])
-                        best = max(best, share)
-            added.append(",".join(sorted(labels)))
-            scores.append(best)
+                matches.setdefault(v["template"], []).extend((pos, pos - v["diagonal"]) for pos in v["at"])
+            spans = [(*span, config.templates[t][0]) for t, own in matches.items() for span in verified_spans(own, n_words[t], config)]
+            found = chosen(spans)
+            added.append(",".join(sorted({*filter(None, base.split(",")), *(s[4] for s in found)})))
+            scores.append(max((s[3] for s in found), default=0.0))
         kept = [batch.column(c) for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")]
         yield pa.RecordBatch.from_arrays(
             [*kept, pa.array(added, pa.string()), pa.array(scores, pa.float64())],
@@ -188,7 +227,7 @@ def scan(documents: DataFrame, config: LicenseConfig = LicenseConfig()) -> DataF
     """A row per document row: words, base places, base labels, all labels, and the best verified share of a template."""
     spark: SparkSession = documents.sparkSession
     grams = template_grams(config)
-    sizes = {k: sum(1 for g in grams if g[1] == k) for k in range(len(config.templates))}
+    n_words = {k: sum(1 for g in grams if g[1] == k) + config.gram - 1 for k in range(len(config.templates))}
     library = spark.createDataFrame(grams, "gram long, template int, place long")
     if len(grams) <= config.broadcast_grams:
         library = F.broadcast(library)
@@ -200,11 +239,11 @@ def scan(documents: DataFrame, config: LicenseConfig = LicenseConfig()) -> DataF
     votes = (
         matched.withColumn("base", base)
         .groupBy("row_id", "template", (F.col("pos") - F.col("place")).alias("diagonal"))
-        .agg(F.max("base").alias("base"), F.count("pos").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+        .agg(F.max("base").alias("base"), F.collect_list("pos").alias("at"))  # no more than the template has words
     )
     per_row = votes.groupBy("row_id").agg(
         F.max("base").alias("base"),
-        F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "n", "low", "high"))).alias("votes"),
+        F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "at"))).alias("votes"),
     )
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return per_row.select("base.*", "votes").mapInArrow(lambda it: _verified(it, config, sizes), schema)
+    return per_row.select("base.*", "votes").mapInArrow(lambda it: _verified(it, config, n_words), schema)

@@ -8,7 +8,7 @@ balanced Feistel network over the values of the format, walked on until the resu
 is valid again, so it is one to one: equal values get equal pseudonyms in every
 document, different values different ones, and the key turns them back.
 
-The key is a parameter. A value is found by its pattern at a place where no digit
+The key must be given. A value is found by its pattern at a place where no digit
 or letter touches it, and replaced only if its check passes; a long number that fails
 the check of card numbers is left alone.
 
@@ -18,6 +18,7 @@ give equal rows. An empty table gives an empty result. Other columns are ignored
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
@@ -35,7 +36,7 @@ ROUNDS = 8
 
 @dataclass(frozen=True)
 class PiiConfig:
-    key: bytes = b"webloom-demo-key"
+    key: bytes
 
 
 class Feistel:
@@ -238,17 +239,17 @@ def pseudonymise(text: str, key: bytes, forward: bool = True) -> tuple[str, list
     """The text with every validated value replaced, and (kind, value, pseudonym) of each in order."""
     if not _HINT.search(text):
         return text, []
-    taken: list[tuple[int, int, str, str, str]] = []
+    taken: list[tuple[int, int, str, str, str]] = []  # in order, and apart
     for rule, (kind, pattern, _) in enumerate(_PATTERNS):
         for m in pattern.finditer(text):
-            if any(m.start() < b and a < m.end() for a, b, *_ in taken):
+            at = bisect.bisect_left(taken, (m.end(),))
+            if at and taken[at - 1][1] > m.start():
                 continue
             new = pseudonym(kind, rule, m[0], key, forward)
             if new is not None:
-                taken.append((m.start(), m.end(), kind, m[0], new))
+                taken.insert(at, (m.start(), m.end(), kind, m[0], new))
     if not taken:
         return text, []
-    taken.sort()
     out, at = [], 0
     for a, b, _, _, new in taken:
         out += [text[at:a], new]
@@ -274,7 +275,7 @@ def _replace(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.Recor
             )
 
 
-def replace(documents: DataFrame, config: PiiConfig = PiiConfig()) -> DataFrame:
+def replace(documents: DataFrame, config: PiiConfig) -> DataFrame:
     """doc_id, counts of replaced values by kind, the pseudonyms in order, and the new text of every row."""
     counts = ", ".join(f"n_{k} long" for k in NAMES)
     schema = f"doc_id long, n_found long, {counts}, pseudonyms array<string>, text string"

@@ -26,7 +26,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    key = spark.conf.get("spark.webloom.pii.key", "a key for the test tables only").encode()
+    return pii.replace(spark.read.parquet(f"{sf_dir}/documents.parquet"), pii.PiiConfig(key))
 
 
 def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """WARC archives: a writer of one gzip member a record, and a splittable reader.
 
 The writer goes through Spark's own file sink, so archives may lie in any store that
-Spark can write. Each record is a gzip member; members are parted by one zero byte,
-which gzip readers take for padding. A payload of at least ``min_revisit`` bytes is
-stored once, with the largest key that has it; the other records with it are
-revisits that name that key.
+Spark can write. Each record is a gzip member, and a file is its members one after
+another, a ``warcinfo`` record first, as any gzip or WARC reader expects. (The sink ends
+each row with a zero byte. A member ends with one, the highest byte of its size, so this
+one is left out of the row; a record of 16 MB or more is followed by an empty member for
+that.) A payload of at least ``min_revisit`` bytes is stored once, with the largest key
+that has it; the other records with it are revisits that name that key.
 
 The reader cuts every file into byte ranges. A task scans its range for the gzip
 magic, inflates the head of each candidate member and takes it for a record only
@@ -19,8 +21,10 @@ table makes no record. Other columns are ignored.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +43,7 @@ _READ_BYTES = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(key: int | None, url: str | None, payload: bytes, digest: str, length: int, refers_to: int | None) -> bytes:
+def record(key: int | None, url: str | None, payload: bytes, digest: str, length: int, refers_to: int | None, date: str) -> bytes:
     """One WARC/1.1 record: a response, or a revisit without payload if ``refers_to`` is given."""
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
@@ -49,7 +53,7 @@ def record(key: int | None, url: str | None, payload: bytes, digest: str, length
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if key is None else key}>",
         f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url or '')}",
-        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Date: {date}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
         *([f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"] if revisit else []),
@@ -58,16 +62,28 @@ def record(key: int | None, url: str | None, payload: bytes, digest: str, length
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def _gzip(data: bytes) -> bytes:
+def info(date: str) -> bytes:
+    """The record that opens a file."""
+    body = b"software: webloom\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member, with an empty one after it if else its last byte were not zero."""
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(data) + packer.flush()
+    made = packer.compress(data) + packer.flush()
+    return made if made[-1] == 0 else made + member(b"")
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
+    opened = False
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "length", "refers_to")]
-        made = [_gzip(record(k, u, h or b"", d, n, r)) for k, u, h, d, n, r in zip(*columns, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["member"])
+        made = [member(record(k, u, h or b"", d, n, r, date)) for k, u, h, d, n, r in zip(*columns, strict=True)]
+        if made and not opened:
+            made, opened = [member(info(date)), *made], True
+        yield pa.RecordBatch.from_arrays([pa.array([m[:-1] for m in made], pa.binary())], ["member"])
 
 
 def plan_revisits(pages: DataFrame) -> DataFrame:
@@ -103,19 +119,26 @@ def plan_revisits(pages: DataFrame) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Write one record per row of ``pages`` (page_id, url, html) as WARC files below ``path``."""
-    members = plan_revisits(pages).mapInArrow(_members, "member binary")
+def write(pages: DataFrame, path: str, date: str | None = None) -> None:
+    """Write one record per row of ``pages`` (page_id, url, html) as ``.warc.gz`` files below ``path``, dated now or as given."""
+    spark = pages.sparkSession
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    members = plan_revisits(pages).mapInArrow(lambda it: _members(it, date), "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = folder(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for uri, _ in files_below(spark, path):
+        if uri.endswith(".txt"):
+            store.rename(folder(uri), folder(uri.removesuffix(".txt") + ".warc.gz"))
 
 
 class _Window:
     """Bytes of a file from ``start`` on, read a piece at a time."""
 
     def __init__(self, file, start: int, size: int):
-        self.file, self.start, self.size, self.data = file, start, size, b""
+        self.file, self.start, self.size, self.data = file, start, size, bytearray()
 
-    def upto(self, end: int) -> bytes:
+    def upto(self, end: int) -> bytearray:
         """Bytes from ``start`` to at least ``end``, if the file has them."""
         end = min(end, self.size)
         while self.start + len(self.data) < end:
@@ -127,7 +150,8 @@ class _Window:
 
     def forget(self, before: int) -> None:
         if before > self.start:
-            self.data, self.start = self.data[before - self.start :], before
+            del self.data[: before - self.start]
+            self.start = before
 
 
 def _inflate(window: _Window, at: int) -> tuple[bytes, int] | None:
@@ -176,10 +200,12 @@ def records_from(file, size: int, start: int, end: int) -> Iterator[bytes]:
             window.forget(at)
 
 
-def parse(raw: bytes) -> dict:
-    """Fields of a record, the payload's size and digest taken from the payload where it is there."""
+def parse(raw: bytes) -> dict | None:
+    """Fields of a record, the payload's size and digest taken from the payload where it is there; None for other than responses and revisits."""
     head, _, body = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
+    if fields["WARC-Type"] not in ("response", "revisit"):
+        return None
     body = body[: int(fields["Content-Length"])]
     http, _, payload = body.partition(b"\r\n\r\n")
     number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
@@ -211,7 +237,8 @@ def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with store.open_input_file(name) as file:
                 held: list[dict] = []
                 for raw in records_from(file, size, start, end):
-                    held.append(parse(raw))
+                    if (fields := parse(raw)) is not None:
+                        held.append(fields)
                     if len(held) >= 2000:
                         yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in held], k) for n, k in zip(names, kinds, strict=True)], names)
                         held = []
@@ -228,10 +255,12 @@ def files_below(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 
 def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A row per record of the archives below ``path``."""
-    ranges = [(f, n, a, min(n, a + range_bytes)) for f, n in files_below(spark, path) for a in range(0, n, range_bytes)]
-    table = spark.createDataFrame(ranges, "path string, size long, start long, end long")
+    files = spark.createDataFrame(files_below(spark, path), "path string, size long").where("size > 0")
+    starts = F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(range_bytes))).alias("start")
+    ranges = files.select("path", "size", starts).withColumn("end", F.least("size", F.col("start") + range_bytes))
+    n_ranges = files.agg(F.coalesce(F.sum(F.ceil(F.col("size") / range_bytes)), F.lit(0))).first()[0]
     # one range a task: the reader streams, so a task holds one record and a few MB of its file
-    spread = table.repartition(max(1, min(len(ranges), 4000)), F.xxhash64("path", "start"))
+    spread = ranges.repartition(max(1, min(int(n_ranges), 4000)), F.xxhash64("path", "start"))
     return spread.mapInArrow(_read_ranges, _READ)
 
 
