@@ -59,5 +59,5 @@ def test_redirects_of_every_page(spark, tmp_path):
         while n < 5 and at in goes:
             at, n = goes[at], n + 1
         expected.add((url, at, n))
-    got = [tuple(r) for r in catalog.queries()["redirect_targets_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalog.queries()["redirect_targets"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(expected) and {r[0] for r in got} == {url for _, url, _ in rows}

@@ -428,15 +428,9 @@ def robots_decisions(spark, sf_dir):
 @query("""
 WITH RECURSIVE r AS (SELECT url AS from_url, lead(url) OVER (ORDER BY page_id) AS to_url, page_id FROM (SELECT DISTINCT ON (url) page_id, url FROM pages ORDER BY url, page_id)),
 e AS (SELECT from_url, to_url FROM r WHERE page_id % 9 <> 0 AND to_url IS NOT NULL),
-w AS (SELECT url AS request_url, url AS final_url, 0 AS n_hops FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT request_url, to_url, n_hops + 1 FROM w JOIN e ON final_url = from_url WHERE n_hops < 5)
+w AS (SELECT url AS request_url, url AS final_url, 0 AS n_hops FROM pages UNION ALL SELECT request_url, to_url, n_hops + 1 FROM w JOIN e ON final_url = from_url WHERE n_hops < 5)
 SELECT request_url, arg_max(final_url, n_hops) AS final_url, max(n_hops)::INT AS n_hops FROM w GROUP BY request_url""")
 def redirect_targets(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return _redirected(pages.where("page_id % 2 = 0"), pages)
-
-
-@query()
-def redirect_targets_all(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return _redirected(pages, pages)
 
@@ -483,7 +477,7 @@ def keyword_single_term(spark, sf_dir):
 @query(f"SELECT count(*) AS n FROM documents WHERE {_tf('the')} > 0 AND {_tf('license')} > 0")
 def keyword_and_match(spark, sf_dir):
     chunks, documents = _chunk_tables(spark, sf_dir)
-    return search.keyword_search(chunks, documents, "license THE", 2**31 - 1).agg(F.count("*").alias("n"))
+    return search.keyword_matches(chunks, documents, "license THE").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -510,12 +504,17 @@ def bounded_context(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, turn, 'Supported [2], repeated [2], first [1], invalid.' AS answer, CASE WHEN turn % 2 = 0 THEN '2,1' ELSE '2,1' END AS citations FROM conversations""")
+WITH m AS (SELECT conv_id, turn, 1 + turn % 4 AS n_sources, text, list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: TRY_CAST(x AS BIGINT)) AS numbers FROM conversations),
+k AS (SELECT *, list_filter(numbers, lambda x: x BETWEEN 1 AND n_sources) AS good FROM m)
+SELECT conv_id, turn, len(numbers)::INT AS n_markers, array_to_string(list_transform(list_filter(range(1, len(good) + 1), lambda i: list_position(good, good[i]) = i), lambda i: good[i]), ',') AS citations,
+  trim(regexp_replace(concat('See', array_to_string(list_transform(numbers, lambda x: CASE WHEN x BETWEEN 1 AND n_sources THEN concat(' [', x, ']') ELSE '' END), ''), '.'), ' +\\.', '.')) AS answer FROM k""")
 def citation_validate(spark, sf_dir):
+    """Answers made of the numbers that stand in a turn, as markers; those of no source go."""
     rows = table(spark, sf_dir, "conversations")
-    answer = F.concat(F.lit("Supported [2], repeated  [02], first [1] , invalid ["), (F.col("turn") + 99).cast("string"), F.lit("]. "))
-    found = rows.select("conv_id", "turn", rag.validated(answer, F.lit(2)).alias("v"))
-    return found.select("conv_id", "turn", F.col("v.answer").alias("answer"), F.array_join(F.col("v.citations").cast("array<string>"), ",").alias("citations"))
+    numbers = F.regexp_extract_all(F.col("text"), F.lit("([0-9]+)"))
+    answer = F.concat(F.lit("See"), F.array_join(F.transform(numbers, lambda x: F.concat(F.lit("  ["), x, F.lit("]"))), ""), F.lit(" ."))
+    found = rows.select("conv_id", "turn", F.size(numbers).alias("n_markers"), rag.validated(answer, 1 + F.col("turn") % 4).alias("v"))
+    return found.select("conv_id", "turn", "n_markers", F.array_join(F.col("v.citations").cast("array<string>"), ",").alias("citations"), F.col("v.answer").alias("answer"))
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -78,18 +79,34 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """Builds the tree. ``tags`` counts the open elements by tag, so that a look for one that is not open costs nothing however deep the page is."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.open = [self.root]
+        self.tags: Counter[str] = Counter()
+        self.html = self.body = None
 
     def _push(self, tag: str, attributes: dict | None = None) -> Node:
         node = Node(tag, attributes or {}, self.open[-1])
         self.open[-1].children.append(node)
         self.open.append(node)
+        self.tags[tag] += 1
+        if tag == "html":
+            self.html = self.html or node
+        elif tag == "body":
+            self.body = self.body or node
         return node
 
+    def _close(self, at: int) -> None:
+        """Close the open elements from the given one on."""
+        self.tags.subtract(n.tag for n in self.open[at:])
+        del self.open[at:]
+
     def _find(self, tags: set[str], bounds: set[str]) -> int | None:
+        if not any(self.tags[t] for t in tags):
+            return None
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
                 return i
@@ -97,9 +114,13 @@ class _Builder(HTMLParser):
                 return None
         return None
 
+    def _leave_head(self) -> None:
+        if self.tags["head"]:
+            self._close(next(i for i, n in enumerate(self.open) if n.tag == "head"))
+
     def _ensure_body(self) -> None:
-        if not any(n.tag in ("body", "head", "frameset") for n in self.open):
-            if not any(n.tag == "html" for n in self.open):
+        if not (self.tags["body"] or self.tags["head"] or self.tags["frameset"]):
+            if not self.tags["html"]:
                 self._push("html")
             self._push("body")
 
@@ -107,53 +128,45 @@ class _Builder(HTMLParser):
         attributes: dict[str, str | None] = {}
         for name, value in attrs:
             attributes.setdefault(name, "" if value is None else value)
-        if tag == "html":
-            known = self.root.first("html")
-            if known is not None:
-                return
-            self._push("html", attributes)
+        if tag in ("html", "head", "body"):
+            self._frame(tag, attributes)
             return
-        if tag == "head":
-            if self.root.first("body") is None:
-                if not any(n.tag == "html" for n in self.open):
-                    self._push("html")
-                self._push("head", attributes)
-            return
-        if tag == "body":
-            if self.root.first("body") is not None:
-                return
-            while self.open[-1].tag == "head" or self.open[-1].closest("head") is not None:
-                self.open.pop()
-            if not any(n.tag == "html" for n in self.open):
-                self._push("html")
-            self._push("body", attributes)
-            return
-        if self.open[-1].closest("head") is not None and tag not in _HEAD_ONLY:
-            while self.open[-1].closest("head") is not None:
-                self.open.pop()
-        if self.open[-1].closest("head") is None and (tag not in _HEAD_ONLY or self.root.first("body") is not None):
+        if self.tags["head"] and tag not in _HEAD_ONLY:
+            self._leave_head()
+        if not self.tags["head"] and (tag not in _HEAD_ONLY or self.body is not None):
             self._ensure_body()
         if tag in _CLOSES_P:
             at = self._find({"p"}, {"button", "td", "th", "caption", "table", "object", "html", "template"})
             if at is not None:
-                del self.open[at:]
+                self._close(at)
         if tag == "a":
             at = self._find({"a"}, {"td", "th", "caption", "table", "button", "object", "html", "template"})
             if at is not None:
-                del self.open[at:]
+                self._close(at)
         if tag in _IMPLIED:
             tags, bounds = _IMPLIED[tag]
             while (at := self._find(tags, bounds)) is not None:
-                del self.open[at:]
+                self._close(at)
         if tag == "tr" and self.open[-1].tag == "table":
             self._push("tbody")
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             if self.open[-1].tag == "table":
                 self._push("tbody")
             self._push("tr")
-        node = self._push(tag, attributes)
+        self._push(tag, attributes)
         if tag in _VOID:
-            self.open.remove(node)
+            self._close(len(self.open) - 1)
+
+    def _frame(self, tag: str, attributes: dict) -> None:
+        """One html, one body, and a head before it."""
+        known = {"html": self.html, "head": self.body, "body": self.body}[tag]
+        if known is not None:
+            return
+        if tag == "body":
+            self._leave_head()
+        if tag != "html" and not self.tags["html"]:
+            self._push("html")
+        self._push(tag, attributes)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -167,19 +180,18 @@ class _Builder(HTMLParser):
         bounds = {"table", "html"} if tag in ("p", "a", "b", "i", "li", "div") else {"html"}
         at = self._find({tag}, bounds - {tag})
         if at is not None:
-            del self.open[at:]
+            self._close(at)
         elif tag == "p":
             self._ensure_body()
             self._push("p")
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_data(self, data):
         if not data.strip(WHITESPACE):
             if self.open[-1].tag in ("#document", "html", "head"):
                 return
         elif self.open[-1].tag in ("#document", "html", "head"):
-            while self.open[-1].tag == "head":
-                self.open.pop()
+            self._leave_head()
             self._ensure_body()
         self.open[-1].children.append(data)
 
@@ -198,11 +210,13 @@ def normalize_text(value: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def _drop(node: Node) -> None:
-    node.children = [c for c in node.children if isinstance(c, str) or c.tag not in REMOVED]
-    for child in node.children:
-        if isinstance(child, Node):
-            _drop(child)
+def _drop(root: Node) -> None:
+    """Take the elements without readable text out of a tree, however deep."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in REMOVED]
+        stack += [c for c in node.children if isinstance(c, Node)]
 
 
 def _spaced(root: Node) -> str:
@@ -239,7 +253,10 @@ def clean(html: str) -> tuple[str | None, str]:
 
 
 def _bounded(text: str) -> str:
-    return normalize_text(text)[:MAX_CELL]
+    value = normalize_text(text)
+    if len(value) * 2 <= MAX_CELL or value.isascii():
+        return value[:MAX_CELL]
+    return value.encode("utf-16-le")[: 2 * MAX_CELL].decode("utf-16-le", "ignore")  # lengths are UTF-16 units
 
 
 def _has_child(node: Node, tag: str) -> bool:

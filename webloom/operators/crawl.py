@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,18 +18,36 @@ FINISHED = ("COMPLETED", "FAILED", "SKIPPED", "SKIPPED_ROBOTS")
 MAX_DEPTH = 10
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it again."""
+    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it again; the table goes when the driver ends, or with ``sweep``."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="webloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/webloom-{name}-{uuid.uuid4().hex[:12]}"
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep() -> None:
+    """Delete the tables of ``cut_lineage``. Call it only when no DataFrame over them is still needed."""
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):  # the session may have ended already; the others go all the same
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+atexit.register(sweep)
+
+
 def create_crawls(seeds: DataFrame, queued: bool = True) -> tuple[DataFrame, DataFrame]:
     """Crawls and their pages of depth 0, from (crawl_id, seed_url, normalized_url, origin, render_mode, max_pages, max_depth, created_at). If the queue did not take them both are FAILED."""
     crawls = seeds.select(

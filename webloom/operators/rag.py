@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import text
 
+#: Fixed value: the answer where no source is found.
 INSUFFICIENT = "I could not find enough relevant information in the indexed documents to answer this question."
 
 #: Fixed value: the instructions that go with every question.
@@ -68,9 +69,9 @@ def source_block(s: Column) -> Column:
 
 
 def bounded_sources(hits: Column, min_similarity: float, max_source: int, max_context: int) -> Column:
-    """Sources that fit into the context, in the order of ``hits``: a fold that cuts the one that overflows and then goes on while there is room."""
+    """Sources that fit into the context, counted in UTF-16 units, in the order of ``hits``: a fold that cuts the one that overflows and then goes on while there is room."""
     kept = F.filter(hits, lambda h: h["similarity"].isNotNull() & ~F.isnan(h["similarity"]) & (F.abs(h["similarity"]) < float("inf")) & (h["similarity"] >= min_similarity))
-    ready = F.transform(kept, lambda h: h.withField("excerpt", F.substring(text.trim(h["excerpt"]), 1, max_source)).withField("title", text.grounding_title(h["title"])))
+    ready = F.transform(kept, lambda h: h.withField("excerpt", text.utf16_prefix(text.trim(h["excerpt"]), max_source)).withField("title", text.grounding_title(h["title"])))
     ready = F.filter(ready, lambda h: h["excerpt"] != "")
 
     def source(h: Column, number: Column, excerpt: Column) -> Column:
@@ -83,13 +84,13 @@ def bounded_sources(hits: Column, min_similarity: float, max_source: int, max_co
         number = F.size(s["out"]) + 1
         gap = F.when(F.size(s["out"]) == 0, 0).otherwise(2)
         left = max_context - s["used"]
-        size = gap + F.length(source_block(source(h, number, h["excerpt"])))
-        cut = F.substring(h["excerpt"], F.lit(1), F.greatest(F.lit(0), F.length(h["excerpt"]) - (size - left)))
+        size = gap + text.utf16_length(source_block(source(h, number, h["excerpt"])))
+        cut = text.utf16_prefix(h["excerpt"], F.greatest(F.lit(0), text.utf16_length(h["excerpt"]) - (size - left)))
         excerpt = F.when(size > left, text.trim(cut)).otherwise(h["excerpt"])
         stop = s["done"] | (left <= 0) | (excerpt == "")
         made = source(h, number, excerpt)
         return F.struct(
-            F.when(stop, s["used"]).otherwise(s["used"] + gap + F.length(source_block(made))).alias("used"),
+            F.when(stop, s["used"]).otherwise(s["used"] + gap + text.utf16_length(source_block(made))).alias("used"),
             stop.alias("done"),
             F.when(stop, s["out"]).otherwise(F.concat(s["out"], F.array(made))).alias("out"),
         )

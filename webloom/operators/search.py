@@ -171,24 +171,31 @@ def cover_density(found: Column, n_terms: int) -> Column:
     return F.aggregate(found, state, step, lambda s: s["score"])
 
 
-def keyword_search(chunks: DataFrame, documents: DataFrame, query: str, limit: int = 5) -> DataFrame:
-    """Chunks that hold all words of the query in title, content or URL, by relevance; an empty query finds nothing."""
+def _word(word: str) -> Column:
+    """Pattern of a word that no letter, digit or underscore touches."""
+    return F.lit(rf"(?<![\p{{L}}\p{{N}}_]){word}(?![\p{{L}}\p{{N}}_])")
+
+
+def keyword_matches(chunks: DataFrame, documents: DataFrame, query: str) -> DataFrame:
+    """Chunks that hold all words of the query in title, content or URL, with their relevance, in no order; an empty query finds nothing."""
     wanted = query_terms(query)
     joined = chunks.join(documents.select(F.col("id").alias("document_id"), "url", "title"), "document_id")
+    about = [F.col("id").alias("chunk_id"), "document_id", "url", "title", "chunk_index", text.excerpt(F.col("content")).alias("excerpt")]
     if not wanted:
-        return joined.where("false").select(F.col("id").alias("chunk_id"), "document_id", "url", "title", "chunk_index", text.excerpt(F.col("content")).alias("excerpt"), F.lit(0.0).alias("relevance"))
-    # a cheap test on the raw text first: every word must be somewhere
-    whole = F.lower(F.concat_ws("\n", "title", "content", "url"))
-    for word in wanted:
-        joined = joined.where(F.contains(whole, F.lit(word)))
-    found = _occurrences({"title": terms(F.col("title")), "content": terms(F.col("content")), "url": terms(F.col("url"))}, wanted)
-    listed = joined.withColumn("_found", found).where(F.size(F.array_distinct(F.transform("_found", lambda x: x["term"]))) == len(wanted))
-    scored = listed.withColumn("relevance", cover_density(F.col("_found"), len(wanted)))
-    return (
-        scored.select(F.col("id").alias("chunk_id"), "document_id", "url", "title", "chunk_index", text.excerpt(F.col("content")).alias("excerpt"), "relevance")
-        .orderBy(F.desc("relevance"), "chunk_id")
-        .limit(limit)
-    )
+        return joined.where("false").select(*about, F.lit(0.0).alias("relevance"))
+    fields = {f: F.lower(F.coalesce(F.col(f), F.lit(""))) for f in WEIGHTS}
+    for word in wanted:  # only texts with all words are cut into words
+        joined = joined.where(F.greatest(*[F.rlike(field, _word(word)) for field in fields.values()]))
+    if len(wanted) == 1:  # every place counts for itself
+        relevance = sum((F.regexp_count(field, _word(wanted[0])) * WEIGHTS[f] for f, field in fields.items()), F.lit(0.0))
+    else:
+        relevance = cover_density(_occurrences({f: terms(F.col(f)) for f in WEIGHTS}, wanted), len(wanted))
+    return joined.select(*about, relevance.alias("relevance"))
+
+
+def keyword_search(chunks: DataFrame, documents: DataFrame, query: str, limit: int = 5) -> DataFrame:
+    """The best of ``keyword_matches`` by relevance."""
+    return keyword_matches(chunks, documents, query).orderBy(F.desc("relevance"), "chunk_id").limit(limit)
 
 
 def search(chunks: DataFrame, documents: DataFrame, mode: str = "semantic", **options) -> DataFrame:
