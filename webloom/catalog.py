@@ -11,7 +11,7 @@ from webloom import schemas
 from webloom.functions import chunking, html, policy, text, urls, vectors
 from webloom.operators import crawl, rag, search, versions
 from webloom.plans import ingest
-from webloom.sources import fetches, sinks
+from webloom.sources import fetches, providers, sinks
 from webloom.streaming import politeness
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,17 +123,66 @@ def model_inputs(spark, sf_dir):
     return rows.select("item_id", text.passage_text(F.concat(F.lit(" passage: "), "text")).alias("passage"), text.query_text(F.col("text")).alias("question"))
 
 
-@query()
+
+_SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_NO_SPACE = _SPACE.replace("[", "[^", 1)
+
+
+def _blank(value: str) -> str:
+    """SQL for the number of white-space characters at the beginning of a value."""
+    return f"length(regexp_extract({value}, '^{_SPACE}*'))"
+
+
+def _last_mark(mark: str, n: int) -> str:
+    """SQL for the place of the last mark of n characters that begins from ``least_`` on and before ``hard``."""
+    held = f"substr(t, least_ + 1, hard - 1 + {n} - least_)"
+    return f"CASE WHEN contains({held}, {mark}) THEN least_ + length({held}) - instr(reverse({held}), {mark}) + 1 - {n} END"
+
+
+def _nearest(test: str) -> str:
+    """SQL for the place next to ``ideal`` where a test of ``w`` holds (later ones first), as twice the distance and one more before it."""
+    return f"list_min(list_transform(list_filter(range(low, high + 1), lambda x: {test}), lambda x: abs(x - ideal) * 2 + (x < ideal)::INT))"
+
+
+def _chunk_sql(source: str) -> str:
+    """SQL for the chunks of ``source`` (id, t), a chunk for each step of a recursion; characters count as UTF-16 units, so texts must have none of two."""
+    breaks = ("substr(w, x - low + 1, 2) = chr(10) || chr(10)", "substr(w, x - low + 2, 1) = chr(10)", f"regexp_matches(substr(w, x - low + 2, 1), '{_SPACE}')")
+    near = ", ".join(f"{_nearest(test)} AS k{i}" for i, test in enumerate(breaks))
+    places = ", ".join(f"ideal + CASE WHEN k{i} % 2 = 1 THEN -(k{i} // 2) ELSE k{i} // 2 END" for i in range(3))
+    tail = "substr(t, least_ + 1, hard - least_)"
+    return f"""
+WITH RECURSIVE d AS (SELECT id, coalesce(t, '') AS t, length(coalesce(t, '')) AS n FROM ({source})),
+c AS (
+  SELECT id, -1 AS k, NULL::BIGINT AS s, NULL::BIGINT AS e, {_blank('t')} AS cursor FROM d
+  UNION ALL
+  SELECT id, k + 1, s, e, CASE WHEN raw >= n THEN n WHEN following > cursor THEN following ELSE least(raw, cursor + 850) END FROM (
+    SELECT *, nxt + {_blank('substr(t, nxt + 1)')} AS following FROM (
+      SELECT *, coalesce({places}, ideal) AS nxt FROM (
+        SELECT *, {near} FROM (
+          SELECT *, substr(t, low - 1, high - low + 2) AS w FROM (
+            SELECT *, greatest(s + 1, ideal - 50) AS low, least(e - 1, ideal + 50) AS high FROM (
+              SELECT *, greatest(s + 1, e - 150) AS ideal FROM (
+                SELECT *, cursor + {_blank('substr(t, cursor + 1, raw - cursor)')} AS s, raw - {_blank('reverse(substr(t, cursor + 1, raw - cursor))')} AS e FROM (
+                  SELECT *, CASE WHEN hard = n THEN hard ELSE coalesce({_last_mark("chr(10) || chr(10)", 2)}, {_last_mark("chr(10)", 1)},
+                    CASE WHEN regexp_matches({tail}, '{_SPACE}') THEN hard - 1 - length(regexp_extract(reverse({tail}), '^{_NO_SPACE}*')) END, hard) END AS raw FROM (
+                    SELECT c.id, k, c.cursor, d.t, d.n, least(n, cursor + 1000) AS hard, least(least(n, cursor + 1000) - 1, cursor + 700) AS least_ FROM c JOIN d USING (id) WHERE cursor < n))))))))))
+SELECT id, k AS chunk_index, substr(t, s + 1, e - s) AS content, sha256(substr(t, s + 1, e - s)) AS content_hash, s::INT AS start_offset, e::INT AS end_offset FROM c JOIN d USING (id) WHERE k >= 0 AND e > s"""
+
+
+_CHUNKS = _chunk_sql("SELECT doc_id AS id, text AS t FROM documents")
+
+
+@query(f"SELECT id AS doc_id, chunk_index, content, content_hash, start_offset, end_offset FROM ({_CHUNKS})")
 def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(f"SELECT id AS doc_id, count(*) AS n_chunks, max(end_offset - start_offset)::INT AS longest FROM ({_CHUNKS}) GROUP BY id")
 def chunk_counts(spark, sf_dir):
     return chunk_documents(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.col("end_offset") - F.col("start_offset")).alias("longest"))
 
 
-@query()
+@query(f"SELECT overlap, count(*) AS n FROM (SELECT lag(end_offset) OVER (PARTITION BY id ORDER BY chunk_index) - start_offset AS overlap FROM ({_CHUNKS})) WHERE overlap IS NOT NULL GROUP BY overlap")
 def chunk_overlap_audit(spark, sf_dir):
     audited = chunking.overlaps(chunk_documents(spark, sf_dir), "doc_id").where("overlap IS NOT NULL")
     return audited.groupBy("overlap").agg(F.count("*").alias("n"))
@@ -259,7 +308,14 @@ def unchanged_reuse(spark, sf_dir):
     return versions.resolve_fetch(rows, versions.previous_version(rows.select("page_id", "normalized_url"), stored))
 
 
-@query()
+_OLD_CHUNKS = _chunk_sql("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'Old. ' || text ELSE text END AS t FROM documents")
+
+
+@query(f"""
+WITH n AS (SELECT id, count(*) AS n, list((chunk_index, content_hash, start_offset, end_offset) ORDER BY chunk_index) AS l FROM ({_CHUNKS}) GROUP BY id),
+o AS (SELECT id, count(*) AS n, list((chunk_index, content_hash, start_offset, end_offset) ORDER BY chunk_index) AS l FROM ({_OLD_CHUNKS}) GROUP BY id)
+SELECT id AS document_id, CASE WHEN same THEN old_n ELSE 0 END AS retained, CASE WHEN same THEN 0 ELSE new_n END AS created, CASE WHEN same THEN 0 ELSE old_n END AS replaced
+FROM (SELECT coalesce(n.id, o.id) AS id, coalesce(n.l = o.l, false) AS same, coalesce(n.n, 0) AS new_n, coalesce(o.n, 0) AS old_n FROM n FULL JOIN o ON n.id = o.id)""")
 def chunk_sync(spark, sf_dir):
     """Chunks of all documents against stored ones of which every third document's are of another text: kept, made and replaced."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "doc_id", "text")
@@ -495,7 +551,28 @@ def _ranked_hits(spark, sf_dir) -> DataFrame:
     )
 
 
-@query()
+
+def _sources_sql(least: float, per_source: int, in_all: int) -> str:
+    """SQL for the sources that fit, hit after hit: (id, n_sources, context) in ``done``."""
+    strip = lambda x: f"regexp_replace(regexp_replace({x}, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
+    block = lambda x: f"'SOURCE [' || (n + 1) || ']' || chr(10) || 'Title: ' || coalesce(title, 'Untitled') || chr(10) || 'URL: https://example.com/' || id || chr(10) || 'Chunk: ' || turn || chr(10) || 'Content:' || chr(10) || {x}"
+    return f"""
+WITH RECURSIVE hit AS (
+  SELECT conv_id AS id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, conv_id || '-' || turn, title NULLS FIRST, excerpt) AS r, title, excerpt FROM (
+    SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN nullif(left({strip('role')}, 200), '') END AS title, left({strip('left(text, 500)')}, {per_source}) AS excerpt
+    FROM conversations WHERE 1 - (turn % 7) / 20.0 >= {least}) WHERE excerpt <> ''),
+w AS (
+  SELECT DISTINCT conv_id AS id, 0 AS r, 0 AS used, false AS done, 0 AS n, '' AS context FROM conversations
+  UNION ALL
+  SELECT id, r, CASE WHEN stop THEN used ELSE used + gap + length({block('cut')}) END, stop, CASE WHEN stop THEN n ELSE n + 1 END, CASE WHEN stop THEN context WHEN n = 0 THEN {block('cut')} ELSE context || chr(10) || chr(10) || {block('cut')} END
+  FROM (SELECT *, done OR {in_all} - used <= 0 OR cut = '' AS stop FROM (
+    SELECT *, CASE WHEN size > {in_all} - used THEN {strip(f'left(excerpt, greatest(0, length(excerpt) - (size - ({in_all} - used))))')} ELSE excerpt END AS cut FROM (
+      SELECT *, gap + length({block('excerpt')}) AS size FROM (
+        SELECT w.id, w.used, w.done, w.n, w.context, h.r, h.turn, h.title, h.excerpt, CASE WHEN w.n = 0 THEN 0 ELSE 2 END AS gap FROM w JOIN hit h ON h.id = w.id AND h.r = w.r + 1))))),
+ended AS (SELECT id, arg_max(n, r) AS n_sources, arg_max(context, r) AS context FROM w GROUP BY id)"""
+
+
+@query(f"{_sources_sql(0.75, 400, 1500)} SELECT id AS question_id, n_sources, length(context)::INT AS context_length, sha256(context) AS context_hash FROM ended")
 def bounded_context(spark, sf_dir):
     hits = _ranked_hits(spark, sf_dir)
     grouped = hits.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in hits.columns if c != "question_id"]))).alias("h"))
@@ -517,7 +594,11 @@ def citation_validate(spark, sf_dir):
     return found.select("conv_id", "turn", "n_markers", F.array_join(F.col("v.citations").cast("array<string>"), ",").alias("citations"), F.col("v.answer").alias("answer"))
 
 
-@query()
+@query(f"""
+{_sources_sql(0.75, 1500, 8000)}, a AS (SELECT *, CASE WHEN n_sources = 0 THEN 200 WHEN id % 7 = 0 THEN 504 WHEN id % 5 = 0 THEN 502 ELSE 200 END AS status FROM ended)
+SELECT id AS question_id, status, n_sources AS result_count,
+  CASE WHEN n_sources = 0 THEN '{rag.INSUFFICIENT}' WHEN status = 200 THEN CASE WHEN n_sources < 9 THEN 'So it is [1].' ELSE 'So it is [1][9].' END END AS answer,
+  CASE WHEN n_sources = 0 OR status <> 200 THEN 0 WHEN n_sources < 9 THEN 1 ELSE 2 END AS n_citations FROM a""")
 def ask_answers(spark, sf_dir):
     hits = _ranked_hits(spark, sf_dir)
     questions = hits.select("question_id").distinct().withColumn("question", F.concat(F.lit("What about "), F.col("question_id").cast("string"), F.lit("?")))
@@ -562,3 +643,152 @@ def ingest_chunks(spark, sf_dir):
     """Pages to documents to chunks, the whole plan."""
     documents = ingest.documents_from_fetches(fetches.fetch_log_from_pages(table(spark, sf_dir, "pages")))
     return ingest.chunks_from_documents(documents).select("document_id", "chunk_index", "start_offset", "end_offset", "content_hash")
+
+
+# more of the store's operations
+
+
+def _search_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    chunks = _embedded(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit("Vector "), F.col("vec_id").cast("string")).alias("content"), "embedding", "embedding_model", "embedding_version", "content_hash", "embedded_content_hash")
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"))
+    return chunks, documents
+
+
+@query(f"""
+SELECT e.vec_id AS chunk_id, e.vec_id AS document_id, 'https://example.com/' || e.vec_id AS url, d.source AS title, 0 AS chunk_index, 'Vector ' || e.vec_id AS excerpt, {_COSINE.format(a='e.embedding', b='q.embedding')} AS similarity
+FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 3) q
+WHERE e.vec_id % 7 <> 0 AND e.vec_id % 5 <> 0 AND e.vec_id % 11 <> 0 ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, chunk_id LIMIT 15""")
+def semantic_search(spark, sf_dir):
+    chunks, documents = _search_tables(spark, sf_dir)
+    wanted = table(spark, sf_dir, "embeddings").where("vec_id = 3").select("embedding").first()[0]
+    found = search.search(chunks, documents, "semantic", query=wanted, model="hashing", version="1", limit=15)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""
+SELECT count(*) AS inspected, count(*) FILTER (stale) AS embedded, count(*) FILTER (NOT stale) AS skipped, 0::BIGINT AS failed, ceil(count(*) FILTER (stale) / 16.0)::BIGINT AS batches
+FROM (SELECT vec_id % 7 = 0 OR vec_id % 5 = 0 OR vec_id % 11 = 0 AS stale FROM embeddings)""")
+def embedding_backfill(spark, sf_dir):
+    chunks = _search_tables(spark, sf_dir)[0].withColumn("id", F.col("id").cast("string"))
+    provider = providers.HashingEmbedding(16)
+    made = versions.embed_stale(chunks, provider.embed, provider.model, provider.version, provider.dimension)
+    return versions.embedding_summary(chunks, made, provider.model, provider.version)
+
+
+@query("SELECT vec_id::VARCHAR AS id, CASE WHEN stale THEN 4 ELSE len(embedding) END::INT AS dimension, 'hashing' AS embedding_model, true AS current FROM (SELECT *, vec_id % 7 = 0 OR vec_id % 5 = 0 OR vec_id % 11 = 0 AS stale FROM embeddings)")
+def embedding_update(spark, sf_dir):
+    """Stale vectors made anew and stored where the content is still the same."""
+    chunks = _search_tables(spark, sf_dir)[0].withColumn("id", F.col("id").cast("string")).withColumn("embedded_at", F.lit(None).cast("timestamp"))
+    provider = providers.HashingEmbedding(4)
+    made = versions.embed_stale(chunks, provider.embed, provider.model, provider.version, provider.dimension)
+    after = versions.apply_embeddings(chunks, made, provider.model, provider.version, F.current_timestamp())
+    return after.select("id", F.size("embedding").alias("dimension"), "embedding_model", search.current_embedding(provider.model, provider.version).alias("current"))
+
+
+@query(f"SELECT count(*) AS processed, sum(created)::BIGINT AS created, sum(retained)::BIGINT AS retained, sum(replaced)::BIGINT AS replaced FROM ({_SQL['chunk_sync']})")
+def chunk_backfill(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), "doc_id")
+    old = chunking.chunk_documents(docs.withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Old. "), "content")).otherwise(F.col("content"))), "id", "content")
+    stored = old.withColumnRenamed("id", "document_id").withColumn("id", F.concat_ws("-", "document_id", "chunk_index"))
+    return versions.backfill_chunks(docs.drop("doc_id"), stored)[1]
+
+
+_ATTEMPTS = """
+SELECT user_id AS page_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+  CASE WHEN event_type = 'purchase' AND value > 50 THEN 'COMPLETED' WHEN event_type = 'purchase' THEN 'REUSED' WHEN event_type = 'scroll' THEN 'SKIPPED_ROBOTS' ELSE 'FAILED' END AS outcome,
+  CASE event_type WHEN 'click' THEN 'HTTP_429' WHEN 'error' THEN 'HTTP_PERMANENT' ELSE 'NETWORK_TIMEOUT' END AS category FROM events"""
+
+
+@query(f"""
+WITH t AS (SELECT *, outcome <> 'FAILED' OR category = 'HTTP_PERMANENT' OR n >= 3 AS ended FROM ({_ATTEMPTS})),
+l AS (SELECT page_id, coalesce(min(n) FILTER (ended), max(n)) AS n FROM t GROUP BY page_id)
+SELECT page_id, CASE WHEN outcome = 'REUSED' THEN 'COMPLETED' WHEN outcome <> 'FAILED' THEN outcome WHEN ended THEN 'FAILED' ELSE 'RETRYING' END AS status, n::INT AS attempts,
+  CASE WHEN outcome = 'FAILED' THEN category END AS failure_category, CASE WHEN outcome = 'FAILED' AND NOT ended THEN 1000 * 2 ** (n - 1) END::BIGINT AS delay_ms FROM l JOIN t USING (page_id, n)""")
+def page_states(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    rows = table(spark, sf_dir, "events")
+    kind, order = F.col("event_type"), Window.partitionBy("user_id").orderBy("ts", "event_id")
+    outcome = F.when((kind == "purchase") & (F.col("value") > 50), "COMPLETED").when(kind == "purchase", "REUSED").when(kind == "scroll", "SKIPPED_ROBOTS").otherwise("FAILED")
+    category = F.when(kind == "click", "HTTP_429").when(kind == "error", "HTTP_PERMANENT").otherwise("NETWORK_TIMEOUT")
+    attempts = rows.select(F.col("user_id").alias("page_id"), F.row_number().over(order).alias("attempt"), outcome.alias("outcome"), category.alias("failure_category"), F.lit("failed").alias("error"), F.lit(None).cast("long").alias("retry_after_ms"))
+    return crawl.page_outcomes(attempts).select("page_id", "status", "attempts", "failure_category", F.col("delay_ms").cast("long").alias("delay_ms"))
+
+
+_TREE = "SELECT event_id AS id, event_id // 3 AS parent, user_id AS crawl_id, ts, CASE WHEN event_type = 'error' THEN 'FAILED' WHEN event_type = 'click' THEN 'DISCOVERED' ELSE 'COMPLETED' END AS status FROM events"
+
+
+def _page_tree(spark, sf_dir) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "click", "DISCOVERED").otherwise("COMPLETED")
+    rows = table(spark, sf_dir, "events")
+    return rows.select(F.col("event_id").alias("id"), F.floor(F.col("event_id") / 3).alias("parent_page_id"), F.col("user_id").alias("crawl_id"), F.col("ts").alias("created_at"), status.alias("status"), (F.col("event_type") != "view").cast("int").alias("depth"))
+
+
+@query(f"SELECT a.id, CASE WHEN b.status = 'FAILED' AND a.status = 'DISCOVERED' THEN 'SKIPPED' ELSE a.status END AS status FROM ({_TREE}) a LEFT JOIN ({_TREE}) b ON a.parent = b.id")
+def failure_cascade(spark, sf_dir):
+    return crawl.skip_children(_page_tree(spark, sf_dir)).select("id", "status")
+
+
+@query("SELECT user_id AS crawl_id, arg_min(event_id, (ts, event_id)) AS id, min(ts) AS created_at FROM events WHERE event_type = 'view' GROUP BY user_id")
+def root_pages(spark, sf_dir):
+    return crawl.root_pages(_page_tree(spark, sf_dir)).select("crawl_id", "id", "created_at")
+
+
+@query("""
+SELECT e.event_id AS id, coalesce('d' || d.doc_id, CASE WHEN e.value > 90 THEN 'reused-' || e.user_id END) AS document_id, CASE WHEN e.event_type = 'error' THEN 'HTTP_429' END AS dead_letter_category
+FROM events e LEFT JOIN documents d ON d.doc_id * 2 = e.event_id""")
+def pages_with_documents(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    pages = events.select(F.col("event_id").alias("id"), F.when(F.col("value") > 90, F.concat(F.lit("reused-"), F.col("user_id").cast("string"))).alias("reused_document_id"))
+    documents = table(spark, sf_dir, "documents").select((F.col("doc_id") * 2).alias("crawl_page_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"))
+    letters = events.where("event_type = 'error'").select(F.col("event_id").alias("crawl_page_id"), F.lit("HTTP_429").alias("failure_category"))
+    return crawl.with_related(pages, documents, letters).select("id", "document_id", "dead_letter_category")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id > 40 ORDER BY doc_id LIMIT 60")
+def keyset_page(spark, sf_dir):
+    return crawl.scan_after(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 40, 60)
+
+
+@query("SELECT d.doc_id, coalesce('label ' || l.quality, d.lang) AS lang FROM documents d LEFT JOIN labels l USING (doc_id) UNION ALL SELECT doc_id, 'label ' || quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def document_upsert(spark, sf_dir):
+    stored = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    incoming = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("label "), F.col("quality").cast("string")).alias("lang"))
+    return versions.upsert(stored, incoming, ["doc_id"])
+
+
+@query("SELECT doc_id AS id, 'stored' AS origin FROM labels UNION ALL SELECT user_id, arg_min(event_type, (ts, event_id)) FROM events WHERE user_id NOT IN (SELECT doc_id FROM labels) GROUP BY user_id")
+def insert_if_missing(spark, sf_dir):
+    stored = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("stored").alias("origin"))
+    incoming = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("origin"), "ts", "event_id")
+    return versions.insert_missing(stored, incoming, ["id"], ["ts", "event_id"])
+
+
+@query("""
+SELECT job_id FROM (SELECT event_id AS job_id, ts, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id % 3, event_type = 'error' ORDER BY ts DESC, event_id) AS r FROM events)
+WHERE failed OR (r <= 700 AND ts >= TIMESTAMP '2024-01-25 12:00:00' - INTERVAL 24 HOUR)""")
+def retained_jobs(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    jobs = rows.select(F.col("event_id").alias("job_id"), (F.col("user_id") % 3).alias("queue"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("state"), F.col("ts").alias("finished_at"))
+    return crawl.retained_jobs(jobs, F.lit("2024-01-25 12:00:00").cast("timestamp_ntz"), keep=700).select("job_id")
+
+
+@query("""
+SELECT user_id AS crawl_id, 'https://example.com/' || user_id AS normalized_url, 'PENDING' AS status, coalesce(CASE WHEN user_id % 2 = 0 THEN user_id % 50 + 1 END, 25)::INT AS max_pages, 2 AS max_depth, 'QUEUED' AS page_status, 0 AS depth, 1::BIGINT AS discovered_count FROM (SELECT DISTINCT user_id FROM events)""")
+def crawl_creation(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    url = F.concat(F.lit("https://example.com/"), F.col("user_id").cast("string"))
+    seeds = users.select(F.col("user_id").alias("crawl_id"), url.alias("seed_url"), url.alias("normalized_url"), F.lit("https://example.com").alias("origin"), F.lit("STATIC").alias("render_mode"), F.when(F.col("user_id") % 2 == 0, F.col("user_id") % 50 + 1).alias("max_pages"), F.lit(None).cast("int").alias("max_depth"), F.current_timestamp().alias("created_at"))
+    crawls, roots = crawl.create_crawls(seeds)
+    joined = crawls.join(roots.select(F.col("crawl_id").alias("id"), "normalized_url", F.col("status").alias("page_status"), "depth"), "id")
+    return joined.select(F.col("id").alias("crawl_id"), "normalized_url", "status", "max_pages", "max_depth", "page_status", "depth", "discovered_count")
+
+
+@query("SELECT min(doc_id) OVER w AS root_id, doc_id AS id, (row_number() OVER w)::INT AS ordinal FROM documents WINDOW w AS (PARTITION BY source, lang, doc_id // 20 ORDER BY doc_id)")
+def version_traversal(spark, sf_dir):
+    """Chains of versions followed from their first, step by step."""
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("source", "lang", F.floor(F.col("doc_id") / 20)).orderBy("doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lag("doc_id").over(order).alias("previous_version_id"))
+    return versions.version_chain(docs)
