@@ -472,6 +472,50 @@ def test_jaccard_join(spark, block):
     assert got == {i: (len(sets[i]), expected[i]) for i in sets}
 
 
+@pytest.mark.parametrize("block", [1_000_000, 400])
+def test_jaccard_passage_in_many_texts(spark, block):
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for k in range(300):  # all share a passage, which few consist of; a family of near copies of one text, in bands of size
+        own = [f"o{k}-{i}" for i in range(rng.randrange(6, 200))]
+        texts.append(" ".join(passage + own))
+    base = [f"b{i}" for i in range(80)]
+    for _ in range(60):
+        edited = base[: rng.randrange(66, 81)]
+        edited[rng.randrange(len(edited))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(edited))
+    texts += [" ".join(passage), " ".join([*passage, "x"]), " ".join(passage[:52])]
+    sets = plain_sets(list(enumerate(texts)))
+    got = {r.doc_id: r.component_id for r in jaccard.join(table(spark, texts), jaccard.JaccardConfig(block_shingles=block, chunk_shingles=3000, column_bytes=20_000, pivots=4)).collect()}
+    assert got == plain_components(sets)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_prefixes_of_linked_sets_meet(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(400):
+        n = int(rng.integers(1, 60))
+        one = rng.choice(80, n, replace=False).astype(np.uint64)
+        other = np.unique(np.where(rng.random(n) < 0.1, rng.integers(100, 200, n), one)).astype(np.uint64)
+        other = other[: max(1, len(other) - int(rng.integers(0, 4)))]
+        overlap = len(np.intersect1d(one, other))
+        rank = np.random.default_rng(1).permutation(200)
+        keys = []
+        for own in (one, other):
+            shared = np.intersect1d(one, other)  # what nobody else has comes first and is not listed
+            listed = shared[np.argsort(rank[shared.astype(int)])]
+            keys.append(jaccard.prefix_keys(len(own), listed, percent) if 100 * len(listed) >= percent * len(own) else np.zeros(0, np.uint64))
+        if 100 * overlap >= percent * (len(one) + len(other) - overlap):
+            assert len(np.intersect1d(*keys))
+
+
+def test_jaccard_keep_first_is_one_row_whatever_the_order(spark):
+    texts, ids = ["b " * 9, "a " * 9, "a " * 9, "c d e f g h"], [3, 3, 3, 9]
+    kept = {tuple((r.doc_id, r.text) for r in jaccard.keep_first(table(spark, texts[::o], ids[::o])).orderBy("doc_id").collect()) for o in (1, -1)}
+    assert kept == {((3, "a " * 9), (9, "c d e f g h"))}
+
+
 def test_jaccard_odd_rows(spark):
     odd = table(spark, ["a b c d e", "a b c d e", "a b c d e", None], [None, 4, 4, 4])
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard.join(odd).collect()) == [(-1, -1), (4, 4), (4, 4), (4, 4)]
@@ -672,3 +716,25 @@ def test_licenses_ties():
     config = licenses.LicenseConfig(templates=(("one", "a b c d"), ("two", "a b c d")))
     spans = [(*s, label) for label in ("one", "two") for s in licenses.verified_spans([(5, 0), (6, 1)], 4, config)]
     assert {s[4] for s in licenses.chosen(spans)} == {"one", "two"}
+
+
+# very long texts, names that differ by case
+
+
+def test_one_text_longer_than_every_block(spark):
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(5000)}" for _ in range(450_000)]  # 2.5 MB, more than any block of texts
+    long = " ".join(words)
+    other = " ".join(words[:400_000] + ["tail"] * 10)
+    few = table(spark, [long, other, "short text"], [1, 2, 3])
+    assert {r.doc_id: r.component_id for r in jaccard.join(few).collect()} == {1: 1, 2: 1, 3: 3}
+    repeated = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(few).collect()}
+    shared = len(" ".join(words[:400_000])) + 1
+    assert repeated[1] == (len(long), 0) and repeated[3] == (10, 0) and shared <= repeated[2][1] <= shared + 5
+    benchmark = spark.createDataFrame([("a", " ".join(words[300_000:300_030]))], "item_id string, text string")
+    hit = {r.doc_id: (r.n_words, r.n_hit) for r in decontamination.hits(few, benchmark).collect()}
+    assert hit == {1: (450_000, 30), 2: (400_010, 30), 3: (2, 0)}
+    found = {r.doc_id: (r.n_words, r.labels) for r in licenses.scan(table(spark, [long + " Released under the MIT License"], [1])).collect()}
+    assert found == {1: (450_005, "mit")}
+    scored = {r.doc_id: r.n_tokens for r in attention_lm.score_held_out(few, attention_lm.LmConfig(rounds=1, min_windows=50)).collect()}
+    assert scored == {1: 450_001, 2: 400_011, 3: 3}

@@ -145,5 +145,19 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+#: Links of all pairs of documents with a common shingle, and the smallest doc_id that links lead to.
+OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+e AS (SELECT doc_id, hash(unnest(g)) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+m AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS at, doc_id AS low FROM n UNION SELECT m.b, r.low FROM r JOIN m ON m.a = r.at)
+SELECT n.doc_id, n.n AS n_shingles, min(r.low) AS component_id FROM n JOIN r ON r.at = n.doc_id GROUP BY ALL"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op1_quality_rules": op1(), "op4_mixing": op4(), "op8_warc": OP8, "op9_decontamination": OP9}
+    return {"op1_quality_rules": op1(), "op4_mixing": op4(), "op7_jaccard_join": OP7, "op8_warc": OP8, "op9_decontamination": OP9}
