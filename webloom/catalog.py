@@ -638,7 +638,9 @@ def orphaned_labels(spark, sf_dir):
     return schemas.orphans(table(spark, sf_dir, "labels"), "doc_id", table(spark, sf_dir, "documents").where("doc_id % 9 <> 0"), "doc_id").select("doc_id")
 
 
-@query()
+@query(f"""
+WITH p AS ({_SQL['clean_pages']}) SELECT sha256(page_id || '|' || p.content_hash) AS document_id, chunk_index, start_offset, end_offset, c.content_hash
+FROM ({_chunk_sql(f"SELECT page_id AS id, content AS t FROM ({_SQL['clean_pages']})")}) c JOIN p ON p.page_id = c.id""")
 def ingest_chunks(spark, sf_dir):
     """Pages to documents to chunks, the whole plan."""
     documents = ingest.documents_from_fetches(fetches.fetch_log_from_pages(table(spark, sf_dir, "pages")))
