@@ -260,7 +260,9 @@ def link_rejects(spark, sf_dir):
     return found.groupBy("kind", "code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+SELECT page_id, 1 AS n_tables, least(len(l), 200)::INT AS n_rows, sha256(array_to_string(list_concat(['Structured tables:', 'Table 1: Orders', 'key | priority'], l[1:200]), chr(10))) AS serialized_hash
+FROM (SELECT o_orderkey % 997 AS page_id, list(o_orderkey || ' | ' || o_orderpriority ORDER BY '<tr><td>' || o_orderkey || '</td><td>' || o_orderpriority) AS l FROM orders GROUP BY 1)""")
 def structured_tables(spark, sf_dir):
     """Orders laid out as an HTML table for each customer segment and status, read back."""
     cells = F.concat(F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.col("o_orderpriority"), F.lit("</td></tr>"))
@@ -536,7 +538,11 @@ def keyword_and_match(spark, sf_dir):
     return search.keyword_matches(chunks, documents, "license THE").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+WITH o AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents)),
+k AS (SELECT doc_id, p, word, lag(p) OVER x AS q, lag(word) OVER x AS before FROM o WHERE word IN ('the', 'license') WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT doc_id AS chunk_id, sum(CAST(0.4 AS DOUBLE) / (p - q)) FILTER (word <> before) AS relevance FROM k GROUP BY doc_id HAVING count(DISTINCT word) = 2)
+SELECT chunk_id, round(relevance, 9) AS relevance FROM r ORDER BY r.relevance DESC, chunk_id LIMIT 20""")
 def keyword_cover_density(spark, sf_dir):
     chunks, documents = _chunk_tables(spark, sf_dir)
     return search.keyword_search(chunks, documents, "the license", 20).select("chunk_id", F.round("relevance", 9).alias("relevance"))
