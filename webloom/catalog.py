@@ -433,16 +433,19 @@ def bfs_crawl(spark, sf_dir):
     return crawl.traverse(crawls, _links(spark, sf_dir))
 
 
-@query(f"""
-WITH e AS ({_EDGES}), p AS (SELECT DISTINCT source AS url FROM e WHERE source::INT % 4 = 0),
-k AS (SELECT target AS url, min({{'a': source::BIGINT, 'b': position, 'p': source}}) AS o FROM e WHERE source::INT % 4 = 0 GROUP BY target),
+@query("""
+WITH e AS (SELECT l_suppkey AS parent, 's' || l_suppkey AS source, 'p' || l_partkey AS target, min(l_orderkey * 8 + l_linenumber) AS position FROM lineitem GROUP BY ALL), p AS (SELECT DISTINCT source AS url FROM e),
+k AS (SELECT target AS url, min({'a': parent, 'b': position, 'p': source}) AS o FROM e GROUP BY target),
 n AS (SELECT *, row_number() OVER (ORDER BY o.a, o.b, url) AS r FROM k WHERE url NOT IN (SELECT url FROM p))
-SELECT 'a' AS crawl_id, url AS normalized_url, 1 AS depth, o.p AS parent_page_id FROM n WHERE r <= 100 - (SELECT count(*) FROM p)""")
+SELECT 'a' AS crawl_id, url AS normalized_url, 1 AS depth, o.p AS parent_page_id FROM n WHERE r <= 1500 - (SELECT count(*) FROM p)""")
 def frontier_reserve(spark, sf_dir):
-    links = _links(spark, sf_dir).where(F.col("source").cast("int") % 4 == 0)
+    """Links from every supplier's page to the parts it delivers, as many as the crawl has room for."""
+    source, target = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    rows = table(spark, sf_dir, "lineitem")
+    links = rows.groupBy(F.col("l_suppkey").alias("parent"), source.alias("source"), target.alias("target")).agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"))
     pages = links.select(F.lit("a").alias("crawl_id"), F.col("source").alias("normalized_url")).distinct()
-    candidates = links.select(F.lit("a").alias("crawl_id"), F.col("source").cast("long").alias("parent_order"), "position", F.col("source").alias("parent_page_id"), F.lit(0).alias("parent_depth"), F.col("target").alias("normalized_url"))
-    limits = spark.createDataFrame([("a", 100, 2)], "crawl_id string, max_pages int, max_depth int")
+    candidates = links.select(F.lit("a").alias("crawl_id"), F.col("parent").cast("long").alias("parent_order"), "position", F.col("source").alias("parent_page_id"), F.lit(0).alias("parent_depth"), F.col("target").alias("normalized_url"))
+    limits = spark.createDataFrame([("a", 1500, 2)], "crawl_id string, max_pages int, max_depth int")
     return crawl.reserve(candidates, pages, limits).select("crawl_id", "normalized_url", "depth", "parent_page_id")
 
 
