@@ -1,10 +1,15 @@
 import datetime
+import http.server
+import json
+import os
+import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webloom import api, schemas
-from webloom.operators import crawl, rag, search, versions
+from webloom import api, catalog, schemas
+from webloom.operators import ann, crawl, rag, search, versions
 from webloom.plans import ingest
 from webloom.sources import fetches, paged_files, providers
 from webloom.streaming import politeness
@@ -236,3 +241,87 @@ def test_api(spark, store):
     assert api.backfill_arguments(["--batch-size=50", "--limit", "7"]).limit == 7
     with pytest.raises(SystemExit):
         api.backfill_arguments(["--limit", "0"])
+
+
+def test_cells_find_the_nearest(spark):
+    """Recall against the exact search, many small parts, and rows without a usable vector."""
+    rng = np.random.default_rng(5)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(1500, 16)))]
+    rows += [(5000, None), (5001, [0.0] * 16), (5002, [1.0, 2.0]), (5003, rows[0][1]), (5004, rows[0][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = table.where("vec_id % 20 = 0")
+    exact = search.nearest_batch(table.where("vec_id < 1500 OR vec_id > 5002"), queries.where("vec_id < 1500"), "embedding", "vec_id", 10)
+    centres = ann.train_cells(table, "embedding", "vec_id")
+    index = crawl.cut_lineage(ann.build_index(table, "embedding", "vec_id", centres, part_rows=9), "cells")
+    assert index.count() == index.select("id").distinct().count() == 1502
+    assert index.groupBy("cell").agg(F.max("part").alias("p")).where("p > 0").count() > 0
+    few = ann.search_index(index, queries, "embedding", "vec_id", centres, block=2)
+    assert ann.recall(few, exact).first()[0] >= 0.9
+    all_cells = ann.search_index(index, queries, "embedding", "vec_id", centres, probes=64)
+    assert ann.recall(all_cells, exact).first()[0] == 1.0
+    assert [r.id for r in all_cells.where("query_id = 0").orderBy("rank").limit(3).collect()] == [0, 5003, 5004]
+
+
+def test_cells_of_nothing(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    centres = ann.train_cells(empty, "embedding", "vec_id")
+    index = ann.build_index(empty, "embedding", "vec_id", centres)
+    assert index.count() == 0 and ann.search_index(index, empty, "embedding", "vec_id", centres).count() == 0
+
+
+def test_cells_on_the_tables(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no tables")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    exact = search.nearest_batch(rows, rows.where("vec_id % 20 = 0"), "embedding", "vec_id", 10)
+    assert ann.recall(catalog.queries()["ann_search"](spark, sf_dir), exact).first()[0] >= 0.9
+
+
+def test_robots_lookups(spark):
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda h: start + datetime.timedelta(hours=h)
+    rows = [("a", at(h)) for h in (0, 5, 23.9, 24, 24, 47, 49, 200)] + [("b", at(3))]
+    got = crawl.robots_lookups(spark.createDataFrame(rows, "origin string, requested_at timestamp_ntz")).collect()
+    fetched = sorted((r.origin, (r.requested_at - start).total_seconds() / 3600, (r.fetched_at - start).total_seconds() / 3600) for r in got)
+    assert fetched == [("a", 0, 0), ("a", 5, 0), ("a", 23.9, 0), ("a", 24, 24), ("a", 24, 24), ("a", 47, 24), ("a", 49, 49), ("a", 200, 200), ("b", 3, 3)]
+    with pytest.raises(ValueError):
+        crawl.robots_lookups(spark.createDataFrame(rows, "origin string, requested_at timestamp_ntz"), 0)
+    none = crawl.robots_lookups(spark.createDataFrame([(None, at(0))], "origin string, requested_at timestamp_ntz")).collect()
+    assert len(none) == 1 and none[0].is_fetch is None
+
+
+class _Chat(http.server.BaseHTTPRequestHandler):
+    """Answers with the number of the prompt's characters; some prompts break."""
+
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        prompt = asked["messages"][1]["content"]
+        body = b"no json" if "broken" in prompt else json.dumps({"choices": [{"message": {"content": f" {len(prompt)} [1]. "}}]}).encode()
+        self.send_response(500 if "refused" in prompt else 200)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_answers_from_a_chat_endpoint(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Chat)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        prompts = spark.createDataFrame([(1, "hello"), (2, "broken"), (3, "refused"), (4, None)], "question_id long, prompt string")
+        provider = providers.ChatGeneration(f"http://127.0.0.1:{server.server_port}/v1/", "any", timeout=10)
+        got = {r.question_id: (r.answer, r.error) for r in rag.answers_from(prompts, provider).collect()}
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert got == {1: ("5 [1].", None), 2: (None, "INVALID_RESPONSE"), 3: (None, "UNAVAILABLE")}
+
+
+def test_migrated_crawls(spark):
+    none = [F.lit(None).cast("timestamp").alias(c) for c in ("created_at", "started_at", "completed_at")]
+    rows = spark.createDataFrame([(1, "https://a.example.com/x", "FAILED"), (2, "nowhere", "OTHER"), (3, None, None)], "id long, url string, status string")
+    moved, roots = crawl.migrate_single_page(rows.select("*", F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error_message"), *none))
+    assert [(r.normalized_origin, r.completed_count, r.failed_count) for r in moved.orderBy("id").collect()] == [("https://a.example.com", 0, 1), (None, 0, 0), (None, 0, 0)]
+    assert [(r.crawl_id, r.status) for r in roots.orderBy("id").collect()] == [(1, "FAILED"), (2, None), (3, None)]

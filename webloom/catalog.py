@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom import schemas
 from webloom.functions import chunking, html, policy, text, urls, vectors
-from webloom.operators import crawl, rag, search, versions
+from webloom.operators import ann, crawl, rag, search, versions
 from webloom.plans import ingest
 from webloom.sources import fetches, providers, sinks
 from webloom.streaming import politeness
@@ -391,10 +391,16 @@ def failure_classification(spark, sf_dir):
     return _failures(spark, sf_dir).select("event_id", "category", policy.is_retryable(F.col("category")).alias("retryable"))
 
 
-@query(f"SELECT event_id, least(60000, 1000 * power(2, attempt - 1))::BIGINT AS delay_ms, CASE WHEN http_status = 429 THEN 7000 ELSE least(60000, 1000 * power(2, attempt - 1)) END::BIGINT AS with_header FROM ({_FAILURES})")
+@query(f"""
+SELECT event_id, delay_ms, coalesce(CASE WHEN http_status = 429 THEN CASE event_id % 3 WHEN 0 THEN 1000 * (event_id % 90) WHEN 1 THEN (epoch_us(date_trunc('second', ts + INTERVAL 37 SECOND)) - epoch_us(date_trunc('millisecond', ts))) // 1000 END END, delay_ms)::BIGINT AS with_header
+FROM (SELECT event_id, http_status, least(60000, 1000 * power(2, attempt - 1))::BIGINT AS delay_ms FROM ({_FAILURES})) JOIN events USING (event_id)""")
 def backoff_schedule(spark, sf_dir):
-    header = policy.retry_after_ms(F.when(F.col("http_status") == 429, "7"), F.current_timestamp())
-    return _failures(spark, sf_dir).select("event_id", policy.backoff_ms(F.col("attempt")).alias("delay_ms"), policy.backoff_ms(F.col("attempt"), header).alias("with_header"))
+    """Delays with Retry-After headers of seconds, of dates, and of neither."""
+    rows = _failures(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("now")), "event_id")
+    date = F.concat(F.date_format(F.col("now") + F.expr("INTERVAL 37 SECONDS"), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    header = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 90).cast("string")).when(F.col("event_id") % 3 == 1, date).otherwise("soon")
+    asked = policy.retry_after_ms(F.when(F.col("http_status") == 429, header), F.col("now"))
+    return rows.select("event_id", policy.backoff_ms(F.col("attempt")).alias("delay_ms"), policy.backoff_ms(F.col("attempt"), asked).alias("with_header"))
 
 
 @query(f"""
@@ -407,17 +413,21 @@ def dead_letters(spark, sf_dir):
     return crawl.dead_letters(pages).select("crawl_page_id", "failure_category", "attempt_count")
 
 
-_EDGES = "SELECT (l_orderkey % 211)::VARCHAR AS source, (l_partkey % 211)::VARCHAR AS target, min(l_orderkey * 8 + l_linenumber) AS position FROM lineitem GROUP BY ALL"
+_EDGES = """
+SELECT unnest(['s' || l_suppkey, 'p' || l_partkey]) AS source, unnest(['p' || l_partkey, 's' || l_suppkey]) AS target, min(l_orderkey * 8 + l_linenumber) AS position
+FROM lineitem GROUP BY l_suppkey, l_partkey"""
 
 
 def _links(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    key = lambda c: (F.col(c) % 211).cast("string")
-    return rows.groupBy(key("l_orderkey").alias("source"), key("l_partkey").alias("target")).agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"))
+    """Links of every supplier's page to the parts it delivers, and back."""
+    pairs = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"))
+    supplier, part = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    ends = F.array(F.struct(supplier.alias("source"), part.alias("target")), F.struct(part.alias("source"), supplier.alias("target")))
+    return pairs.select(F.explode(ends).alias("e"), "position").select("e.source", "e.target", "position")
 
 
 @query(f"""
-WITH e AS ({_EDGES}), c AS (SELECT 'a' AS crawl_id, '1' AS seed, 40 AS cap, 2 AS deep UNION ALL SELECT 'b', '7', 150, 2 UNION ALL SELECT 'c', '9', 10, 0),
+WITH e AS ({_EDGES}), c AS (SELECT 'a' AS crawl_id, 's1' AS seed, 40 AS cap, 2 AS deep UNION ALL SELECT 'b', 's7', 150, 2 UNION ALL SELECT 'c', 's9', 10, 0),
 l0 AS (SELECT crawl_id, seed AS url, 0 AS depth, NULL::VARCHAR AS parent, 0::BIGINT AS position FROM c),
 k1 AS (SELECT crawl_id, target AS url, min({{'a': l0.position, 'b': e.position, 'p': l0.url}}) AS o FROM l0 JOIN c USING (crawl_id) JOIN e ON source = url WHERE deep > 0 GROUP BY crawl_id, target),
 n1 AS (SELECT k1.*, row_number() OVER (PARTITION BY crawl_id ORDER BY o.a, o.b, url) AS r FROM k1 WHERE NOT EXISTS (SELECT 1 FROM l0 WHERE l0.crawl_id = k1.crawl_id AND l0.url = k1.url)),
@@ -429,7 +439,7 @@ u AS (SELECT crawl_id, count(*) AS used FROM (FROM l0 UNION ALL FROM l1) GROUP B
 l2 AS (SELECT n2.crawl_id, url, 2 AS depth, o.p AS parent, used - 1 + r AS position FROM n2 JOIN c USING (crawl_id) JOIN u USING (crawl_id) WHERE r <= cap - used)
 SELECT crawl_id, url AS normalized_url, depth, parent AS parent_url, position FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2)""")
 def bfs_crawl(spark, sf_dir):
-    crawls = spark.createDataFrame([("a", "1", 40, 2), ("b", "7", 150, 2), ("c", "9", 10, 0)], "crawl_id string, seed_url string, max_pages int, max_depth int")
+    crawls = spark.createDataFrame([("a", "s1", 40, 2), ("b", "s7", 150, 2), ("c", "s9", 10, 0)], "crawl_id string, seed_url string, max_pages int, max_depth int")
     return crawl.traverse(crawls, _links(spark, sf_dir))
 
 
@@ -706,7 +716,7 @@ def chunk_backfill(spark, sf_dir):
 
 _ATTEMPTS = """
 SELECT user_id AS page_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
-  CASE WHEN event_type = 'purchase' AND value > 50 THEN 'COMPLETED' WHEN event_type = 'purchase' THEN 'REUSED' WHEN event_type = 'scroll' THEN 'SKIPPED_ROBOTS' ELSE 'FAILED' END AS outcome,
+  CASE WHEN event_type = 'purchase' AND value > 50 THEN 'COMPLETED' WHEN event_type = 'purchase' THEN 'REUSED' WHEN event_type = 'signup' THEN 'SKIPPED_ROBOTS' ELSE 'FAILED' END AS outcome,
   CASE event_type WHEN 'click' THEN 'HTTP_429' WHEN 'error' THEN 'HTTP_PERMANENT' ELSE 'NETWORK_TIMEOUT' END AS category FROM events"""
 
 
@@ -720,7 +730,7 @@ def page_states(spark, sf_dir):
 
     rows = table(spark, sf_dir, "events")
     kind, order = F.col("event_type"), Window.partitionBy("user_id").orderBy("ts", "event_id")
-    outcome = F.when((kind == "purchase") & (F.col("value") > 50), "COMPLETED").when(kind == "purchase", "REUSED").when(kind == "scroll", "SKIPPED_ROBOTS").otherwise("FAILED")
+    outcome = F.when((kind == "purchase") & (F.col("value") > 50), "COMPLETED").when(kind == "purchase", "REUSED").when(kind == "signup", "SKIPPED_ROBOTS").otherwise("FAILED")
     category = F.when(kind == "click", "HTTP_429").when(kind == "error", "HTTP_PERMANENT").otherwise("NETWORK_TIMEOUT")
     attempts = rows.select(F.col("user_id").alias("page_id"), F.row_number().over(order).alias("attempt"), outcome.alias("outcome"), category.alias("failure_category"), F.lit("failed").alias("error"), F.lit(None).cast("long").alias("retry_after_ms"))
     return crawl.page_outcomes(attempts).select("page_id", "status", "attempts", "failure_category", F.col("delay_ms").cast("long").alias("delay_ms"))
@@ -803,3 +813,130 @@ def version_traversal(spark, sf_dir):
     order = Window.partitionBy("source", "lang", F.floor(F.col("doc_id") / 20)).orderBy("doc_id")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lag("doc_id").over(order).alias("previous_version_id"))
     return versions.version_chain(docs)
+
+
+# what a crawl meets: failures, guards, kept rules, redelivered jobs
+
+
+_NETWORK = "['ECONNABORTED', 'ETIMEDOUT', 'ECONNRESET', 'EAI_AGAIN', 'ENOTFOUND', 'EPIPE', NULL]"
+_MESSAGES = "['Navigation timeout of 15000 ms', 'Page crash', 'target closed', 'body is too large', 'no route', NULL]"
+
+
+@query(f"""
+SELECT *, network IN ('NETWORK_TIMEOUT', 'CONNECTION_RESET', 'DNS_TEMPORARY', 'UNKNOWN') AS retryable FROM (
+  SELECT event_id, CASE WHEN message = 'body is too large' THEN 'RESPONSE_TOO_LARGE' WHEN code IN ('ECONNABORTED', 'ETIMEDOUT') THEN 'NETWORK_TIMEOUT' WHEN code = 'ECONNRESET' THEN 'CONNECTION_RESET'
+           WHEN code = 'EAI_AGAIN' THEN 'DNS_TEMPORARY' WHEN code = 'ENOTFOUND' THEN 'DNS_FAILURE' ELSE 'UNKNOWN' END AS network,
+         CASE WHEN event_type = 'click' OR message LIKE '%timeout%' THEN 'BROWSER_TIMEOUT' WHEN message IN ('Page crash', 'target closed') THEN 'BROWSER_CRASH' ELSE 'BROWSER_NAVIGATION' END AS browser
+  FROM (SELECT event_id, event_type, {_NETWORK}[user_id % 7 + 1] AS code, {_MESSAGES}[event_id % 6 + 1] AS message FROM events))""")
+def unanswered_requests(spark, sf_dir):
+    """Categories of requests without a response, by a client's codes and by a browser's messages."""
+    codes = F.array(*map(F.lit, ("ECONNABORTED", "ETIMEDOUT", "ECONNRESET", "EAI_AGAIN", "ENOTFOUND", "EPIPE", None)))
+    messages = F.array(*map(F.lit, ("Navigation timeout of 15000 ms", "Page crash", "target closed", "body is too large", "no route", None)))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", codes[(F.col("user_id") % 7).cast("int")].alias("code"), messages[(F.col("event_id") % 6).cast("int")].alias("message"))
+    name = F.when(F.col("event_type") == "click", "TimeoutError").otherwise("Error")
+    network = policy.classify_network(F.col("code"), F.col("message"))
+    return rows.select("event_id", network.alias("network"), policy.classify_browser(name, F.col("message")).alias("browser"), policy.is_retryable(network).alias("retryable"))
+
+
+@query("""
+SELECT page_id, category AS failure_category, not_modified, coalesce(category NOT IN ('HTTP_PERMANENT', 'UNSUPPORTED_CONTENT_TYPE', 'RESPONSE_TOO_LARGE', 'DNS_FAILURE'), false) AS retryable FROM (
+  SELECT page_id::VARCHAR AS page_id, coalesce(status = 304, false) AS not_modified,
+    CASE WHEN status IS NULL THEN CASE WHEN page_id % 2 = 0 THEN 'BROWSER_NAVIGATION' ELSE 'DNS_FAILURE' END WHEN status = 304 THEN NULL WHEN status IN (429, 503) THEN 'HTTP_' || status
+         WHEN status <> 200 THEN 'HTTP_PERMANENT' WHEN html LIKE '%<table%' AND page_id % 5 = 1 THEN 'UNSUPPORTED_CONTENT_TYPE' WHEN strlen(html) > 2097152 THEN 'RESPONSE_TOO_LARGE' END AS category
+  FROM (SELECT *, [200, 304, 404, 429, 503, NULL, 200, 200][page_id % 8 + 1] AS status FROM pages))""")
+def judged_fetches(spark, sf_dir):
+    """A log with kept, refused, failing and rendered pages, judged."""
+    statuses = F.array(*map(F.lit, (200, 304, 404, 429, 503, None, 200, 200)))
+    pages = table(spark, sf_dir, "pages")
+    log = fetches.fetch_log_from_pages(pages).withColumns(
+        {
+            "http_status": statuses[(F.col("page_id").cast("long") % 8).cast("int")],
+            "render_mode": F.when(F.col("page_id").cast("long") % 2 == 0, "JAVASCRIPT").otherwise("STATIC"),
+            "content_type": F.when(F.col("body").contains("<table") & (F.col("page_id").cast("long") % 5 == 1), "text/csv").otherwise("text/html; charset=utf-8"),
+        }
+    )
+    log = log.withColumn("error_code", F.when(F.col("http_status").isNull(), "ENOTFOUND"))
+    return fetches.judge(log).select("page_id", "failure_category", "not_modified", "retryable")
+
+
+_V6 = "['2001:db8::', 'fe80::', 'fc00::', 'ff02::', '2002::', '2001::', '64:ff9b::', '::ffff:10.0.0.', '::ffff:93.184.216.', '2a00:1450::', '2606:4700::', '::']"
+
+
+@query(f"""
+SELECT event_id, address, NOT starts_with(address, '2a00') AND NOT starts_with(address, '2606') AND NOT starts_with(address, '::ffff:93') AS unsafe
+FROM (SELECT event_id, {_V6}[event_id % 12 + 1] || (user_id % 100 + 1) AS address FROM events)""")
+def ip_safety_v6(spark, sf_dir):
+    prefixes = F.array(*map(F.lit, ("2001:db8::", "fe80::", "fc00::", "ff02::", "2002::", "2001::", "64:ff9b::", "::ffff:10.0.0.", "::ffff:93.184.216.", "2a00:1450::", "2606:4700::", "::")))
+    address = F.concat(prefixes[(F.col("event_id") % 12).cast("int")], (F.col("user_id") % 100 + 1).cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", address.alias("address"))
+    return rows.select("event_id", "address", policy.unsafe_addresses(F.array("address")).alias("unsafe"))
+
+
+@query(f"""
+SELECT page_id, CASE WHEN error IS NULL THEN regexp_replace(url, '#.*$', '') || '.pdf' END AS url, error AS error_code FROM (
+  SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, CASE WHEN page_id % 4 = 0 THEN 'EXTERNAL_ORIGIN' WHEN page_id % 4 = 1 THEN 'UNSAFE_TARGET' END AS error FROM pages)""")
+def navigation_guard(spark, sf_dir):
+    """Downloads beside each page, opened by the page itself, by one of another origin, and at a private address."""
+    bare = F.regexp_replace("url", r"[?#].*$", "")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(bare, F.lit(".pdf")).alias("wanted"), "url")
+    addresses = F.when(F.col("page_id") % 4 == 1, F.array(F.lit("93.184.216.34"), F.lit("10.0.0.8"))).otherwise(F.array(F.lit("93.184.216.34")))
+    allowed = F.when(F.col("page_id") % 4 == 0, "https://other.example.org").otherwise(F.col("url"))
+    found = pages.select("page_id", policy.navigation(F.col("wanted"), F.col("url"), allowed, addresses).alias("n"))
+    return found.select("page_id", "n.url", "n.error_code")
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT event_id, 'h' || user_id % 30 AS origin, ts FROM events),
+f AS (SELECT origin, min(ts) AS at FROM r GROUP BY origin UNION ALL SELECT f.origin, min(r.ts) FROM f JOIN r ON r.origin = f.origin AND r.ts >= f.at + INTERVAL 24 HOUR GROUP BY f.origin)
+SELECT event_id, r.origin, f.at AS fetched_at, f.at = r.ts AS is_fetch FROM r ASOF JOIN f ON r.origin = f.origin AND r.ts >= f.at""")
+def robots_cache(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("h"), (F.col("user_id") % 30).cast("string")).alias("origin"), F.col("ts").alias("requested_at"))
+    return crawl.robots_lookups(rows).select("event_id", "origin", "fetched_at", "is_fetch")
+
+
+@query("""
+SELECT o_orderkey AS id, regexp_extract(url, '^[a-z]+://[^/]+') AS normalized_origin, (s = 'COMPLETED')::INT AS completed_count, (s = 'FAILED')::INT AS failed_count, s AS page_status, 0 AS depth, 25 AS max_pages
+FROM (SELECT o_orderkey, 'https://c' || o_custkey || '.example.com/' || o_orderkey AS url, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'QUEUED' ELSE 'FAILED' END AS s FROM orders)""")
+def single_page_migration(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "QUEUED").otherwise("FAILED")
+    url = F.concat(F.lit("https://c"), F.col("o_custkey").cast("string"), F.lit(".example.com/"), F.col("o_orderkey").cast("string"))
+    none = [F.lit(None).cast("timestamp").alias(c) for c in ("created_at", "started_at", "completed_at")]
+    crawls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), url.alias("url"), status.alias("status"), F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("error_message"), *none)
+    moved, roots = crawl.migrate_single_page(crawls)
+    return moved.join(roots.select("id", F.col("status").alias("page_status"), "depth"), "id").select("id", "normalized_origin", "completed_count", "failed_count", "page_status", "depth", "max_pages")
+
+
+@query(f"SELECT depth, count(*) AS n FROM ({_SQL['bfs_crawl']}) GROUP BY depth")
+def pages_by_depth(spark, sf_dir):
+    return crawl.pages_by_depth(bfs_crawl(spark, sf_dir))
+
+
+@query("SELECT DISTINCT user_id AS job_id, (event_id % 3)::BIGINT AS attempt FROM events")
+def job_deliveries(spark, sf_dir):
+    """A stream of deliveries, some of the same job and attempt more than once."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    jobs = stream.select(F.col("user_id").alias("job_id"), (F.col("event_id") % 3).alias("attempt"), F.col("ts").cast("timestamp").alias("enqueued_at"))
+    return crawl.run_stream(politeness.first_deliveries(jobs, delay="3650 days"), "deliveries").select("job_id", "attempt")
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 2000)")
+def cascaded_labels(spark, sf_dir):
+    kept = table(spark, sf_dir, "documents").where("n_chars > 2000")
+    return schemas.cascade(table(spark, sf_dir, "labels"), "doc_id", kept, "doc_id").select("doc_id", "quality")
+
+
+@query("SELECT l.quality, d.doc_id, count(*) AS n FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 2000) d USING (doc_id) GROUP BY ALL")
+def detached_labels(spark, sf_dir):
+    kept = table(spark, sf_dir, "documents").where("n_chars > 2000")
+    found = schemas.set_null(table(spark, sf_dir, "labels"), "doc_id", kept, "doc_id")
+    return found.groupBy("quality", "doc_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def ann_search(spark, sf_dir):
+    """The ten nearest of every vector whose id is divisible by 20, by cells; tests hold its recall against the exact search."""
+    rows = table(spark, sf_dir, "embeddings")
+    centres = ann.train_cells(rows, "embedding", "vec_id")
+    index = crawl.cut_lineage(ann.build_index(rows, "embedding", "vec_id", centres), "cells")
+    return ann.search_index(index, rows.where("vec_id % 20 = 0"), "embedding", "vec_id", centres)

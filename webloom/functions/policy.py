@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions import urls
+
 #: Whether a failure of each category may be tried again.
 RETRYABLE = {
     "HTTP_429": True, "HTTP_502": True, "HTTP_503": True, "HTTP_504": True, "NETWORK_TIMEOUT": True, "CONNECTION_RESET": True, "DNS_TEMPORARY": True,
@@ -204,3 +206,10 @@ def unsafe_addresses(addresses: Column) -> Column:
         return pd.Series([a is None or len(a) == 0 or any(is_unsafe(x) for x in a) for a in found])
 
     return run(addresses)
+
+
+def navigation(url: Column, page_url: Column, allowed_origin: Column, addresses: Column) -> Column:
+    """struct<url, error_code> of an address that a page's browser wants to open: it must stay in the origin and lead to safe addresses only; files may be downloads."""
+    found = urls.normalize_url(url, page_url, allowed_origin, reject_downloadable=False)
+    unsafe = found["error_code"].isNull() & unsafe_addresses(addresses)
+    return F.struct(F.when(~unsafe, found["url"]).alias("url"), F.when(unsafe, "UNSAFE_TARGET").otherwise(found["error_code"]).alias("error_code"))

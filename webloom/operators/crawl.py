@@ -23,7 +23,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it again; the table goes when the driver ends, or with ``sweep``."""
-    spark = df.sparkSession
+    path = _new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.partition("[")[0] != "local":
@@ -32,8 +37,20 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/webloom-{name}-{uuid.uuid4().hex[:12]}"
     _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def run_stream(rows: DataFrame, name: str) -> DataFrame:
+    """What a stream gives for all input that is there now, as a table beside those of ``cut_lineage``."""
+    spark = rows.sparkSession
+    path = _new_path(spark, name)
+    sink = rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append")
+    running = sink.start(f"{path}/rows")
+    try:
+        running.awaitTermination()
+    finally:
+        running.stop()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
 def sweep() -> None:
@@ -231,6 +248,64 @@ def spacing(requests: DataFrame, interval_ms: int = 1000) -> DataFrame:
     return own.withColumn("wait_ms", F.col("start_ms") - F.col("arrival_ms")).drop("_before")
 
 
+def robots_lookups(requests: DataFrame, ttl_hours: int = 24) -> DataFrame:
+    """Requests with ``fetched_at``, when the rules that answer them were fetched, and ``is_fetch``, whether they caused that.
+
+    ``requests``: (origin, requested_at, ...). The first request of an origin fetches its
+    rules, and so does the first one once those are ``ttl_hours`` old; the rest are answered
+    from what is kept. Each round finds the next fetch of every origin, so there are as
+    many rounds as lifetimes in the log, and a busy origin is aggregated in parts.
+    """
+    if ttl_hours < 1:
+        raise ValueError("ttl_hours from 1")
+    times = requests.where(F.col("origin").isNotNull() & F.col("requested_at").isNotNull()).select("origin", "requested_at")
+    live = times.groupBy("origin").agg(F.min("requested_at").alias("fetched_at"))
+    expires = F.col("fetched_at") + F.expr(f"INTERVAL {int(ttl_hours)} HOURS")
+    found = None
+    while True:
+        live = cut_lineage(live.withColumn("expires_at", expires), "robots")
+        if live.isEmpty():
+            break
+        found = live if found is None else found.unionByName(live)
+        later = times.join(live, "origin").where(F.col("requested_at") >= F.col("expires_at"))
+        live = later.groupBy("origin").agg(F.min("requested_at").alias("fetched_at"))
+    if found is None:
+        return requests.withColumn("fetched_at", F.col("requested_at")).withColumn("is_fetch", F.lit(None).cast("boolean"))
+    span = found.select(F.col("origin").alias("_origin"), "fetched_at", "expires_at")
+    # a lifetime ends where it expires, so at most one holds a request
+    joined = requests.join(span, (F.col("origin") == F.col("_origin")) & (F.col("requested_at") >= F.col("fetched_at")) & (F.col("requested_at") < F.col("expires_at")), "left")
+    return joined.withColumn("is_fetch", F.col("requested_at") == F.col("fetched_at")).drop("_origin", "expires_at")
+
+
+def pages_by_depth(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("depth").agg(F.count("*").alias("n"))
+
+
+def migrate_single_page(crawls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Crawls of one page each, brought to the form of crawls of many: (crawls with limits and counts, their root pages of the same ids).
+
+    ``crawls``: (id, url, status, attempts, error_message, created_at, started_at, completed_at).
+    """
+    known = F.col("status").isin("QUEUED", "PROCESSING", "RETRYING", "COMPLETED", "FAILED")
+    moved = crawls.withColumns(
+        {
+            "seed_url": F.col("url"),
+            "normalized_origin": F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/]+", 0), F.lit("")),
+            "max_pages": F.lit(25),
+            "max_depth": F.lit(2),
+            "discovered_count": F.lit(1),
+            "completed_count": F.coalesce((F.col("status") == "COMPLETED").cast("int"), F.lit(0)),
+            "skipped_count": F.lit(0),
+            "failed_count": F.coalesce((F.col("status") == "FAILED").cast("int"), F.lit(0)),
+        }
+    )
+    roots = crawls.select(
+        "id", F.col("id").alias("crawl_id"), "url", F.col("url").alias("normalized_url"), F.lit(0).alias("depth"), F.when(known, F.col("status")).alias("status"),
+        "attempts", F.col("error_message").alias("error"), "created_at", "started_at", "completed_at",
+    )
+    return moved, roots
+
+
 def limiter_key(url: Column) -> Column:
     """Host and effective port, whatever the scheme."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z]+)://", 1))

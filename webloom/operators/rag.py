@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import text
+from webloom.sources.providers import GenerationError, GenerationProvider
 
 #: Fixed value: the answer where no source is found.
 INSUFFICIENT = "I could not find enough relevant information in the indexed documents to answer this question."
@@ -164,3 +167,22 @@ def ask(questions: DataFrame, hits: DataFrame, answers: DataFrame, config: RagCo
         F.when(~none & (status == 200), cited).otherwise(F.array().cast(f"array<{SOURCE_TYPE}>")).alias("citations"),
         F.col("n_sources").alias("result_count"),
     )
+
+
+def answers_from(prompts: DataFrame, provider: GenerationProvider) -> DataFrame:
+    """(question_id, answer, error) of what a provider says to each prompt; a failing call gives its code. ``prompts``: (question_id, prompt), null where there are no sources."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(question, *_answer(prompt, provider)) for question, prompt in zip(frame["question_id"], frame["prompt"], strict=True)]
+            yield pd.DataFrame(rows, columns=["question_id", "answer", "error"])
+
+    kind = prompts.schema["question_id"].dataType.simpleString()
+    return prompts.select("question_id", "prompt").where(F.col("prompt").isNotNull()).mapInPandas(run, f"question_id {kind}, answer string, error string")
+
+
+def _answer(prompt: str, provider: GenerationProvider) -> tuple[str | None, str | None]:
+    try:
+        return provider.generate(SYSTEM_PROMPT, prompt), None
+    except GenerationError as error:
+        return None, error.code

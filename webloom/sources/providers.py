@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import urllib.error
+import urllib.request
 from typing import Protocol
 
 
@@ -45,3 +48,39 @@ class EchoGeneration:
     def generate(self, system: str, user: str) -> str:
         body = user.split("Content:\n", 1)
         return (" ".join(body[1].split()[:20]) + " [1].") if len(body) == 2 else ""
+
+
+class GenerationError(RuntimeError):
+    """A model that gave no answer: ``code`` is TIMEOUT, UNAVAILABLE or INVALID_RESPONSE."""
+
+    def __init__(self, code: str):
+        super().__init__(code)
+        self.code = code
+
+
+class ChatGeneration:
+    """Answers from a chat endpoint of the common ``/chat/completions`` form.
+
+    Called by tasks, once a question; an object holds settings only and can be shipped.
+    """
+
+    def __init__(self, base_url: str, model: str, key: str = "", max_tokens: int = 800, timeout: float = 60.0, temperature: float = 0.1):
+        self.url, self.model, self.key = base_url.rstrip("/") + "/chat/completions", model, key
+        self.max_tokens, self.timeout, self.temperature = max_tokens, timeout, temperature
+
+    def generate(self, system: str, user: str) -> str:
+        messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+        body = {"model": self.model, "messages": messages, "temperature": self.temperature, "max_tokens": self.max_tokens}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        try:
+            with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), headers), timeout=self.timeout) as response:
+                answer = json.load(response)["choices"][0]["message"]["content"]
+        except TimeoutError as error:
+            raise GenerationError("TIMEOUT") from error
+        except urllib.error.URLError as error:  # of a refused status as well
+            raise GenerationError("TIMEOUT" if isinstance(error.reason, TimeoutError) else "UNAVAILABLE") from error
+        except (ValueError, KeyError, IndexError, TypeError) as error:
+            raise GenerationError("INVALID_RESPONSE") from error
+        if not isinstance(answer, str) or not answer.strip():
+            raise GenerationError("INVALID_RESPONSE")
+        return answer.strip()
