@@ -63,7 +63,7 @@ class SuffixConfig:
     hot_runs: int = 10_000
     #: Runs that a task holds before it sends their anchors on, and bytes of text for each block of anchors.
     chunk_runs: int = 400_000
-    block_bytes: int = 1 << 26
+    block_bytes: int = 1 << 24
 
 
 # suffix arrays

@@ -176,8 +176,8 @@ def column_block(grams: np.ndarray, n_blocks: int) -> np.ndarray:
 def by_first(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
     """``solve`` on the other columns of each run of rows with an equal first column."""
     held, last = [], None
-    for batch in batches:
-        for key, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+    for part in (batch.slice(at, 64) for batch in batches for at in range(0, len(batch), 64)):  # so that few rows are held twice
+        for key, *rest in zip(*[c.to_pylist() for c in part.columns], strict=True):
             if key != last and held:
                 yield solve(held)
                 held = []
