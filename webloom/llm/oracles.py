@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+from webloom.llm import chat_tree
 from webloom.llm.mixing import LEVELS, MixConfig
 from webloom.llm.quality import QualityConfig
+from webloom.llm.vector_codes import CodeConfig
 
 
 def op1(config: QualityConfig = QualityConfig()) -> str:
@@ -159,5 +163,55 @@ r AS (SELECT doc_id AS at, doc_id AS low FROM n UNION SELECT m.b, r.low FROM r J
 SELECT n.doc_id, n.n AS n_shingles, min(r.low) AS component_id FROM n JOIN r ON r.at = n.doc_id GROUP BY ALL"""
 
 
+def op11(config: CodeConfig = CodeConfig()) -> str:
+    k, parts = config.entries, config.parts
+
+    def assigned(round_: int) -> str:
+        return f"""a{round_} AS MATERIALIZED (
+  SELECT rn, y.p, any_value(y) AS y, min((list_inner_product(y, y) - 2 * list_inner_product(y, c) + list_inner_product(c, c))::BIGINT * {k} + e) AS m
+  FROM pt y JOIN b{round_} b ON b.p = y.p GROUP BY rn, y.p)"""
+
+    def better(round_: int) -> str:
+        return f"""b{round_ + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{round_} b LEFT JOIN (
+    SELECT p, e, list(f ORDER BY i) AS c FROM (
+      SELECT p, m % {k} AS e, i, floor(sum(v) / count(*)) AS f FROM (SELECT p, m, unnest(y) AS v, unnest(range(len(y))) AS i FROM a{round_}) GROUP BY ALL)
+    GROUP BY p, e) n ON n.p = b.p AND n.e = b.e)"""
+
+    steps = [s for r in range(config.rounds) for s in (assigned(r), better(r))]
+    return f"""
+WITH x AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS rn FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)
+), pt AS MATERIALIZED (
+  SELECT rn, p, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] AS y FROM (SELECT rn, x, unnest(range({parts})) AS p FROM x)
+), b0 AS MATERIALIZED (SELECT p, rn - 1 AS e, y AS c FROM pt WHERE rn <= {k}), {', '.join(steps)}, {assigned(config.rounds)},
+s AS (SELECT sha256(string_agg(v::BIGINT, ',' ORDER BY p, e, i)) AS sha FROM (SELECT p, e, unnest(c) AS v, unnest(range(len(c))) AS i FROM b{config.rounds})),
+r AS (SELECT rn, string_agg(printf('%02x', m % {k}), '' ORDER BY p) AS code, sum(m // {k})::BIGINT AS error FROM a{config.rounds} GROUP BY rn)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256 FROM x JOIN r USING (rn), s
+"""
+
+
+def op13() -> str:
+    escaped = "text"
+    for first in ("<", "["):
+        rests = "|".join(re.escape(m[1:]) for m in chat_tree.MARKS if m[0] == first)
+        escaped = rf"regexp_replace({escaped}, '({re.escape(first)})(\\*(?:{rests}))', '\1\\\2', 'g')"
+    marks = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in chat_tree.ROLES.items())
+    other = f"{sum(map(len, chat_tree.OTHER))} + length({escaped.replace('text', 'role', 1)})"
+    odd = ", ".join(f"({chat_tree.ODD_ID}, {k}, '{role}', '{chat_tree.ODD_TEXT}')" for k, role in enumerate(("user", "assistant")))
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {odd})
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       ({len(chat_tree.BEGIN)} + sum(length({escaped}) + CASE role {marks} ELSE {other} END))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op1_quality_rules": op1(), "op4_mixing": op4(), "op7_jaccard_join": OP7, "op8_warc": OP8, "op9_decontamination": OP9}
+    return {"op1_quality_rules": op1(), "op4_mixing": op4(), "op7_jaccard_join": OP7, "op8_warc": OP8, "op9_decontamination": OP9, "op11_vector_codes": op11(), "op13_chat_tree": op13()}

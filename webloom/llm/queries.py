@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import attention_lm, decontamination, jaccard, licenses, mixing, pii, quality, sharding, suffix_dedup, warc
+from webloom.llm import attention_lm, chat_tree, decontamination, jaccard, licenses, mixing, pii, quality, sharding, suffix_dedup, vector_codes, warc, whitening
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tree.digests(chat_tree.with_odd(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_decontamination": op9_decontamination,
         "op10_license_scan": op10_license_scan,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_whitening": op12_whitening,
+        "op13_chat_tree": op13_chat_tree,
     }
 
 
