@@ -66,8 +66,9 @@ class ChatConfig:
     tokenizer_file: str | None = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     #: Characters of a piece at most, so that a text of any shape takes time in proportion to it.
     piece: int = 200
-    #: Tokens of a range of the stream (about); a range is walked by one task.
+    #: Tokens of a range of the stream (about), and ranges at most; a range is walked by one task, and the driver has some numbers of each.
     range_tokens: int = 1_000_000
+    ranges: int = 10_000
 
 
 def escape(text: str) -> str:
@@ -238,7 +239,7 @@ def walk(paths: DataFrame, config: ChatConfig) -> DataFrame:
             seq += n
 
     tokens = paths.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
-    ranged = paths.select("node", "copies", "path", "sizes").repartitionByRange(max(1, -(-tokens // config.range_tokens)), "path").sortWithinPartitions("path")
+    ranged = paths.select("node", "copies", "path", "sizes").repartitionByRange(max(1, min(config.ranges, -(-tokens // config.range_tokens))), "path").sortWithinPartitions("path")
     return materialize(ranged.mapInArrow(run, _WALKED), "chat-walk")
 
 
@@ -319,8 +320,8 @@ def build(conversations: DataFrame, config: ChatConfig = ChatConfig()) -> tuple[
     """The tree, and (conv_id, node) of every conversation's last turn; written tables.
 
     A row of the tree: node, range, start (of its first token in the stream), chain (start of
-    the chain it is in), depth (turns from the conversation's start), ids, position_ids,
-    loss_from and loss_to (within ids), attend (intervals of the stream, in order, the last
+    the chain it is in), depth (turns from the conversation's start), ids, position_ids (and
+    position, the first of them), loss_from and loss_to (within ids), attend (intervals of the stream, in order, the last
     up to the node's end, within which its tokens see those up to themselves), copies.
     """
     told = turns(conversations, config)
@@ -330,9 +331,8 @@ def build(conversations: DataFrame, config: ChatConfig = ChatConfig()) -> tuple[
     placed = _nodes(walked, _joints(walked))
     # of equal nodes any will do
     ids = told.where("path IS NULL").groupBy("node").agg(F.first(F.struct("ids", "loss_from", "loss_to")).alias("t")).select("node", "t.*")
-    stop = F.col("position") + F.size("ids") - 1
-    tree = placed.join(ids, "node").withColumn("position_ids", F.sequence("position", stop)).drop("position")
-    return materialize(tree, "chat-tree"), ends.select("conv_id", "node")
+    tree = materialize(placed.join(ids, "node"), "chat-tree")
+    return tree.withColumn("position_ids", F.sequence("position", F.col("position") + F.size("ids") - 1)), ends.select("conv_id", "node")
 
 
 # Reading
@@ -352,7 +352,8 @@ def read(tree: DataFrame, config: ChatConfig = ChatConfig()) -> DataFrame:
     columns = ["range", "start", "depth", "node", "copies", "ids", "loss_from", "loss_to"]
     above = tree.join(small(materialize(needed, "chat-above")), (F.col("chain") == F.col("_chain")) & (F.col("start") < F.col("_stop")))
     context = above.select(F.col("_range").alias("range"), "start", "depth", "node", F.lit(0).cast("long").alias("copies"), "ids", "loss_from", "loss_to")
-    rows = tree.select(columns).unionByName(context).repartition("range").sortWithinPartitions("range", "start")
+    ranges = (tree.agg(F.max("range")).first()[0] or 0) + 1
+    rows = tree.select(columns).unionByName(context).repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "start")
     tokens = _sent(tree, config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,17 +73,15 @@ def add(high: np.ndarray, low: np.ndarray, more: np.ndarray, more_low: np.ndarra
 
 
 def _sliced(high: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
-    """``SLICES`` slices of ``SLICE_BITS`` bits each, at places that the largest value sets; their sum is high + low to all their bits together."""
-    largest = np.abs(high).max(initial=0.0)
-    if not largest:
-        return [np.zeros_like(high)] * SLICES
-    unit = 2.0 ** (np.ceil(np.log2(largest)) + 1 - SLICE_BITS)
+    """``SLICES`` slices of ``SLICE_BITS`` bits each, at places that the largest value of each column sets; their sum is high + low to all their bits together."""
+    largest = np.abs(high).max(axis=0, initial=0.0)
+    unit = 2.0 ** (np.ceil(np.log2(np.where(largest > 0, largest, 1.0))) + 1 - SLICE_BITS)
     out = []
     for _ in range(SLICES):
         part = np.rint(high / unit) * unit
         out.append(part)
         high, low = two_sum(high - part, low)  # the difference is exact
-        unit *= 2.0**-SLICE_BITS
+        unit = unit * 2.0**-SLICE_BITS
     return out
 
 
