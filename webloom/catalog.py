@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom import schemas
 from webloom.functions import chunking, html, policy, text, urls, vectors
-from webloom.operators import ann, crawl, rag, search, versions
+from webloom.operators import ann, ann_codes, crawl, inverted, rag, search, versions
 from webloom.plans import ingest
 from webloom.sources import fetches, providers, sinks
 from webloom.streaming import politeness
@@ -561,6 +561,33 @@ def keyword_cover_density(spark, sf_dir):
     return search.keyword_search(chunks, documents, "the license", 20).select("chunk_id", F.round("relevance", 9).alias("relevance"))
 
 
+def _index(chunks: DataFrame, documents: DataFrame) -> inverted.Index:
+    """An inverted table of the chunks, beside the intermediate tables."""
+    path = crawl.new_path(chunks.sparkSession, "inverted")
+    inverted.build(chunks, documents, path, inverted.IndexConfig(part_rows=100_000))
+    return inverted.Index(chunks.sparkSession, path)
+
+
+@query(_SQL["keyword_cover_density"])
+def keyword_indexed(spark, sf_dir):
+    """The search of ``keyword_cover_density``, answered by the postings of its two words."""
+    chunks, documents = _chunk_tables(spark, sf_dir)
+    return _index(chunks, documents).search(chunks, documents, "the license", 20).select("chunk_id", F.round("relevance", 9).alias("relevance"))
+
+
+@query("""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages)
+SELECT page_id AS chunk_id, host, CAST(0.2 AS DOUBLE) AS relevance FROM p WHERE host = (SELECT host FROM p ORDER BY page_id LIMIT 1)""")
+def keyword_host(spark, sf_dir):
+    """Pages of the first page's host, found by the host as a word of their URLs."""
+    pages = table(spark, sf_dir, "pages")
+    documents = pages.select(F.col("page_id").alias("id"), "url", F.lit(None).cast("string").alias("title"))
+    chunks = pages.select(F.col("page_id").alias("id"), F.col("page_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.lit("a page").alias("content"))
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    wanted = pages.orderBy("page_id").select(host).first()[0]
+    return _index(chunks, documents).matches(wanted).select("chunk_id", F.lit(wanted).alias("host"), "relevance")
+
+
 def _ranked_hits(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     score = 1 - (F.col("turn") % 7) / 20
@@ -940,3 +967,12 @@ def ann_search(spark, sf_dir):
     centres = ann.train_cells(rows, "embedding", "vec_id")
     index = crawl.cut_lineage(ann.build_index(rows, "embedding", "vec_id", centres), "cells")
     return ann.search_index(index, rows.where("vec_id % 20 = 0"), "embedding", "vec_id", centres)
+
+
+@query()
+def ann_codes_search(spark, sf_dir):
+    """As ``ann_search``, by an index whose cells grow with the table: codes are scanned, and whole vectors read of 200 rows a query."""
+    rows = table(spark, sf_dir, "embeddings")
+    codes = ann_codes.train(rows, "embedding", "vec_id")
+    index = crawl.cut_lineage(ann_codes.build(rows, "embedding", "vec_id", codes), "codes")
+    return ann_codes.search(index, rows, rows.where("vec_id % 20 = 0"), "embedding", "vec_id", codes)

@@ -23,12 +23,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it again; the table goes when the driver ends, or with ``sweep``."""
-    path = _new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder of ``spark.checkpoint.dir``, removed as those of ``cut_lineage``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.partition("[")[0] != "local":
@@ -43,7 +44,7 @@ def _new_path(spark: SparkSession, name: str) -> str:
 def run_stream(rows: DataFrame, name: str) -> DataFrame:
     """What a stream gives for all input that is there now, as a table beside those of ``cut_lineage``."""
     spark = rows.sparkSession
-    path = _new_path(spark, name)
+    path = new_path(spark, name)
     sink = rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append")
     running = sink.start(f"{path}/rows")
     try:

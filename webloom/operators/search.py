@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webloom.functions import text, vectors
+from webloom.functions.lexemes import lexemes, query_lexemes
 
 #: Weights of title, content and URL in keyword relevance.
 WEIGHTS = {"title": 1.0, "content": 0.4, "url": 0.2}
-_TOKEN = r"[\p{L}\p{N}_]+"
+#: Where words may be other than bare runs of letters and digits.
+_COMPOUND = r"[\p{L}\p{N}][.@:/-]+[\p{L}\p{N}/]|[+-]\d|_"
 
 
 def current_embedding(model: str, version: str) -> Column:
@@ -109,14 +112,9 @@ def _hits(found: DataFrame, documents: DataFrame, score: str) -> DataFrame:
 
 
 def terms(value: Column) -> Column:
-    """Lower-case runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit(f"({_TOKEN})"))
-
-
-def query_terms(query: str) -> list[str]:
-    import re
-
-    return list(dict.fromkeys(re.findall(r"\w+", query.lower())))
+    """The words of a text; taken apart by pattern alone where no two runs touch a point, hyphen or slash between them."""
+    plain = F.lower(F.coalesce(value, F.lit("")))
+    return F.when(F.rlike(plain, F.lit(_COMPOUND)), lexemes(value)).otherwise(F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)")))
 
 
 def _occurrences(fields: dict[str, Column], wanted: list[str]) -> Column:
@@ -171,26 +169,33 @@ def cover_density(found: Column, n_terms: int) -> Column:
     return F.aggregate(found, state, step, lambda s: s["score"])
 
 
-def _word(word: str) -> Column:
-    """Pattern of a word that no letter, digit or underscore touches."""
-    return F.lit(rf"(?<![\p{{L}}\p{{N}}_]){word}(?![\p{{L}}\p{{N}}_])")
+def _times(field: Column, word: str) -> Column:
+    """How often a word stands in a lower-case text."""
+    bare = F.regexp_count(field, F.lit(rf"(?<![\p{{L}}\p{{N}}]){re.escape(word)}(?![\p{{L}}\p{{N}}])"))
+    return F.when(F.rlike(field, F.lit(_COMPOUND)), F.size(F.filter(lexemes(field), lambda w: w == word))).otherwise(bare)
 
 
 def keyword_matches(chunks: DataFrame, documents: DataFrame, query: str) -> DataFrame:
-    """Chunks that hold all words of the query in title, content or URL, with their relevance, in no order; an empty query finds nothing."""
-    wanted = query_terms(query)
+    """Chunks that hold all words of the query in title, content or URL, with their relevance, in no order; an empty query finds nothing.
+
+    All texts are read; ``inverted`` answers from a table of words.
+    """
+    wanted = query_lexemes(chunks.sparkSession, query)
     joined = chunks.join(documents.select(F.col("id").alias("document_id"), "url", "title"), "document_id")
     about = [F.col("id").alias("chunk_id"), "document_id", "url", "title", "chunk_index", text.excerpt(F.col("content")).alias("excerpt")]
     if not wanted:
         return joined.where("false").select(*about, F.lit(0.0).alias("relevance"))
     fields = {f: F.lower(F.coalesce(F.col(f), F.lit(""))) for f in WEIGHTS}
     for word in wanted:  # only texts with all words are cut into words
-        joined = joined.where(F.greatest(*[F.rlike(field, _word(word)) for field in fields.values()]))
+        joined = joined.where(F.greatest(*[F.contains(field, F.lit(word)) for field in fields.values()]))
     if len(wanted) == 1:  # every place counts for itself
-        relevance = sum((F.regexp_count(field, _word(wanted[0])) * WEIGHTS[f] for f, field in fields.items()), F.lit(0.0))
-    else:
-        relevance = cover_density(_occurrences({f: terms(F.col(f)) for f in WEIGHTS}, wanted), len(wanted))
-    return joined.select(*about, relevance.alias("relevance"))
+        counted = joined.withColumns({f"_{f}": _times(field, wanted[0]) for f, field in fields.items()}).where(" + ".join(f"_{f}" for f in WEIGHTS) + " > 0")
+        return counted.select(*about, sum((F.col(f"_{f}") * weight for f, weight in WEIGHTS.items()), F.lit(0.0)).alias("relevance"))
+    cut = joined.withColumns({f"_{f}": terms(F.col(f)) for f in WEIGHTS})
+    for word in wanted:
+        cut = cut.where(F.greatest(*[F.array_contains(f"_{f}", word) for f in WEIGHTS]))
+    relevance = cover_density(_occurrences({f: F.col(f"_{f}") for f in WEIGHTS}, wanted), len(wanted))
+    return cut.select(*about, relevance.alias("relevance"))
 
 
 def keyword_search(chunks: DataFrame, documents: DataFrame, query: str, limit: int = 5) -> DataFrame:
