@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom import schemas
 from webloom.functions import chunking, html, policy, text, urls, vectors
-from webloom.operators import ann, ann_codes, crawl, inverted, rag, search, versions
+from webloom.operators import ann, ann_codes, crawl, inverted, rag, redirects, robots, search, versions
 from webloom.plans import ingest
 from webloom.sources import fetches, providers, sinks
 from webloom.streaming import politeness
@@ -426,20 +426,25 @@ def _links(spark, sf_dir) -> DataFrame:
     return pairs.select(F.explode(ends).alias("e"), "position").select("e.source", "e.target", "position")
 
 
-@query(f"""
-WITH e AS ({_EDGES}), c AS (SELECT 'a' AS crawl_id, 's1' AS seed, 40 AS cap, 2 AS deep UNION ALL SELECT 'b', 's7', 150, 2 UNION ALL SELECT 'c', 's9', 10, 0),
-l0 AS (SELECT crawl_id, seed AS url, 0 AS depth, NULL::VARCHAR AS parent, 0::BIGINT AS position FROM c),
-k1 AS (SELECT crawl_id, target AS url, min({{'a': l0.position, 'b': e.position, 'p': l0.url}}) AS o FROM l0 JOIN c USING (crawl_id) JOIN e ON source = url WHERE deep > 0 GROUP BY crawl_id, target),
-n1 AS (SELECT k1.*, row_number() OVER (PARTITION BY crawl_id ORDER BY o.a, o.b, url) AS r FROM k1 WHERE NOT EXISTS (SELECT 1 FROM l0 WHERE l0.crawl_id = k1.crawl_id AND l0.url = k1.url)),
-l1 AS (SELECT crawl_id, url, 1 AS depth, o.p AS parent, r AS position FROM n1 JOIN c USING (crawl_id) WHERE r <= cap - 1),
-k2 AS (SELECT crawl_id, target AS url, min({{'a': l1.position, 'b': e.position, 'p': l1.url}}) AS o FROM l1 JOIN c USING (crawl_id) JOIN e ON source = url WHERE deep > 1 GROUP BY crawl_id, target),
-n2 AS (SELECT k2.*, row_number() OVER (PARTITION BY crawl_id ORDER BY o.a, o.b, url) AS r FROM k2
-       WHERE NOT EXISTS (SELECT 1 FROM (FROM l0 UNION ALL FROM l1) x WHERE x.crawl_id = k2.crawl_id AND x.url = k2.url)),
-u AS (SELECT crawl_id, count(*) AS used FROM (FROM l0 UNION ALL FROM l1) GROUP BY crawl_id),
-l2 AS (SELECT n2.crawl_id, url, 2 AS depth, o.p AS parent, used - 1 + r AS position FROM n2 JOIN c USING (crawl_id) JOIN u USING (crawl_id) WHERE r <= cap - used)
-SELECT crawl_id, url AS normalized_url, depth, parent AS parent_url, position FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2)""")
+#: Seeds, pages and depths of crawls over the links of suppliers and parts: one cut short on each level, one of a depth of three.
+_CRAWLS = [("a", "s1", 40, 2), ("b", "s7", 150, 2), ("c", "s9", 10, 0), ("d", "s3", 1200, 3), ("e", "p5", 60, 3)]
+
+
+def _crawl_sql(levels: int = 3) -> str:
+    """SQL for a crawl level by level."""
+    parts = [f"WITH e AS ({_EDGES}), c(crawl_id, seed, cap, deep) AS (VALUES {', '.join(map(str, _CRAWLS))})", "l0 AS (SELECT crawl_id, seed AS url, 0 AS depth, NULL::VARCHAR AS parent, 0::BIGINT AS position FROM c)"]
+    for n in range(1, levels + 1):
+        before = " UNION ALL ".join(f"FROM l{i}" for i in range(n))
+        parts.append(f"""k{n} AS (SELECT crawl_id, target AS url, min({{'a': l{n - 1}.position, 'b': e.position, 'p': l{n - 1}.url}}) AS o FROM l{n - 1} JOIN c USING (crawl_id) JOIN e ON source = url WHERE deep >= {n} GROUP BY crawl_id, target),
+n{n} AS (SELECT k{n}.*, row_number() OVER (PARTITION BY crawl_id ORDER BY o.a, o.b, url) AS r FROM k{n} WHERE NOT EXISTS (SELECT 1 FROM ({before}) x WHERE x.crawl_id = k{n}.crawl_id AND x.url = k{n}.url)),
+u{n} AS (SELECT crawl_id, count(*) AS used, max(position) AS last FROM ({before}) GROUP BY crawl_id),
+l{n} AS (SELECT n{n}.crawl_id, url, {n} AS depth, o.p AS parent, last + r AS position FROM n{n} JOIN c USING (crawl_id) JOIN u{n} USING (crawl_id) WHERE r <= cap - used)""")
+    return ",\n".join(parts) + f"\nSELECT crawl_id, url AS normalized_url, depth, parent AS parent_url, position FROM ({' UNION ALL '.join(f'FROM l{i}' for i in range(levels + 1))})"
+
+
+@query(_crawl_sql())
 def bfs_crawl(spark, sf_dir):
-    crawls = spark.createDataFrame([("a", "s1", 40, 2), ("b", "s7", 150, 2), ("c", "s9", 10, 0)], "crawl_id string, seed_url string, max_pages int, max_depth int")
+    crawls = spark.createDataFrame(_CRAWLS, "crawl_id string, seed_url string, max_pages int, max_depth int")
     return crawl.traverse(crawls, _links(spark, sf_dir))
 
 
@@ -832,12 +837,12 @@ def crawl_creation(spark, sf_dir):
     return joined.select(F.col("id").alias("crawl_id"), "normalized_url", "status", "max_pages", "max_depth", "page_status", "depth", "discovered_count")
 
 
-@query("SELECT min(doc_id) OVER w AS root_id, doc_id AS id, (row_number() OVER w)::INT AS ordinal FROM documents WINDOW w AS (PARTITION BY source, lang, doc_id // 20 ORDER BY doc_id)")
+@query("SELECT min(doc_id) OVER w AS root_id, doc_id AS id, (row_number() OVER w)::INT AS ordinal FROM documents WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id)")
 def version_traversal(spark, sf_dir):
-    """Chains of versions followed from their first, step by step."""
+    """Chains of versions, those of a source and language one after another, followed from their first."""
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy("source", "lang", F.floor(F.col("doc_id") / 20)).orderBy("doc_id")
+    order = Window.partitionBy("source", "lang").orderBy("doc_id")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lag("doc_id").over(order).alias("previous_version_id"))
     return versions.version_chain(docs)
 
@@ -976,3 +981,77 @@ def ann_codes_search(spark, sf_dir):
     codes = ann_codes.train(rows, "embedding", "vec_id")
     index = crawl.cut_lineage(ann_codes.build(rows, "embedding", "vec_id", codes), "codes")
     return ann_codes.search(index, rows, rows.where("vec_id % 20 = 0"), "embedding", "vec_id", codes)
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
+#: What sites of each kind forbid and allow, as their files say it, and as SQL takes it: (kind, allowed, length of the rule, pattern).
+_ROBOTS = (
+    "User-agent: *\nDisallow: /en/\nAllow: /en/1\nAllow: /en/\nCrawl-delay: 2.5\n",
+    "User-agent: other\nDisallow: /\n\nUser-agent: webloom\nUser-agent: second\nDisallow: /*?page=\nAllow: /fr/*?page=2\nDisallow: /*5$\n",
+    "# of all\nUser-agent: *\nDisallow: /d\nDisallow: /fr/7\nAllow: /de/*1\n\nUser-agent: *\nCrawl-delay: 1\nDisallow: *top\n",
+    None,
+    "User-agent: *\nDisallow: /\n",
+)
+_RULES = """(VALUES (0, false, 4, '^/en/'), (0, true, 5, '^/en/1'), (0, true, 4, '^/en/'), (1, false, 8, '^/.*\\?page='), (1, true, 12, '^/fr/.*\\?page=2'), (1, false, 4, '^/.*5$'),
+  (2, false, 2, '^/d'), (2, false, 5, '^/fr/7'), (2, true, 6, '^/de/.*1'), (2, false, 4, '^.*top')) AS rules(kind, allow, n, pattern)"""
+
+
+def _site_files(pages: DataFrame) -> DataFrame:
+    """A robots.txt for each origin of ``pages``, of a kind that the length of its host tells; of the last kind it can't be had."""
+    origin = urls.url_origin(F.col("url"))
+    kind = (F.length(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)) % 5).alias("kind")
+    bodies, statuses = F.array(*map(F.lit, _ROBOTS)), F.array(*map(F.lit, (200, 200, 200, 404, 503)))
+    return pages.select(origin.alias("origin"), kind).distinct().select("origin", statuses[F.col("kind")].alias("status"), bodies[F.col("kind")].alias("body"))
+
+
+@query(f"""
+WITH p AS (SELECT page_id, length({_HOST}) % 5 AS kind, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM pages),
+m AS (SELECT page_id, max((n, allow)) AS best FROM p JOIN {_RULES} ON p.kind = rules.kind AND regexp_matches(path, pattern) GROUP BY page_id)
+SELECT page_id, CASE WHEN kind <> 4 THEN coalesce(best[2], true) END AS allowed, CASE kind WHEN 0 THEN 2500 WHEN 2 THEN 1000 END::BIGINT AS crawl_delay_ms, CASE WHEN kind = 4 THEN 'ROBOTS_UNREACHABLE' END AS failure
+FROM p LEFT JOIN m USING (page_id)""")
+def robots_table(spark, sf_dir):
+    """Every page under its origin's rules, which are read once an origin and met by their prefixes."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = crawl.cut_lineage(robots.rules(_site_files(pages), "webloom/1.0"), "rules")
+    return robots.decide(pages, rules).select("page_id", "allowed", "crawl_delay_ms", "failure")
+
+
+
+_SITES = """c AS (SELECT c_custkey AS k, 'https://s' || c_custkey % 40 || '.example.com' AS origin, (SELECT max(c_custkey) FROM customer) AS n FROM customer),
+a AS (SELECT k, origin, origin || '/' || k AS url, CASE WHEN k % 11 <> 0 THEN CASE WHEN k % 7 < 4 THEN 302 WHEN k % 7 = 4 THEN 404 ELSE 200 END END AS status,
+  CASE WHEN k % 13 = 0 THEN '' WHEN k % 17 = 0 THEN 'https://other.example.com/' || k WHEN k % 19 = 0 THEN 'ftp://x.example.com/' || k WHEN k % 23 = 0 THEN origin || '/' || k
+       WHEN k + 40 <= n THEN '/' || (k + 40) ELSE 'none' END AS location, CASE WHEN k % 29 = 0 THEN 3000000 ELSE 100 END AS n_bytes FROM c)"""
+
+
+@query(f"""
+WITH RECURSIVE {_SITES},
+h AS (SELECT *, CASE WHEN location LIKE '/%' THEN origin || location WHEN location = 'none' THEN origin || '/none' ELSE location END AS target,
+  CASE WHEN origin LIKE '%//s3.%' THEN 'DNS_FAILURE' WHEN origin LIKE '%//s5.%' THEN 'UNSAFE_TARGET' WHEN status IS NULL THEN 'NETWORK_TIMEOUT' WHEN n_bytes > 2097152 THEN 'RESPONSE_TOO_LARGE'
+       WHEN status = 302 AND location = '' THEN 'INVALID_REDIRECT' WHEN status = 302 AND location LIKE 'https://other%' THEN 'SAME_ORIGIN_VIOLATION' WHEN status = 302 AND location LIKE 'ftp%' THEN 'INVALID_URL' END AS category FROM a),
+w AS (
+  SELECT k, url, 0 AS hop, false AS barred, false AS ended, NULL::VARCHAR AS category FROM a
+  UNION ALL
+  SELECT w.k, CASE WHEN going THEN target ELSE w.url END, hop + going::INT, going AND contains(target, '77'), NOT going OR contains(target, '77'), CASE WHEN NOT going THEN why END
+  FROM (SELECT w.k, w.url, w.hop, h.target, CASE WHEN h.url IS NULL THEN 'UNKNOWN' WHEN h.category IS NULL AND h.status = 302 AND w.hop = 5 THEN 'INVALID_REDIRECT' ELSE h.category END AS why,
+               coalesce(h.status = 302, false) AND why IS NULL AS going FROM w LEFT JOIN h ON h.url = w.url WHERE NOT w.ended) w
+)
+SELECT k, url AS final_url, hop AS n_hops, CASE WHEN barred THEN 'SKIPPED_ROBOTS' WHEN category IS NULL THEN 'RESPONSE' ELSE 'FAILED' END AS outcome, category FROM w WHERE ended""")
+def redirect_hops(spark, sf_dir):
+    """Pages of forty sites, many of which redirect, some of those badly, followed with addresses, answers and rules judged at every hop."""
+    k, origin = F.col("k"), F.concat(F.lit("https://s"), (F.col("k") % 40).cast("string"), F.lit(".example.com"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    last = customers.agg(F.max("k")).first()[0] or 0
+    pages = customers.withColumn("origin", origin).withColumn("url", F.concat("origin", F.lit("/"), k.cast("string")))
+    location = (
+        F.when(k % 13 == 0, "").when(k % 17 == 0, F.concat(F.lit("https://other.example.com/"), k.cast("string"))).when(k % 19 == 0, F.concat(F.lit("ftp://x.example.com/"), k.cast("string")))
+        .when(k % 23 == 0, F.col("url")).when(k + 40 <= last, F.concat(F.lit("/"), (k + 40).cast("string"))).otherwise("none")
+    )
+    status = F.when(k % 11 != 0, F.when(k % 7 < 4, 302).when(k % 7 == 4, 404).otherwise(200))
+    size = F.when(k % 29 == 0, 3_000_000).otherwise(100).cast("long")
+    answers = pages.select("url", status.alias("status"), location.alias("location"), F.lit("ETIMEDOUT").alias("error_code"), F.lit(None).cast("string").alias("error_message"), size.alias("n_bytes"))
+    sites = pages.select("origin").distinct()
+    host = F.regexp_extract("origin", "//(.*)", 1)
+    hosts = sites.select(host.alias("host"), F.when(host.startswith("s3."), F.array().cast("array<string>")).when(host.startswith("s5."), F.array(F.lit("10.0.0.7"))).otherwise(F.array(F.lit("93.184.216.34"))).alias("addresses"))
+    rules = crawl.cut_lineage(robots.rules(sites.select("origin", F.lit(200).alias("status"), F.lit("User-agent: *\nDisallow: /*77\n").alias("body")), "webloom/1.0"), "rules")
+    found = redirects.resolve(pages.select("k", "url", F.col("origin").alias("allowed_origin")), answers, hosts, rules)
+    return found.select("k", "final_url", "n_hops", "outcome", "category")

@@ -145,9 +145,13 @@ def robots_decision(body: str | None, status: int | None, url: str, agent: str)
     for allow, rule in (r for g in groups for r in g["rules"]):
         if _pattern(rule).match(path) and (len(rule) > best or (len(rule) == best and allow)):
             best, allowed = len(rule), allow
+    return allowed, crawl_delay_ms(groups), None
+
+
+def crawl_delay_ms(groups: list[dict]) -> int | None:
+    """The first delay of an agent's groups, a day at most; None where there is none or it is no such number."""
     delay = next((g["delay"] for g in groups if g["delay"] is not None), None)
-    good = delay is not None and 0 <= delay < float("inf")
-    return allowed, min(int(delay * 1000), DAY_MS) if good else None, None
+    return min(int(delay * 1000), DAY_MS) if delay is not None and 0 <= delay < float("inf") else None
 
 
 def robots(body: Column, status: Column, url: Column, agent: str) -> Column:

@@ -81,7 +81,29 @@ def create_crawls(seeds: DataFrame, queued: bool = True) -> tuple[DataFrame, Dat
     return crawls, roots
 
 
-def reserve(candidates: DataFrame, pages: DataFrame, crawls: DataFrame) -> DataFrame:
+#: Rows that are ranked by a plain window, in which one task has all rows of a key.
+ONE_TASK_ROWS = 1_000_000
+
+
+def ranked(rows: DataFrame, key: str, order: list[str], one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """``rows`` with ``rank``, from 1 in the order of each key, which must have no ties.
+
+    More than ``one_task_rows`` are cut at sampled splitters of key and order; a row's rank is
+    its place in its range and the number of the key's rows in the ranges before, so no task
+    sees all rows of a key.
+    """
+    held = cut_lineage(rows, "ranked")
+    if held.count() <= one_task_rows:
+        return held.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    parts = max(2, -(-held.count() // one_task_rows))
+    ranged = cut_lineage(held.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range that a key stands in
+    sizes = ranged.groupBy(key, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    return ranged.withColumn("_place", place).join(sizes, [key, "_part"]).withColumn("rank", F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+def reserve(candidates: DataFrame, pages: DataFrame, crawls: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """New pages for candidate links, in order, as far as the crawl's capacity goes.
 
     ``candidates``: (crawl_id, parent_order, position, parent_page_id, parent_depth, normalized_url);
@@ -92,8 +114,7 @@ def reserve(candidates: DataFrame, pages: DataFrame, crawls: DataFrame) -> DataF
     order = ["parent_order", "position"]
     first = within.groupBy("crawl_id", "normalized_url").agg(F.min(F.struct(*order, "parent_page_id", "parent_depth", "max_pages")).alias("f")).select("crawl_id", "normalized_url", "f.*")
     fresh = first.join(pages.select("crawl_id", "normalized_url"), ["crawl_id", "normalized_url"], "left_anti").join(used, "crawl_id", "left")
-    rank = F.row_number().over(Window.partitionBy("crawl_id").orderBy(*order, "normalized_url"))
-    taken = fresh.withColumn("rank", rank).where(F.col("rank") <= F.col("max_pages") - F.coalesce("used", F.lit(0)))
+    taken = ranked(fresh, "crawl_id", [*order, "normalized_url"], one_task_rows).where(F.col("rank") <= F.col("max_pages") - F.coalesce("used", F.lit(0)))
     return taken.select("crawl_id", "normalized_url", (F.col("parent_depth") + 1).alias("depth"), "parent_page_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -254,28 +275,49 @@ def robots_lookups(requests: DataFrame, ttl_hours: int = 24) -> DataFrame:
 
     ``requests``: (origin, requested_at, ...). The first request of an origin fetches its
     rules, and so does the first one once those are ``ttl_hours`` old; the rest are answered
-    from what is kept. Each round finds the next fetch of every origin, so there are as
-    many rounds as lifetimes in the log, and a busy origin is aggregated in parts.
+    from what is kept. Every request points to the one that would fetch next after it;
+    pointers are doubled, and the fetches known so far follow them, so a log of n lifetimes
+    takes log n rounds, each written. Times of an origin are looked up by lifetimes of the
+    clock, so no task has all requests of one.
     """
     if ttl_hours < 1:
         raise ValueError("ttl_hours from 1")
-    times = requests.where(F.col("origin").isNotNull() & F.col("requested_at").isNotNull()).select("origin", "requested_at")
-    live = times.groupBy("origin").agg(F.min("requested_at").alias("fetched_at"))
-    expires = F.col("fetched_at") + F.expr(f"INTERVAL {int(ttl_hours)} HOURS")
-    found = None
+    lifetime = F.expr(f"INTERVAL {int(ttl_hours)} HOURS")
+    times = requests.where(F.col("origin").isNotNull() & F.col("requested_at").isNotNull()).select("origin", F.col("requested_at").alias("at")).distinct()
+    times = cut_lineage(times, "robots-times")
+    points = cut_lineage(_next_fetches(times, lifetime, ttl_hours), "robots-next")
+    found = times.groupBy("origin").agg(F.min("at").alias("at"))
     while True:
-        live = cut_lineage(live.withColumn("expires_at", expires), "robots")
-        if live.isEmpty():
+        found = cut_lineage(found, "robots-fetches")
+        if points.isEmpty():
             break
-        found = live if found is None else found.unionByName(live)
-        later = times.join(live, "origin").where(F.col("requested_at") >= F.col("expires_at"))
-        live = later.groupBy("origin").agg(F.min("requested_at").alias("fetched_at"))
-    if found is None:
-        return requests.withColumn("fetched_at", F.col("requested_at")).withColumn("is_fetch", F.lit(None).cast("boolean"))
-    span = found.select(F.col("origin").alias("_origin"), "fetched_at", "expires_at")
-    # a lifetime ends where it expires, so at most one holds a request
-    joined = requests.join(span, (F.col("origin") == F.col("_origin")) & (F.col("requested_at") >= F.col("fetched_at")) & (F.col("requested_at") < F.col("expires_at")), "left")
-    return joined.withColumn("is_fetch", F.col("requested_at") == F.col("fetched_at")).drop("_origin", "expires_at")
+        found = found.unionByName(found.join(points, ["origin", "at"]).select("origin", F.col("to").alias("at")))
+        onward = points.select("origin", F.col("at").alias("to"), F.col("to").alias("_to"))
+        points = cut_lineage(points.join(onward, ["origin", "to"]).select("origin", "at", F.col("_to").alias("to")), "robots-next")
+    span = found.select(F.col("origin").alias("_origin"), F.col("at").alias("fetched_at"), (F.col("at") + lifetime).alias("expires_at"), F.explode(F.array(*[_lifetime_of(t, ttl_hours) for t in (F.col("at"), F.col("at") + lifetime)])).alias("_life")).distinct()
+    # a fetch's lifetime falls in two of the clock's, and where it expires the next may begin, so at most one holds a request
+    own = requests.withColumn("_own", _lifetime_of(F.col("requested_at"), ttl_hours))
+    within = (F.col("requested_at") >= F.col("fetched_at")) & (F.col("requested_at") < F.col("expires_at"))
+    joined = own.join(span, (F.col("origin") == F.col("_origin")) & (F.col("_own") == F.col("_life")) & within, "left")
+    return joined.withColumn("is_fetch", F.col("requested_at") == F.col("fetched_at")).drop("_origin", "expires_at", "_own", "_life")
+
+
+def _lifetime_of(time: Column, ttl_hours: int) -> Column:
+    return F.floor(F.unix_seconds(time.cast("timestamp")) / (3600 * ttl_hours))
+
+
+def _next_fetches(times: DataFrame, lifetime: Column, ttl_hours: int) -> DataFrame:
+    """(origin, at, to): for each time the first one of its origin that comes a lifetime or more after it, where there is one."""
+    held = times.select("origin", F.col("at").alias("x"), F.lit(None).cast(times.schema["at"].dataType).alias("at"))
+    asked = times.select("origin", (F.col("at") + lifetime).alias("x"), "at")
+    both = held.unionByName(asked).withColumn("life", _lifetime_of(F.col("x"), ttl_hours))
+    event = F.when(F.col("at").isNull(), F.col("x"))
+    later = Window.partitionBy("origin", "life").orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    lives = both.groupBy("origin", "life").agg(F.min(event).alias("_least"))  # a row for each lifetime of the clock
+    following = Window.partitionBy("origin").orderBy("life").rowsBetween(1, Window.unboundedFollowing)
+    lives = lives.withColumn("_beyond", F.min("_least").over(following)).drop("_least")
+    found = both.withColumn("_here", F.min(event).over(later)).where("at IS NOT NULL").join(lives, ["origin", "life"])
+    return found.select("origin", "at", F.coalesce("_here", "_beyond").alias("to")).where("to IS NOT NULL")
 
 
 def pages_by_depth(pages: DataFrame) -> DataFrame:

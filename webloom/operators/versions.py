@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webloom.functions.chunking import chunk_documents
+from webloom.operators.crawl import cut_lineage
 from webloom.operators.search import stale_embedding
 
 
@@ -20,11 +21,21 @@ def latest(documents: DataFrame, key: str = "url") -> DataFrame:
 
 
 def previous_version(fetched: DataFrame, documents: DataFrame) -> DataFrame:
-    """For each fetch (page_id, normalized_url) the newest stored document of the same URL from another page, in any crawl or render mode."""
-    known = documents.select(F.col("normalized_url").alias("_url"), F.col("crawl_page_id").alias("_page"), "fetched_at", F.col("id").alias("document_id"), "content_hash", "etag", "last_modified")
-    joined = fetched.join(known, (F.col("normalized_url") == F.col("_url")) & (F.col("page_id") != F.col("_page")))
+    """For each fetch (page_id, normalized_url) the newest stored document of the same URL from another page, in any crawl or render mode.
+
+    Of a URL only the newest document of its newest page, and the newest of any other page, can be one.
+    """
     fields = ["document_id", "content_hash", "etag", "last_modified", "fetched_at"]
-    return joined.groupBy("page_id").agg(F.max_by(F.struct(*fields), F.struct("fetched_at", "document_id")).alias("d")).select("page_id", "d.*")
+    known = documents.select(F.col("normalized_url").alias("_url"), F.col("crawl_page_id").alias("_page"), "fetched_at", F.col("id").alias("document_id"), "content_hash", "etag", "last_modified")
+    newest = F.struct("fetched_at", "document_id")
+    pages = known.where("_page IS NOT NULL").groupBy("_url", "_page").agg(F.max_by(F.struct("_page", *fields), newest).alias("d"))
+    order = F.struct("d.fetched_at", "d.document_id")
+    first = pages.groupBy("_url").agg(F.max_by("d", order).alias("first"))
+    rest = pages.join(first.select("_url", F.col("first._page").alias("_first")), "_url").where(F.col("_page") != F.col("_first"))
+    second = rest.groupBy("_url").agg(F.max_by("d", order).alias("second"))
+    two = first.join(second, "_url", "left")
+    joined = fetched.join(two, F.col("normalized_url") == F.col("_url")).withColumn("d", F.when(F.col("page_id") != F.col("first._page"), F.col("first")).otherwise(F.col("second")))
+    return joined.where("d IS NOT NULL").select("page_id", *[F.col(f"d.{f}").alias(f) for f in fields])
 
 
 def resolve_fetch(fetched: DataFrame, previous: DataFrame) -> DataFrame:
@@ -53,16 +64,24 @@ def version_history(documents: DataFrame, key: str, time: str, id_column: str, h
     )
 
 
-def version_chain(documents: DataFrame, view: str = "webloom_versions") -> DataFrame:
-    """(root_id, id, ordinal): chains of previous_version_id followed from their first document, by a recursive query."""
-    documents.select("id", "previous_version_id").createOrReplaceTempView(view)
-    return documents.sparkSession.sql(
-        f"""WITH RECURSIVE chain AS (
-              SELECT id AS root_id, id, 1 AS ordinal FROM {view} WHERE previous_version_id IS NULL
-              UNION ALL
-              SELECT c.root_id, d.id, c.ordinal + 1 FROM chain c JOIN {view} d ON d.previous_version_id = c.id
-            ) SELECT * FROM chain"""
-    )
+def version_chain(documents: DataFrame) -> DataFrame:
+    """(root_id, id, ordinal): chains of previous_version_id followed from their first document.
+
+    Each document points to its previous one; pointers are doubled, so a chain of n
+    versions takes log n rounds, each written. A document whose chain has no first one, as
+    where its previous version is missing or versions go round, is in no chain.
+    """
+    linked = documents.select("id", "previous_version_id")
+    pointers = cut_lineage(linked.select("id", F.coalesce("previous_version_id", "id").alias("at"), F.col("previous_version_id").isNotNull().cast("long").alias("steps"), F.col("previous_version_id").isNull().alias("ended")), "versions")
+    done, active, most = pointers.where("ended"), pointers.where("NOT ended"), pointers.count()
+    reach = 1
+    while reach <= 2 * most and not active.isEmpty():
+        known = done.unionByName(active).select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("ended").alias("_ended"))
+        moved = active.join(known, "at").select("id", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_ended").alias("ended"))
+        moved = cut_lineage(moved, "versions")
+        done, active = done.unionByName(moved.where("ended")), moved.where("NOT ended")
+        reach *= 2
+    return done.select(F.col("at").alias("root_id"), "id", (F.col("steps") + 1).cast("int").alias("ordinal"))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
