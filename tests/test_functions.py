@@ -224,3 +224,57 @@ def test_vectors(spark):
     got = [(r[0][0], r[0][1]) for r in df.select(vectors.normalized(F.col("v"), 2)).collect()]
     assert got[0] == ([0.6, 0.8], None) and [g[1] for g in got[1:]] == ["ZERO_MAGNITUDE", "DIMENSION_MISMATCH", "NOT_FINITE", "MISSING"]
     assert vectors.literal([1.0, 0.5]) == "[1.0,0.5]"
+
+
+def plain_chunks(value, target, overlap):
+    """Offsets of chunks of a text without characters of two units, read from the rules one unit at a time."""
+    n, blank, out = len(value), set(text.WHITESPACE), []
+
+    def solid(at, end):
+        return next((k for k in range(at, end) if value[k] not in blank), end)
+
+    at = solid(0, n)
+    while at < n:
+        full = min(n, at + target)
+        least = min(full - 1, at + int(0.7 * target))
+        places = range(full - 1, least - 1, -1)
+        marks = [[k for k in places if value[k : k + 2] == "\n\n"], [k for k in places if value[k] == "\n"], [k for k in places if value[k] in blank]]
+        cut = n if full == n else next((m[0] for m in marks if m), full)
+        inside = [k for k in range(at, cut) if value[k] not in blank]
+        begin, end = (inside[0], inside[-1] + 1) if inside else (cut, cut)
+        if inside:
+            out.append((begin, end))
+        if cut == n:
+            break
+        ideal = max(begin + 1, end - overlap)
+        reach = max(1, min(75, overlap // 3))
+        near = sorted(range(max(begin + 1, ideal - reach), min(end - 1, ideal + reach) + 1), key=lambda k: (abs(k - ideal), k < ideal))
+        behind = [[k for k in near if k > 1 and value[k - 2 : k] == "\n\n"], [k for k in near if value[k - 1] == "\n"], [k for k in near if value[k - 1] in blank]]
+        following = solid(end if overlap == 0 else next((m[0] for m in behind if m), ideal), n)
+        at = following if following > at else min(cut, at + max(1, target - overlap))
+    return out
+
+
+def test_chunks_of_many_texts_at_once(spark):
+    rng = random.Random(12)
+    values = ["".join(rng.choices(["a", "word", " ", "\n", "\n\n", "\t", "é", "  "], [rng.choice([1, 5, 20]) for _ in range(8)], k=rng.randrange(150))) for _ in range(300)]
+    for target, overlap in ((1, 0), (3, 1), (10, 3), (20, 0), (60, 20), (40, 39)):
+        got = {}
+        for t, _, content, _, begin, end in chunking._chunked(values, target, overlap):
+            assert values[t][begin:end] == content
+            got.setdefault(t, []).append((begin, end))
+        assert got == {t: found for t, v in enumerate(values) if (found := plain_chunks(v, target, overlap))}
+    rows = spark.createDataFrame(list(enumerate([*values, None, "\U0001f600" * 700])), "id int, t string")
+    chunks = chunking.chunk_documents(rows, "id", "t", 200, 30).collect()
+    by = {}
+    for r in chunks:
+        by.setdefault(r.id, []).append((r.chunk_index, r.content, r.content_hash, r.start_offset, r.end_offset))
+    assert by == {i: found for i, v in enumerate([*values, None, "\U0001f600" * 700]) if (found := chunking.chunk(v, 200, 30))}
+    assert all("�" not in r.content for r in chunks)
+
+
+def test_chunks_never_part_a_character():
+    value = "a\U0001f600" * 40
+    for target, overlap in ((1, 0), (2, 1), (5, 4)):
+        found = chunking.chunk(value, target, overlap)
+        assert all("�" not in c[1] for c in found) and found[-1][4] == 120

@@ -1,18 +1,32 @@
-"""Overlapping chunks of a text that end and begin at paragraphs, lines or white space. Offsets count UTF-16 units."""
+"""Overlapping chunks of a text that end and begin at paragraphs, lines or white space. Offsets count UTF-16 units.
+
+Texts of a batch are laid end to end, and the places of each kind of boundary are listed
+once, in order. All texts then move on by a chunk at a time together: where a chunk ends,
+where it begins and ends without white space, and where the next may begin are each a
+search in one of the lists.
+"""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webloom.functions.text import WHITESPACE
 
+#: Units of a chunk and of an overlap, part of a chunk within which it may end earlier, and how far its beginning may move.
 TARGET, OVERLAP = 1000, 150
-_END_SHARE, _START_RADIUS = 0.7, 75
-_SPACES = frozenset(WHITESPACE)
+_LEAST_PART, _REACH = 0.7, 75
+_BLANK = np.zeros(1 << 16, bool)
+_BLANK[[ord(c) for c in WHITESPACE]] = True
+_NEWLINE = 10
+#: Units of texts that are laid end to end (a longer text alone).
+_BATCH_UNITS = 1 << 22
 CHUNKS_TYPE = "array<struct<chunk_index:int,content:string,content_hash:string,start_offset:int,end_offset:int>>"
 
 
@@ -23,84 +37,157 @@ def check_options(target: int, overlap: int) -> None:
         raise ValueError("overlap must be a non-negative integer below target")
 
 
-def _units(text: str) -> str:
-    """A string with one character for each UTF-16 unit."""
-    return text if text.isascii() or max(text, default="") <= "\uffff" else "".join(map(chr, memoryview(text.encode("utf-16-le")).cast("H")))
-
-
-def _text(units: str) -> str:
-    return units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if any("\ud800" <= c <= "\udfff" for c in units) else units
-
-
-def _whole(units: str, at: int) -> int:
-    """``at``, or one less if it would part a surrogate pair."""
-    return at - 1 if 0 < at < len(units) and "\ud800" <= units[at - 1] <= "\udbff" and "\udc00" <= units[at] <= "\udfff" else at
-
-
-def _chunk_end(text: str, cursor: int, target: int) -> int:
-    hard = min(len(text), cursor + target)
-    if hard == len(text):
-        return hard
-    least = min(hard - 1, cursor + int(target * _END_SHARE))
-    for mark in ("\n\n", "\n"):
-        at = text.rfind(mark, least, hard - 1 + len(mark))
-        if at >= 0:
-            return at
-    return next((at for at in range(hard - 1, least - 1, -1) if text[at] in _SPACES), _whole(text, hard))
-
-
-def _next_start(text: str, start: int, end: int, overlap: int) -> int:
-    if overlap == 0:
-        return end
-    ideal = max(start + 1, end - overlap)
-    radius = max(1, min(_START_RADIUS, overlap // 3))
-    low, high = max(start + 1, ideal - radius), min(end - 1, ideal + radius)
-    kinds = (lambda at: at >= 2 and text[at - 2 : at] == "\n\n", lambda at: text[at - 1] == "\n", lambda at: text[at - 1] in _SPACES)
-    near = sorted(range(low, high + 1), key=lambda at: (abs(at - ideal), at < ideal))
-    for kind in kinds:
-        for at in near:
-            if kind(at):
-                return at
-    return _whole(text, ideal)
+class _Places:
+    """Places in order, sought from either side; where there is none the answer is out of every range."""
+
+    def __init__(self, places: np.ndarray):
+        self.places = np.concatenate([[-(1 << 60)], places, [1 << 60]])
+
+    def last(self, at: np.ndarray) -> np.ndarray:
+        """The last place up to ``at``."""
+        return self.places[np.searchsorted(self.places, at, side="right") - 1]
+
+    def next(self, at: np.ndarray) -> np.ndarray:
+        """The first place from ``at`` on."""
+        return self.places[np.searchsorted(self.places, at)]
+
+
+class _Laid:
+    """Texts laid end to end as UTF-16 units, with their boundaries."""
+
+    def __init__(self, texts: Sequence[str]):
+        self.units = np.frombuffer("".join(texts).encode("utf-16-le", "surrogatepass"), np.uint16)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        if len(self.units) > sizes.sum():  # some characters have two units
+            sizes = np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in texts], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        blank, line = _BLANK[self.units], self.units == _NEWLINE
+        double = line[:-1] & line[1:] if len(line) else line
+        double[self.ends[(self.ends > 0) & (self.ends < len(self.units))] - 1] = False  # not of two texts
+        self.blank = blank
+        #: Where a chunk may end, the best kind first, and how far behind that the next may begin.
+        self.kinds = [(_Places(np.flatnonzero(mask)), behind) for mask, behind in ((double, 2), (line, 1), (blank, 1))]
+        edges = np.flatnonzero(np.diff(blank.astype(np.int8)))
+        self.word_begins = _Places(edges[blank[edges]] + 1)  # after white space
+        self.word_ends = _Places(edges[~blank[edges]] + 1)  # before white space
+
+    def whole(self, at: np.ndarray) -> np.ndarray:
+        """``at``, or one less where it would part the two units of a character."""
+        inside = (at > 0) & (at < len(self.units))
+        here, before = self.units[np.where(inside, at, 0)], self.units[np.where(inside, at - 1, 0)]
+        return at - (inside & (before >> 10 == 0x36) & (here >> 10 == 0x37))
+
+    def onward(self, at: np.ndarray, past: np.ndarray) -> np.ndarray:
+        """``whole``, or the place behind the character where that would not come past ``past``."""
+        found = self.whole(at)
+        return np.where(found > past, found, at + 1)
+
+    def skip(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The first place from ``at`` on that is not white space, up to ``end``."""
+        on_blank = (at < end) & self.blank[np.minimum(at, len(self.blank) - 1)]
+        return np.where(on_blank, np.minimum(self.word_begins.next(at), end), at)
+
+    def chunk_ends(self, at: np.ndarray, end: np.ndarray, target: int) -> np.ndarray:
+        """Where chunks that begin at ``at`` end: in their last part at the last boundary of the best kind there is, else when full."""
+        full = np.minimum(end, at + target)
+        least = np.minimum(full - 1, at + int(target * _LEAST_PART))
+        found = self.onward(full, at)
+        for places, _ in reversed(self.kinds):
+            last = places.last(full - 1)
+            found = np.where(last >= least, last, found)
+        return np.where(full == end, end, found)
+
+    def next_begins(self, begin: np.ndarray, end: np.ndarray, overlap: int) -> np.ndarray:
+        """Where the chunks after those from ``begin`` to ``end`` may begin: behind the boundary of the best kind that lies nearest to the wanted overlap, later ones before earlier ones as near."""
+        if not overlap:
+            return end
+        wanted = np.maximum(begin + 1, end - overlap)
+        reach = max(1, min(_REACH, overlap // 3))
+        low, high = np.maximum(begin + 1, wanted - reach), np.minimum(end - 1, wanted + reach)
+        found = self.whole(wanted)
+        for places, behind in reversed(self.kinds):
+            later = places.next(np.maximum(wanted, low) - behind) + behind
+            earlier = places.last(np.minimum(wanted, high) - behind) + behind
+            is_later, is_earlier = later <= high, earlier >= low
+            nearer = is_later & (~is_earlier | (later - wanted <= wanted - earlier))
+            found = np.where(nearer, later, np.where(is_earlier, earlier, found))
+        return found
+
+
+def _spans(laid: _Laid, target: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, end) of all chunks, by text and place."""
+    own = np.flatnonzero(laid.ends > laid.begins)
+    at = laid.skip(laid.begins[own], laid.ends[own])
+    found = []
+    while True:
+        on = at < laid.ends[own]
+        own, at = own[on], at[on]
+        if not len(own):
+            break
+        limit = laid.ends[own]
+        cut = laid.chunk_ends(at, limit, target)
+        begin = laid.skip(at, cut)
+        solid = (cut > begin) & ~laid.blank[np.maximum(cut - 1, 0)]
+        end = np.where(solid, cut, np.maximum(begin, laid.word_ends.last(cut)))
+        kept = end > begin
+        found.append((own[kept], begin[kept], end[kept]))
+        following = laid.skip(laid.next_begins(begin, end, overlap), limit)
+        moved = np.where(following > at, following, laid.onward(np.minimum(cut, at + max(1, target - overlap)), at))
+        at = np.where(cut >= limit, limit, moved)
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    text, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(text, kind="stable")
+    return text[order], begin[order], end[order]
+
+
+def _chunked(texts: list[str], target: int, overlap: int) -> list[tuple[int, int, str, str, int, int]]:
+    """(text, index, content, hash, start, end) of the chunks of all texts, in order."""
+    laid = _Laid(texts)
+    text, begin, end = _spans(laid, target, overlap)
+    index = np.arange(len(text)) - np.searchsorted(text, text)
+    plain = len(laid.units) == sum(map(len, texts))
+    out = []
+    for t, k, a, b in zip(text.tolist(), index.tolist(), begin.tolist(), end.tolist(), strict=True):
+        base = int(laid.begins[t])
+        content = texts[t][a - base : b - base] if plain else laid.units[a:b].tobytes().decode("utf-16-le", "replace")
+        out.append((t, k, content, hashlib.sha256(content.encode("utf-8", "replace")).hexdigest(), a - base, b - base))
+    return out
 
 
-def _skip(text: str, at: int, end: int) -> int:
-    while at < end and text[at] in _SPACES:
-        at += 1
-    return at
+def _grouped(texts: list[str]) -> list[slice]:
+    """Runs of texts of bounded length together."""
+    runs, begin, size = [], 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > _BATCH_UNITS:
+            runs.append(slice(begin, k))
+            begin, size = k, 0
+        size += len(t)
+    return [*runs, slice(begin, len(texts))]
 
 
 def chunk(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[tuple[int, str, str, int, int]]:
-    """(index, content, hash, start, end) of every chunk."""
+    """(index, content, hash, start, end) of every chunk of one text."""
     check_options(target, overlap)
-    units = _units(text or "")
-    n, out = len(units), []
-    cursor = _skip(units, 0, n)
-    while cursor < n:
-        raw = _chunk_end(units, cursor, target)
-        start, end = _skip(units, cursor, raw), raw
-        while end > start and units[end - 1] in _SPACES:
-            end -= 1
-        if end > start:
-            content = _text(units[start:end])
-            out.append((len(out), content, hashlib.sha256(content.encode("utf-8", "replace")).hexdigest(), start, end))
-        if raw >= n:
-            break
-        following = _skip(units, _next_start(units, start, end, overlap), n)
-        cursor = following if following > cursor else min(raw, cursor + max(1, target - overlap))
-    return out
+    return [c[1:] for c in _chunked([text or ""], target, overlap)]
 
 
 def chunk_text(content: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
     """The chunks of each text, as an array of structs."""
     check_options(target, overlap)
     names = ("chunk_index", "content", "content_hash", "start_offset", "end_offset")
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
 
-    @F.udf(CHUNKS_TYPE, useArrow=True)
-    def run(text):
-        return [dict(zip(names, c, strict=True)) for c in chunk(text or "", target, overlap)]
+    def run(column: pa.Array) -> pa.Array:
+        texts = [t or "" for t in column.to_pylist()]
+        found = [(c[0] + run.start, *c[1:]) for run in _grouped(texts) for c in _chunked(texts[run], target, overlap)]
+        counts = np.bincount(np.array([c[0] for c in found], np.int64), minlength=len(texts))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        fields = [pa.array([c[k + 1] for c in found], kind) for k, kind in enumerate(kinds)]
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names))
 
-    return run(content)
+    return F.arrow_udf(run, CHUNKS_TYPE)(content)
 
 
 def chunk_documents(documents: DataFrame, id_column: str, text_column: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
@@ -112,5 +199,3 @@ def overlaps(chunks: DataFrame, id_column: str) -> DataFrame:
     """Each chunk with the units it shares with the one before."""
     before = F.lag("end_offset").over(Window.partitionBy(id_column).orderBy("chunk_index"))
     return chunks.withColumn("overlap", before - F.col("start_offset"))
-
-
