@@ -61,3 +61,24 @@ def test_redirects_of_every_page(spark, tmp_path):
         expected.add((url, at, n))
     got = [tuple(r) for r in catalog.queries()["redirect_targets"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(expected) and {r[0] for r in got} == {url for _, url, _ in rows}
+
+
+def counts(spark, name, column):
+    return {r[column]: r["count"] for r in catalog.queries()[name](spark, SF).groupBy(column).count().collect()}
+
+
+def test_queries_meet_every_branch(spark):
+    assert counts(spark, "unchanged_reuse", "decision").keys() == {"NEW", "REUSED", "FAILED"}
+    reuse = catalog.queries()["unchanged_reuse"](spark, SF)
+    assert reuse.where("previous_version_id IS NOT NULL").count() and reuse.where("not_modified").count() and reuse.where("decision = 'REUSED' AND NOT not_modified").count()
+    assert max(counts(spark, "url_dedupe", "n")) == 3
+    assert counts(spark, "version_chain", "unchanged").keys() == {True, False}
+    cited = catalog.queries()["citation_validate"](spark, SF)
+    assert {len(r.citations.split(",")) for r in cited.collect() if r.citations} >= {1, 2} and cited.where("n_markers = 5").count() == cited.count()
+    assert counts(spark, "bfs_crawl", "depth").keys() == {0, 1, 2, 3}
+    assert counts(spark, "page_states", "status").keys() == {"COMPLETED", "FAILED", "RETRYING", "SKIPPED_ROBOTS"}
+    assert counts(spark, "judged_fetches", "failure_category").keys() >= {None, "BROWSER_NAVIGATION", "DNS_FAILURE", "UNSUPPORTED_CONTENT_TYPE", "RESPONSE_TOO_LARGE", "HTTP_PERMANENT", "HTTP_429", "HTTP_503"}
+    hops = catalog.queries()["redirect_hops"](spark, SF)
+    assert {r.outcome for r in hops.collect()} == {"RESPONSE", "FAILED", "SKIPPED_ROBOTS"} and hops.where("n_hops >= 2").count()
+    larger = SF.replace("sf0.001", "sf0.01")
+    assert {r.allowed for r in catalog.queries()["robots_table"](spark, larger).collect()} == {True, False, None}

@@ -238,9 +238,17 @@ def pages_per_origin(spark, sf_dir):
     return page_origins(spark, sf_dir).groupBy("origin").agg(F.count("*").alias("n_pages"))
 
 
-@query("SELECT regexp_replace(url, '#.*$', '') AS normalized_url, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1")
+@query("""
+SELECT regexp_replace(url, '#.*$', '') AS normalized_url, min(page_id) AS first_page, count(*) AS n
+FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id + 2000000, url FROM pages WHERE page_id % 3 = 0) GROUP BY 1""")
 def url_dedupe(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url"))["url"].alias("normalized_url"))
+    """Addresses of pages, some also written with another fragment, and some in capitals up to the path with the default port."""
+    pages, url = table(spark, sf_dir, "pages").select("page_id", "url"), F.col("url")
+    marked = pages.where("page_id % 2 = 0").select(F.col("page_id") + 1_000_000, F.concat(F.regexp_replace(url, "#.*$", ""), F.lit("#part")))
+    site = F.regexp_extract(url, "^[a-z]+://[^/]+", 0)
+    port = F.when(url.startswith("https"), ":443").otherwise(":80")
+    loud = pages.where("page_id % 3 = 0").select(F.col("page_id") + 2_000_000, F.concat(F.upper(site), port, F.substring(url, F.length(site) + 1, F.lit(4096))))
+    found = pages.union(marked).union(loud).select("page_id", urls.normalize_url(F.col("url"))["url"].alias("normalized_url"))
     return found.groupBy("normalized_url").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
 
 
@@ -274,11 +282,11 @@ def structured_tables(spark, sf_dir):
 
 # versions
 
-_VERSIONED = "SELECT doc_id, source || ':' || lang AS url, sha256(text) AS content_hash, doc_id AS fetched_at FROM documents"
+_VERSIONED = "SELECT doc_id, source || ':' || lang AS url, sha256(left(text, 1)) AS content_hash, doc_id AS fetched_at FROM documents"
 
 
 def _versioned(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(":", "source", "lang").alias("url"), text.content_hash(F.col("text")).alias("content_hash"), F.col("doc_id").alias("fetched_at"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(":", "source", "lang").alias("url"), text.content_hash(F.substring("text", 1, 1)).alias("content_hash"), F.col("doc_id").alias("fetched_at"))
 
 
 @query(f"SELECT url, doc_id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, doc_id DESC) AS r FROM ({_VERSIONED})) WHERE r = 1")
@@ -294,19 +302,34 @@ def version_chain(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "previous_version_id", "version", "unchanged")
 
 
-@query("""
-WITH f AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u, sha256(html) AS h, CASE WHEN page_id % 10 = 3 THEN 304 ELSE 200 END AS http_status FROM pages),
-p AS (SELECT a.page_id, arg_max(b.page_id, b.page_id) AS old_id, arg_max(b.h, b.page_id) AS old_hash FROM f a JOIN f b ON a.u = b.u AND a.page_id <> b.page_id GROUP BY a.page_id)
+#: Documents of earlier crawls: up to two a page, of its own content or other, and the page's own, which is none before it.
+_STORED = """
+SELECT p.page_id, p.page_id * 10 + j AS id, p.page_id + 1000000 * (j + 1) AS owner, j AS fetched_at, CASE WHEN (p.page_id + j) % 3 = 0 THEN sha256('old') ELSE sha256(html) END AS h
+FROM pages p, (SELECT unnest([0, 1]) AS j) WHERE p.page_id % 4 <> j AND p.page_id % 6 <> 2
+UNION ALL SELECT page_id, page_id * 10 + 5, page_id, 9, sha256(html) FROM pages WHERE page_id % 5 = 0"""
+
+
+@query(f"""
+WITH f AS (SELECT page_id, sha256(html) AS h, CASE WHEN page_id % 7 = 3 THEN 304 ELSE 200 END AS http_status FROM pages),
+p AS (SELECT page_id, arg_max(id, fetched_at) AS old_id, arg_max(h, fetched_at) AS old_hash FROM ({_STORED}) WHERE owner <> page_id GROUP BY page_id)
 SELECT f.page_id, CASE WHEN http_status = 304 AND old_id IS NULL THEN 'FAILED' WHEN old_id IS NOT NULL AND (http_status = 304 OR h = old_hash) THEN 'REUSED' ELSE 'NEW' END AS decision,
        CASE WHEN old_id IS NOT NULL AND (http_status = 304 OR h = old_hash) THEN old_id END AS reused_document_id,
        CASE WHEN NOT (http_status = 304 OR h = old_hash) THEN old_id END AS previous_version_id,
        http_status = 304 AND old_id IS NOT NULL AS not_modified
 FROM f LEFT JOIN p USING (page_id)""")
 def unchanged_reuse(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(
-        "page_id", F.regexp_replace("url", "#.*$", "").alias("normalized_url"), text.content_hash(F.col("html")).alias("content_hash"), F.when(F.col("page_id") % 10 == 3, 304).otherwise(200).alias("http_status")
-    )
-    stored = rows.select(F.col("page_id").alias("id"), F.col("page_id").alias("crawl_page_id"), "normalized_url", "content_hash", F.col("page_id").alias("fetched_at"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    """Fetches of all pages against the documents of earlier crawls of the same addresses."""
+    pages = table(spark, sf_dir, "pages")
+    own = text.content_hash(F.col("html"))
+    rows = pages.select("page_id", F.regexp_replace("url", "#.*$", "").alias("address"), own.alias("content_hash"), F.when(F.col("page_id") % 7 == 3, 304).otherwise(200).alias("http_status"))
+    rows = rows.withColumn("normalized_url", F.concat("address", F.lit("|"), F.col("page_id").cast("string"))).drop("address")
+    earlier = rows.where("page_id % 6 <> 2").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1)))).where("page_id % 4 <> j")
+    old = earlier.select(
+        (F.col("page_id") * 10 + F.col("j")).alias("id"), (F.col("page_id") + 1_000_000 * (F.col("j") + 1)).alias("crawl_page_id"), "normalized_url",
+        F.when((F.col("page_id") + F.col("j")) % 3 == 0, F.sha2(F.lit("old"), 256)).otherwise(F.col("content_hash")).alias("content_hash"), F.col("j").cast("long").alias("fetched_at"),
+    )
+    itself = rows.where("page_id % 5 = 0").select((F.col("page_id") * 10 + 5).alias("id"), F.col("page_id").alias("crawl_page_id"), "normalized_url", "content_hash", F.lit(9).cast("long").alias("fetched_at"))
+    stored = old.unionByName(itself).withColumns({c: F.lit(None).cast("string") for c in ("etag", "last_modified")})
     return versions.resolve_fetch(rows, versions.previous_version(rows.select("page_id", "normalized_url"), stored))
 
 
@@ -632,14 +655,15 @@ def bounded_context(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT conv_id, turn, 1 + turn % 4 AS n_sources, text, list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: TRY_CAST(x AS BIGINT)) AS numbers FROM conversations),
+WITH m AS (SELECT conv_id, turn, 1 + turn % 4 AS n_sources, list_transform([(turn % 5 + 1)::VARCHAR, '0' || length(text) % 7, (turn % 5 + 1)::VARCHAR, '99999999999999999999', '2'], lambda x: TRY_CAST(x AS BIGINT)) AS numbers FROM conversations),
 k AS (SELECT *, list_filter(numbers, lambda x: x BETWEEN 1 AND n_sources) AS good FROM m)
 SELECT conv_id, turn, len(numbers)::INT AS n_markers, array_to_string(list_transform(list_filter(range(1, len(good) + 1), lambda i: list_position(good, good[i]) = i), lambda i: good[i]), ',') AS citations,
   trim(regexp_replace(concat('See', array_to_string(list_transform(numbers, lambda x: CASE WHEN x BETWEEN 1 AND n_sources THEN concat(' [', x, ']') ELSE '' END), ''), '.'), ' +\\.', '.')) AS answer FROM k""")
 def citation_validate(spark, sf_dir):
-    """Answers made of the numbers that stand in a turn, as markers; those of no source go."""
+    """Answers with markers of a turn's number and its text's length: good, repeated, padded, beyond the sources and beyond all numbers; bad ones go."""
     rows = table(spark, sf_dir, "conversations")
-    numbers = F.regexp_extract_all(F.col("text"), F.lit("([0-9]+)"))
+    own = (F.col("turn") % 5 + 1).cast("string")
+    numbers = F.array(own, F.concat(F.lit("0"), (F.length("text") % 7).cast("string")), own, F.lit("99999999999999999999"), F.lit("2"))
     answer = F.concat(F.lit("See"), F.array_join(F.transform(numbers, lambda x: F.concat(F.lit("  ["), x, F.lit("]"))), ""), F.lit(" ."))
     found = rows.select("conv_id", "turn", F.size(numbers).alias("n_markers"), rag.validated(answer, 1 + F.col("turn") % 4).alias("v"))
     return found.select("conv_id", "turn", "n_markers", F.array_join(F.col("v.citations").cast("array<string>"), ",").alias("citations"), F.col("v.answer").alias("answer"))
@@ -747,7 +771,7 @@ def chunk_backfill(spark, sf_dir):
 
 
 _ATTEMPTS = """
-SELECT user_id AS page_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+SELECT event_id // 2 AS page_id, row_number() OVER (PARTITION BY event_id // 2 ORDER BY ts, event_id) AS n,
   CASE WHEN event_type = 'purchase' AND value > 50 THEN 'COMPLETED' WHEN event_type = 'purchase' THEN 'REUSED' WHEN event_type = 'signup' THEN 'SKIPPED_ROBOTS' ELSE 'FAILED' END AS outcome,
   CASE event_type WHEN 'click' THEN 'HTTP_429' WHEN 'error' THEN 'HTTP_PERMANENT' ELSE 'NETWORK_TIMEOUT' END AS category FROM events"""
 
@@ -761,10 +785,11 @@ def page_states(spark, sf_dir):
     from pyspark.sql.window import Window
 
     rows = table(spark, sf_dir, "events")
-    kind, order = F.col("event_type"), Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = rows.withColumn("page_id", F.floor(F.col("event_id") / 2))
+    kind, order = F.col("event_type"), Window.partitionBy("page_id").orderBy("ts", "event_id")
     outcome = F.when((kind == "purchase") & (F.col("value") > 50), "COMPLETED").when(kind == "purchase", "REUSED").when(kind == "signup", "SKIPPED_ROBOTS").otherwise("FAILED")
     category = F.when(kind == "click", "HTTP_429").when(kind == "error", "HTTP_PERMANENT").otherwise("NETWORK_TIMEOUT")
-    attempts = rows.select(F.col("user_id").alias("page_id"), F.row_number().over(order).alias("attempt"), outcome.alias("outcome"), category.alias("failure_category"), F.lit("failed").alias("error"), F.lit(None).cast("long").alias("retry_after_ms"))
+    attempts = rows.select("page_id", F.row_number().over(order).alias("attempt"), outcome.alias("outcome"), category.alias("failure_category"), F.lit("failed").alias("error"), F.lit(None).cast("long").alias("retry_after_ms"))
     return crawl.page_outcomes(attempts).select("page_id", "status", "attempts", "failure_category", F.col("delay_ms").cast("long").alias("delay_ms"))
 
 
@@ -873,8 +898,8 @@ def unanswered_requests(spark, sf_dir):
 @query("""
 SELECT page_id, category AS failure_category, not_modified, coalesce(category NOT IN ('HTTP_PERMANENT', 'UNSUPPORTED_CONTENT_TYPE', 'RESPONSE_TOO_LARGE', 'DNS_FAILURE'), false) AS retryable FROM (
   SELECT page_id::VARCHAR AS page_id, coalesce(status = 304, false) AS not_modified,
-    CASE WHEN status IS NULL THEN CASE WHEN page_id % 2 = 0 THEN 'BROWSER_NAVIGATION' ELSE 'DNS_FAILURE' END WHEN status = 304 THEN NULL WHEN status IN (429, 503) THEN 'HTTP_' || status
-         WHEN status <> 200 THEN 'HTTP_PERMANENT' WHEN html LIKE '%<table%' AND page_id % 5 = 1 THEN 'UNSUPPORTED_CONTENT_TYPE' WHEN strlen(html) > 2097152 THEN 'RESPONSE_TOO_LARGE' END AS category
+    CASE WHEN status IS NULL THEN CASE WHEN page_id // 8 % 2 = 0 THEN 'BROWSER_NAVIGATION' ELSE 'DNS_FAILURE' END WHEN status = 304 THEN NULL WHEN status IN (429, 503) THEN 'HTTP_' || status
+         WHEN status <> 200 THEN 'HTTP_PERMANENT' WHEN page_id % 5 = 1 THEN 'UNSUPPORTED_CONTENT_TYPE' WHEN page_id % 100 = 7 AND strlen(html) > 0 THEN 'RESPONSE_TOO_LARGE' END AS category
   FROM (SELECT *, [200, 304, 404, 429, 503, NULL, 200, 200][page_id % 8 + 1] AS status FROM pages))""")
 def judged_fetches(spark, sf_dir):
     """A log with kept, refused, failing and rendered pages, judged."""
@@ -883,8 +908,9 @@ def judged_fetches(spark, sf_dir):
     log = fetches.fetch_log_from_pages(pages).withColumns(
         {
             "http_status": statuses[(F.col("page_id").cast("long") % 8).cast("int")],
-            "render_mode": F.when(F.col("page_id").cast("long") % 2 == 0, "JAVASCRIPT").otherwise("STATIC"),
-            "content_type": F.when(F.col("body").contains("<table") & (F.col("page_id").cast("long") % 5 == 1), "text/csv").otherwise("text/html; charset=utf-8"),
+            "render_mode": F.when(F.floor(F.col("page_id").cast("long") / 8) % 2 == 0, "JAVASCRIPT").otherwise("STATIC"),
+            "content_type": F.when(F.col("page_id").cast("long") % 5 == 1, "text/csv").otherwise("text/html; charset=utf-8"),
+            "body": F.when(F.col("page_id").cast("long") % 100 == 7, F.expr("repeat(body, CAST(2097152 DIV greatest(octet_length(body), 1) + 1 AS INT))")).otherwise(F.col("body")),
         }
     )
     log = log.withColumn("error_code", F.when(F.col("http_status").isNull(), "ENOTFOUND"))
@@ -1055,3 +1081,15 @@ def redirect_hops(spark, sf_dir):
     rules = crawl.cut_lineage(robots.rules(sites.select("origin", F.lit(200).alias("status"), F.lit("User-agent: *\nDisallow: /*77\n").alias("body")), "webloom/1.0"), "rules")
     found = redirects.resolve(pages.select("k", "url", F.col("origin").alias("allowed_origin")), answers, hosts, rules)
     return found.select("k", "final_url", "n_hops", "outcome", "category")
+
+
+@query("""
+SELECT user_id, count(*) OVER () AS n_users, arg_max(event_id, (ts, event_id)) AS event_id, max((ts, event_id))[1] AS ts FROM events GROUP BY user_id""")
+def stream_upsert(spark, sf_dir):
+    """The newest event of each user, kept by a stream that changes only the buckets its batches fall in."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    kinds = ", ".join(f"{name} {kind}" for name, kind in events.dtypes)
+    held = sinks.KeyedTable(spark, crawl.new_path(spark, "keyed"), kinds, ("user_id",), ("ts", "event_id"))
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "user_id", "ts")
+    found = held.run(stream)
+    return found.crossJoin(F.broadcast(found.agg(F.count("*").alias("n_users")))).select("user_id", "n_users", "event_id", "ts")  # one row

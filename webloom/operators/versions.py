@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -180,3 +180,20 @@ def embedding_summary(chunks: DataFrame, made: DataFrame, model: str, version: s
     return seen.crossJoin(made.agg(F.count("embedding").alias("embedded"), F.count("error").alias("failed"))).select(
         "inspected", "embedded", (F.col("inspected") - F.col("stale")).alias("skipped"), "failed", F.ceil(F.col("stale") / batch_size).cast("long").alias("batches")
     )
+
+
+def backfill_embeddings(
+    chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, version: str, dimension: int, now: Column, batch_size: int = 16
+) -> tuple[DataFrame, DataFrame]:
+    """Chunks with current vectors, and the summary of what was done; each stale text goes through the model once.
+
+    What the model gives is written, and the counts are observed as it is.
+    """
+    spark, seen, made = chunks.sparkSession, Observation(), Observation()
+    inspected = chunks.observe(seen, F.count(F.lit(1)).alias("inspected"), F.count_if(stale_embedding(model, version)).alias("stale"))
+    vectors = embed_stale(inspected, embed, model, version, dimension, batch_size)
+    vectors = cut_lineage(vectors.observe(made, F.count("embedding").alias("embedded"), F.count("error").alias("failed")), "embedded")
+    n = seen.get | made.get
+    row = (n["inspected"], n["embedded"], n["inspected"] - n["stale"], n["failed"], -(-n["stale"] // batch_size))
+    summary = spark.createDataFrame([row], "inspected long, embedded long, skipped long, failed long, batches long")
+    return apply_embeddings(chunks, vectors, model, version, now), summary
