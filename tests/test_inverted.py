@@ -115,15 +115,12 @@ def test_frequent_words_fill_parts_and_rare_ones_do_not(corpus):
 
 def test_a_search_reads_the_parts_of_its_words_only(corpus):
     *_, index = corpus
-    parts = {p for p, _, _ in index.bounds(["w7"])["w7"]}
-    files = index.postings.where(F.col("part").isin(sorted(parts))).select("chunk_id").inputFiles()
-    all_files = index.postings.inputFiles()
-    assert len(all_files) > 10
+    assert 0 < len(index.bounds(["w7"])["w7"]) <= 2 < 10 < index.parts.count()
     before = index.spark.conf.get("spark.sql.maxMetadataStringLength")
     index.spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     plan = index.matches("w7 the")._jdf.queryExecution().executedPlan().toString()
     index.spark.conf.set("spark.sql.maxMetadataStringLength", before)
-    assert re.search(r"PartitionFilters: \[[^\]]*part#", plan) and "EqualTo(word,w7)" in plan and 0 < len(files) < len(all_files)
+    assert re.search(r"PartitionFilters: \[[^\]]*part#", plan) and "EqualTo(word,w7)" in plan
 
 
 def test_inverted_table_of_nothing(spark, tmp_path):

@@ -88,6 +88,7 @@ def build(chunks: DataFrame, documents: DataFrame, path: str, config: IndexConfi
     parts = max(1, -(-made.count() // config.part_rows))
     ordered = made.repartitionByRange(parts, "word", "hash").withColumn("part", F.spark_partition_id()).sortWithinPartitions("word", "hash")
     ordered.write.partitionBy("part").parquet(f"{path}/postings")
+    ordered.limit(0).coalesce(1).write.parquet(f"{path}/schema")
     written = spark.read.schema(f"{_schema(made)}, part int").parquet(f"{path}/postings")
     key = F.struct("word", "hash")
     bounds = written.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))
@@ -104,7 +105,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.postings = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings")
+        self.postings = spark.read.schema(spark.read.parquet(f"{path}/schema").schema).option("basePath", f"{path}/postings").parquet(f"{path}/postings")
         self.words, self.parts = (spark.read.parquet(f"{path}/{name}") for name in ("words", "parts"))
 
     def frequencies(self, words: list[str]) -> dict[str, int]:
