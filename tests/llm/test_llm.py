@@ -641,6 +641,28 @@ def test_decontamination_repeated_ids(spark, block):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
 
 
+def test_decontamination_blocks_are_bounded(spark):
+    """Long items, of whatever characters between their words, are parted; every window is in one block, and rows do not depend on the blocks."""
+    rng = random.Random(5)
+    own = [f"w{rng.randrange(10**9)}" for _ in range(3000)]
+    items = [("dots", ".".join(own[:1500])), ("hyphens", "-".join(own[1000:2500])), ("short", "W1.w2"), ("none", "..."), (None, " ".join(own[2500:2520])), ("null", None)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    for size in (1, 7, 100, 10_000):
+        config = decontamination.DecontaminationConfig(block_windows=size)
+        blocks = list(decontamination._item_blocks(benchmark, config))
+        found = [(row["item_id"], tuple(w[i : i + 10])) for b in blocks for row in b for w in [ALNUM.findall(lower(row["text"]))] for i in range(max(1, len(w) - 9))]
+        plain = [(item, tuple(w[i : i + 10])) for item, t in items for w in [ALNUM.findall(lower(t))] if w for i in range(max(1, len(w) - 9))]
+        assert sorted(found, key=repr) == sorted(plain, key=repr)
+        assert all(sum(max(1, len(ALNUM.findall(lower(row["text"]))) - 9) for row in b) <= size for b in blocks)
+        assert size != 100 or len(blocks) <= 2 * 3000 // 100 + 3
+    docs = table(spark, [" ".join(own), " ".join(own[95:106]), " ".join(own[:9]), "w1 w2 w3 " + " ".join(own[2500:2512]), None])
+    rows = []
+    for size in (400, 10_000):
+        config = decontamination.DecontaminationConfig(block_windows=size)
+        rows.append(sorted(map(tuple, decontamination.hits(docs, benchmark, config).collect())))
+    assert rows[0] == rows[1] and [r[2:4] for r in rows[0]] == [(2520, 2), (11, 1), (0, 0), (14, 1), (0, 0)]
+
+
 # licenses
 
 
@@ -712,6 +734,52 @@ def test_licenses_near_misses(spark):
     assert got[0][1] == got[6][1] == 0 and got[3][1] == 1 and 0.75 <= got[5][1] < 1
 
 
+def test_licenses_of_like_wording(spark):
+    """Relatives of a template are their own license or none, and a denied one is none."""
+    cc = "This work is{} licensed under a Creative Commons Attribution{} 4.0 International License"
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation"
+    cases = [
+        ("Licensed under the Academic Free License, Version 2.0", "afl"),
+        (cc.format("", "-NoDerivatives"), "cc-by-nd"),
+        (cc.format("", "-NonCommercial-ShareAlike"), "cc-by-nc-sa"),
+        (gnu.format("Affero"), "agpl,gpl"),  # gpl by the base phrase, which stays
+        (gnu.format("Library").replace("program", "library"), "gpl,lgpl"),
+        (cc.format(" NOT", ""), ""),
+        ("It is not licensed under CC BY 4.0", ""),
+        ("It was never yet licensed under CC BY 4.0", ""),
+        ("Of the rest we do not speak here. Licensed under CC BY 4.0", "cc-by"),
+        (cc.format("", ""), "cc-by"),
+        ("Released under the MIT terms", "mit"),
+        ("Released under the Apache terms", ""),
+        ("Licensed under the Artistic License, Version 2.0", "artistic"),
+        ("Licensed under the Made-Up License, Version 2.0", ""),
+        (gnu.format("").replace("free software", "quite free and open and useful software"), "gpl"),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(table(spark, [t for t, _ in cases])).collect()}
+    assert [got[i][0] for i in range(len(cases))] == [label for _, label in cases]
+    assert all((got[i][1] > 0) == (label not in ("", "gpl") or i == 14) for i, (_, label) in enumerate(cases))
+
+
+def test_licenses_with_words_put_in_and_changed(spark):
+    """A word put in or changed away from the edges of a template costs the share what plain arithmetic says, whatever joins the library to the texts."""
+    rng, texts, expected = random.Random(8), [], []
+    long = [(label, ALNUM.findall(lower(t))) for label, t in licenses.TEMPLATES if len(ALNUM.findall(lower(t))) >= 8]
+    names = {word for words in licenses.NAMES for word in words}
+    for label, own in long:
+        for change in ("put in", "changed"):
+            at = [i for i in range(3, len(own) - 3) if own[i] not in names and len(own) - i - 1 >= 3]
+            if not at:
+                continue
+            i = rng.choice(at)
+            texts.append(" ".join(["zzz", *own[:i], "qqq", *own[i + (change == "changed") :], "zzz"]))
+            expected.append((label, len(own) / (len(own) + 1) if change == "put in" else (len(own) - 1) / len(own)))
+    for config in (licenses.LicenseConfig(), licenses.LicenseConfig(broadcast_grams=0)):
+        got = {r.doc_id: r for r in licenses.scan(table(spark, texts), config).collect()}
+        assert len(got) == len(texts) > 30
+        for i, (label, share) in enumerate(expected):
+            assert label in got[i].labels.split(",") and got[i].score >= share - 1e-12, (texts[i], got[i])
+
+
 def test_licenses_ties():
     config = licenses.LicenseConfig(templates=(("one", "a b c d"), ("two", "a b c d")))
     spans = [(*s, label) for label in ("one", "two") for s in licenses.verified_spans([(5, 0), (6, 1)], 4, config)]

@@ -8,8 +8,9 @@ shingle alone: only windows whose rarest shingle stands in a document are looked
 There the bounds of length and position (the window must lie inside the document)
 are applied and all its words are compared.
 
-Items are read in blocks of at most ``block_windows`` windows, so what a task holds
-is bounded however large the benchmark is; every block meets all documents.
+Items are read in blocks of at most ``block_windows`` windows, a longer item in pieces that
+overlap by a window less a word, so what a task holds is bounded however large the
+benchmark or one of its items is; every block meets all documents.
 
 Cases: null and word-less texts have no words and are never hit, and such items
 have no windows. A null item id is left out of the lists of items. Repeated items
@@ -21,6 +22,8 @@ empty table of documents gives an empty result. Other columns are ignored by
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -154,16 +157,34 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: Windows, sizes: np.ndarray
             )
 
 
-def _item_blocks(benchmark: DataFrame, config: DecontaminationConfig) -> Iterator[list]:
-    """Items, as many at a time as make ``block_windows`` windows at most (one longer item alone)."""
+#: A word of either case, where lower-casing has yet to be done.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _pieces(text: str, config: DecontaminationConfig) -> Iterator[tuple[int, str]]:
+    """Pieces of an item's text with their numbers of windows: ``block_windows`` each, the last one fewer; together they have the item's windows."""
+    recent: deque[int] = deque(maxlen=config.window - 1)
+    begin = end = n = 0
+    for word in _WORD.finditer(text):
+        if n == config.block_windows + config.window - 1:
+            yield config.block_windows, text[begin:end]
+            begin, n = (recent[0] if recent else word.start()), len(recent)
+        recent.append(word.start())
+        n, end = n + 1, word.end()
+    if n:
+        yield max(1, n - config.window + 1), text[begin:end]
+
+
+def _item_blocks(benchmark: DataFrame, config: DecontaminationConfig) -> Iterator[list[dict]]:
+    """Items, or pieces of long ones, as many at a time as make ``block_windows`` windows at most."""
     held, n = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        count = len((row["text"] or "").split()) + (row["text"] or "").count("-") + 1
-        if held and n + count > config.block_windows:
-            yield held
-            held, n = [], 0
-        held.append(row)
-        n += count
+        for count, piece in _pieces(row["text"] or "", config):
+            if held and n + count > config.block_windows:
+                yield held
+                held, n = [], 0
+            held.append({"item_id": row["item_id"], "text": piece})
+            n += count
     if held:
         yield held
 
@@ -183,12 +204,17 @@ def _rank(documents: DataFrame, windows: Windows, config: DecontaminationConfig)
     return sizes
 
 
-def _unite(n_words: int, parts: list, items: list) -> tuple:
-    hit = np.zeros(n_words, bool)
-    for spans in parts:
-        for a, b in zip(spans[::2], spans[1::2], strict=True):
-            hit[a:b] = True
-    return int(hit.sum()), sorted({x for own in items for x in own})
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What several blocks of windows found in each row, as one."""
+    for batch in batches:
+        n_hit, items = [], []
+        for n_words, parts, own in zip(*[batch.column(c).to_pylist() for c in ("n_words", "parts", "own")], strict=True):
+            edges = np.array([x for spans in parts for x in spans], np.int64).reshape(-1, 2)
+            depth = np.bincount(edges[:, 0], minlength=n_words + 1) - np.bincount(edges[:, 1], minlength=n_words + 1)
+            n_hit.append(int((np.cumsum(depth) > 0).sum()))
+            items.append(sorted({x for some in own for x in some}))
+        columns = [batch.column("row_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, ["row_id", "n_words", "n_hit", "items"])
 
 
 def _found(documents: DataFrame, benchmark: DataFrame, config: DecontaminationConfig) -> DataFrame:
@@ -209,9 +235,11 @@ def _found(documents: DataFrame, benchmark: DataFrame, config: DecontaminationCo
             lambda it: _scan(it, none, np.zeros(0, np.int64)), "row_id long, n_words long, n_hit long, items array<string>, spans array<long>"
         )
     if n_blocks > 1:
-        unite = F.udf(_unite, "n_hit long, items array<string>")
-        grouped = found.groupBy("row_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.collect_list("items").alias("i"))
-        found = grouped.withColumn("u", unite(F.col("n_words").cast("int"), "s", "i")).select("row_id", "n_words", "u.n_hit", "u.items")
+        # one entry a block of windows that met the row
+        some = F.size("spans") > 0
+        parts, own = (F.collect_list(F.when(some, F.col(c))).alias(name) for c, name in (("spans", "parts"), ("items", "own")))
+        found = found.groupBy("row_id").agg(F.max("n_words").alias("n_words"), parts, own)
+        found = found.mapInArrow(_unite, "row_id long, n_words long, n_hit long, items array<string>")
     return found.select("row_id", "n_words", "n_hit", "items")
 
 
