@@ -2,9 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written
 as Parquet and read again as the next stage's docs. All stages but the last return
-the columns of documents. As a stage begins, the intermediate tables of those before
-it are deleted, so a stage's result must have been written by then; tables of other
-queries stay.
+the columns of documents. As a stage begins, the intermediate tables of the stage before
+it in the same run are deleted, so that one's result must have been written by then. The
+first stage begins a run; tables of other runs and queries stay.
 
 Cases: rows with nulls in any column, repeated rows and columns of clashing names pass
 through the stages as their operators state it. Without language or source a row counts
@@ -16,6 +16,7 @@ __spark_entry__.py leaves the pipeline out where it is missing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,22 +24,23 @@ from webloom.llm import decontamination, jaccard, mixing, quality, scratch, shar
 from webloom.session import ship
 
 
-#: Intermediate tables of the stage that was run last.
-_last: list[str] = []
+#: Intermediate tables of the stage that this run took last; threads have runs of their own.
+_held: ContextVar[list[str]] = ContextVar("tables of the last stage")
 
 
 def _stage(spark: SparkSession, rows: Callable[[], DataFrame]) -> DataFrame:
     """What ``rows`` gives; the tables of the stage before are deleted first, its own are noted."""
     ship(spark)
-    scratch.sweep(_last)
+    scratch.sweep(_held.get([]))
     before = set(scratch.written())
     found = rows()
-    _last[:] = [path for path in scratch.written() if path not in before]
+    _held.set([path for path in scratch.written() if path not in before])
     return found
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    _held.set([])
     return _stage(spark, lambda: quality.keep(docs))
 
 
@@ -70,7 +72,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Connected components, and shard bounds from samples, are not expressed in SQL; tests/llm compares each stage with brute force.
+#: Connected components, and shard bounds from samples, are not expressed in SQL; tests/llm holds the stages against plain forms of their rules.
 ORACLE_SQL = None
 
 
