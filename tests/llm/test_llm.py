@@ -1,5 +1,6 @@
 """Operators against brute force, on small tables with nulls, blanks, ties, repeated rows and columns of clashing names."""
 
+import base64
 import collections
 import hashlib
 import io
@@ -582,6 +583,41 @@ def test_warc_files_are_plain_gzip(spark, tmp_path):
     assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.read(spark, f"file://{tmp_path}/w", 1000).collect()) == [(0, 1500, 1), (1, 1500, None), (2, 0, None), (3, 5, None), (4, 18_000_000, None)]
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """Records that this writer does not make are read, and bad ones have a row that says what is wrong."""
+    body, page = b"<p>hello</p>", hashlib.sha1(b"<p>hello</p>").digest()
+
+    def made(fields, block, stated=None):
+        head = ["WARC/1.0", *fields, f"Content-Length: {len(block) if stated is None else stated}"]
+        return warc.member("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    plain = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    chunks = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5;a=b\r\n<p>he\r\n7\r\nllo</p>\r\n0\r\n\r\n"
+    base32 = "WARC-Payload-Digest: sha1:" + base64.b32encode(page).decode()
+    data = b"".join([
+        made(["WARC-Type: request", "WARC-Record-ID: <urn:uuid:0>"], b"GET / HTTP/1.1\r\n\r\n"),
+        made(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:1>", base32], plain),
+        made(["warc-type:response", "warc-record-id:<urn:uuid:2>", base32], chunks),
+        made(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:3>", "WARC-Payload-Digest: md5:" + hashlib.md5(body).hexdigest()], plain),
+        made(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:4>", "WARC-Payload-Digest: odd:zz"], b"HTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\n" + body),
+        made(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:5>", base32], b"dns answer"),
+        made(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:6>", base32], plain, len(plain) + 50),
+        made(["WARC-Type: response"], plain, "many"),
+        made(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:8>", base32, "WARC-Refers-To: <urn:uuid:1>"], b"HTTP/1.1 200 OK\r\n\r\n"),
+        made([], plain),
+        made(["WARC-Type: response", "WARC-Record-ID: <urn:page:9>", base32], b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\n" + body),
+    ])
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    rows = warc.read(spark, f"file://{tmp_path}", 300).collect()
+    got = {r.record_id: (r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bool(r.error)) for r in rows}
+    good = (None, 12, page.hex(), "response", None, False)
+    assert len(rows) == len(got) == 9 and all(got[f"<urn:uuid:{k}>"] == good for k in (1, 2, 3, 4))
+    assert got["<urn:uuid:5>"][1:2] == (10,) and got["<urn:uuid:5>"][5] and got["<urn:uuid:6>"][5]
+    assert got[None] == (None, None, None, "response", None, True)
+    assert got["<urn:uuid:8>"] == (None, None, page.hex(), "revisit", None, False)
+    assert got["<urn:page:9>"] == (9, 12, page.hex(), "response", None, True)
+
+
 def test_warc_null_and_repeated_keys(spark):
     rows = [(None, "u", "p" * 2000), (7, "u", "p" * 2000), (7, "u", "p" * 2000), (None, "u", "q"), (7, "u", None)]
     got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())

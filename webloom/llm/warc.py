@@ -14,6 +14,12 @@ if that starts with a WARC version line; it owns the records that start in its r
 and reads on past the end of it to finish the last one. Magic bytes that turn up
 inside compressed data fail this test, or lie inside a member already read.
 
+Archives of other writers are read as well: record ids of any form (``record_id``;
+``page_id`` is null then), digests in hexadecimal or base 32 of any usual algorithm or none,
+HTTP answers of stated, unstated or chunked length, field names of either case. A record that
+does not hold what it states has a row like any other, which says so in ``error``; all
+records but responses and revisits are passed over.
+
 Cases: a null payload is empty; a null key is written as such and read back as null.
 Repeated rows make a record each, the same one for equal key and payload. An empty
 table makes no record. Other columns are ignored.
@@ -21,6 +27,8 @@ table makes no record. Other columns are ignored.
 
 from __future__ import annotations
 
+import base64
+import contextlib
 import datetime
 import hashlib
 import re
@@ -200,37 +208,95 @@ def records_from(file, size: int, start: int, end: int) -> Iterator[bytes]:
             window.forget(at)
 
 
+_PAGE = re.compile(r"<urn:page:(-?\d+)>")
+#: Digest algorithms by the names that records give them, and their bytes.
+DIGEST_BYTES = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+
+
+def _headers(head: bytes) -> dict[str, str]:
+    """Fields after the first line, by lower-case name."""
+    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+    return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+
+
+def _page(record_id: str) -> int | None:
+    found = _PAGE.fullmatch(record_id)
+    return int(found[1]) if found else None
+
+
+def _stated_digest(value: str) -> tuple[str, str] | None:
+    """Algorithm and lower-case hex of a digest field, in hexadecimal or base 32; None for other algorithms."""
+    kind, _, digest = value.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in DIGEST_BYTES:
+        return None
+    if len(digest) == 2 * DIGEST_BYTES[kind]:
+        return kind, digest.lower()
+    return kind, base64.b32decode(digest.upper().rstrip("=") + "=" * (-len(digest.rstrip("=")) % 8)).hex()
+
+
+def dechunked(body: bytes) -> bytes:
+    """The payload of a body in chunks; ValueError if it is none."""
+    parts, at = [], 0
+    while True:
+        line = body.index(b"\r\n", at)
+        size = int(body[at:line].split(b";")[0], 16)
+        if size == 0:
+            return b"".join(parts)
+        part = body[line + 2 : line + 2 + size]
+        if size < 0 or len(part) < size:
+            raise ValueError("chunk cut short")
+        parts.append(part)
+        at = line + 4 + size
+
+
+def _payload(fields: dict[str, str], rest: bytes) -> dict:
+    """Size and digest of a record's payload, and what is wrong with it."""
+    stated = fields.get("content-length", "")
+    if not stated.isdecimal():
+        return {"error": "no length"}
+    block = rest[: int(stated)]
+    head, _, payload = block.partition(b"\r\n\r\n")
+    http = _headers(head) if head.startswith(b"HTTP/") else {}
+    payload = payload if head.startswith(b"HTTP/") else block
+    length, digest, wrong = http.get("content-length", ""), None, []
+    if len(block) < int(stated):
+        wrong.append(f"{len(block)} bytes of {stated}")
+    with contextlib.suppress(ValueError):
+        digest = _stated_digest(fields.get("warc-payload-digest", ""))
+    if fields["warc-type"] == "revisit":
+        own = digest[1] if digest and digest[0] == "sha1" else None
+        return {"payload_bytes": int(length) if length.isdecimal() else None, "payload_digest": own, "error": "; ".join(wrong) or None}
+    forms, chunked = [payload], "chunked" in http.get("transfer-encoding", "").lower()
+    if chunked:  # some writers keep the field and store the payload whole
+        with contextlib.suppress(ValueError):
+            forms.insert(0, dechunked(payload))
+    if digest and not any(hashlib.new(digest[0], form, usedforsecurity=False).hexdigest() == digest[1] for form in forms):
+        wrong.append("payload does not match its digest")
+    if length.isdecimal() and not chunked and int(length) != len(payload):
+        wrong.append(f"payload of {len(payload)} bytes, {length} stated")
+    own = hashlib.sha1(forms[0], usedforsecurity=False).hexdigest()
+    return {"payload_bytes": len(forms[0]), "payload_digest": own, "error": "; ".join(wrong) or None}
+
+
 def parse(raw: bytes) -> dict | None:
-    """Fields of a record, the payload's size and digest taken from the payload where it is there; None for other than responses and revisits."""
-    head, _, body = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    if fields["WARC-Type"] not in ("response", "revisit"):
+    """Fields of a record, size and digest taken from the payload where it is there; None for other than responses and revisits."""
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    fields = _headers(head)
+    kind, record_id = fields.get("warc-type"), fields.get("warc-record-id", "")
+    if kind not in ("response", "revisit"):
         return None
-    body = body[: int(fields["Content-Length"])]
-    http, _, payload = body.partition(b"\r\n\r\n")
-    number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
-    revisit = fields["WARC-Type"] == "revisit"
-    length = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    if not revisit:
-        own = hashlib.sha1(payload, usedforsecurity=False).hexdigest()
-        if own != digest or length != len(payload):
-            raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
-    return {
-        "page_id": number(fields["WARC-Record-ID"]),
-        "payload_bytes": length,
-        "payload_digest": digest,
-        "record_type": fields["WARC-Type"],
-        "refers_to": number(fields["WARC-Refers-To"]) if revisit else None,
-    }
-
-
-_READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    found = {"page_id": _page(record_id), "payload_bytes": None, "payload_digest": None, "record_type": kind}
+    found |= {"refers_to": _page(fields.get("warc-refers-to", "")) if kind == "revisit" else None, "record_id": record_id or None, "error": None}
+    return found | _payload(fields, rest)
+
+
+_READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, error string"
 
 
 def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _READ.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
         for path, size, start, end in zip(*[batch.column(c).to_pylist() for c in ("path", "size", "start", "end")], strict=True):
             store, name = pafs.FileSystem.from_uri(path)
@@ -268,7 +334,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Archive ``pages`` in the shared folder and read the archives back."""
     path = scratch.new_path(pages.sparkSession, "warc")
     write(pages, path)
-    return read(pages.sparkSession, path)
+    return read(pages.sparkSession, path).drop("record_id", "error")
 
 
 def member_places(data: bytes) -> list[int]:
