@@ -37,6 +37,70 @@ def test_clean(page, expected):
     assert html.clean(page) == expected
 
 
+def shape(node):
+    """A tree on one line; html and body are left out."""
+    if isinstance(node, str):
+        return node
+    inner = "".join(map(shape, node.children))
+    return inner if node.tag in ("#document", "html", "body") else f"{node.tag}({inner})"
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        # formatting that crosses a block is parted
+        ("<em>tide<p>high</em>low</p>end", "em(tide)p(em(high)low)end"),
+        ("<em>tide<i>ebb<p>high</em>low", "em(tide" + "i(ebb))i(p(em(high)low))"),
+        ("<p>one<u>two<i>three</u>four</i>five</p>", "p(oneu(twoi(three))i(four)five)"),
+        ("<a>1<div>2<div>3</a>4</div>5</div>", "a(1)div(a(2)div(a(3)4)5)"),
+        ("<a>one<a>two", "a(one)a(two)"),
+        # formatting that is not closed goes on, three times at most
+        ("<p><tt>x<p>y", "p(tt(x))p(tt(y))"),
+        ("<p><s><s><s><s><p>y", "p(s(s(s(s()))))p(s(s(s(y))))"),
+        ("<table><tr><td><tt>x<td>y</table>z", "table(tbody(tr(td(tt(x))td(y))))z"),
+        # what a table cannot hold goes before it
+        ("<table>up<tr>side<td>in</table>after", "upsidetable(tbody(tr(td(in))))after"),
+        ("<table><tt><tr><td>in</td></tr>out</table>after", "tt()tt(out)table(tbody(tr(td(in))))tt(after)"),
+        ("<table> <tr> <td>in</td> </tr> </table>", "table( tbody(tr( td(in) ) ))"),
+        ("<table><tr><td><table>x<tr><td>i</table>o</table>", "table(tbody(tr(td(xtable(tbody(tr(td(i))))o))))"),
+        ("<table><tr><td>a<table><tr><td>b</table></table><table><table>", "table(tbody(tr(td(atable(tbody(tr(td(b))))))))table()table()"),
+        ("<table><col><tr><td>x<tbody><td>y</table>", "table(colgroup(col())tbody(tr(td(x)))tbody(tr(td(y))))"),
+        ("<table><caption>k<tr><td>v", "table(caption(k)tbody(tr(td(v))))"),
+        ("<table><tr><td>v</p></caption></table>", "table(tbody(tr(td(vp()))))"),
+        ("<td>x<tr>y</table>z", "xyz"),
+        # a paragraph holds a table only in pages without a document type
+        ("<p>x<table><tr><td>y</table>z", "p(xtable(tbody(tr(td(y))))z)"),
+        ("<!DOCTYPE html><p>x<table><tr><td>y</table>z", "p(x)table(tbody(tr(td(y))))z"),
+        ("<ul><li>x<div><li>y<section><li>z</ul>", "ul(li(xdiv())li(ysection(li(z))))"),
+        ("<h1>x<h2>y</h1>z", "h1(x)h2(y)z"),
+        ("<object><b>x</object>y", "object(b(x))y"),
+    ],
+)
+def test_tree(page, expected):
+    assert shape(html.parse(page)) == expected
+
+
+def test_read_page(spark):
+    pages = [LIGHTHOUSE, "<em>tide<p>high</em>low</p>end", "<table>lost<tr><td>kept</table>", "", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i long, h string")
+    got = df.select("i", html.read_page(F.col("h")).alias("p")).select("i", "p.title", "p.content", "p.tables").orderBy("i").collect()
+    assert [(r.title, r.content) for r in got] == [html.clean(p or "") for p in pages] and got[1].content == "tidehighlow\nend" and got[2].content == "lostkept"
+    assert [[t.asDict() for t in r.tables] for r in got] == [html.tables(p or "") for p in pages] and got[2].tables[0]["rows"] == [["kept"]]
+
+
+def test_tree_is_sound():
+    """Pages of random tags: each node once, below its parent, and all text kept in some order."""
+    rng = random.Random(12)
+    tags = "a b i p div table tr td th tbody caption colgroup li h1 h2 span form template object button nobr".split()
+    for _ in range(3000):
+        page = "".join(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", rng.choice("xyz")]) for _ in range(rng.randrange(1, 40)))
+        root, seen = html.parse(page), set()
+        for node in root.walk():
+            assert id(node) not in seen and any(c is node for c in node.parent.children)
+            seen.add(id(node))
+        assert sorted(root.text()) == sorted(html.re.sub("<[^>]*>", "", page))
+
+
 def test_clean_deep_pages(spark):
     deep = "<div>" * 50_000 + "<nav>no</nav>core" + "</div>" * 50_000
     assert html.clean(deep) == (None, "core")

@@ -280,6 +280,28 @@ def structured_tables(spark, sf_dir):
     return found.select("page_id", F.size("tables").alias("n_tables"), F.size(F.col("tables")[0]["rows"]).alias("n_rows"), text.content_hash(html.serialize_tables(F.col("tables"))).alias("serialized_hash"))
 
 
+_PLAIN = "trim(regexp_replace(coalesce(text, ''), '[\\s]+', ' ', 'g'))"
+
+
+@query(f"""
+SELECT doc_id, sha256(rtrim(CASE doc_id % 4 WHEN 0 THEN lang || t || source || chr(10) || doc_id WHEN 1 THEN t || source || doc_id || chr(10) || lang
+       WHEN 2 THEN source || doc_id || chr(10) || t ELSE source || lang || t || chr(10) || doc_id END, chr(10))) AS content_hash,
+       CASE WHEN doc_id % 4 IN (1, 2) THEN doc_id::VARCHAR END AS first_cell, CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 0 END AS n_links
+FROM (SELECT doc_id, lang, source, {_PLAIN} AS t FROM documents)""")
+def misnested_pages(spark, sf_dir):
+    """Documents laid out as pages whose formatting crosses blocks or whose text stands between the parts of a table."""
+    t = F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "\\s+", " "))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("doc_id").cast("string").alias("id"), F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")).alias("t"))
+    kind = F.col("doc_id") % 4
+    page = (
+        F.when(kind == 0, F.format_string("<b>%s<p>%s</b>%s</p>%s", "lang", "t", "source", "id")).when(kind == 1, F.format_string("<table>%s<tr>%s<td>%s</table>%s", "t", "source", "id", "lang"))
+        .when(kind == 2, F.format_string("<table><b><tr><td>%s</td></tr>%s</table>%s", "id", "source", "t")).otherwise(F.format_string('<ul><li><a href="/%s">%s<a href="/x%s">%s<div>%s</ul>%s', "id", "source", "id", "lang", "t", "id"))
+    )
+    site = F.lit("https://site.example")
+    read = rows.select("doc_id", html.read_page(page).alias("p"), html.discover_links(page, site, site).alias("links"))
+    return read.select("doc_id", text.content_hash(F.col("p.content")).alias("content_hash"), F.get(F.get(F.get(F.col("p.tables"), 0)["rows"], 0), 0).alias("first_cell"), F.size("links").alias("n_links"))
+
+
 # versions
 
 _VERSIONED = "SELECT doc_id, source || ':' || lang AS url, sha256(left(text, 1)) AS content_hash, doc_id AS fetched_at FROM documents"

@@ -37,7 +37,7 @@ def judge(fetches: DataFrame) -> DataFrame:
 def process_pages(fetches: DataFrame) -> DataFrame:
     """Title, content, tables and hash of the good pages of a judged log; a page without text fails with EMPTY_CONTENT."""
     good = fetches.where("failure_category IS NULL AND NOT not_modified")
-    cleaned = good.withColumn("_clean", html.clean_html(F.col("body"))).withColumn("tables", html.extract_tables(F.col("body")))
+    cleaned = good.withColumn("_clean", html.read_page(F.col("body"))).withColumn("tables", F.col("_clean.tables"))
     serialized = html.serialize_tables(F.col("tables"))
     content = F.concat(F.col("_clean.content"), F.when(serialized != "", F.concat(F.lit("\n\n"), serialized)).otherwise(""))
     empty = F.col("_clean.content") == ""
