@@ -2,6 +2,7 @@ import datetime
 import http.server
 import json
 import os
+import random
 import threading
 
 import numpy as np
@@ -220,6 +221,82 @@ def test_streams(spark, tmp_path):
     assert {r.request_id: r.start_ms for r in spark.table("spaced").collect()} == {"a": 0, "b": 1000, "d": 7}
 
 
+def stream_of(spark, tmp_path, batches, schema):
+    """A stream that gives each list of rows as a batch of its own, in order."""
+    for i, rows in enumerate(batches):
+        path = tmp_path / "in" / f"{i}.json"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("".join(json.dumps(r) + "\n" for r in rows))
+        os.utime(path, (1_000_000 + i, 1_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+
+
+def clock(ms):
+    return datetime.datetime.fromtimestamp(ms / 1000, datetime.UTC).isoformat(timespec="milliseconds")
+
+
+def cut(rows, rng, n):
+    marks = sorted(rng.randrange(len(rows) + 1) for _ in range(n - 1))
+    return [rows[a:b] for a, b in zip([0, *marks], [*marks, len(rows)], strict=True)]
+
+
+def test_spaced_stream_in_batches(spark, tmp_path):
+    """The same starts as one sequential pass, however the requests fall into batches and though free hosts are forgotten."""
+    rng = random.Random(8)
+    rows, now = [], 1_700_000_000_000
+    for i in range(120):
+        now += rng.choice([1, 300, 900, 60_000])
+        rows.append({"request_id": f"{i:03d}", "host_port": rng.choice(["a:80", "b:443", None]), "at": clock(now), "ms": now, "crawl_delay_ms": rng.choice([None, 10, 5000])})
+    free, expected = {}, {}
+    for r in rows:
+        start = max(r["ms"], free.get(r["host_port"], 0))
+        expected[r["request_id"]] = start
+        free[r["host_port"]] = start + max(1000, r["crawl_delay_ms"] or 0)
+    late = {"request_id": "none", "host_port": "a:80", "at": None, "crawl_delay_ms": None}
+    stream = stream_of(spark, tmp_path, [*cut(rows, rng, 5), [late]], "request_id string, host_port string, at timestamp, crawl_delay_ms long")
+    got = crawl.run_stream(politeness.spaced_requests(stream, time="at", delay="0 seconds"), "spaced").collect()
+    assert {r.request_id: r.start_ms for r in got} == expected and len(got) == len(rows)
+
+
+def test_page_transitions_in_batches(spark, tmp_path):
+    """Attempts and timers as one sequential pass over the times gives them, pages forgotten and taken up again included."""
+    rng, keep = random.Random(9), 50_000
+    rows, now = [], 1_700_000_000_000
+    for i in range(200):
+        now += rng.choice([1, 400, 1500, 4000])
+        outcome = rng.choice(["FAILED", "FAILED", "FAILED", "REUSED", "COMPLETED", "SKIPPED_ROBOTS"])
+        category = rng.choice(["NETWORK_TIMEOUT", "HTTP_429", "HTTP_PERMANENT", None])
+        rows.append({"page_id": rng.randrange(12), "attempt_id": i, "at": clock(now), "ms": now, "outcome": outcome, "failure_category": category, "retry_after_ms": 9000 if category == "HTTP_429" else None})
+    rows.append({**rows[-1], "page_id": 99, "attempt_id": 999, "at": clock(now + 300_000), "ms": now + 300_000, "outcome": "COMPLETED"})
+    expected, pages = [], {}
+
+    def timers(until):
+        for page, (made, due, gone, ended) in list(pages.items()):
+            if due is not None and due <= until:
+                expected.append((page, made + 1, "QUEUED", due))
+                due, gone = None, due + keep
+            pages[page] = (made, due, gone, ended)
+            if gone is not None and gone <= until:
+                del pages[page]
+
+    for r in rows:
+        timers(r["ms"])
+        made, due, gone, ended = pages.get(r["page_id"], (0, None, None, False))
+        if ended:
+            continue
+        made += 1
+        if r["outcome"] == "FAILED" and r["failure_category"] != "HTTP_PERMANENT" and made < 3:
+            expected.append((r["page_id"], made, "RETRYING", r["ms"]))
+            pages[r["page_id"]] = (made, r["ms"] + (r["retry_after_ms"] or 1000 * 2 ** (made - 1)), None, False)
+        else:
+            expected.append((r["page_id"], made, "COMPLETED" if r["outcome"] == "REUSED" else r["outcome"], r["ms"]))
+            pages[r["page_id"]] = (made, None, r["ms"] + keep, True)
+    stream = stream_of(spark, tmp_path, cut(rows, rng, 6), "page_id long, attempt_id long, at timestamp, outcome string, failure_category string, retry_after_ms long")
+    got = crawl.run_stream(politeness.page_transitions(stream, delay="0 seconds", keep_ms=keep), "transitions").collect()
+    assert sorted((r.page_id, r.attempt, r.status, r.at_ms) for r in got) == sorted(expected)
+    assert {r.status for r in got} == {"QUEUED", "RETRYING", "COMPLETED", "FAILED", "SKIPPED_ROBOTS"} and all((r.delay_ms is not None) == (r.status == "RETRYING") for r in got)
+
+
 def test_saved_pages(spark, tmp_path):
     (tmp_path / "x.html").write_text("<p>x</p>")
     (tmp_path / "y.html").write_text("<p>y</p>")

@@ -1000,6 +1000,43 @@ def job_deliveries(spark, sf_dir):
     return crawl.run_stream(politeness.first_deliveries(jobs, delay="3650 days"), "deliveries").select("job_id", "attempt")
 
 
+def _event_stream(spark, sf_dir) -> DataFrame:
+    """The events as a stream, their times with a zone."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
+
+
+@query("""
+WITH r AS (SELECT event_id::VARCHAR AS request_id, (user_id % 40)::VARCHAR AS host_port, (epoch_us(ts) // 1000) AS arrival_ms, greatest(1000, CASE WHEN event_id % 4 > 0 THEN 3600000 * (event_id % 7) END) AS rest FROM events),
+b AS (SELECT *, coalesce(sum(rest) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM r WINDOW w AS (PARTITION BY host_port ORDER BY arrival_ms, request_id))
+SELECT request_id, host_port, arrival_ms, (max(arrival_ms - before) OVER (PARTITION BY host_port ORDER BY arrival_ms, request_id ROWS UNBOUNDED PRECEDING) + before)::BIGINT AS start_ms FROM b""")
+def spaced_stream(spark, sf_dir):
+    """Requests of a stream to hosts some of whose rules ask for a delay of hours."""
+    rest = F.when(F.col("event_id") % 4 > 0, 3_600_000 * (F.col("event_id") % 7))
+    requests = _event_stream(spark, sf_dir).select(F.col("event_id").cast("string").alias("request_id"), (F.col("user_id") % 40).cast("string").alias("host_port"), "at", rest.alias("crawl_delay_ms"))
+    return crawl.run_stream(politeness.spaced_requests(requests, time="at", delay="3650 days"), "spaced")
+
+
+@query("""
+WITH a AS (SELECT event_id // 4 AS page_id, (epoch_us(ts) // 1000) AS at_ms, row_number() OVER w AS n, lead((epoch_us(ts) // 1000)) OVER w AS next_ms,
+  CASE event_type WHEN 'purchase' THEN 'REUSED' WHEN 'signup' THEN 'SKIPPED_ROBOTS' ELSE 'FAILED' END AS outcome,
+  CASE event_type WHEN 'click' THEN 'HTTP_429' WHEN 'error' THEN 'HTTP_PERMANENT' ELSE 'NETWORK_TIMEOUT' END AS category,
+  CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN 36000000 END AS asked FROM events WINDOW w AS (PARTITION BY event_id // 4 ORDER BY ts, event_id)),
+t AS (SELECT *, outcome <> 'FAILED' OR category = 'HTTP_PERMANENT' OR n >= 3 AS ended FROM a),
+c AS (SELECT *, CASE WHEN NOT ended THEN coalesce(asked, 1000 * 2 ** (n - 1)) END::BIGINT AS delay_ms FROM t
+  QUALIFY NOT coalesce(bool_or(ended) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false))
+SELECT page_id, n::INT AS attempt, CASE WHEN outcome = 'REUSED' THEN 'COMPLETED' WHEN outcome <> 'FAILED' THEN outcome WHEN ended THEN 'FAILED' ELSE 'RETRYING' END AS status,
+  CASE WHEN outcome = 'FAILED' THEN category END AS failure_category, at_ms, delay_ms FROM c
+UNION ALL SELECT page_id, (n + 1)::INT, 'QUEUED', NULL, at_ms + delay_ms, NULL FROM c WHERE delay_ms IS NOT NULL AND coalesce(next_ms >= at_ms + delay_ms, at_ms + delay_ms < (SELECT max((epoch_us(ts) // 1000)) FROM events))""")
+def page_transitions(spark, sf_dir):
+    """A stream of attempts and the timers of their retries, some of which a next attempt comes before."""
+    kind = F.col("event_type")
+    outcome = F.when(kind == "purchase", "REUSED").when(kind == "signup", "SKIPPED_ROBOTS").otherwise("FAILED")
+    category = F.when(kind == "click", "HTTP_429").when(kind == "error", "HTTP_PERMANENT").otherwise("NETWORK_TIMEOUT")
+    asked = F.when((kind == "click") & (F.col("event_id") % 2 == 0), F.lit(36_000_000).cast("long"))
+    attempts = _event_stream(spark, sf_dir).select(F.floor(F.col("event_id") / 4).alias("page_id"), F.col("event_id").alias("attempt_id"), "at", outcome.alias("outcome"), category.alias("failure_category"), asked.alias("retry_after_ms"))
+    return crawl.run_stream(politeness.page_transitions(attempts, delay="0 seconds", keep_ms=3650 * policy.DAY_MS), "transitions")
+
+
 @query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 2000)")
 def cascaded_labels(spark, sf_dir):
     kept = table(spark, sf_dir, "documents").where("n_chars > 2000")

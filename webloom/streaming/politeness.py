@@ -1,38 +1,115 @@
-"""Streams: request spacing, attempts, API rate limits."""
+"""Streams: request spacing, attempts, API rate limits.
+
+Requests and attempts without a time are left out; those of no host or page go together.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions import policy
+
 RATE_LIMIT, RATE_WINDOW = 120, "60 seconds"
+_NEVER = 2**62
 
 
-def spaced_requests(requests: DataFrame, interval_ms: int = 1000) -> DataFrame:
+def spaced_requests(requests: DataFrame, interval_ms: int = 1000, time: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """When each request of a stream may start: state is one number for each host and port.
 
-    ``requests``: (request_id string, host_port string, arrival_ms long).
+    ``requests``: (request_id string, host_port string, arrival_ms long[, crawl_delay_ms long]). After a
+    request its host rests for ``interval_ms``, or for the crawl delay of its rules where that is longer.
+    With ``time``, a timestamp in place of ``arrival_ms``, a host is forgotten once the watermark has
+    passed the time at which it is free, when its number would make no difference; requests that are
+    later than ``delay`` are left out, as by every stream with a watermark. Requests of a host in one
+    batch are taken in order of arrival and id.
     """
+    if time is not None:
+        requests = requests.where(F.col(time).isNotNull()).withWatermark(time, delay).withColumn("arrival_ms", F.unix_millis(time))
+    own = F.col("crawl_delay_ms") if "crawl_delay_ms" in requests.columns else F.lit(None).cast("long")
+    requests = requests.withColumn("interval_ms", F.greatest(F.lit(interval_ms).cast("long"), F.coalesce(own, F.lit(0))))
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        free = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["arrival_ms", "request_id"])
-        starts = []
-        for arrival in rows["arrival_ms"]:
-            start = max(int(arrival), free)
-            free = start + interval_ms
-            starts.append(start)
+        arrivals, rests = rows["arrival_ms"].to_numpy("int64", copy=True), rows["interval_ms"].to_numpy("int64")
+        if state.exists:
+            arrivals[0] = max(arrivals[0], state.get[0])
+        before = np.cumsum(rests) - rests
+        starts = np.maximum.accumulate(arrivals - before) + before
+        free = int(starts[-1] + rests[-1])
         state.update((free,))
+        if time is not None:
+            state.setTimeoutTimestamp(max(free, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(host_port=key[0], start_ms=starts)[["request_id", "host_port", "arrival_ms", "start_ms"]]
 
     return requests.groupBy("host_port").applyInPandasWithState(
-        run, "request_id string, host_port string, arrival_ms long, start_ms long", "free_ms long", "append", "NoTimeout"
+        run, "request_id string, host_port string, arrival_ms long, start_ms long", "free_ms long", "append", "NoTimeout" if time is None else "EventTimeTimeout"
+    )
+
+
+def page_transitions(attempts: DataFrame, time: str = "at", delay: str = "10 minutes", keep_ms: int = policy.DAY_MS) -> DataFrame:
+    """Changes of state of each page of a stream of attempts: (page_id, attempt, status, failure_category, at_ms, delay_ms).
+
+    ``attempts``: (page_id, attempt_id, a timestamp, outcome, failure_category, retry_after_ms), outcome
+    being COMPLETED, REUSED, SKIPPED_ROBOTS or FAILED. Each attempt gives the state that it leads to, as
+    ``crawl.page_outcomes`` has it; one of a finished page gives nothing. A page to be retried has a timer:
+    when its delay is over, a row QUEUED with the number of the next attempt. State is three numbers a page.
+    A page is forgotten ``keep_ms`` after it was finished, or after its retry was due and nothing came;
+    an attempt after that is a first one. Neither this nor the timers depend on how rows fall into batches;
+    rows that are later than ``delay`` are left out.
+    """
+    again = (F.col("outcome") == "FAILED") & policy.is_retryable(F.col("failure_category"))
+    numbers = F.sequence(F.lit(1), F.lit(policy.MAX_ATTEMPTS))
+    rows = attempts.where(F.col(time).isNotNull()).withWatermark(time, delay).select(
+        "page_id",
+        "attempt_id",
+        time,
+        F.unix_micros(time).alias("at_us"),
+        F.when(F.col("outcome") == "REUSED", "COMPLETED").otherwise(F.col("outcome")).alias("status"),
+        F.when(F.col("outcome") == "FAILED", F.coalesce("failure_category", F.lit("UNKNOWN"))).alias("failure_category"),
+        # the delay after each number of attempts, -1 where there is no other
+        F.transform(numbers, lambda n: F.when(again & ~policy.is_terminal(F.lit(True), n - 1), policy.backoff_ms(n, F.col("retry_after_ms"))).otherwise(F.lit(-1)).cast("long")).alias("delays"),
     )
 
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        made, due, forget = state.get if state.exists else (0, _NEVER, _NEVER)
+        out: list[tuple] = []
+        arrived = None if state.hasTimedOut else pd.concat(list(frames)).sort_values(["at_us", "attempt_id"])
+        events = [] if arrived is None else list(zip(arrived["at_us"] // 1000, arrived["status"], arrived["failure_category"], arrived["delays"], strict=True))
+        for at, status, category, delays in events or [(state.getCurrentWatermarkMs(), None, None, None)]:
+            if due <= at:  # the timer of a retry
+                out.append((made + 1, "QUEUED", None, due, None))
+                due, forget = _NEVER, due + keep_ms
+            if forget <= at:
+                made, due, forget = 0, _NEVER, _NEVER
+            if delays is None or made < 0:
+                continue
+            wait = int(delays[made])
+            out.append((made + 1, status if wait < 0 else "RETRYING", category, at, None if wait < 0 else wait))
+            # a finished page is kept with a number below zero
+            made, due, forget = (-1, _NEVER, at + keep_ms) if wait < 0 else (made + 1, at + wait, _NEVER)
+        if made:
+            state.update((made, int(due), int(forget)))
+            state.setTimeoutTimestamp(int(max(min(due, forget), state.getCurrentWatermarkMs() + 1)))
+        elif state.exists:
+            state.remove()
+        if not out:
+            return
+        changes = pd.DataFrame(out, columns=["attempt", "status", "failure_category", "at_ms", "delay_ms"])
+        yield changes.astype({"attempt": "int32", "at_ms": "int64", "delay_ms": "Int64"}).assign(page_id=key[0])[["page_id", *changes.columns]]
+
+    kind = attempts.schema["page_id"].dataType.simpleString()
+    returned = f"page_id {kind}, attempt int, status string, failure_category string, at_ms long, delay_ms long"
+    return rows.groupBy("page_id").applyInPandasWithState(run, returned, "made int, due_ms long, forget_ms long", "append", "EventTimeTimeout")
+
 
 def rate_windows(requests: DataFrame, time: str, client: str, limit: int = RATE_LIMIT, window: str = RATE_WINDOW) -> DataFrame:
     """Requests of each client and window, and how many were over the limit; for tables and streams with a watermark."""
