@@ -24,6 +24,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,12 +63,19 @@ def sizes(documents: DataFrame, keep_rows: bool = False) -> DataFrame:
     ).withColumn("uid", F.monotonically_increasing_id())
 
 
+def _packed(crc: np.ndarray, doc: np.ndarray, uid: np.ndarray) -> np.ndarray:
+    """Keys as 24 bytes each that compare as the keys do."""
+    signed = [np.asarray(x, np.int64).view(np.uint64) ^ np.uint64(1 << 63) for x in (crc, doc, uid)]
+    return np.stack(signed, axis=1).astype(">u8").view("S24").ravel()
+
+
 def _range_of(splitters: list[Key]):
     """A function of (text_crc32, doc_id, uid) columns that gives the range: the number of splitters at or before the key."""
+    bounds = _packed(*zip(*splitters, strict=True)) if splitters else np.zeros(0, "S24")
 
     def search(crc: pa.Array, doc: pa.Array, uid: pa.Array) -> pa.Array:
-        keys = zip(crc.to_pylist(), doc.to_pylist(), uid.to_pylist(), strict=True)
-        return pa.array([bisect_right(splitters, (c, _low if d is None else d, u)) for c, d, u in keys], pa.int32())
+        keys = _packed(crc.to_numpy(False), doc.fill_null(_low).to_numpy(False), uid.to_numpy(False))
+        return pa.array(np.searchsorted(bounds, keys, side="right"), pa.int32())
 
     return F.arrow_udf(search, "int")
 
@@ -128,8 +136,8 @@ def plan(rows: DataFrame, config: ShardConfig) -> tuple[list[Key], list[int], li
             break
         ranged = _with_range(rows, splitters)
         into = {i: max(8, int(2 * counts[i][0] / ideal)) for i in overfull}
-        rates = F.create_map(*[F.lit(x) for i in sorted(overfull) for x in (i, into[i] * config.oversample / counts[i][0])])
-        drawn = _sample(ranged.where(F.col("range").isin(sorted(overfull))), rates[F.col("range")])
+        rates = rows.sparkSession.createDataFrame([(i, into[i] * config.oversample / counts[i][0]) for i in sorted(overfull)], "range int, rate double")
+        drawn = _sample(ranged.join(F.broadcast(rates) if len(overfull) < 1_000_000 else rates, "range"), F.col("rate"))
         more: set[Key] = set()
         for i in overfull:
             low = splitters[i - 1] if i else (-1, 0, 0)
