@@ -143,7 +143,7 @@ def plain_repeats(rows):
     return found
 
 
-@pytest.mark.parametrize("config", [suffix_dedup.SuffixConfig(), suffix_dedup.SuffixConfig(hot_runs=2, array_bytes=500, chunk_runs=300, block_bytes=5000)])
+@pytest.mark.parametrize("config", [suffix_dedup.SuffixConfig(), suffix_dedup.SuffixConfig(hot_runs=2, array_bytes=500, chunk_runs=300, block_bytes=5000), suffix_dedup.SuffixConfig(hot_runs=2, hot_listed=0, bitmap_bits=8, chunk_runs=300, block_bytes=5000)])
 def test_suffix_dedup(spark, docs, rows, config):
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(docs, config).collect()}
     assert got == plain_repeats(rows)

@@ -24,7 +24,9 @@ anchor are looked at together, and only there is a suffix array built:
 
 An anchor of very many runs (inside a common line shorter than ``length``) would make
 a large group; its starts meet by the longest gram instead, their whole string, which
-spreads them. The list of such anchors is short by its threshold.
+spreads them. Tasks know such anchors by a list, or by a bitmap where they are many.
+A bitmap takes some other anchors for hot as well; all runs of those are split too, so
+that only costs work.
 
 Cases: a null text is empty. A text shorter than ``length`` bytes loses nothing. A null
 doc_id comes before all others. Rows that share a doc_id follow one another in order of
@@ -35,7 +37,7 @@ is the first. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,8 +61,11 @@ class SuffixConfig:
     gram: int = 24
     #: Bytes of spans of which one suffix array is built (or those of one anchor).
     array_bytes: int = 1 << 18
-    #: Anchors with more runs than this, and than a hundred-thousandth of all runs, are split by whole strings.
+    #: Anchors with more runs than this are split by whole strings, at every size of the corpus.
     hot_runs: int = 10_000
+    #: Hot anchors that tasks know as a list; of more they know a bitmap of eight bits or more each, of 2**bitmap_bits bits at most.
+    hot_listed: int = 1_000_000
+    bitmap_bits: int = 30
     #: Runs that a task holds before it sends their anchors on, and bytes of text for each block of anchors.
     chunk_runs: int = 400_000
     block_bytes: int = 1 << 24
@@ -187,9 +192,9 @@ def _rows(names: str, columns: list, kinds: list[pa.DataType]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names.split())
 
 
-_SURVEY = "chunk long, ref int, h1 long, h2 long, n_runs long, block long, codes binary, refs binary, runs binary, others binary, times binary"
+_SURVEY = "chunk long, ref int, h1 long, h2 long, block long, codes binary, refs binary, runs binary, others binary, times binary"
 _SURVEY_NAMES = " ".join(c.split()[0] for c in _SURVEY.split(", "))
-_SURVEY_KINDS = [pa.int64(), pa.int32()] + [pa.int64()] * 4 + [pa.binary()] * 5
+_SURVEY_KINDS = [pa.int64(), pa.int32()] + [pa.int64()] * 3 + [pa.binary()] * 5
 
 
 def anchor_keys(anchors: np.ndarray, n_blocks: int) -> np.ndarray:
@@ -230,20 +235,20 @@ def _survey(batches: Iterator[pa.RecordBatch], config: SuffixConfig, n_blocks: i
         cut = lambda values, edge, kind: [tx.pack(values[edge[x] : edge[x + 1]].astype(kind)) for x in used]
         nothing = [None] * len(used)
         columns = [cut(a, at, np.uint32), cut(ref[~many], at, np.uint16), cut(run[~many], at, np.uint32), cut(b, bt, np.uint32), cut(times[times > 1], bt, np.uint32)]
-        yield _rows(_SURVEY_NAMES, [[name] * len(used), *[nothing] * 4, used, *columns], _SURVEY_KINDS)
-        yield _rows(_SURVEY_NAMES, [[name], *[[None]] * 6, [tx.pack(ref[many].astype(np.uint16))], [tx.pack(run[many].astype(np.uint32))], [None], [None]], _SURVEY_KINDS)
+        yield _rows(_SURVEY_NAMES, [[name] * len(used), *[nothing] * 3, used, *columns], _SURVEY_KINDS)
+        yield _rows(_SURVEY_NAMES, [[name], *[[None]] * 5, [tx.pack(ref[many].astype(np.uint16))], [tx.pack(run[many].astype(np.uint32))], [None], [None]], _SURVEY_KINDS)
 
     for batch in batches:
         h1, h2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for block in tx.blocks(batch.column(2), _BLOCK):
             found = runs(block, config)
-            ordinal, n_runs = found.ordinal(), np.bincount(found.text, minlength=len(block))
+            ordinal = found.ordinal()
             ref = np.full(len(block), -1)
             for k in range(len(block)):
                 sign = (h1[block.first + k], h2[block.first + k])
                 if sign not in number:  # an equal text of this chunk was here
                     number[sign] = ref[k] = len(members)
-                    members.append((len(members), *sign, int(n_runs[k])))
+                    members.append((len(members), *sign))
             new = np.flatnonzero(ref[found.text] >= 0)
             parts.append((anchor_keys(found.anchor[new], n_blocks), ref[found.text[new]], ordinal[new], found.several[new]))
             held += len(new)
@@ -312,7 +317,26 @@ def _picked(batch: pa.RecordBatch, config: SuffixConfig) -> Iterator[tuple[tx.Bl
         yield block, found, pick
 
 
-def _spans(batches: Iterator[pa.RecordBatch], config: SuffixConfig, hot: np.ndarray, n_blocks: int) -> Iterator[pa.RecordBatch]:
+def _hot_test(hot: DataFrame, config: SuffixConfig) -> Callable[[np.ndarray], np.ndarray]:
+    """Which of an array's anchor keys are in the written table ``hot`` of keys (as signed numbers), by a list or by a bitmap."""
+    n = hot.count()
+    if n <= config.hot_listed:
+        listed = np.array([r[0] for r in hot.toLocalIterator()], np.int64).view(np.uint64)
+        return lambda keys: np.isin(keys, listed)
+    mask = (1 << min(config.bitmap_bits, max(6, (8 * n).bit_length()))) - 1
+    place = F.col("hot").bitwiseAND(F.lit(mask))  # low bits of a hash
+    words = hot.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(hot & {mask & 63} AS INT))")).alias("bits")).toArrow()
+    bitmap = np.zeros((mask + 1) >> 6, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+
+    def test(keys: np.ndarray) -> np.ndarray:
+        at = (keys & np.uint64(mask)).astype(np.int64)
+        return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
+
+    return test
+
+
+def _spans(batches: Iterator[pa.RecordBatch], config: SuffixConfig, hot: Callable[[np.ndarray], np.ndarray], n_blocks: int) -> Iterator[pa.RecordBatch]:
     """Spans of the runs that are not alone, equal ones met in succession once; of hot anchors each start by itself, by its whole string."""
     best: dict[tuple[int, bytes], tuple] = {}
 
@@ -323,7 +347,7 @@ def _spans(batches: Iterator[pa.RecordBatch], config: SuffixConfig, hot: np.ndar
     for batch in batches:
         docs, h1 = batch.column("doc_id").to_numpy(), batch.column("h1").to_numpy()
         for block, found, pick in _picked(batch, config):
-            is_hot = np.isin(anchor_keys(found.anchor[pick], n_blocks), hot)
+            is_hot = hot(anchor_keys(found.anchor[pick], n_blocks))
             cold, split = pick[~is_hot], pick[is_hot]
             m = found.count[split]
             place = np.repeat(found.begin[split], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
@@ -422,12 +446,11 @@ def dedup(documents: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFr
     n_blocks = max(1, -(-(rows.agg(F.sum("n_bytes")).first()[0] or 0) // config.block_bytes))
     long = texts.where(size >= config.length)
     survey = materialize(long.select("h1", "h2", "text").mapInArrow(lambda it: _survey(it, config, n_blocks), _SURVEY), "suffix-survey")
-    members = survey.where("ref IS NOT NULL").select("chunk", "ref", "h1", "h2", "n_runs")
-    hot_from = max(config.hot_runs, (members.agg(F.sum("n_runs")).first()[0] or 0) // 100_000)  # so no more than about 100,000 anchors are hot
+    members = survey.where("ref IS NOT NULL").select("chunk", "ref", "h1", "h2")
     dealt = survey.where("block IS NOT NULL").select("block", "chunk", "codes", "refs", "runs", "others", "times", F.col("block").alias("own"))
-    again = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _again(it, hot_from), "chunk long, refs binary, runs binary, hot long")
+    again = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _again(it, config.hot_runs), "chunk long, refs binary, runs binary, hot long")
     again = materialize(again, "suffix-again")
-    hot = np.array([r[0] for r in again.where("hot IS NOT NULL").select("hot").toLocalIterator()], np.int64).view(np.uint64)
+    hot = _hot_test(again.where("hot IS NOT NULL").select("hot"), config)
     shared = again.where("hot IS NULL").select("chunk", "refs", "runs").unionByName(survey.where("ref IS NULL AND block IS NULL").select("chunk", "refs", "runs"))
     by_chunk = shared.select("chunk", F.col("chunk").alias("own"), "refs", "runs").repartition("chunk").sortWithinPartitions("chunk")
     by_text = by_chunk.mapInArrow(_by_text, "chunk long, ref int, runs binary").join(members, ["chunk", "ref"]).select("h1", "h2", "runs")
