@@ -17,3 +17,8 @@ def folder(spark, tmp_path):
 def test_latest_version_hashes_the_whole_text(spark, folder):
     got = {r.doc_id: r.content_hash for r in catalog.queries()["latest_version"](spark, folder).collect()}
     assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in ((3, "same beginning, two"), (4, "same"))}
+
+
+def test_version_chain_compares_whole_texts(spark, folder):
+    got = {r.doc_id: (r.previous_version_id, r.version, r.unchanged) for r in catalog.queries()["version_chain"](spark, folder).collect()}
+    assert got == {1: (None, 1, False), 2: (1, 2, False), 3: (2, 3, True), 4: (None, 1, False)}
