@@ -71,3 +71,10 @@ def test_kept_rules_of_a_long_log(spark, hours):
             kept[origin] = at
         plain[k] = (kept[origin], kept[origin] == at)
     assert got == plain
+
+
+def test_next_fetches_are_found_in_one_pass(spark):
+    """No window is open at its end, for which Spark reads all rows that follow again for each row."""
+    times = spark.createDataFrame([("a", datetime.datetime(2024, 1, 1))], "origin string, at timestamp")
+    plan = crawl._next_fetches(times, F.expr("INTERVAL 24 HOURS"), 24)._jdf.queryExecution().toString()
+    assert "specifiedwindowframe" in plan and "unboundedfollowing" not in plan

@@ -312,9 +312,10 @@ def _next_fetches(times: DataFrame, lifetime: Column, ttl_hours: int) -> DataFra
     asked = times.select("origin", (F.col("at") + lifetime).alias("x"), "at")
     both = held.unionByName(asked).withColumn("life", _lifetime_of(F.col("x"), ttl_hours))
     event = F.when(F.col("at").isNull(), F.col("x"))
-    later = Window.partitionBy("origin", "life").orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # latest first, as Spark goes over all rows that follow again for each row of a frame that is open at its end
+    later = Window.partitionBy("origin", "life").orderBy(F.desc("x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     lives = both.groupBy("origin", "life").agg(F.min(event).alias("_least"))  # a row for each lifetime of the clock
-    following = Window.partitionBy("origin").orderBy("life").rowsBetween(1, Window.unboundedFollowing)
+    following = Window.partitionBy("origin").orderBy(F.desc("life")).rowsBetween(Window.unboundedPreceding, -1)
     lives = lives.withColumn("_beyond", F.min("_least").over(following)).drop("_least")
     found = both.withColumn("_here", F.min(event).over(later)).where("at IS NOT NULL").join(lives, ["origin", "life"])
     return found.select("origin", "at", F.coalesce("_here", "_beyond").alias("to")).where("to IS NOT NULL")
