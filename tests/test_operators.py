@@ -297,6 +297,24 @@ def test_page_transitions_in_batches(spark, tmp_path):
     assert {r.status for r in got} == {"QUEUED", "RETRYING", "COMPLETED", "FAILED", "SKIPPED_ROBOTS"} and all((r.delay_ms is not None) == (r.status == "RETRYING") for r in got)
 
 
+def test_page_states_are_held_by_buckets(spark, tmp_path):
+    """Pages share rows of state and calls, ids beyond a float's exactness and a null one keep apart."""
+    ids = [None, 2**62, 2**62 + 1, *range(300)]
+    rows = [{"page_id": p, "attempt_id": 2 * i + n, "at": clock(1_700_000_000_000 + 60_000 * n), "outcome": "FAILED" if n == 0 else "COMPLETED"} for i, p in enumerate(ids) for n in range(2)]
+    end = {"page_id": -1, "attempt_id": -1, "at": clock(1_700_000_900_000), "outcome": "COMPLETED"}
+    kinds = "page_id long, attempt_id long, at timestamp, outcome string, failure_category string, retry_after_ms long"
+    stream = stream_of(spark, tmp_path, [rows[::2], rows[1::2], [end]], kinds)
+    running = politeness.page_transitions(stream, delay="0 seconds", buckets=8).writeStream.format("memory").queryName("bucketed").trigger(availableNow=True).start()
+    try:
+        assert running.awaitTermination(120)
+        held = max(p["stateOperators"][0]["numRowsTotal"] for p in running.recentProgress if p["stateOperators"])
+    finally:
+        running.stop()
+    assert 0 < held <= 8
+    got = sorted(((r.page_id, r.attempt, r.status) for r in spark.table("bucketed").collect()), key=repr)
+    assert got == sorted([(p, n, s) for p in ids for n, s in ((1, "RETRYING"), (2, "QUEUED"), (2, "COMPLETED"))] + [(-1, 1, "COMPLETED")], key=repr)
+
+
 def test_saved_pages(spark, tmp_path):
     (tmp_path / "x.html").write_text("<p>x</p>")
     (tmp_path / "y.html").write_text("<p>y</p>")

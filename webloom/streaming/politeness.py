@@ -55,7 +55,7 @@ def spaced_requests(requests: DataFrame, interval_ms: int = 1000, time: str | No
     )
 
 
-def page_transitions(attempts: DataFrame, time: str = "at", delay: str = "10 minutes", keep_ms: int = policy.DAY_MS) -> DataFrame:
+def page_transitions(attempts: DataFrame, time: str = "at", delay: str = "10 minutes", keep_ms: int = policy.DAY_MS, buckets: int = 1024) -> DataFrame:
     """Changes of state of each page of a stream of attempts: (page_id, attempt, status, failure_category, at_ms, delay_ms).
 
     ``attempts``: (page_id, attempt_id, a timestamp, outcome, failure_category, retry_after_ms), outcome
@@ -65,50 +65,69 @@ def page_transitions(attempts: DataFrame, time: str = "at", delay: str = "10 min
     A page is forgotten ``keep_ms`` after it was finished, or after its retry was due and nothing came;
     an attempt after that is a first one. Neither this nor the timers depend on how rows fall into batches;
     rows that are later than ``delay`` are left out.
+
+    Pages are held together in ``buckets`` by their hash, each with the state of its pages and one timer, the
+    earliest of theirs, as a call of Python for each page and timer would take most of the time. A batch reads
+    and writes the buckets it falls in; a stream keeps the number of buckets it began with.
     """
     again = (F.col("outcome") == "FAILED") & policy.is_retryable(F.col("failure_category"))
-    numbers = F.sequence(F.lit(1), F.lit(policy.MAX_ATTEMPTS))
+    waits = [f"delay_{n}" for n in range(policy.MAX_ATTEMPTS)]
     rows = attempts.where(F.col(time).isNotNull()).withWatermark(time, delay).select(
-        "page_id",
+        F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int").alias("bucket"),
+        F.col("page_id").cast("string").alias("page_id"),  # numbers beside nulls would become floats
         "attempt_id",
         time,
         F.unix_micros(time).alias("at_us"),
         F.when(F.col("outcome") == "REUSED", "COMPLETED").otherwise(F.col("outcome")).alias("status"),
         F.when(F.col("outcome") == "FAILED", F.coalesce("failure_category", F.lit("UNKNOWN"))).alias("failure_category"),
         # the delay after each number of attempts, -1 where there is no other
-        F.transform(numbers, lambda n: F.when(again & ~policy.is_terminal(F.lit(True), n - 1), policy.backoff_ms(n, F.col("retry_after_ms"))).otherwise(F.lit(-1)).cast("long")).alias("delays"),
+        *[F.when(again & ~policy.is_terminal(F.lit(True), F.lit(n)), policy.backoff_ms(F.lit(n + 1), F.col("retry_after_ms"))).otherwise(F.lit(-1)).cast("long").alias(w) for n, w in enumerate(waits)],
     )
+    names = ["page_id", "attempt", "status", "failure_category", "at_ms", "delay_ms"]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        made, due, forget = state.get if state.exists else (0, _NEVER, _NEVER)
+        now = state.getCurrentWatermarkMs()
+        pages = {page: (made, due, forget) for page, made, due, forget in zip(*state.get, strict=True)} if state.exists else {}
         out: list[tuple] = []
-        arrived = None if state.hasTimedOut else pd.concat(list(frames)).sort_values(["at_us", "attempt_id"])
-        events = [] if arrived is None else list(zip(arrived["at_us"] // 1000, arrived["status"], arrived["failure_category"], arrived["delays"], strict=True))
-        for at, status, category, delays in events or [(state.getCurrentWatermarkMs(), None, None, None)]:
+
+        def meet(page: Any, at: int) -> tuple[int, int, int]:
+            """A page's numbers after its timers up to a time."""
+            made, due, forget = pages.get(page, (0, _NEVER, _NEVER))
             if due <= at:  # the timer of a retry
-                out.append((made + 1, "QUEUED", None, due, None))
+                out.append((page, made + 1, "QUEUED", None, due, None))
                 due, forget = _NEVER, due + keep_ms
-            if forget <= at:
-                made, due, forget = 0, _NEVER, _NEVER
-            if delays is None or made < 0:
-                continue
-            wait = int(delays[made])
-            out.append((made + 1, status if wait < 0 else "RETRYING", category, at, None if wait < 0 else wait))
-            # a finished page is kept with a number below zero
-            made, due, forget = (-1, _NEVER, at + keep_ms) if wait < 0 else (made + 1, at + wait, _NEVER)
-        if made:
-            state.update((made, int(due), int(forget)))
-            state.setTimeoutTimestamp(int(max(min(due, forget), state.getCurrentWatermarkMs() + 1)))
+            return (0, _NEVER, _NEVER) if forget <= at else (made, due, forget)
+
+        # timers the watermark has passed; no attempt that is still to come is as early
+        for page in [page for page, (_, due, forget) in pages.items() if min(due, forget) < now]:
+            pages[page] = meet(page, now - 1)
+            if not pages[page][0]:
+                del pages[page]
+        if not state.hasTimedOut:
+            arrived = pd.concat(list(frames)).sort_values(["at_us", "attempt_id"])
+            columns = [arrived["page_id"], arrived["at_us"] // 1000, arrived["status"], arrived["failure_category"], *[arrived[w] for w in waits]]
+            for page, at, status, category, *delays in zip(*[c.tolist() for c in columns], strict=True):
+                made, due, forget = meet(page, at)
+                if made >= 0:
+                    wait = delays[made]
+                    out.append((page, made + 1, status if wait < 0 else "RETRYING", category, at, None if wait < 0 else wait))
+                    # a finished page is kept with a number below zero
+                    made, due, forget = (-1, _NEVER, at + keep_ms) if wait < 0 else (made + 1, at + wait, _NEVER)
+                pages[page] = (made, due, forget)
+        if pages:
+            state.update((list(pages), *map(list, zip(*pages.values(), strict=True))))
+            state.setTimeoutTimestamp(max(min(min(due, forget) for _, due, forget in pages.values()), now + 1))
         elif state.exists:
             state.remove()
-        if not out:
-            return
-        changes = pd.DataFrame(out, columns=["attempt", "status", "failure_category", "at_ms", "delay_ms"])
-        yield changes.astype({"attempt": "int32", "at_ms": "int64", "delay_ms": "Int64"}).assign(page_id=key[0])[["page_id", *changes.columns]]
-
-    kind = attempts.schema["page_id"].dataType.simpleString()
-    returned = f"page_id {kind}, attempt int, status string, failure_category string, at_ms long, delay_ms long"
-    return rows.groupBy("page_id").applyInPandasWithState(run, returned, "made int, due_ms long, forget_ms long", "append", "EventTimeTimeout")
+        if out:
+            columns = dict(zip(names, zip(*out, strict=True), strict=True))
+            kinds = {"attempt": "int32", "at_ms": "int64", "delay_ms": "Int64"}
+            yield pd.DataFrame({c: pd.array(v, dtype=kinds[c]) if c in kinds else pd.Series(v, dtype="object") for c, v in columns.items()})
+
+    returned = "page_id string, attempt int, status string, failure_category string, at_ms long, delay_ms long"
+    held = "pages array<string>, made array<int>, due_ms array<long>, forget_ms array<long>"
+    made = rows.groupBy("bucket").applyInPandasWithState(run, returned, held, "append", "EventTimeTimeout")
+    return made.withColumn("page_id", F.col("page_id").cast(attempts.schema["page_id"].dataType))
 
 
 def rate_windows(requests: DataFrame, time: str, client: str, limit: int = RATE_LIMIT, window: str = RATE_WINDOW) -> DataFrame:
