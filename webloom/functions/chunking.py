@@ -9,7 +9,7 @@ search in one of the lists.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ _BLANK = np.zeros(1 << 16, bool)
 _BLANK[[ord(c) for c in WHITESPACE]] = True
 _NEWLINE = 10
 #: Units of texts that are laid end to end (a longer text alone).
-_BATCH_UNITS = 1 << 22
+_BATCH_UNITS = 1 << 20
 CHUNKS_TYPE = "array<struct<chunk_index:int,content:string,content_hash:string,start_offset:int,end_offset:int>>"
 
 
@@ -156,15 +156,18 @@ def _chunked(texts: list[str], target: int, overlap: int) -> list[tuple[int, int
     return out
 
 
-def _grouped(texts: list[str]) -> list[slice]:
-    """Runs of texts of bounded length together."""
-    runs, begin, size = [], 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > _BATCH_UNITS:
-            runs.append(slice(begin, k))
-            begin, size = k, 0
-        size += len(t)
-    return [*runs, slice(begin, len(texts))]
+def _runs(column: pa.Array) -> Iterator[list[str]]:
+    """Texts of a column, in runs of bounded length together, a few at a time taken out of it."""
+    held, size = [], 0
+    for begin in range(0, len(column), 64):
+        for t in column.slice(begin, 64).to_pylist():
+            if held and size + len(t or "") > _BATCH_UNITS:
+                yield held
+                held, size = [], 0
+            held.append(t or "")
+            size += len(t or "")
+    if held:
+        yield held
 
 
 def chunk(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[tuple[int, str, str, int, int]]:
@@ -173,19 +176,25 @@ def chunk(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[tuple
     return [c[1:] for c in _chunked([text or ""], target, overlap)]
 
 
+def chunk_lists(columns: Iterator[pa.Array], target: int = TARGET, overlap: int = OVERLAP) -> Iterator[pa.Array]:
+    """Arrays of the chunks of texts; a run's go out before the next run's are made, so a task holds one run of them."""
+    names = ("chunk_index", "content", "content_hash", "start_offset", "end_offset")
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+    for column in columns:
+        for texts in _runs(column):
+            found = _chunked(texts, target, overlap)
+            counts = np.bincount(np.array([c[0] for c in found], np.int64), minlength=len(texts))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            fields = [pa.array([c[k + 1] for c in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names))
+
+
 def chunk_text(content: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
     """The chunks of each text, as an array of structs."""
     check_options(target, overlap)
-    names = ("chunk_index", "content", "content_hash", "start_offset", "end_offset")
-    kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
 
-    def run(column: pa.Array) -> pa.Array:
-        texts = [t or "" for t in column.to_pylist()]
-        found = [(c[0] + run.start, *c[1:]) for run in _grouped(texts) for c in _chunked(texts[run], target, overlap)]
-        counts = np.bincount(np.array([c[0] for c in found], np.int64), minlength=len(texts))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        fields = [pa.array([c[k + 1] for c in found], kind) for k, kind in enumerate(kinds)]
-        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names))
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return chunk_lists(columns, target, overlap)
 
     return F.arrow_udf(run, CHUNKS_TYPE)(content)
 
