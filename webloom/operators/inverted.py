@@ -90,10 +90,16 @@ def build(chunks: DataFrame, documents: DataFrame, path: str, config: IndexConfi
     ordered.write.partitionBy("part").parquet(f"{path}/postings")
     ordered.limit(0).coalesce(1).write.parquet(f"{path}/schema")
     written = spark.read.schema(f"{_schema(made)}, part int").parquet(f"{path}/postings")
-    key = F.struct("word", "hash")
-    bounds = written.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))
+    held = cut_lineage(extents(written), "extents")
+    first, last = F.min(F.struct("word", F.col("low").alias("hash"))), F.max(F.struct("word", F.col("high").alias("hash")))
+    bounds = held.groupBy("part").agg(first.alias("low"), last.alias("high"), F.sum("n").alias("n"))
     bounds.select("part", F.col("low.word").alias("low"), F.col("low.hash").alias("low_hash"), F.col("high.word").alias("high"), F.col("high.hash").alias("high_hash"), "n").coalesce(1).write.parquet(f"{path}/parts")  # a row a part
-    written.groupBy("word").agg(F.count("*").alias("chunks")).repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{path}/words")
+    held.groupBy("word").agg(F.sum("n").alias("chunks")).repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{path}/words")
+
+
+def extents(written: DataFrame) -> DataFrame:
+    """(part, word, low, high, n): hashes and number of the postings of each word in each part. Least and greatest words of parts, taken from the postings, would have all of these sorted."""
+    return written.groupBy("part", "word").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n"))
 
 
 def _schema(df: DataFrame) -> str:
