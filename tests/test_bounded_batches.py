@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.functions import chunking
+from webloom.functions import chunking, html
 from webloom.operators import inverted
 
 
@@ -24,6 +24,12 @@ def test_chunks_go_out_by_runs():
     assert [[tuple(c.values()) for c in chunks] for chunks in lists] == [chunking.chunk(t or "") for t in texts]
 
 
+def test_pages_go_out_by_runs():
+    pages = [f"<title>t{k}</title><p>p{k}" for k in range(200)]
+    made = list(html.read_pages(iter([pa.array(pages)])))
+    assert len(made) > 1 and [(p["title"], p["content"]) for a in made for p in a.to_pylist()] == [(f"t{k}", f"p{k}") for k in range(200)]
+
+
 @pytest.mark.parametrize("part_rows", [7, 1000])
 def test_extents_of_words_give_bounds_and_counts(spark, tmp_path, part_rows):
     """Parts and words are told from one table of words in parts, and are those of the postings themselves."""
