@@ -404,6 +404,27 @@ def test_attention_lm(spark, docs, rows):
     assert attention_lm.score_held_out(empty(spark), config).count() == 0
 
 
+def test_lm_learns_from_every_id():
+    """Windows hold each id of each text once, and each text has its turn in one round, or in several of a small table."""
+    config = attention_lm.LmConfig(window=8)
+    vocabulary = attention_lm.Vocabulary.of(np.arange(50), config)
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 8, 9, 64, 3, 17])
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    ids = rng.integers(0, 50, begin[-1])
+    place, live, before = attention_lm.training_windows(ids, begin, vocabulary, config)
+    assert sorted(place[live]) == list(range(len(ids)))
+    assert all(before[k] == (1 if k in begin[:-1] else vocabulary.input_of[ids[k - 1]]) for k in range(len(ids)))
+    config = attention_lm.LmConfig()
+    docs = pa.RecordBatch.from_arrays([pa.array([*range(40), None], pa.int64()), pa.array(["one two three"] * 41)], ["doc_id", "text"])
+    vocabulary = attention_lm.Vocabulary.of(np.ones(attention_lm.vocabulary_size(config), np.int64), config)
+    flat = attention_lm.initial(vocabulary, config)
+    for n_rounds, times in ((1, 41), (2, 82), (4, 164)):
+        made = [next(attention_lm._train_whole(iter([docs]), flat, vocabulary, config, n_rounds, t)).column("w")[0].as_py() for t in range(config.rounds)]
+        assert sum(made) == times and all(0 < n for n in made)
+    assert attention_lm.rounds_of_a_text(10**6, 100, config) == 4 and attention_lm.rounds_of_a_text(10**9, 10**5, config) == 1
+
+
 def test_lm_windows_grow_with_the_texts():
     config = attention_lm.LmConfig()
     doc = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["some words " * 9000])], ["doc_id", "text"])

@@ -7,8 +7,10 @@
    the probability of an id is that of its group times its own within the group.
 2. A one-layer causal self-attention model predicts the next id. It is trained
    data-parallel: every task trains on windows of its own documents from the common
-   weights, and the weights are averaged; several rounds of that. Windows are drawn
-   by hash from all training documents, as many as their bytes ask for.
+   weights, and the weights are averaged; several rounds of that. Every id of every
+   training document is learned from: documents are dealt to the rounds by hash, and
+   small tables are gone over in several rounds, or all. (``whole=False`` is for a
+   quick model of windows that are drawn by hash; the query does not use it.)
 3. Every text is scored whole. Context windows overlap; each token is scored once, in
    the first window that holds it, many windows in one batch of masked attention.
 
@@ -59,7 +61,10 @@ class LmConfig:
     rounds: int = 4
     batch_windows: int = 32
     rate: float = 1e-2
-    #: A round's training windows: ``min_windows``, and one more for so many bytes of text, if the texts have as many.
+    #: Whether training goes over every id of the texts.
+    whole: bool = True
+    #: Windows that all rounds of a small table together go over: ``min_windows`` a round, by going over texts in more than one.
+    #: Without ``whole``, a round's windows: ``min_windows``, and one more for so many bytes of text, if the texts have as many.
     window_bytes: int = 8192
     min_windows: int = 12000
     frequent_words: int = 300_000
@@ -430,6 +435,48 @@ def _train(batches: Iterator[pa.RecordBatch], flat: np.ndarray, vocabulary: Voca
                 held = []
     if held:
         learn()
+    yield from _weights(trainer)
+
+
+def rounds_of_a_text(n_bytes: int, n_texts: int, config: LmConfig) -> int:
+    """In how many rounds each text is gone over: one, or more where the texts have few windows."""
+    windows = n_bytes / (config.window * 5) + n_texts
+    return min(config.rounds, max(1, math.ceil(config.rounds * config.min_windows / max(1, windows))))
+
+
+def training_windows(ids: np.ndarray, begin: np.ndarray, vocabulary: Vocabulary, config: LmConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that hold every id of the texts of a block once: the places of their ids, which are live, and the id before each place."""
+    size = config.window
+    lengths = np.diff(begin)
+    count = -(-lengths // size)
+    first = np.repeat(begin[:-1], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * size
+    used = np.minimum(size, np.repeat(begin[1:], count) - first)
+    live = np.arange(size) < used[:, None]
+    place = np.where(live, first[:, None] + np.arange(size), 0)
+    before = np.concatenate([[0], vocabulary.input_of[ids[:-1]]])
+    before[begin[:-1]] = 1  # the start of a text
+    return place, live, before
+
+
+def _train_whole(batches: Iterator[pa.RecordBatch], flat: np.ndarray, vocabulary: Vocabulary, config: LmConfig, n_rounds: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """Weights after all windows of those of a task's texts whose turn it is, times the number of these windows, in pieces."""
+    end_id = vocabulary_size(config) - 1
+    subwords, trainer = Subwords(config), Trainer(flat, vocabulary, config, config.rate * 0.5**turn)
+    for batch in batches:
+        docs = tx.mix(batch.column(0).fill_null(0).to_numpy().view(np.uint64) ^ np.uint64(0x5EED))
+        own = (docs % np.uint64(config.rounds) + np.uint64(turn)) % np.uint64(config.rounds) < np.uint64(n_rounds)
+        for block in tx.blocks(batch.column(1).filter(pa.array(own)), 1 << 20):
+            _, ids, begin = text_ids(block, subwords, end_id)
+            place, live, before = training_windows(ids, begin, vocabulary, config)
+            order = np.random.default_rng([turn, len(place)]).permutation(len(place))
+            for k in range(0, len(order), config.batch_windows):
+                some = order[k : k + config.batch_windows]
+                trainer.step(before[place[some]], ids[place[some]], live[some])
+    yield from _weights(trainer)
+
+
+def _weights(trainer: Trainer) -> Iterator[pa.RecordBatch]:
+    """Weights times the number of windows they were trained on, in pieces."""
     if trainer.windows:
         for k in range(0, len(trainer.flat), 4096):
             part = trainer.flat[k : k + 4096].astype(np.float64) * trainer.windows
@@ -542,9 +589,9 @@ def train(documents: DataFrame, config: LmConfig = LmConfig()) -> Model:
     vocabulary = Vocabulary.of(ids, config)
     flat = initial(vocabulary, config)
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    per_byte = windows_per_byte(*size, config)
+    learn, how = (_train_whole, rounds_of_a_text(*size, config)) if config.whole else (_train, windows_per_byte(*size, config))
     for turn in range(config.rounds):
-        trained = documents.select("doc_id", "text").mapInArrow(lambda it, f=flat, t=turn: _train(it, f, vocabulary, config, per_byte, t), "i int, v double, w long")
+        trained = documents.select("doc_id", "text").mapInArrow(lambda it, f=flat, t=turn: learn(it, f, vocabulary, config, how, t), "i int, v double, w long")
         mean = trained.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow()
         if mean.num_rows:
             flat = flat.copy()
