@@ -1,6 +1,8 @@
 """The index of cells and codes: every row indexed, recall against the exact search, few cells on grouped vectors."""
 
 import os
+import time
+import uuid
 
 import numpy as np
 import pytest
@@ -43,6 +45,40 @@ def test_recall_and_share_of_rows_read(spark):
         assert s == pytest.approx(whole[q] @ whole[i] / np.linalg.norm(whole[q]) / np.linalg.norm(whole[i]))
 
 
+def shuffled_records(spark, run):
+    """Records that the stages of ``run`` write to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    group = f"shuffled-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    time.sleep(1)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_what_a_search_shuffles_grows_with_the_rows_and_not_with_the_cells_asked(spark):
+    rng = np.random.default_rng(4)
+    config, shuffled = ann_codes.CodeIndexConfig(part_rows=500, block=64), []
+    for n in (1500, 6000):
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(n, 8)).tolist())], SCHEMA).repartition(4).persist()
+        codes = ann_codes.train(rows, "vector", "id", config)
+        index = ann_codes.build(rows, "vector", "id", codes, config).persist()
+        asked = rows.where("id % 20 = 0").persist()
+        assert index.count() == n and asked.count() == n // 20
+        found = []
+        shuffled.append(shuffled_records(spark, lambda: found.extend(ann_codes.candidates(index, asked, "vector", "id", codes, len(codes.centres), 5, config).collect())))
+        vectors = {r.id: np.array(r.vector) / np.linalg.norm(r.vector) for r in rows.collect()}
+        coded = {r.id: codes.decode(np.frombuffer(r.code, np.uint8)[None])[0] + codes.centres[r.cell] for r in index.collect()}
+        ids, held = np.array(list(coded)), np.array(list(coded.values()))
+        best = {(q, int(i)) for q in range(0, n, 20) for i in ids[np.lexsort((ids, -(held @ vectors[q])))[:5]]}
+        assert {tuple(r) for r in found} == best and len(found) == len(best)
+    assert shuffled[1] <= 4.5 * shuffled[0]
+
+
 def test_two_levels_mostly_find_the_nearest_cell(spark):
     rows = spark.createDataFrame(grouped(), SCHEMA)
     codes = ann_codes.train(rows, "vector", "id")

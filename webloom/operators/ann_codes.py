@@ -3,7 +3,7 @@
 A sample of bounded size gives the cells' centres, in two levels so that a row is held
 against some roots of their number only, and codebooks for pieces of what a centre leaves
 of a vector. Every row is indexed: its cell and a byte for each piece. A search scans the
-codes of the cells nearest to a query, by parts of bounded size that queries meet in
+codes of the cells nearest to a query, in packed blocks of bounded size that queries meet in
 blocks, and reads the whole vectors of the best candidates only, which are ranked exactly.
 
 Cases: rows whose vector is null, of another size than the sample's, without length or not
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webloom.functions.vectors import cosine_similarity
-from webloom.operators.ann import _lists, _unit, _vectors
+from webloom.operators.ann import _unit, _vectors
+from webloom.operators.crawl import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -113,7 +114,7 @@ _INDEX = "cell int, id long, code binary"
 
 
 def build(rows: DataFrame, vector_column: str, id_column: str, codes: Codes | None, config: CodeIndexConfig = CodeIndexConfig()) -> DataFrame:
-    """(cell, part, id, code) of every row with a vector; write it, as a search reads it for its parts and for its codes."""
+    """(cell, part, id, code) of every row with a vector; write it, as each search reads it."""
     spark = rows.sparkSession
     if codes is None:
         return spark.createDataFrame([], f"{_INDEX}, part int")
@@ -131,41 +132,116 @@ def build(rows: DataFrame, vector_column: str, id_column: str, codes: Codes | No
     return placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), "_parts").cast("int")).drop("_parts")
 
 
-def candidates(index: DataFrame, queries: DataFrame, vector_column: str, id_column: str, codes: Codes, probes: int, keep: int, config: CodeIndexConfig = CodeIndexConfig()) -> DataFrame:
-    """(query_id, id) of the ``keep`` best rows of each query by their codes, in the ``probes`` cells nearest to it."""
+#: Task groups that the blocks of codes are dealt to; what is shuffled of a query does not grow with the cells.
+_LANES = 8
+
+
+def _blocks(index: DataFrame, config: CodeIndexConfig) -> DataFrame:
+    """Rows of the index packed into blocks of at most ``part_rows``, in the order of cells and ids: (cells, ids, codes)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, config.part_rows):
+                part = batch.slice(at, config.part_rows)
+                columns = [part.column(0).to_numpy().tobytes(), part.column(1).to_numpy().tobytes(), b"".join(part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["cells", "ids", "codes"])
+
+    lanes = index.select("cell", "id", "code").repartitionByRange(_LANES, "cell", "id").sortWithinPartitions("cell", "id")
+    return cut_lineage(lanes.mapInArrow(pack, "cells binary, ids binary, codes binary"), "codes")
+
+
+def _asked(queries: DataFrame, vector_column: str, id_column: str, dimension: int, config: CodeIndexConfig) -> DataFrame:
+    """Queries packed into blocks of at most ``block``: (ids, vectors), unit vectors of doubles."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = _vectors(batch, dimension)
+            for at in range(0, len(ids), config.block):
+                columns = [ids[at : at + config.block].tobytes(), found[at : at + config.block].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["query_ids", "vectors"])
+
+    narrow = queries.select(F.col(id_column).cast("long").alias("_id"), vector_column)
+    parts = -(-narrow.count() // config.block) or 1
+    return cut_lineage(narrow.repartition(parts, "_id").mapInArrow(pack, "query_ids binary, vectors binary"), "asked")
+
+
+class _Best:
+    """The ``keep`` best rows of each query of a block so far, by falling similarity, then by id."""
+
+    def __init__(self, n: int, keep: int):
+        self.keep, self.pool, self.held = keep, [], 0
+        self.least, self.last = np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max)
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        q, r = np.nonzero(score >= self.least[queries][:, None])
+        value, q, r = score[q, r], queries[q], ids[r]
+        better = (value > self.least[q]) | (r < self.last[q])
+        self.pool.append((q[better], r[better], value[better]))
+        self.held += int(better.sum())
+        if self.held > 4 * self.keep * len(self.least):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, r, value = (np.concatenate([p[i] for p in self.pool]) for i in range(3)) if self.pool else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((r, -value, q))
+        q, r, value = q[order], r[order], value[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept, full = rank < self.keep, rank == self.keep - 1
+        self.least[q[full]], self.last[q[full]] = value[full], r[full]
+        self.pool, self.held = [(q[kept], r[kept], value[kept])], int(kept.sum())
+        return self.pool[0]
+
+
+def _scanned(index: DataFrame, queries: DataFrame, vector_column: str, id_column: str, codes: Codes, probes: int, keep: int, config: CodeIndexConfig) -> DataFrame:
+    """(query_id, id, similarity): for each query and lane the ``keep`` best rows by their codes.
+
+    Every block of queries meets every block of codes in a product of the two packed tables, which shuffles
+    neither; a task holds the best rows of one block of queries while it goes over its lane.
+    """
     sent = queries.sparkSession.sparkContext.broadcast(codes)
-    found_schema = "query_id long, id long, similarity double"
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, now, best = sent.value, None, None
+        size = known.centres.shape[1]
+
+        def done() -> pa.RecordBatch:
+            q, ids, value = best.cut()
+            return pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids), pa.array(value)], ["query_id", "id", "similarity"])
+
         for batch in batches:
-            ids, found = _vectors(batch, sent.value.centres.shape[1])
-            near = np.argsort(-(found @ sent.value.centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32) if len(ids) else np.zeros((0, 1), np.int32)
-            n = near.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), pa.array(np.repeat(ids, n)), _lists(np.repeat(found, n, axis=0).reshape(len(near.ravel()), -1) if len(ids) else np.zeros((0, 1)))], ["cell", "query_id", "asked"])
-
-    asked = queries.select(F.col(id_column).cast("long"), vector_column).mapInArrow(probe, "cell int, query_id long, asked array<double>")
-    blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / config.block).cast("int").alias("_blocks"))  # one row a cell
-    parts = index.groupBy("cell").agg((F.max("part") + 1).alias("_parts"))
-    rows = index.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    met = asked.join(F.broadcast(blocks), "cell").join(F.broadcast(parts), "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), "_blocks").cast("int"))
-    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-
-    def meet(held: pa.Table, wanted: pa.Table) -> pa.Table:
-        names = ["query_id", "id", "similarity"]
-        if not held.num_rows or not wanted.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        known = sent.value
-        coded = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(held.num_rows, -1)
-        vectors = known.decode(coded) + known.centres[held["cell"][0].as_py()]
-        queries_ = np.asarray(wanted["asked"].combine_chunks().flatten()).reshape(wanted.num_rows, -1)
-        score = queries_ @ vectors.T
-        n = min(keep, score.shape[1])
-        best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        ids = held["id"].to_numpy()
-        return pa.table([np.repeat(wanted["query_id"].to_numpy(), n), ids[best].ravel(), np.take_along_axis(score, best, 1).ravel()], names)
-
-    keys = ["cell", "part", "block"]
-    found = rows.select(*keys, "id", "code").groupBy(*keys).cogroup(met.select(*keys, "query_id", "asked").groupBy(*keys)).applyInArrow(meet, found_schema)
+            for i in range(batch.num_rows):
+                query_ids, vectors, cells, ids, coded = (batch.column(k)[i].as_py() for k in range(5))
+                if query_ids != now:
+                    if best is not None:
+                        yield done()
+                    now, asked, wanted = query_ids, np.frombuffer(query_ids, np.int64), np.frombuffer(vectors).reshape(-1, size)
+                    near = np.argsort(-(wanted @ known.centres.T), axis=1, kind="stable")[:, :probes]
+                    probed = np.zeros((len(known.centres), len(asked)), bool)
+                    probed[near.ravel(), np.repeat(np.arange(len(asked)), near.shape[1])] = True
+                    best = _Best(len(asked), keep)
+                cells, ids = np.frombuffer(cells, np.int32), np.frombuffer(ids, np.int64)
+                coded = np.frombuffer(coded, np.uint8).reshape(len(ids), -1)
+                bounds = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]])
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    own = np.flatnonzero(probed[cells[a]])
+                    for at in range(a, b if len(own) else a, _SCANNED):
+                        part = slice(at, min(b, at + _SCANNED))
+                        best.add(own, ids[part], wanted[own] @ (known.decode(coded[part]) + known.centres[cells[a]]).T)
+        if best is not None:
+            yield done()
+
+    packed = _asked(queries, vector_column, id_column, codes.centres.shape[1], config)
+    met = packed.hint("shuffle_replicate_nl").crossJoin(_blocks(index, config).coalesce(_LANES))
+    return met.mapInArrow(scan, "query_id long, id long, similarity double")
+
+
+#: Rows of a cell whose similarities with a block of queries are held at once.
+_SCANNED = 4096
+
+
+def candidates(index: DataFrame, queries: DataFrame, vector_column: str, id_column: str, codes: Codes, probes: int, keep: int, config: CodeIndexConfig = CodeIndexConfig()) -> DataFrame:
+    """(query_id, id) of the ``keep`` best rows of each query by their codes, in the ``probes`` cells nearest to it."""
+    found = _scanned(index, queries, vector_column, id_column, codes, probes, keep, config)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep).select("query_id", "id")
 
