@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import pytest
 
 from webloom import catalog
@@ -22,3 +23,12 @@ def test_latest_version_hashes_the_whole_text(spark, folder):
 def test_version_chain_compares_whole_texts(spark, folder):
     got = {r.doc_id: (r.previous_version_id, r.version, r.unchanged) for r in catalog.queries()["version_chain"](spark, folder).collect()}
     assert got == {1: (None, 1, False), 2: (1, 2, False), 3: (2, 3, True), 4: (None, 1, False)}
+
+
+def test_sql_of_versions_reads_whole_texts(folder):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{folder}/documents.parquet/*.parquet'")
+    sql = catalog.oracle_sql()
+    got = {r[0]: r[1:] for r in con.sql(sql["version_chain"]).fetchall()}
+    assert got == {1: (None, 1, False), 2: (1, 2, False), 3: (2, 3, True), 4: (None, 1, False)}
+    assert {r[2] for r in con.sql(sql["latest_version"]).fetchall()} == {hashlib.sha256(t.encode()).hexdigest() for t in ("same beginning, two", "same")}
