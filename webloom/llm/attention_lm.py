@@ -245,8 +245,9 @@ _MOST = np.float32(40)
 
 
 def _exp(logits: np.ndarray) -> np.ndarray:
-    np.clip(logits, -_MOST, _MOST, out=logits)
-    return np.exp(logits)
+    """Raised in place."""
+    logits.clip(-_MOST, _MOST, out=logits)
+    return np.exp(logits, out=logits)
 
 
 def forward(p: dict[str, np.ndarray], inputs: np.ndarray, fresh: int = 0) -> tuple[np.ndarray, tuple]:
@@ -288,8 +289,8 @@ def log_probabilities(p: dict[str, np.ndarray], z: np.ndarray, ids: np.ndarray,
     groups = vocabulary.group_of[ids]
     logits = z @ p["group"]
     logits += p["group_bias"]
-    total = _exp(logits) @ np.ones(logits.shape[1], np.float32)
-    out = logits[np.arange(len(ids)), groups] - np.log(total) + vocabulary.log_share[ids]
+    out = logits[np.arange(len(ids)), groups].clip(-_MOST, _MOST)
+    out = out - np.log(_exp(logits) @ np.ones(logits.shape[1], np.float32)) + vocabulary.log_share[ids]
     order, begin = group_bounds(groups, logits.shape[1])
     slots, sorted_z = vocabulary.slot_of[ids[order]], z[order]
     for g in range(logits.shape[1] - 1):
@@ -297,8 +298,8 @@ def log_probabilities(p: dict[str, np.ndarray], z: np.ndarray, ids: np.ndarray,
         if b > a and last > first:
             own = sorted_z[a:b] @ p["slot"][first:last].T
             own += p["slot_bias"][first:last]
-            total = _exp(own) @ np.ones(last - first, np.float32)
-            out[order[a:b]] += own[np.arange(b - a), slots[a:b]] - np.log(total)
+            picked = own[np.arange(b - a), slots[a:b]].clip(-_MOST, _MOST)
+            out[order[a:b]] += picked - np.log(_exp(own) @ np.ones(last - first, np.float32))
     return out
 
 
@@ -307,30 +308,40 @@ def gradient(p: dict[str, np.ndarray], inputs: np.ndarray, ids: np.ndarray, live
     z, (x, q, k, v, a, total, mixed, y, f) = forward(p, inputs)
     d, share = q.shape[2], np.float32(1 / max(1, live.sum()))
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    target, zl = ids[live], z[live]
+    places = np.flatnonzero(live)
+    target = ids.ravel()[places]
     groups = vocabulary.group_of[target]
-    dl = _exp(zl @ p["group"] + p["group_bias"])
-    dl /= dl.sum(axis=1, keepdims=True)
-    dl[np.arange(len(target)), groups] -= 1
-    dl *= share
-    g = {"group": zl.T @ dl, "group_bias": dl.sum(0), "slot": np.zeros_like(p["slot"]), "slot_bias": np.zeros_like(p["slot_bias"])}
-    dzl = dl @ p["group"].T
-    order, begin = group_bounds(groups, dl.shape[1])
-    slots = vocabulary.slot_of[target]
+    order, begin = group_bounds(groups, p["group"].shape[1])
+    places, target, groups = places[order], target[order], groups[order]  # tokens of a group are a slice
+    row, slots, bounds = np.arange(len(target)), vocabulary.slot_of[target], vocabulary.bounds.tolist()
+    ones = np.ones(len(y), z.dtype)
+    zl = np.concatenate([flat(z)[places], ones[: len(target), None]], axis=1)  # the last column meets the biases
+    weights = np.concatenate([p["slot"], p["slot_bias"][:, None]], axis=1)
+    dl = zl[:, :-1] @ p["group"]
+    dl += p["group_bias"]
+    dl = _exp(dl)
+    dl *= share / (dl @ ones[: dl.shape[1], None])
+    dl[row, groups] -= share
+    gg = zl.T @ dl
+    dzl, dw, n_slots = dl @ p["group"].T, np.zeros_like(weights), len(weights)
+    ones_of_slots = np.ones((n_slots, 1), z.dtype)
+    begin = begin.tolist()
     for n in range(dl.shape[1] - 1):
-        own, (first, last) = order[begin[n] : begin[n + 1]], vocabulary.bounds[n : n + 2]
-        if len(own) and last > first:
-            ds = _exp(zl[own] @ p["slot"][first:last].T + p["slot_bias"][first:last])
-            ds /= ds.sum(axis=1, keepdims=True)
-            ds[np.arange(len(own)), slots[own]] -= 1
-            ds *= share
-            g["slot"][first:last], g["slot_bias"][first:last] = ds.T @ zl[own], ds.sum(0)
-            dzl[own] += ds @ p["slot"][first:last]
+        (i, j), (first, last) = begin[n : n + 2], bounds[n : n + 2]
+        if j > i and last > first:
+            own, of = zl[i:j], weights[first:last]
+            ds = _exp(own @ of.T)
+            ds *= share / (ds @ ones_of_slots[: last - first])
+            ds[row[: j - i], slots[i:j]] -= share
+            np.matmul(ds.T, own, out=dw[first:last])
+            dzl[i:j] += ds @ of[:, :-1]
+    g = {"group": gg[:-1], "group_bias": gg[-1], "slot": dw[:, :-1], "slot_bias": dw[:, -1]}
     dz = np.zeros_like(y)
-    dz[live.ravel()] = dzl
+    dz[places] = dzl
     g["down"] = f.T @ dz
-    df = (dz @ p["down"].T) * (f > 0)
-    g["up"], g["up_bias"] = y.T @ df, df.sum(0)
+    df = dz @ p["down"].T
+    df *= f > 0
+    g["up"], g["up_bias"] = y.T @ df, ones @ df
     dy = dz + df @ p["up"].T
     g["o"] = flat(mixed).T @ dy
     dm = (dy @ p["o"].T).reshape(x.shape)
