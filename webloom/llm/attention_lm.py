@@ -242,6 +242,8 @@ def initial(vocabulary: Vocabulary, config: LmConfig) -> np.ndarray:
 
 #: Bounds of logarithms before they are raised, which keep sums finite in 32 bits.
 _MOST = np.float32(40)
+#: Tokens that are sorted by group at once; their vectors and logits stay in the processor's cache.
+_SORTED = 1 << 13
 
 
 def _exp(logits: np.ndarray) -> np.ndarray:
@@ -250,143 +252,226 @@ def _exp(logits: np.ndarray) -> np.ndarray:
     return np.exp(logits, out=logits)
 
 
-def forward(p: dict[str, np.ndarray], inputs: np.ndarray, fresh: int = 0) -> tuple[np.ndarray, tuple]:
-    """The vector before the output layer at each place of each window from ``fresh`` on, and what the gradient needs."""
-    d, (n, length) = p["o"].shape[0], inputs.shape
-    x = p["embed"].take(inputs.ravel(), axis=0).reshape(n, length, d)
-    x += p["place"][:length]
-    if fresh:
-        qx = np.ascontiguousarray(x[:, fresh:])
-        q = (qx.reshape(-1, d) @ (p["qkv"][:, :d] * np.float32(d**-0.5))).reshape(n, length - fresh, d)
-        kv = (x.reshape(-1, d) @ p["qkv"][:, d:]).reshape(n, length, 2 * d)
-        k, v = kv[..., :d], kv[..., d:]
-    else:
-        qx, qkv = x, (x.reshape(-1, d) @ p["qkv"]).reshape(n, length, 3 * d)
-        q, k, v = qkv[..., :d] * np.float32(d**-0.5), qkv[..., d : 2 * d], qkv[..., 2 * d :]
-    a = _exp(np.matmul(q, k.transpose(0, 2, 1)))
-    a *= np.tri(length, dtype=np.float32)[fresh:]  # causal
-    total = a @ np.ones((length, 1), np.float32)
-    mixed = a @ v
-    mixed /= total
-    y = mixed.reshape(-1, d) @ p["o"]
-    y += qx.reshape(-1, d)
-    f = y @ p["up"]
-    f += p["up_bias"]
+def folded(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Weights from an input and 1 to its query, its value and 1: a query meets inputs by q k' and a value goes out by v o, so both products stand for themselves."""
+    d = p["o"].shape[0]
+    out = np.zeros((d + 1, 2 * d + 1), p["o"].dtype)
+    out[:d, :d] = (p["qkv"][:, :d] * np.float32(d**-0.5)) @ p["qkv"][:, d : 2 * d].T
+    out[:d, d : 2 * d] = p["qkv"][:, 2 * d :] @ p["o"]
+    out[d, 2 * d] = 1
+    return out
+
+
+@functools.lru_cache(maxsize=8)
+def _causal(length: int, fresh: int) -> np.ndarray:
+    return np.tri(length, dtype=np.float32)[fresh:]
+
+
+def attend(q: np.ndarray, x: np.ndarray, v1: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last vectors of ``x`` and the weighted values of the places up to each one's go to ``out``; the weights, their sums and the weighted values. The last value of ``v1`` is 1."""
+    length, d = x.shape[1], x.shape[2]
+    a = _exp(np.matmul(q, x.transpose(0, 2, 1)))
+    a *= _causal(length, length - q.shape[1])
+    mixed = a @ v1
+    total = mixed[..., d:]
+    mixed = np.divide(mixed[..., :d], total)
+    np.add(x[:, length - q.shape[1] :], mixed, out=out)
+    return a, total, mixed
+
+
+def hidden(p: dict[str, np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors before the output layer, with 1 and 0 behind them, of rows of the same kind; and the hidden ones."""
+    d, h = p["up"].shape
+    f = y @ np.concatenate([p["up"], p["up_bias"][None], np.zeros((1, h), y.dtype)])
     np.maximum(f, 0, out=f)
-    z = f @ p["down"]
+    z = f @ np.concatenate([p["down"], np.zeros((h, 2), y.dtype)], axis=1)
     z += y
-    return z.reshape(n, length - fresh, d), (x, q, k, v, a, total, mixed, y, f)
+    return z, f
+
+
+def forward(p: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The vector before the output layer at each place of each window, and what the gradient needs."""
+    d, (n, length) = p["o"].shape[0], inputs.shape
+    x = np.ones((n, length, d + 1), p["o"].dtype)
+    np.add(p["embed"].take(inputs.ravel(), axis=0).reshape(n, length, d), p["place"][:length], out=x[..., :d])
+    w = folded(p)
+    qv = (x.reshape(-1, d + 1) @ w).reshape(n, length, 2 * d + 1)
+    y = np.empty((n, length, d + 2), x.dtype)
+    y[..., d], y[..., d + 1] = 1, 0
+    attention = attend(qv[..., :d], x[..., :d], qv[..., d:], y[..., :d])
+    y = y.reshape(-1, d + 2)
+    z, f = hidden(p, y)
+    return z[:, :d].reshape(n, length, d), (x, w, qv, *attention, y, z, f)
 
 
 def group_bounds(groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts tokens by their groups, and where each group begins in it."""
     order = np.argsort(groups.astype(np.int16), kind="stable")
-    return order, np.searchsorted(groups[order], np.arange(n + 1))
+    return order, np.concatenate([[0], np.cumsum(np.bincount(groups, minlength=n))])
+
+
+def output_weights(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of groups and those within them as rows, each with its bias and 1 behind it; these meet the 1 and 0 behind the vectors before the output layer."""
+    one = lambda m: np.ones((len(m), 1), m.dtype)
+    group = p["group"].T
+    return tuple(np.concatenate([m, b[:, None], one(m)], axis=1) for m, b in ((group, p["group_bias"]), (p["slot"], p["slot_bias"])))
+
+
+def _within(z: np.ndarray, weights: np.ndarray, begin: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, list[tuple[np.ndarray, int, int, int, int]]]:
+    """Raised logits within the groups of tokens that are sorted by them, group after group in one array; and of each group these, its tokens' and its vectors' bounds."""
+    sizes = np.diff(vocabulary.bounds)
+    at = np.concatenate([[0], np.cumsum(np.diff(begin) * sizes)]).tolist()
+    made, parts = np.empty(at[-1], z.dtype), []
+    begin, bounds = begin.tolist(), vocabulary.bounds.tolist()
+    for n in range(len(sizes)):
+        (i, j), (first, last) = begin[n : n + 2], bounds[n : n + 2]
+        if j > i and last > first:
+            own = made[at[n] : at[n + 1]].reshape(j - i, last - first)
+            np.dot(z[i:j], weights[first:last].T, out=own)
+            parts.append((own, i, j, first, last))
+    _exp(made)
+    return made, parts
 
 
 def log_probabilities(p: dict[str, np.ndarray], z: np.ndarray, ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Natural log probability of each of ``ids`` given the vector before it."""
+    weights = output_weights(p)
+    if z.shape[1] == p["o"].shape[0]:
+        z = np.concatenate([z, np.ones((len(z), 1), z.dtype), np.zeros((len(z), 1), z.dtype)], axis=1)
+    out = np.empty(len(ids))
+    for k in range(0, len(ids), _SORTED):
+        out[k : k + _SORTED] = _log_probabilities(weights, z[k : k + _SORTED], ids[k : k + _SORTED], vocabulary)
+    return out
+
+
+def _log_probabilities(weights: tuple[np.ndarray, np.ndarray], z: np.ndarray, ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    (group, slot), n_groups = weights, len(weights[0])
     groups = vocabulary.group_of[ids]
-    logits = z @ p["group"]
-    logits += p["group_bias"]
-    out = logits[np.arange(len(ids)), groups].clip(-_MOST, _MOST)
-    out = out - np.log(_exp(logits) @ np.ones(logits.shape[1], np.float32)) + vocabulary.log_share[ids]
-    order, begin = group_bounds(groups, logits.shape[1])
-    slots, sorted_z = vocabulary.slot_of[ids[order]], z[order]
-    for g in range(logits.shape[1] - 1):
-        a, b, (first, last) = begin[g], begin[g + 1], vocabulary.bounds[g : g + 2]
-        if b > a and last > first:
-            own = sorted_z[a:b] @ p["slot"][first:last].T
-            own += p["slot_bias"][first:last]
-            picked = own[np.arange(b - a), slots[a:b]].clip(-_MOST, _MOST)
-            out[order[a:b]] += picked - np.log(_exp(own) @ np.ones(last - first, np.float32))
+    order, begin = group_bounds(groups, n_groups)
+    own, z, groups = ids[order], z.take(order, axis=0), groups[order]
+    n_own = begin[-2]  # tokens of the last group have no vectors
+    total = _exp(z @ group.T) @ np.ones(n_groups, z.dtype)
+    found = np.einsum("ij,ij->i", z, group.take(groups, axis=0)).clip(-_MOST, _MOST)
+    _, parts = _within(z, slot, begin, vocabulary)
+    within, ones = np.ones(n_own, z.dtype), np.ones(len(slot), z.dtype)
+    for e, i, j, first, last in parts:
+        np.dot(e, ones[: last - first], out=within[i:j])
+    place = vocabulary.bounds[groups[:n_own]] + vocabulary.slot_of[own[:n_own]]
+    found[:n_own] += np.einsum("ij,ij->i", z[:n_own], slot.take(place, axis=0)).clip(-_MOST, _MOST)
+    found -= np.log(total)
+    found[:n_own] -= np.log(within)
+    out = np.empty(len(ids))
+    out[order] = found + vocabulary.log_share[own]
     return out
 
 
 def gradient(p: dict[str, np.ndarray], inputs: np.ndarray, ids: np.ndarray, live: np.ndarray, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Gradient of the mean negative log probability of the live ``ids``."""
-    z, (x, q, k, v, a, total, mixed, y, f) = forward(p, inputs)
-    d, share = q.shape[2], np.float32(1 / max(1, live.sum()))
-    flat = lambda m: m.reshape(-1, m.shape[-1])
+    _, (x, w, qv, a, total, mixed, y, z, f) = forward(p, inputs)
+    (n, length, d), share = mixed.shape, np.float32(1 / max(1, live.sum()))
     places = np.flatnonzero(live)
     target = ids.ravel()[places]
     groups = vocabulary.group_of[target]
-    order, begin = group_bounds(groups, p["group"].shape[1])
+    group, slot = output_weights(p)
+    order, begin = group_bounds(groups, len(group))
     places, target, groups = places[order], target[order], groups[order]  # tokens of a group are a slice
-    row, slots, bounds = np.arange(len(target)), vocabulary.slot_of[target], vocabulary.bounds.tolist()
-    ones = np.ones(len(y), z.dtype)
-    zl = np.concatenate([flat(z)[places], ones[: len(target), None]], axis=1)  # the last column meets the biases
-    weights = np.concatenate([p["slot"], p["slot_bias"][:, None]], axis=1)
-    dl = zl[:, :-1] @ p["group"]
-    dl += p["group_bias"]
-    dl = _exp(dl)
-    dl *= share / (dl @ ones[: dl.shape[1], None])
-    dl[row, groups] -= share
-    gg = zl.T @ dl
-    dzl, dw, n_slots = dl @ p["group"].T, np.zeros_like(weights), len(weights)
-    ones_of_slots = np.ones((n_slots, 1), z.dtype)
-    begin = begin.tolist()
-    for n in range(dl.shape[1] - 1):
-        (i, j), (first, last) = begin[n : n + 2], bounds[n : n + 2]
-        if j > i and last > first:
-            own, of = zl[i:j], weights[first:last]
-            ds = _exp(own @ of.T)
-            ds *= share / (ds @ ones_of_slots[: last - first])
-            ds[row[: j - i], slots[i:j]] -= share
-            np.matmul(ds.T, own, out=dw[first:last])
-            dzl[i:j] += ds @ of[:, :-1]
-    g = {"group": gg[:-1], "group_bias": gg[-1], "slot": dw[:, :-1], "slot_bias": dw[:, -1]}
-    dz = np.zeros_like(y)
-    dz[places] = dzl
+    n_own = begin[-2]  # tokens of the last group have no vectors
+    zl = z.take(places, axis=0)
+    # with e the raised logits of a token and s their sum, the gradient of its logits is e / s less 1 at the target: rows are scaled where they are short
+    e = _exp(zl @ group.T)
+    dzl = e @ group
+    s = dzl[:, -1].copy()
+    e[np.arange(len(e)), groups] -= s
+    s = (share / s)[:, None]
+    gg = e.T @ (zl * s)
+    dzl *= s
+    dzl -= group.take(groups, axis=0) * share
+    dw, dz_own, zl = np.zeros_like(slot), np.empty_like(zl[:n_own]), zl[:n_own]
+    made, parts = _within(zl, slot, begin, vocabulary)
+    for e, i, j, first, last in parts:
+        np.dot(e, slot[first:last], out=dz_own[i:j])
+    sizes, slots = np.diff(vocabulary.bounds)[groups[:n_own]], vocabulary.slot_of[target[:n_own]]
+    s = dz_own[:, -1].copy()
+    made[np.cumsum(sizes) - sizes + slots] -= s
+    s = (share / s)[:, None]
+    zl *= s
+    for e, i, j, first, last in parts:
+        np.dot(e.T, zl[i:j], out=dw[first:last])
+    dz_own *= s
+    dz_own -= slot.take(vocabulary.bounds[groups[:n_own]] + slots, axis=0) * share
+    dzl[:n_own] += dz_own
+    g = {"group": gg[:, :d].T, "group_bias": gg[:, d], "slot": dw[:, :d], "slot_bias": dw[:, d]}
+    dz = np.zeros((n * length, d), z.dtype)
+    dz[places] = dzl[:, :d]
     g["down"] = f.T @ dz
     df = dz @ p["down"].T
     df *= f > 0
-    g["up"], g["up_bias"] = y.T @ df, ones @ df
-    dy = dz + df @ p["up"].T
-    g["o"] = flat(mixed).T @ dy
-    dm = (dy @ p["o"].T).reshape(x.shape)
-    a /= total
-    dv = a.transpose(0, 2, 1) @ dm
-    da = dm @ v.transpose(0, 2, 1)
-    da -= np.matmul((dm * mixed), np.ones((d, 1), np.float32))
+    gu = y.T @ df
+    g["up"], g["up_bias"] = gu[:d], gu[d]
+    dx = df @ p["up"].T
+    dx += dz
+    dx = dx.reshape(n, length, d)
+    dm = np.empty((n, length, d + 1), z.dtype)
+    np.divide(dx, total, out=dm[..., :d])
+    np.negative(np.einsum("nld,nld->nl", dm[..., :d], mixed), out=dm[..., d])
+    da = dm @ qv[..., d:].transpose(0, 2, 1)
     da *= a
-    dqkv = flat(np.concatenate([(da @ k) * np.float32(d**-0.5), da.transpose(0, 2, 1) @ q, dv], axis=2))
-    dx = dy + dqkv @ p["qkv"].T
-    g["qkv"] = flat(x).T @ dqkv
+    dqv = np.empty((n, length, 2 * d), z.dtype)
+    np.matmul(da, x[..., :d], out=dqv[..., :d])
+    np.matmul(a.transpose(0, 2, 1), dm[..., :d], out=dqv[..., d:])
+    dx += da.transpose(0, 2, 1) @ qv[..., :d]
+    dqv, dx = dqv.reshape(-1, 2 * d), dx.reshape(-1, d)
+    dx += dqv @ w[:d, : 2 * d].T
+    gw = (x.reshape(-1, d + 1).T @ dqv)[:d]
+    q, k, v = (p["qkv"][:, i * d : (i + 1) * d] for i in range(3))
+    scale = np.float32(d**-0.5)
+    g["qkv"] = np.concatenate([gw[:, :d] @ k * scale, gw[:, :d].T @ q * scale, gw[:, d:] @ p["o"].T], axis=1)
+    g["o"] = v.T @ gw[:, d:]
     g["place"] = np.zeros_like(p["place"])
-    g["place"][: inputs.shape[1]] = dx.reshape(x.shape).sum(0)
-    order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
-    seen, first = np.unique(inputs.ravel()[order], return_index=True)
+    g["place"][:length] = dx.reshape(n, length, d).sum(0)
+    seen = inputs.ravel().astype(np.int16)
+    order = np.argsort(seen, kind="stable")
+    seen = seen[order]
+    first = np.concatenate([[0], np.flatnonzero(seen[1:] != seen[:-1]) + 1])
     g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][seen] = np.add.reduceat(dx[order], first)
+    g["embed"][seen[first]] = np.add.reduceat(dx.take(order, axis=0), first)
     return g
 
 
 class Trainer:
-    """Adam on batches of windows, from given weights."""
+    """Adam on batches of windows, from given weights. ``m`` and ``v`` are the running sums without the factors 0.1 and 0.01, which the rate takes."""
+
+    #: Weights of one part of a step, which stay in the processor's cache.
+    PART = 1 << 14
 
     def __init__(self, flat: np.ndarray, vocabulary: Vocabulary, config: LmConfig, rate: float):
         self.flat, self.vocabulary, self.config, self.rate = flat.astype(np.float32).copy(), vocabulary, config, rate
         self.m, self.v, self.steps, self.windows = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, 0
+        self.grad = np.empty_like(self.flat)
 
     def step(self, inputs: np.ndarray, ids: np.ndarray, live: np.ndarray) -> None:
         g = gradient(unpack(self.flat, self.config), inputs, ids, live, self.vocabulary)
-        grad = np.concatenate([g[name].ravel() for name in shapes(self.config)]).astype(np.float32)
-        grad *= min(1.0, 1.0 / (float(np.linalg.norm(grad)) + 1e-9))
+        for name, part in unpack(self.grad, self.config).items():
+            part[...] = g[name]
+        norm = math.sqrt(float(self.grad @ self.grad)) + 1e-9
         self.steps += 1
         self.windows += len(inputs)
-        self.m *= np.float32(0.9)
-        self.m += np.float32(0.1) * grad
-        self.v *= np.float32(0.99)
-        grad *= grad
-        grad *= np.float32(0.01)
-        self.v += grad
-        np.sqrt(self.v, out=grad)
-        grad *= np.float32((1 - 0.99**self.steps) ** -0.5)
-        grad += np.float32(1e-8)
-        np.divide(self.m, grad, out=grad)
-        grad *= np.float32(self.rate / (1 - 0.9**self.steps))
-        self.flat -= grad
+        root = (0.01 / (1 - 0.99**self.steps)) ** 0.5
+        rate, least = np.float32(0.1 * self.rate / (1 - 0.9**self.steps) / root), np.float32(1e-8 / root)
+        for k in range(0, len(self.flat), self.PART):
+            flat, m, v, grad = (x[k : k + self.PART] for x in (self.flat, self.m, self.v, self.grad))
+            if norm > 1:
+                grad *= np.float32(1 / norm)
+            m *= np.float32(0.9)
+            m += grad
+            v *= np.float32(0.99)
+            grad *= grad
+            v += grad
+            np.sqrt(v, out=grad)
+            grad += least
+            np.divide(m, grad, out=grad)
+            grad *= rate
+            flat -= grad
 
 
 def windows_per_byte(n_bytes: int, n_texts: int, config: LmConfig) -> float:
@@ -507,24 +592,39 @@ def windows_of(begin: np.ndarray, config: LmConfig) -> tuple[np.ndarray, np.ndar
     return first, np.minimum(size, begin[text + 1] - first), np.where(k == 0, 0, size - stride)
 
 
-#: Windows of one batch of attention, whose scores stay in the processor's cache, and tokens that are sorted by group at once.
-_BATCH, _TOKENS = 64, 100_000
+#: Windows of one batch of attention, whose scores stay in the processor's cache.
+_BATCH = 32
 
 
 def token_scores(ids: np.ndarray, begin: np.ndarray, p: dict[str, np.ndarray], vocabulary: Vocabulary, config: LmConfig) -> np.ndarray:
     """Natural log probability of every token of the texts of a block, each scored once."""
+    d, size = config.width, config.window
     out = np.zeros(len(ids))
     first, used, fresh = windows_of(begin, config)
     before = np.concatenate([[0], vocabulary.input_of[ids[:-1]]])
     before[begin[:-1]] = 1  # the start of a text
-    step = np.arange(config.window)
+    step = np.arange(size)
+    # all that follows from an input or a place alone, once for each: query, value, 1, the vector itself
+    w = folded(p)
+    one = np.ones((config.inputs, 1), w.dtype)
+    of_input = np.concatenate([np.concatenate([p["embed"], one], axis=1) @ w, p["embed"]], axis=1)
+    of_place = np.concatenate([p["place"] @ w[:d], p["place"]], axis=1)
     vectors, places, held = [], [], 0
 
     def finish() -> None:
         at = np.concatenate(places)
         out[at] = log_probabilities(p, np.concatenate(vectors), ids[at], vocabulary)
 
-    for skip in (0, config.window - config.stride):
+    def end_vectors(inputs: np.ndarray, skip: int) -> np.ndarray:
+        n, length = inputs.shape
+        made = of_input.take(inputs.ravel(), axis=0).reshape(n, length, 3 * d + 1)
+        made += of_place[:length]
+        y = np.empty((n, length - skip, d + 2), made.dtype)
+        y[..., d], y[..., d + 1] = 1, 0
+        attend(made[:, skip:, :d], made[..., 2 * d + 1 :], made[..., d : 2 * d + 1], y[..., :d])
+        return hidden(p, y.reshape(-1, d + 2))[0]
+
+    for skip in (0, size - config.stride):
         those = np.flatnonzero(fresh == skip)
         order = those[np.argsort(used[those].astype(np.int16), kind="stable")]  # short windows together, so that they can be cut
         for a in range(0, len(order), _BATCH):
@@ -532,17 +632,15 @@ def token_scores(ids: np.ndarray, begin: np.ndarray, p: dict[str, np.ndarray], v
             longest, shortest = int(used[own[-1]]), int(used[own[0]])
             place = first[own, None] + step[:longest]
             if shortest == longest:
-                z, _ = forward(p, before[place], skip)
-                vectors.append(z.reshape(-1, z.shape[2]))
+                vectors.append(end_vectors(before[place], skip))
                 places.append(place[:, skip:].ravel())
             else:
                 inside = step[:longest] < used[own, None]
-                z, _ = forward(p, before[np.where(inside, place, 0)], skip)
                 scored = inside[:, skip:]
-                vectors.append(z[scored])
+                vectors.append(end_vectors(before[np.where(inside, place, 0)], skip)[scored.ravel()])
                 places.append(place[:, skip:][scored])
             held += len(places[-1])
-            if held >= _TOKENS:
+            if held >= _SORTED:
                 finish()
                 vectors, places, held = [], [], 0
     if held:
