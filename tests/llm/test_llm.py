@@ -425,6 +425,25 @@ def test_lm_learns_from_every_id():
     assert attention_lm.rounds_of_a_text(10**6, 100, config) == 4 and attention_lm.rounds_of_a_text(10**9, 10**5, config) == 1
 
 
+def test_lm_trains_on_the_ids_that_counting_wrote():
+    """Texts are cut into ids once, for counting; training on what was written gives the weights that training on the texts gives."""
+    config = attention_lm.LmConfig()
+    texts = [*(t for seed in range(2) for t in samples(seed, 20)), None, "", "  ", "x" * 3000]
+    docs = pa.RecordBatch.from_arrays([pa.array([None, *range(1, len(texts))], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    read = pa.Table.from_batches(attention_lm._count(iter([docs.slice(0, 9), docs.slice(9)]), config)).to_pandas()
+    ids = np.zeros(attention_lm.vocabulary_size(config), np.int64)
+    ids[read.key[read.kind == 1].astype(int)] = read.n[read.kind == 1]
+    written = read[read.kind == 2]
+    assert len(written) == len(texts) and sum(map(len, written.ids)) == 2 * ids.sum() and read.ids[read.kind < 2].isna().all()
+    assert set(written.n) <= set(range(config.rounds)) and written.n.tolist() == attention_lm.turn_of(docs.column(0), config).tolist()
+    vocabulary = attention_lm.Vocabulary.of(ids, config)
+    flat = attention_lm.initial(vocabulary, config)
+    again = pa.RecordBatch.from_arrays([docs.column(0), pa.array(written.ids.tolist(), pa.binary())], ["key", "ids"])
+    for n_rounds, turn in ((4, 0), (1, 2)):
+        made = [pa.Table.from_batches(attention_lm._train_whole(iter([b]), flat, vocabulary, config, n_rounds, turn)) for b in (docs, again)]
+        assert made[0].num_rows and made[0].equals(made[1])
+
+
 def test_lm_windows_grow_with_the_texts():
     config = attention_lm.LmConfig()
     doc = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["some words " * 9000])], ["doc_id", "text"])

@@ -149,18 +149,35 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(back, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
 
+#: Ids of a text as they are written: two bytes each, or four where the tokenizer has more of them.
+def _stored(size: int) -> np.dtype:
+    return np.dtype(np.uint16 if size <= 1 << 16 else np.int32)
+
+
+def turn_of(docs: pa.Array, config: LmConfig) -> np.ndarray:
+    """The round of training that a text has its turn in, by the hash of its doc_id."""
+    return (tx.mix(docs.fill_null(0).to_numpy().view(np.uint64) ^ np.uint64(0x5EED)) % np.uint64(config.rounds)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch], config: LmConfig) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): counts of words (0) and of subword ids (1) of a task, a bounded number of words at a time."""
+    """Of (doc_id, text): counts of words (kind 0) and of subword ids (1) of a task, a bounded number of words at a time; and each text's doc_id as key, turn as n and ids (2)."""
     end_id = vocabulary_size(config) - 1
-    subwords = Subwords(config)
+    subwords, stored = Subwords(config), _stored(end_id + 1)
     ids_seen, parts, held = np.zeros(end_id + 1, np.int64), [], 0
 
     def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+        columns = [pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n), pa.nulls(len(keys), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "key", "n", "ids"])
 
     for batch in batches:
-        for block in tx.blocks(batch.column(0)):
-            w, ids, _ = text_ids(block, subwords, end_id)
+        for block in tx.blocks(batch.column(1)):
+            w, ids, begin = text_ids(block, subwords, end_id)
+            docs = batch.column(0).slice(block.first, len(block))
+            bounds, body = pa.py_buffer((begin * stored.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(stored))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(block), 2), pa.int32()), docs, pa.array(turn_of(docs, config)), pa.Array.from_buffers(pa.binary(), len(block), [None, bounds, body])],
+                ["kind", "key", "n", "ids"],
+            )
             ids_seen += np.bincount(ids, minlength=end_id + 1)
             keys, n = np.unique(w.hashes, return_counts=True)
             parts += [(keys, n), (END_WORD, np.array([len(block)]))]
@@ -554,15 +571,24 @@ def training_windows(ids: np.ndarray, begin: np.ndarray, vocabulary: Vocabulary,
     return place, live, before
 
 
+def ids_of(column: pa.Array, subwords: Subwords, config: LmConfig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of blocks of texts, and where each text begins in them: of texts, or of ids that were written."""
+    size = vocabulary_size(config)
+    if not pa.types.is_binary(column.type):
+        for block in tx.blocks(column, 1 << 20):
+            yield text_ids(block, subwords, size - 1)[1:]
+    else:
+        stored = _stored(size)
+        for block in tx.blocks(column, stored.itemsize << 18):
+            yield block.data.view(stored), block.offsets // stored.itemsize
+
+
 def _train_whole(batches: Iterator[pa.RecordBatch], flat: np.ndarray, vocabulary: Vocabulary, config: LmConfig, n_rounds: int, turn: int) -> Iterator[pa.RecordBatch]:
     """Weights after all windows of those of a task's texts whose turn it is, times the number of these windows, in pieces."""
-    end_id = vocabulary_size(config) - 1
     subwords, trainer = Subwords(config), Trainer(flat, vocabulary, config, config.rate * 0.5**turn)
     for batch in batches:
-        docs = tx.mix(batch.column(0).fill_null(0).to_numpy().view(np.uint64) ^ np.uint64(0x5EED))
-        own = (docs % np.uint64(config.rounds) + np.uint64(turn)) % np.uint64(config.rounds) < np.uint64(n_rounds)
-        for block in tx.blocks(batch.column(1).filter(pa.array(own)), 1 << 20):
-            _, ids, begin = text_ids(block, subwords, end_id)
+        own = (turn_of(batch.column(0), config) + turn) % config.rounds < n_rounds
+        for ids, begin in ids_of(batch.column(1).filter(pa.array(own)), subwords, config):
             place, live, before = training_windows(ids, begin, vocabulary, config)
             order = np.random.default_rng([turn, len(place)]).permutation(len(place))
             for k in range(0, len(order), config.batch_windows):
@@ -688,8 +714,9 @@ class Model:
 
 def train(documents: DataFrame, config: LmConfig = LmConfig()) -> Model:
     """Learn from every row of ``documents`` (doc_id, text)."""
-    counted = documents.select("text").mapInArrow(lambda it: _count(it, config), "kind int, key long, n long")
-    counts = materialize(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    schema = "kind int, key long, n long, ids binary"
+    read = materialize(documents.select("doc_id", "text").mapInArrow(lambda it: _count(it, config), schema), "lm-ids")
+    counts = materialize(read.where("kind < 2").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     words = counts.where("kind = 0").select("key", "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     by_id = counts.where("kind = 1").select("key", "n").toArrow()  # no more rows than the tokenizer has ids
@@ -700,7 +727,10 @@ def train(documents: DataFrame, config: LmConfig = LmConfig()) -> Model:
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     learn, how = (_train_whole, rounds_of_a_text(*size, config)) if config.whole else (_train, windows_per_byte(*size, config))
     for turn in range(config.rounds):
-        trained = documents.select("doc_id", "text").mapInArrow(lambda it, f=flat, t=turn: learn(it, f, vocabulary, config, how, t), "i int, v double, w long")
+        texts = documents.select("doc_id", "text")
+        if config.whole:  # of the written texts those whose turn it is
+            texts = read.where((F.col("kind") == 2) & (F.pmod(F.col("n") + turn, F.lit(config.rounds)) < how)).select("key", "ids")
+        trained = texts.mapInArrow(lambda it, f=flat, t=turn: learn(it, f, vocabulary, config, how, t), "i int, v double, w long")
         mean = trained.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow()
         if mean.num_rows:
             flat = flat.copy()
