@@ -137,6 +137,12 @@ class Subwords:
         return self.ids[np.repeat(at - (ends - size), size) + np.arange(ends[-1])], np.concatenate([[0], ends])
 
 
+@functools.lru_cache(maxsize=1)
+def subwords_of(config: LmConfig) -> Subwords:
+    """Those of this process: later tasks of a worker find the words that earlier ones met."""
+    return Subwords(config)
+
+
 def text_ids(block: tx.Block, subwords: Subwords, end_id: int) -> tuple[tx.Words, np.ndarray, np.ndarray]:
     """Words; the ids of every text with the end after each; and where each text begins in them."""
     w = tx.words(block, "visible")
@@ -162,7 +168,7 @@ def turn_of(docs: pa.Array, config: LmConfig) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch], config: LmConfig) -> Iterator[pa.RecordBatch]:
     """Of (doc_id, text): counts of words (kind 0) and of subword ids (1) of a task, a bounded number of words at a time; and each text's doc_id as key, turn as n and ids (2)."""
     end_id = vocabulary_size(config) - 1
-    subwords, stored = Subwords(config), _stored(end_id + 1)
+    subwords, stored = subwords_of(config), _stored(end_id + 1)
     ids_seen, parts, held = np.zeros(end_id + 1, np.int64), [], 0
 
     def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -518,7 +524,7 @@ def _pieces(batch: pa.RecordBatch, config: LmConfig, per_byte: float, turn: int)
 def _train(batches: Iterator[pa.RecordBatch], flat: np.ndarray, vocabulary: Vocabulary, config: LmConfig, per_byte: float, turn: int) -> Iterator[pa.RecordBatch]:
     """Weights after one pass over a task's training windows, times the number of these, in pieces."""
     end_id, size = vocabulary_size(config) - 1, config.window
-    subwords, trainer = Subwords(config), Trainer(flat, vocabulary, config, config.rate * 0.5**turn)
+    subwords, trainer = subwords_of(config), Trainer(flat, vocabulary, config, config.rate * 0.5**turn)
     held: list[tuple] = []
 
     def learn() -> None:
@@ -585,7 +591,7 @@ def ids_of(column: pa.Array, subwords: Subwords, config: LmConfig) -> Iterator[t
 
 def _train_whole(batches: Iterator[pa.RecordBatch], flat: np.ndarray, vocabulary: Vocabulary, config: LmConfig, n_rounds: int, turn: int) -> Iterator[pa.RecordBatch]:
     """Weights after all windows of those of a task's texts whose turn it is, times the number of these windows, in pieces."""
-    subwords, trainer = Subwords(config), Trainer(flat, vocabulary, config, config.rate * 0.5**turn)
+    subwords, trainer = subwords_of(config), Trainer(flat, vocabulary, config, config.rate * 0.5**turn)
     for batch in batches:
         own = (turn_of(batch.column(0), config) + turn) % config.rounds < n_rounds
         for ids, begin in ids_of(batch.column(1).filter(pa.array(own)), subwords, config):
@@ -677,16 +683,18 @@ def token_scores(ids: np.ndarray, begin: np.ndarray, p: dict[str, np.ndarray], v
 def _score(batches: Iterator[pa.RecordBatch], flat: np.ndarray, vocabulary: Vocabulary, config: LmConfig, words: np.ndarray, counts: np.ndarray, total: float) -> Iterator[pa.RecordBatch]:
     """Per row: tokens, the model's log10 probability, what the frequent words give to the base score, and the hashes of the other words."""
     end_id = vocabulary_size(config) - 1
-    p, subwords = unpack(flat, config), Subwords(config)
+    p, subwords = unpack(flat, config), subwords_of(config)
     for batch in batches:
         for block in tx.blocks(batch.column(1), 1 << 19):
             w, ids, begin = text_ids(block, subwords, end_id)
             model = np.concatenate([[0], np.cumsum(token_scores(ids, begin, p, vocabulary, config))])[begin] / math.log(10)
             hashes = np.insert(w.hashes, w.of_text[1:], END_WORD[0])
             bounds = w.of_text + np.arange(len(block) + 1)
-            at = np.minimum(np.searchsorted(words, hashes), max(0, len(words) - 1))
-            hit = (words[at] == hashes) if len(words) else np.zeros(len(hashes), bool)
-            base = np.where(hit, np.log10((counts[at] + 0.5) / total), 0.0) if len(words) else np.zeros(len(hashes))
+            distinct, back = np.unique(hashes, return_inverse=True)
+            at = np.minimum(np.searchsorted(words, distinct), max(0, len(words) - 1))
+            hit = (words[at] == distinct) if len(words) else np.zeros(len(distinct), bool)
+            base = np.where(hit, np.log10((counts[at] + 0.5) / total), 0.0) if len(words) else np.zeros(len(distinct))
+            hit, base = hit[back], base[back]
             n_hit, base_sum, rest = (np.concatenate([[0], np.cumsum(x)])[bounds] for x in (hit, base, ~hit))
             yield pa.RecordBatch.from_arrays(
                 [
