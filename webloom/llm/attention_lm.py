@@ -1,7 +1,7 @@
 """Language-model scores: a causal self-attention model in numpy on subword ids.
 
 1. All training documents are counted: words (for the base score) and subword ids of
-   a public tokenizer. The most frequent ids get vectors of their own and are dealt by
+   a public tokenizer, which are also written, for training to read. The most frequent ids get vectors of their own and are dealt by
    frequency to groups of about equal cost; all other ids are one more group, in which
    they are spread by their counts. So the output layer covers the whole vocabulary:
    the probability of an id is that of its group times its own within the group.
